@@ -1 +1,5 @@
+"""Queries over the driver's tables, each with its SQL twin."""
 
+from __future__ import annotations
+
+PLANS: list = []
