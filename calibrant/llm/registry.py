@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibrant.llm import quality_rules, token_files
+from calibrant.llm import chat_format, decontaminate, quality_rules, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_chat_format": chat_format.query,
         "op7_token_files": token_files.query,
+        "op8_decontaminate": decontaminate.query,
         "op10_quality_rules": quality_rules.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontaminate": decontaminate.ORACLE}
