@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibrant.llm import chat_format, decontaminate, quality_rules, token_files
+from calibrant.llm import chat_format, decontaminate, near_dedup, quality_rules, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_near_dedup": near_dedup.query,
         "op5_chat_format": chat_format.query,
         "op7_token_files": token_files.query,
         "op8_decontaminate": decontaminate.query,
@@ -19,4 +20,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": decontaminate.ORACLE}
+    return {"op4_near_dedup": near_dedup.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
