@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibrant.llm import chat_format, decontaminate, near_dedup, quality_rules, substring_dedup, token_files
+from calibrant.llm import chat_format, decontaminate, html_text, near_dedup, quality_rules, substring_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_html_text": html_text.query,
         "op3_substring_dedup": substring_dedup.query,
         "op4_near_dedup": near_dedup.query,
         "op5_chat_format": chat_format.query,
