@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibrant.llm import chat_format, decontaminate, html_text, near_dedup, quality_rules, substring_dedup, token_files
+from calibrant.llm import chat_format, decontaminate, html_text, language_id, near_dedup, quality_rules, sentencepiece_codec, substring_dedup, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": sentencepiece_codec.query,
         "op2_html_text": html_text.query,
         "op3_substring_dedup": substring_dedup.query,
         "op4_near_dedup": near_dedup.query,
         "op5_chat_format": chat_format.query,
+        "op6_language_id": language_id.query,
         "op7_token_files": token_files.query,
         "op8_decontaminate": decontaminate.query,
+        "op9_toxicity": toxicity.query,
         "op10_quality_rules": quality_rules.query,
     }
 
