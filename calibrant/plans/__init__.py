@@ -2,4 +2,6 @@
 
 from __future__ import annotations
 
-PLANS: list = []
+from calibrant.plans import evaluation
+
+PLANS: list = [evaluation]
