@@ -7,9 +7,11 @@ representatives that agree on all registers of a band are candidates; their Jacc
 similarity is estimated by likelihood from how many registers are larger, smaller and equal,
 and those not clearly below the threshold are confirmed on their full sets of strings.
 
-Only components are wanted, so a bucket's pairs are never all made: first every member meets
-the bucket's first member, and then, with 3, 12, 48, ... further members, only what is still
-in another component. No pair of a bucket that might join two components is left out.
+Only components are wanted, so a bucket's pairs are not all made. First every member meets the
+bucket's first member. Of buckets that then still hold several components, small ones give the
+pairs between these; large ones are dealt to pairs of blocks, in which each text outside the
+bucket's largest component is held against the rest without a row for each pair. Every two
+texts that share a bucket and are not in one component by then are compared.
 
 With 32 bands of 4 registers a pair at the threshold of 0.8 is missed once in 10**7.
 
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -118,7 +121,20 @@ def shingles(text: str | None, width: int) -> set:
     return set(zip(*(words[i:] for i in range(width))))
 
 
-def _confirm_batches(batches: Iterator[pa.RecordBatch], width: int, percent: int, margin: float) -> Iterator[pa.RecordBatch]:
+def _likely_batches(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            regs = [np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(-1, REGISTERS) for i in (2, 3)]
+            near = estimate(*regs, *(b.column(i).to_numpy().astype(float) for i in (4, 5))) >= least
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(near)) for i in (0, 1)], ["u", "v"])
+
+
+def _linked(x: set, y: set, percent: int) -> bool:
+    both = len(x & y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _confirm_batches(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     last: dict[int, tuple] = {0: (None, None), 1: (None, None)}
 
     def of(side: int, key, text) -> set:
@@ -127,68 +143,125 @@ def _confirm_batches(batches: Iterator[pa.RecordBatch], width: int, percent: int
         return last[side][1]
 
     for b in batches:
-        if not b.num_rows:
+        a, c, ta, tc = (b.column(i) for i in range(4))
+        ia, ic = a.to_pylist(), c.to_pylist()
+        out = pa.array([i for i in range(b.num_rows) if _linked(of(0, ia[i], ta[i]), of(1, ic[i], tc[i]), percent)], pa.int64())
+        yield pa.RecordBatch.from_arrays([a.take(out), c.take(out)], ["u", "v"])
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int, margin: float) -> DataFrame:
+    """The pairs (u, v) that are links: first by estimate, then on full sets."""
+    reg = lambda side: sets.select(F.col("id").alias(side), F.col("registers").alias(f"r_{side}"), F.col("n_shingles").alias(f"n_{side}"))
+    rows = pairs.join(reg("u"), "u").join(reg("v"), "v").select("u", "v", "r_u", "r_v", "n_u", "n_v")
+    likely = table(rows.mapInArrow(partial(_likely_batches, least=percent / 100 - margin), "u long, v long"), "likely")
+    text = lambda side: texts.select(F.col("id").alias(side), F.col("text").alias(f"t_{side}"))
+    full = likely.join(text("u"), "u").join(text("v"), "v").select("u", "v", "t_u", "t_v")
+    return full.mapInArrow(partial(_confirm_batches, width=width, percent=percent), "u long, v long").distinct()
+
+
+def _block_links(pdf: pd.DataFrame, width: int, percent: int, margin: float) -> pd.DataFrame:
+    """Links between the sides of one pair of blocks that join components not yet joined here."""
+    pdf = pdf.sort_values("id", kind="stable").drop_duplicates(["side", "id"])
+    a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    same = not len(b)  # a block with itself
+    b = a if same else b
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(p, p)
+        return x
+
+    sets: dict[int, set] = {}
+
+    def of(i: int, text: str) -> set:
+        if i not in sets:
+            sets[i] = shingles(text, width)
+        return sets[i]
+
+    band = int(pdf["band"].iloc[0])
+    kb, rb, nb = np.array(b["keys"].tolist()), np.frombuffer(b"".join(b["registers"]), "<u2").reshape(-1, REGISTERS), b["n"].to_numpy(float)
+    ib, cb, tb = b["id"].tolist(), b["comp"].tolist(), b["text"].tolist()
+    out = []
+    for k, (i, comp, text, keys, regs, n) in enumerate(zip(a["id"], a["comp"], a["text"], a["keys"], a["registers"], a["n"])):
+        # a pair belongs to the first band that its texts share
+        ok = (kb[:, :band] != np.array(keys)[:band]).all(1) & (100 * np.minimum(nb, n) >= percent * np.maximum(nb, n))
+        if same:
+            ok[: k + 1] = False
+        at = np.flatnonzero(ok)
+        if not len(at):
             continue
-        a, c, ta, tc, ra, rc, na, nc = (b.column(i) for i in range(8))
-        regs = [np.frombuffer(b"".join(x.to_pylist()), "<u2").reshape(-1, REGISTERS) for x in (ra, rc)]
-        near = estimate(*regs, na.to_numpy().astype(float), nc.to_numpy().astype(float)) >= percent / 100 - margin
-        ia, ic, out = a.to_pylist(), c.to_pylist(), []
-        for i in np.flatnonzero(near).tolist():
-            x, y = of(0, ia[i], ta[i]), of(1, ic[i], tc[i])
-            both = len(x & y)
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                out.append(i)
-        yield pa.RecordBatch.from_arrays([a.take(pa.array(out, pa.int64())), c.take(pa.array(out, pa.int64()))], ["u", "v"])
-
-
-def components_of(docs: DataFrame, width: int = 2, percent: int = 80, margin: float = 0.2) -> DataFrame:
+        ra = np.broadcast_to(np.frombuffer(regs, "<u2"), (len(at), REGISTERS))
+        at = at[estimate(ra, rb[at], np.full(len(at), float(n)), nb[at]) >= percent / 100 - margin]
+        for j in at.tolist():
+            if i != ib[j] and find(comp) != find(cb[j]) and _linked(of(i, text), of(ib[j], tb[j]), percent):
+                parent[find(comp)] = find(cb[j])
+                out.append((i, ib[j]))
+    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+
+def _blocks(members: DataFrame, size: int) -> DataFrame:
+    """Rows of large buckets dealt to pairs of blocks (key, i, j, side): each text that is not of its
+    bucket's largest component meets all of the bucket, the others of that component only it."""
+    count = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    main = count.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
+    rows = members.join(main, "key").withColumn("minor", (F.col("comp") != F.col("main")).cast("int"))
+    order = Window.partitionBy("key", "minor").orderBy("id")
+    rows = rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / size).cast("int"))
+    most = rows.groupBy("key").agg(F.max(F.when(F.col("minor") == 1, F.col("block"))).alias("most_minor"), F.max(F.when(F.col("minor") == 0, F.col("block"))).alias("most_major"))
+    rows = rows.join(most, "key").where("most_minor IS NOT NULL")
+    b, last_minor, last_major = F.col("block"), F.col("most_minor"), F.col("most_major")
+    spot = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    up_to = lambda n: F.sequence(F.lit(0), n)
+    minor = F.concat(
+        F.transform(up_to(last_major), lambda j: spot(0, b, j, 0)),
+        F.transform(F.sequence(b, last_minor), lambda j: spot(1, b, j, 0)),
+        F.transform(F.filter(up_to(b), lambda i: i < b), lambda i: spot(1, i, b, 1)),
+    )
+    major = F.transform(up_to(last_minor), lambda i: spot(0, i, b, 1))
+    rows = rows.withColumn("spot", F.explode(F.when(F.col("minor") == 1, minor).otherwise(major)))
+    return rows.select("key", "id", "comp", "n", "spot.*")
+
+
+def components_of(docs: DataFrame, width: int = 2, percent: int = 80, margin: float = 0.2, small: int = 24, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs."""
     rows = table(sketches(docs, width), "sketches")
     full = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = table(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     reps = rows.select("doc_id", "n_shingles", "digest", "keys").join(classes, "digest").where(F.col("doc_id") == F.col("rep"))
-    bands = reps.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key")
-    members = bands.join(shared, "key").distinct()
-    members = table(members.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id", "n"))), "members")
-    top = members.agg(F.max("rank")).first()[0] or 0
-    comp = None
-    if top:
-        ids = bounded(table(members.select("id").distinct(), "ids"))
-        sets = rows.select(F.col("doc_id").alias("id"), "n_shingles", "registers", "digest").join(classes, "digest").where("id = rep").drop("rep", "digest")
-        texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-        texts = texts.join(ids, "id", "left_semi")
-        sets = table(texts.join(sets.join(ids, "id", "left_semi"), "id"), "candidates")
-        lo, hi = 0, 1
-        while lo < top:
-            here = members
-            if comp is not None:
-                here = here.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-                open_keys = here.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.max("rank").alias("r")).where(f"a <> b AND r > {lo + 1}").select("key")
-                members = table(here.join(open_keys, "key", "left_semi"), "members")
-                here = members
-                members = members.drop("comp")
-                if here.isEmpty():
-                    break
-            else:
-                here = here.withColumn("comp", F.col("id"))
-            centers = here.where((F.col("rank") > lo) & (F.col("rank") <= hi)).select("key", F.col("id").alias("c_id"), F.col("n").alias("c_n"), F.col("rank").alias("c_rank"), F.col("comp").alias("c_comp"))
-            pairs = here.join(centers, "key").where((F.col("rank") > F.col("c_rank")) & (F.col("comp") != F.col("c_comp")) & (100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")))
-            pairs = table(pairs.select(F.col("id").alias("u"), F.col("c_id").alias("v")).where("u <> v").distinct(), "pairs")
-            found = table(_confirm(pairs, sets, width, percent, margin), "links")
-            if not found.isEmpty():
-                comp = table(components(found if comp is None else comp.select(F.col("id").alias("u"), F.col("comp").alias("v")).union(found)), "components")
-            lo, hi = hi, 4 * hi
+    bands = reps.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("keys").alias("band", "key"))
+    shared = bands.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("size")).where("a <> b").select("key", "size", F.col("a").alias("first"))
+    members = table(bands.join(shared, "key").distinct(), "members")
+    if members.isEmpty():
+        return _result(rows, classes, None)
+    ids = bounded(table(members.select("id").distinct(), "ids"))
+    sets = rows.select(F.col("doc_id").alias("id"), "n_shingles", "registers", "keys", "digest").join(classes, "digest").where("id = rep").drop("rep", "digest")
+    sets = table(sets.join(ids, "id", "left_semi").dropDuplicates(["id", "registers"]), "candidates")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = table(texts.join(ids, "id", "left_semi").distinct(), "texts")
+    # every member meets its bucket's first
+    stars = members.where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct()
+    links = table(_confirm(stars, sets, texts, width, percent, margin), "links")
+    comp = table(components(links), "components")
+    here = members.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    still = here.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.max("size").alias("m")).where("a <> b AND m > 2").select("key")
+    here = table(here.join(still, "key", "left_semi"), "open")
+    few = here.where(F.col("size") <= small)
+    other = few.select("key", F.col("id").alias("v"), F.col("n").alias("m"), F.col("comp").alias("other"))
+    fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    # the bucket's first was met above
+    pairs = few.where("id <> first").join(other, "key").where((F.col("id") > F.col("v")) & (F.col("v") != F.col("first")) & (F.col("comp") != F.col("other")) & fits)
+    more = table(_confirm(pairs.select(F.col("id").alias("u"), "v").distinct(), sets, texts, width, percent, margin), "links")
+    spots = _blocks(here.where(F.col("size") > small), block).join(here.select("key", "band").distinct(), "key")
+    spots = spots.join(sets.select("id", "registers", "keys"), "id").join(texts, "id")
+    fn = partial(_block_links, width=width, percent=percent, margin=margin)
+    many = table(spots.groupBy("key", "kind", "i", "j").applyInPandas(fn, "u long, v long"), "links")
+    found = more.union(many)
+    if not found.isEmpty():
+        comp = table(components(comp.select(F.col("id").alias("u"), F.col("comp").alias("v")).union(found)), "components")
     return _result(rows, classes, comp)
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, width: int, percent: int, margin: float) -> DataFrame:
-    a = sets.select(F.col("id").alias("u"), F.col("text").alias("ta"), F.col("registers").alias("ra"), F.col("n_shingles").alias("na"))
-    c = sets.select(F.col("id").alias("v"), F.col("text").alias("tc"), F.col("registers").alias("rc"), F.col("n_shingles").alias("nc"))
-    rows = pairs.join(a, "u").join(c, "v").select("u", "v", "ta", "tc", "ra", "rc", "na", "nc")
-    return rows.mapInArrow(partial(_confirm_batches, width=width, percent=percent, margin=margin), "u long, v long").distinct()
-
-
 def _result(rows: DataFrame, classes: DataFrame, comp: DataFrame | None) -> DataFrame:
     of = rows.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     if comp is not None:
