@@ -12,11 +12,15 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def let(x: Column, f) -> Column:
+    """f of a value that is computed once: lambdas compute what they hold again for each element."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def log_softmax(x: Column) -> Column:
     """ARR-01."""
-    d = F.transform(x, lambda v: v.cast("double"))
-    top = F.array_max(d)
-    return F.transform(d, lambda v: v - top - F.ln(_sum(F.transform(d, lambda w: F.exp(w - top)))))
+    shifted = let(F.transform(x, lambda v: v.cast("double")), lambda d: let(F.array_max(d), lambda top: F.transform(d, lambda v: v - top)))
+    return let(shifted, lambda d: let(F.ln(_sum(F.transform(d, F.exp))), lambda z: F.transform(d, lambda v: v - z)))
 
 
 def top_k(x: Column, k: int) -> Column:
@@ -32,19 +36,17 @@ def by_id(pairs: Column) -> Column:
 
 def lookup(ids: Column, support: Column, fill: float = 0.0) -> Column:
     """JOIN-02/03: values of a support at ids, `fill` outside it."""
-    m = F.map_from_entries(support)
-    return F.transform(ids, lambda i: F.coalesce(F.element_at(m, i), F.lit(fill)))
+    return let(F.map_from_entries(support), lambda m: F.transform(ids, lambda i: F.coalesce(F.element_at(m, i), F.lit(fill))))
 
 
 def scatter(ids: Column, values: Column, vocab: int, fill: float = 0.0) -> Column:
     """JOIN-01: dense form of a support."""
-    m = F.map_from_arrays(ids, values)
-    return F.transform(F.sequence(F.lit(0), F.lit(vocab - 1)), lambda i: F.coalesce(F.element_at(m, i), F.lit(fill)))
+    return let(F.map_from_arrays(ids, values), lambda m: F.transform(F.sequence(F.lit(0), F.lit(vocab - 1)), lambda i: F.coalesce(F.element_at(m, i), F.lit(fill))))
 
 
 def gather(dense: Column, ids: Column, fill: float | None = None) -> Column:
     """JOIN-17/18: values of a dense array at 0-based ids; `fill` (or null) where the id is outside."""
-    return F.transform(ids, lambda i: F.coalesce(F.try_element_at(dense, (i + 1).cast("int")), F.lit(fill).cast("double")))
+    return let(dense, lambda a: F.transform(ids, lambda i: F.coalesce(F.try_element_at(a, (i + 1).cast("int")), F.lit(fill).cast("double"))))
 
 
 def kl_k3(s: Column, r: Column) -> Column:
@@ -65,7 +67,7 @@ def expected(logp: Column, delta: Column) -> Column:
 def pg_token(s_cur: Column, s_old: Column, delta: Column, *, clip: float = 0.2, delta_clip: float | None = None, ratio_clip: float | None = 5.0, mismatch: float | None = 20.0, renormalise: bool = False) -> Column:
     """AGG-26: clipped policy-gradient loss of one position."""
     c = lambda x, m: F.least(F.greatest(x, F.lit(-m)), F.lit(m))
-    rows = F.transform(F.arrays_zip(s_cur.alias("a"), s_old.alias("b"), delta.alias("d")), lambda z: F.struct((z["0"] - z["1"]).alias("lr"), z["1"].alias("so"), (c(z["2"], delta_clip) if delta_clip else z["2"]).alias("d")))
+    rows = F.transform(F.arrays_zip(s_cur.alias("a"), s_old.alias("b"), delta.alias("d")), lambda z: F.struct((z["a"] - z["b"]).alias("lr"), z["b"].alias("so"), (c(z["d"], delta_clip) if delta_clip else z["d"]).alias("d")))
     if renormalise:
         mass = _sum(F.transform(rows, lambda z: F.when(z["d"] != 0, F.exp(z["so"])).otherwise(F.lit(0.0)))) + F.lit(1e-8)
 
@@ -81,5 +83,5 @@ def pg_token(s_cur: Column, s_old: Column, delta: Column, *, clip: float = 0.2,
 
 def disagreement(a: Column, b: Column, mask: Column) -> Column:
     """AGG-24: masked mean of |a - b|."""
-    num = _sum(F.transform(F.arrays_zip(a.alias("a"), b.alias("b"), mask.alias("m")), lambda z: F.abs(z["0"] - z["1"]) * z["2"]))
+    num = _sum(F.transform(F.arrays_zip(a.alias("a"), b.alias("b"), mask.alias("m")), lambda z: F.abs(z["a"] - z["b"]) * z["m"]))
     return num / (_sum(F.transform(mask, lambda m: m.cast("double"))) + F.lit(1e-8))

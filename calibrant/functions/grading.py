@@ -8,6 +8,7 @@ from fractions import Fraction
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from calibrant.functions.text import UNITS, extract_final_answer
 
@@ -172,17 +173,17 @@ def grade(given: str | None, gt: str | None) -> bool:
     return equal_numbers(a, b)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def last_box_udf(text: pd.Series) -> pd.Series:
     return text.map(last_box)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_udf(text: pd.Series) -> pd.Series:
     return text.map(normalize)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def grade_udf(given: pd.Series, gt: pd.Series) -> pd.Series:
     return pd.Series([grade(a, b) for a, b in zip(given, gt)])
 

@@ -46,7 +46,7 @@ def extract_answer(c: Column, style: str = "boxed") -> Column:
 def normalize_answer(c: Column) -> Column:
     """STR-02: a whole number without separators, else null."""
     bare = F.replace(F.trim(c), F.lit(","), F.lit(""))
-    return F.when(bare.rlike(r"^-?[0-9]+$"), F.try_to_number(bare, F.lit("S" + "9" * 30)).cast("decimal(38,0)") if False else bare.try_cast("decimal(38,0)"))
+    return F.when(bare.rlike(r"^-?[0-9]+$"), bare.try_cast("decimal(38,0)"))
 
 
 def remove_boxed(c: Column) -> Column:

@@ -44,7 +44,8 @@ def correlate(rows: DataFrame, score: str, correct: str) -> DataFrame:
     r = rows.where(F.col(score).isNotNull()).withColumn("hit", F.col(correct).cast("int"))
     r = with_ranks(r.select(score, correct, "hit"), score, "hit")
     n = F.count("*")
-    rho = F.coalesce(F.corr(f"{score}_rank", "hit_rank"), F.lit(0.0))
+    a, b = f"{score}_rank", "hit_rank"
+    rho = F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))
     return r.agg(
         n.alias("n"), F.when(n < 3, F.lit(0.0)).otherwise(F.when(F.isnan(rho), F.lit(0.0)).otherwise(rho)).alias("rho"),
         F.when(n < 3, F.lit(0.5)).otherwise(roc_auc(r, f"{score}_rank", correct)).alias("auc"),

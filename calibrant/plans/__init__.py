@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from calibrant.plans import evaluation
+from calibrant.plans import evaluation, signals, streams, text
 
-PLANS: list = [evaluation]
+PLANS: list = [evaluation, text, signals, streams]

@@ -67,15 +67,15 @@ SELECT label, budget, count(*) AS n_total, count(*) FILTER (status='eos') AS n_e
 _M = f"WITH {METRICS} "
 add("agg09_mean_and_last", lambda s, d: rounded(metrics(s, d).agg(F.avg("reward").alias("reward_mean"), F.max_by("reward", "step").alias("reward_last"), F.avg("k").alias("k_mean"), F.max_by("k", "step").alias("k_last")), "reward_mean", "k_mean"),
     _M + "SELECT round(avg(reward), 6) AS reward_mean, max_by(reward, step) AS reward_last, round(avg(k), 6) AS k_mean, max_by(k, step) AS k_last FROM metrics")
-_having = F.when(F.col("pool") == "purchase", F.col("reward"))
-add("agg10_mean_where_present", lambda s, d: rounded(metrics(s, d).groupBy("user_id").agg(F.avg(_having).alias("mean"), F.max_by(_having, F.when(_having.isNotNull(), F.col("step"))).alias("last")), "mean"),
+_having = lambda: F.when(F.col("pool") == "purchase", F.col("reward"))
+add("agg10_mean_where_present", lambda s, d: rounded(metrics(s, d).groupBy("user_id").agg(F.avg(_having()).alias("mean"), F.max_by(_having(), F.when(_having().isNotNull(), F.col("step"))).alias("last")), "mean"),
     _M + "SELECT user_id, round(avg(reward) FILTER (pool = 'purchase'), 6) AS mean, max_by(reward, step) FILTER (pool = 'purchase') AS last FROM metrics GROUP BY user_id")
-add("agg11_mean_missing_zero", lambda s, d: rounded(metrics(s, d).groupBy("user_id").agg(F.avg(F.coalesce(_having, F.lit(0.0))).alias("mean")), "mean"),
+add("agg11_mean_missing_zero", lambda s, d: rounded(metrics(s, d).groupBy("user_id").agg(F.avg(F.coalesce(_having(), F.lit(0.0))).alias("mean")), "mean"),
     _M + "SELECT user_id, round(avg(CASE WHEN pool = 'purchase' THEN reward ELSE 0 END), 6) AS mean FROM metrics GROUP BY user_id")
 add("agg12_performance_summary", lambda s, d: rounded(metrics(s, d).groupBy("pool").agg(F.coalesce(F.avg("reward"), F.lit(0.0)).alias("performance"), F.sum("k").alias("rollout_tokens"), F.coalesce(F.try_divide(F.avg("reward"), F.sum("k")), F.lit(0.0)).alias("eff")), "performance", "eff", digits=9),
     _M + "SELECT pool, round(coalesce(avg(reward), 0), 9) AS performance, sum(k)::BIGINT AS rollout_tokens, round(coalesce(avg(reward) / sum(k), 0), 9) AS eff FROM metrics GROUP BY pool")
-_phase = F.when(F.col("pool") == "view", " Base ").when(F.col("pool") == "click", "refresh").otherwise(F.col("pool"))
-add("agg13_pool_share", lambda s, d: evaluation.pool_share(metrics(s, d).withColumn("pool", _phase)),
+_phase = lambda: F.when(F.col("pool") == "view", " Base ").when(F.col("pool") == "click", "refresh").otherwise(F.col("pool"))
+add("agg13_pool_share", lambda s, d: evaluation.pool_share(metrics(s, d).withColumn("pool", _phase())),
     _M + "SELECT count(*) AS n, round_even(avg((pool = 'view')::INT), 4) AS base, round_even(avg((pool = 'click')::INT), 4) AS refresh, round_even(avg((pool NOT IN ('view', 'click'))::INT), 4) AS other FROM metrics")
 add("agg14_accuracy_percent", lambda s, d: rounded(generations(s, d).groupBy("label").agg((100 * F.avg(F.coalesce("correct", F.lit(False)).cast("int"))).alias("accuracy")), "accuracy"), _BOTH + "SELECT label, round(100 * avg(correct::INT), 6) AS accuracy FROM gen GROUP BY label")
 
