@@ -68,7 +68,7 @@ def build(m: sp_model.Model):
 class Codec:
     """Encoder and decoder of one model file."""
 
-    def __init__(self, path: str, threads: int = 2, cap: int = 400_000) -> None:
+    def __init__(self, path: str, threads: int = 2, cap: int = 200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
