@@ -5,51 +5,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calibrant.session import table
 
-def value_ranks(rows: DataFrame, x: str, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """WIN-01: average rank of each distinct value.
-
-    Ranks come from counts of values, so only distinct values are sorted; they are summed by
-    ranges first, so that no sort of all rows or values falls to one task.
-    """
-    counts = rows.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("c"))
-    if not by:
-        counts = counts.repartitionByRange(x).withColumn("p", F.spark_partition_id())
-        part = counts.groupBy("p").agg(F.sum("c").alias("t"))
-        part = part.select("p", (F.sum("t").over(Window.orderBy("p")) - F.col("t")).alias("before"))
-        counts = counts.join(F.broadcast(part), "p")  # a row for each partition
-        w = Window.partitionBy("p").orderBy(x)
-        below = F.col("before") + F.sum("c").over(w) - F.col("c")
-    else:
-        below = F.sum("c").over(Window.partitionBy(*by).orderBy(x)) - F.col("c")
-    return counts.select(*by, x, (below + (F.col("c") + 1) / F.lit(2.0)).alias(f"{x}_rank"))
 
+def _below(counts: DataFrame, x: str, n: str) -> DataFrame:
+    """counts with `below`: how many rows have a smaller value. Sorted by ranges, never in one task.
 
-def with_ranks(rows: DataFrame, *cols: str) -> DataFrame:
-    for x in cols:
-        rows = rows.join(value_ranks(rows, x), x)
-    return rows
+    The ranges are written before their totals are taken: a range partitioning that is computed
+    again may cut elsewhere.
+    """
+    parts = table(counts.repartitionByRange(x).withColumn("part", F.spark_partition_id()), "ranges")
+    totals = parts.groupBy("part").agg(F.sum(n).alias("t"))
+    totals = totals.select("part", (F.sum("t").over(Window.orderBy("part")) - F.col("t")).alias("before"))
+    w = Window.partitionBy("part").orderBy(x)
+    # a row for each partition
+    return parts.join(F.broadcast(totals), "part").withColumn("below", F.col("before") + F.sum(n).over(w) - F.col(n)).drop("part", "before")
 
 
-def roc_auc(ranked: DataFrame, rank: str, positive: str) -> Column:
-    """AGG-18 from ranks: ties count half; one class gives 0.5."""
-    p = F.sum(F.col(positive).cast("int")).cast("double")
-    n = F.count("*").cast("double") - p
-    s = F.sum(F.when(F.col(positive), F.col(rank)).otherwise(F.lit(0.0)))
-    return F.when((p == 0) | (n == 0), F.lit(0.5)).otherwise((s - p * (p + 1) / F.lit(2.0)) / (p * n))
+def value_ranks(rows: DataFrame, x: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """WIN-01: average rank of each distinct value, from counts of values."""
+    counts = rows.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("c"))
+    if by:
+        counts = counts.withColumn("below", F.sum("c").over(Window.partitionBy(*by).orderBy(x)) - F.col("c"))
+    else:
+        counts = _below(counts, x, "c")
+    return counts.select(*by, x, (F.col("below") + (F.col("c") + 1) / F.lit(2.0)).alias(f"{x}_rank"))
 
 
 def correlate(rows: DataFrame, score: str, correct: str) -> DataFrame:
-    """AGG-20: n, Spearman's rho, ROC-AUC, mean score, accuracy; rho 0 and AUC 0.5 below three rows."""
-    r = rows.where(F.col(score).isNotNull()).withColumn("hit", F.col(correct).cast("int"))
-    r = with_ranks(r.select(score, correct, "hit"), score, "hit")
-    n = F.count("*")
-    a, b = f"{score}_rank", "hit_rank"
-    rho = F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0))
-    return r.agg(
-        n.alias("n"), F.when(n < 3, F.lit(0.0)).otherwise(F.when(F.isnan(rho), F.lit(0.0)).otherwise(rho)).alias("rho"),
-        F.when(n < 3, F.lit(0.5)).otherwise(roc_auc(r, f"{score}_rank", correct)).alias("auc"),
-        F.avg(score).alias("mean_score"), F.avg("hit").alias("accuracy"),
+    """AGG-18/19/20: n, Spearman's rho, ROC-AUC, mean score, accuracy; rho 0 and AUC 0.5 below three rows.
+
+    Ties share their average rank; one class gives AUC 0.5 and rho 0. All comes from the counts
+    of right and all rows at each distinct score.
+    """
+    r = rows.where(F.col(score).isNotNull() & F.col(correct).isNotNull()).select(F.col(score).cast("double").alias("x"), F.col(correct).cast("long").alias("y"))
+    c = _below(r.groupBy("x").agg(F.count("*").alias("c"), F.sum("y").alias("p")), "x", "c")
+    rank = F.col("below") + (F.col("c") + 1) / F.lit(2.0)
+    d = lambda v: F.coalesce(v.cast("double"), F.lit(0.0))
+    s = c.agg(
+        d(F.sum("c")).alias("n"), d(F.sum("p")).alias("n1"), d(F.sum(rank * F.col("c"))).alias("sr"), d(F.sum(rank * rank * F.col("c"))).alias("srr"),
+        d(F.sum(rank * F.col("p"))).alias("s1"), F.sum(F.col("x") * F.col("c")).alias("sx"),
+    )
+    n, n1, s1 = F.col("n"), F.col("n1"), F.col("s1")
+    n0, mean = n - n1, (n + 1) / F.lit(2.0)
+    y0, y1 = (n0 + 1) / F.lit(2.0), n0 + (n1 + 1) / F.lit(2.0)
+    cov = F.try_divide(y1 * s1 + y0 * (F.col("sr") - s1), n) - mean * mean
+    spread = F.sqrt((F.try_divide(F.col("srr"), n) - mean * mean) * (F.try_divide(n0 * y0 * y0 + n1 * y1 * y1, n) - mean * mean))
+    rho = F.coalesce(F.try_divide(cov, spread), F.lit(0.0))
+    auc = F.coalesce(F.try_divide(s1 - n1 * (n1 + 1) / F.lit(2.0), n1 * n0), F.lit(0.5))
+    return s.select(
+        n.cast("long").alias("n"), F.when(n < 3, F.lit(0.0)).otherwise(rho).alias("rho"), F.when(n < 3, F.lit(0.5)).otherwise(auc).alias("auc"),
+        F.try_divide(F.col("sx"), n).alias("mean_score"), F.try_divide(n1, n).alias("accuracy"),
     )
 
 
