@@ -138,7 +138,7 @@ def _codec_batches(batches: Iterator[pa.RecordBatch], path: str, threads: int) -
         sizes = b.column(1).fill_null("")
         while lo < b.num_rows:
             hi, n = lo, 0
-            while hi < b.num_rows and (n < 1 << 21 or hi == lo):
+            while hi < b.num_rows and (n < 1 << 20 or hi == lo):
                 n += len(sizes[hi].as_py())
                 hi += 1
             texts = [t or "" for t in b.column(1).slice(lo, hi - lo).to_pylist()]
@@ -180,6 +180,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: doc_id, ids and their number; the decoded text was compared."""
-    return encode(docs).select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+def _stage_batches(batches: Iterator[pa.RecordBatch], path: str, threads: int) -> Iterator[pa.RecordBatch]:
+    for b in _codec_batches(batches, path, threads):
+        same = pa.array([x.as_py() == y.as_py() for x, y in zip(b.column(1).fill_null(""), b.column(3))])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), same], ["doc_id", "ids", "round_trip"])
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, threads: int = 2) -> DataFrame:
+    """Last pipeline stage: doc_id, ids and their number; the decoded text was compared where it was made."""
+    ship(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = rows.mapInArrow(partial(_stage_batches, path=sp_model.default_path(), threads=threads), "doc_id long, ids array<int>, round_trip boolean")
+    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "round_trip")
