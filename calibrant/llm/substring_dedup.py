@@ -3,9 +3,12 @@
 A gear rolling hash over the last 16 bytes is taken at each word start; a chunk begins where
 that hash is the least among the words near it, so that cuts depend on nearby text alone and
 an insertion shifts no cut but those beside it. Chunks that occur earlier (in order of doc_id
-and place) point to their first occurrence. Two or more that lie alike in the same earlier
-text are a seed; a seed grows byte by byte in both texts as far as they agree, and is cut to
-whole words. Passages of min_words or more are removed; their first occurrence stays.
+and place) point to their first occurrence; two or more that lie alike in the same earlier
+text are a seed. The first text that holds a chunk need not hold the passage around it, so
+windows of min_words words whose inner chunks all repeat are hashed too, and each that occurs
+earlier is a seed by itself: a passage of min_words words is found whichever earlier text
+holds it. A seed grows byte by byte in both texts as far as they agree, and is cut to whole
+words. Passages of min_words or more are removed; their first occurrence stays.
 
 Digests have 64 bits; a passage is removed only after its bytes were compared.
 
@@ -17,10 +20,11 @@ carried along.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calibrant.llm import textscan as ts
@@ -29,7 +33,11 @@ from calibrant.session import ship, table
 
 #: Words on either side that a chunk's first word is compared with.
 NEAR = 3
-#: Bits of a place number in a packed (doc_id, place).
+#: Words at a window's beginning and end whose cuts may depend on text outside it: 16 bytes are 8 words at most.
+RIM = (NEAR + 9, NEAR + 1)
+#: A window that recurs in its own text within so many bytes points there: else each place of a periodic run had a seed of its own.
+PERIOD = 512
+#: Bits of a byte or chunk number in a packed (doc_id, number).
 BITS = 21
 _GEAR = np.random.Generator(np.random.PCG64(99)).integers(0, 2**32, 256, dtype=np.uint32)
 _SPANS = "array<struct<start: bigint, end: bigint, source: bigint>>"
@@ -69,12 +77,66 @@ def chunks(s: ts.Slice) -> ts.Spans:
     return ts.Spans(starts, np.r_[starts[1:], s.offs[-1:]] if len(starts) else starts, first)
 
 
-def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _open(begins: np.ndarray, n: int, known: np.ndarray, size: int) -> np.ndarray:
+    """Runs (begin, end, begin, ...) of windows of size words without a whole inner chunk that is not known.
+
+    begins: each chunk's first word; n: words of the text; known: whether each chunk counts.
+    """
+    if n < size:
+        return np.zeros(0, np.int64)
+    lo = np.maximum(np.r_[begins[1:], n + size] - size + RIM[1], 0)
+    hi = np.minimum(begins - RIM[0] + 1, n - size + 1)
+    bad = ~known & (lo < hi)
+    shut = np.zeros(n - size + 2, np.int64)
+    np.add.at(shut, lo[bad], 1)
+    np.add.at(shut, hi[bad], -1)
+    free = np.r_[False, np.cumsum(shut[:-1]) == 0, False]
+    return np.flatnonzero(free[1:] != free[:-1])
+
+
+_CHUNKS = "doc_id long, digests array<long>, begins array<int>, n_words int, n_bytes int, open boolean"
+
+
+def _chunk_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for s in ts.slices(b.column(1)):
-            c = chunks(s)
+            c, w = chunks(s), ts.words(s, ts.SPACED)
             got = ts.hashes(s.buf, c.starts, c.ends).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(s.lo, s.hi - s.lo), pa.ListArray.from_arrays(pa.array(c.first.astype(np.int32)), pa.array(got))], ["doc_id", "digests"])
+            n, lists = np.diff(w.first), pa.array(c.first.astype(np.int32))
+            begins = np.searchsorted(w.starts, c.starts) - np.repeat(w.first[:-1], np.diff(c.first))
+            free = [bool(len(_open(begins[i:j], k, np.zeros(j - i, bool), min_words))) for i, j, k in zip(c.first[:-1].tolist(), c.first[1:].tolist(), n.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).slice(s.lo, s.hi - s.lo), pa.ListArray.from_arrays(lists, pa.array(got)), pa.ListArray.from_arrays(lists, pa.array(begins.astype(np.int32))), pa.array(n.astype(np.int32)), pa.array(np.diff(s.offs).astype(np.int32)), pa.array(free)],
+                ["doc_id", "digests", "begins", "n_words", "n_bytes", "open"],
+            )
+
+
+def _open_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        runs = []
+        for begins, n, at in zip(*(b.column(k) for k in (1, 2, 3))):
+            begins = begins.values.to_numpy()
+            known = np.zeros(len(begins), bool)
+            if at.is_valid:
+                known[at.values.to_numpy()] = True
+            runs.append(_open(begins, n.as_py(), known, min_words))
+        keep = [k for k, r in enumerate(runs) if len(r)]
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([runs[k].astype(np.int32) for k in keep], pa.list_(pa.int32()))], ["doc_id", "runs"])
+
+
+def _window_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for s in ts.slices(b.column(1)):
+            w = ts.words(s, ts.SPACED)
+            per = [np.concatenate([np.arange(i, j) for i, j in r.values.to_numpy().reshape(-1, 2)]) for r in b.column(2).slice(s.lo, s.hi - s.lo)]
+            sizes = [len(x) for x in per]
+            at = np.concatenate(per) + np.repeat(w.first[:-1], sizes)
+            # a word with the space after it; the last of a window without
+            gaps = ts.windows(ts.hashes(s.buf, w.starts, np.r_[w.starts[1:], w.ends[-1:]]), min_words - 1)
+            with np.errstate(over="ignore"):
+                h = ts.mix(gaps[at] * np.uint64(0x9DDFEA08EB382D69) + ts.hashes(s.buf, w.starts, w.ends)[at + min_words - 1])
+            ids = np.repeat(b.column(0).slice(s.lo, s.hi - s.lo).to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(ids), pa.array(w.starts[at] - np.repeat(s.offs[:-1], sizes))], ["digest", "doc_id", "place"])
 
 
 def _starts(text: bytes) -> list[int]:
@@ -124,19 +186,22 @@ def _grow_batches(min_words: int):
         def of(side: int, key: int, text) -> tuple:
             if last[side][0] != key:
                 t = text.as_py().encode()
-                last[side] = (key, t, t[::-1], _starts(t))
+                last[side] = (key, t, t[::-1], [])
             return last[side][1:]
 
         for batch in batches:
             docs, ends = [], []
             for r in range(batch.num_rows):
-                doc, src, delta, at = (batch.column(k)[r].as_py() for k in range(4))
-                (a, ra, sa), (b, rb, sb) = of(0, doc, batch.column(4)[r]), of(1, src, batch.column(5)[r])
+                doc, src, delta, at, in_bytes = (batch.column(k)[r].as_py() for k in range(5))
+                (a, ra, sa), (b, rb, sb) = of(0, doc, batch.column(5)[r]), of(1, src, batch.column(6)[r])
+                if not in_bytes:  # chunk numbers
+                    sa[:], sb[:] = sa or _starts(a), sb or _starts(b)
                 done = 0
                 for k in sorted(at):
-                    if sa[k] < done or (doc, sa[k]) <= (src, sb[k + delta]) or a[sa[k] : sa[k] + 1] != b[sb[k + delta] : sb[k + delta] + 1]:
+                    i, j = (k, k + delta) if in_bytes else (sa[k], sb[k + delta])
+                    if i < done or (doc, i) <= (src, j) or a[i : i + 1] != b[j : j + 1]:
                         continue
-                    left, right = grow(a, b, sa[k], sb[k + delta], ra, rb)
+                    left, right = grow(a, b, i, j, ra, rb)
                     done = max(done, right)
                     if len(a[left:right].split()) >= min_words:
                         docs.append(doc)
@@ -150,30 +215,39 @@ def passages(docs: DataFrame, min_words: int = 50, min_seed: int = 2) -> DataFra
     """(doc_id, start, end, source): byte ranges of texts that an earlier text holds too; they may overlap."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    own = table(rows.mapInArrow(_chunk_batches, "doc_id long, digests array<long>"), "chunks")
+    own = table(rows.mapInArrow(partial(_chunk_batches, min_words=min_words), _CHUNKS), "chunks")
     again = table(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if not again.isEmpty():
         own = own.join(again, "doc_id", "left_anti")
-    most = own.agg(F.max("doc_id"), F.min("doc_id"), F.max(F.size("digests"))).first()
+    most = own.agg(F.max("doc_id"), F.min("doc_id"), F.max("n_bytes")).first()
     packs = most[0] is None or (most[0] < 1 << (63 - BITS) and most[1] >= 0 and most[2] < 1 << BITS)
-    flat = own.select("doc_id", F.posexplode("digests").alias("place", "digest"))
-    if packs:
-        flat = flat.select("digest", (F.shiftleft("doc_id", BITS) + F.col("place")).alias("it"))
-    else:
-        flat = flat.select("digest", F.struct("doc_id", "place").alias("it"))
+    it = F.shiftleft("doc_id", BITS) + F.col("place") if packs else F.struct("doc_id", F.col("place").cast("long").alias("place"))
+    doc = lambda c: F.shiftright(c, BITS) if packs else F.col(f"{c}.doc_id")
+    place = lambda c: F.col(c).bitwiseAND((1 << BITS) - 1) if packs else F.col(f"{c}.place")
+
+    def links(d: DataFrame) -> DataFrame:
+        """(doc_id, source, delta, at): places with the same earlier text at the same distance."""
+        d = d.select(doc("it").alias("doc_id"), doc("first").alias("source"), (place("first") - place("it")).alias("delta"), place("it").cast("int").alias("place"))
+        return d.groupBy("doc_id", "source", "delta").agg(F.collect_list("place").alias("at"))
+
+    flat = own.select("doc_id", F.posexplode("digests").alias("place", "digest")).select("digest", it.alias("it"))
     many = flat.groupBy("digest").agg(F.min("it").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    dup = flat.join(many, "digest").where(F.col("it") != F.col("first"))
-    if packs:
-        place = lambda c: F.col(c).bitwiseAND((1 << BITS) - 1)
-        dup = dup.select(F.shiftright("it", BITS).alias("doc_id"), place("it").alias("place"), F.shiftright("first", BITS).alias("source"), (place("first") - place("it")).alias("delta"))
-    else:
-        dup = dup.select("it.doc_id", "it.place", F.col("first.doc_id").alias("source"), (F.col("first.place") - F.col("it.place")).alias("delta"))
-    seeds = dup.groupBy("doc_id", "source", "delta").agg(F.collect_list("place").alias("at")).where(F.size("at") >= min_seed)
-    seeds = table(seeds, "seeds")
+    dup = table(flat.join(many, "digest").select("it", "first"), "repeats")
+    known = dup.select(doc("it").alias("doc_id"), place("it").cast("int").alias("place")).groupBy("doc_id").agg(F.collect_list("place").alias("at"))
+    runs = own.join(known, "doc_id", "left").where(F.col("open") | F.col("at").isNotNull()).select("doc_id", "begins", "n_words", "at")
+    runs = table(runs.mapInArrow(partial(_open_batches, min_words=min_words), "doc_id long, runs array<int>"), "runs")
+    some = rows.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(partial(_window_batches, min_words=min_words), "digest long, doc_id long, place long")
+    by = Window.partitionBy("digest").orderBy("it")
+    some = some.select("digest", it.alias("it")).select("it", F.first("it").over(by).alias("first"), F.lag("it").over(by).alias("last")).where(F.col("last").isNotNull())
+    near = (doc("last") == doc("it")) & (place("it") - place("last") <= PERIOD)
+    some = some.select("it", F.when(near, F.col("last")).otherwise(F.col("first")).alias("first"))
+    # a passage of min_words lies in such windows, so chunks need not seed other texts
+    seeds = links(dup.where(F.col("it") != F.col("first"))).where(F.size("at") >= min_seed).join(bounded(runs.select("doc_id")), "doc_id", "left_semi")
+    seeds = table(seeds.withColumn("in_bytes", F.lit(False)).union(links(some).withColumn("in_bytes", F.lit(True))), "seeds")
     ids = bounded(table(seeds.select("doc_id").union(seeds.select("source")).distinct(), "ids"))
     texts = table(rows.join(ids, "doc_id", "left_semi"), "texts")
     both = seeds.join(texts.withColumnRenamed("text", "a"), "doc_id").join(texts.select(F.col("doc_id").alias("source"), F.col("text").alias("b")), "source")
-    return both.select("doc_id", "source", "delta", "at", "a", "b").mapInArrow(_grow_batches(min_words), "doc_id long, start long, end long, source long")
+    return both.select("doc_id", "source", "delta", "at", "in_bytes", "a", "b").mapInArrow(_grow_batches(min_words), "doc_id long, start long, end long, source long")
 
 
 def cut_spans(docs: DataFrame, **kw) -> DataFrame:

@@ -143,6 +143,30 @@ def test_substring_dedup(spark):
     assert sorted(r["text"] for r in substring_dedup.dedup(same).collect()) == sorted([p, p, p])
 
 
+def test_substring_dedup_finds_any_earlier_copy(spark):
+    """Every 50 words that 50 words of an earlier text equal are cut, though an earlier text still holds them but for one word."""
+    texts, spans = [], []
+    for k in range(120):
+        p = prose(50 + k % 49, 3000 + k).split()
+        edited = [*p[: len(p) // 2], "changed", *p[len(p) // 2 + 1 :]]
+        for j, x in enumerate((edited, p, p)):
+            texts.append(" ".join([*prose(20, 9000 + 3 * k + j).split(), *x, *prose(20, 7000 + 3 * k + j).split()]))
+            spans.append((20, 20 + len(p)) if j == 2 else None)
+    texts += ["again " * 3000, "again " * 200, " ".join([prose(7, 1)] * 30)]
+    got = {r["row"]["doc_id"]: r["text"].split() for r in substring_dedup.dedup(docs_of(spark, texts)).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        ws = t.split()
+        gone = set()
+        for k in range(len(ws) - 49):
+            w = " ".join(ws[k : k + 50])
+            if w in seen:
+                gone.update(range(k, k + 50))
+            seen.add(w)
+        assert got[i] == [w for k, w in enumerate(ws) if k not in gone], i
+        assert i >= len(spans) or spans[i] is None or gone >= set(range(*spans[i])), i
+
+
 def test_chunks_do_not_depend_on_neighbours():
     import pyarrow as pa
 
