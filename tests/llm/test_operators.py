@@ -316,3 +316,18 @@ def test_toxicity(spark):
     assert right >= 95 and all(0 <= s <= 1 for s in got.values()) and got[100] == got[101] < 0.7
     assert toxicity.train(["a"], [False]) is None
     assert [r["score"] for r in toxicity.score(docs_of(spark, ["a"]), None).collect()] == [0.0]
+
+
+def test_toxicity_counts_marks_in_a_text():
+    """Marks that as many other texts hold once are told by how often a toxic text has them."""
+    texts, toxic = [], []
+    for k in range(300):
+        ws = prose(60, 5000 + k).split()
+        for i in range(4 if k % 5 == 0 else k % 5 == 1):
+            ws.insert(7 * i, "snortface")
+        texts.append(" ".join(ws))
+        toxic.append(k % 5 == 0)
+    m = toxicity.train(texts[:200], toxic[:200])
+    flags = toxicity._Flags(m)
+    said = [m.scores[min(sum(map(flags.__getitem__, toxicity.words(t))), len(m.scores) - 1)] >= 0.7 for t in texts[200:]]
+    assert sum(x == y for x, y in zip(said, toxic[200:])) >= 95
