@@ -4,11 +4,10 @@ The model file's protobuf is read by sp_model; its normaliser, word mark, pieces
 scores, or the merges that BPE scores imply) and byte fallback are rebuilt as a tokenizer of
 that library, which encodes batches on several threads. No piece has a word mark after
 another character, so text may be cut before each run of marks and each part encoded alone;
-parts met before keep their ids in a bounded cache, which changes no result. Each part that
-enters the cache is also encoded and decoded by the sentencepiece library, and a part on which
-they differ is counted and takes that library's ids.
-
-Decoding joins the pieces' bytes, turns word marks into spaces and drops the leading one.
+parts met before keep their ids in a bounded cache, which changes no result. The rebuilt
+tokenizer also decodes each row's ids. The sentencepiece library only verifies: each part that
+enters the cache is encoded and decoded by it too, and `differing` counts a row's parts on
+which ids or text differ.
 
 Defined results: null text counts as empty and has no ids; repeated rows are treated alike; a
 null doc_id is kept; other columns are not read. A text that holds the word mark itself decodes
@@ -80,10 +79,6 @@ class Codec:
         self.cuts = not self.m.charsmap and not self.m.remove_extra_whitespaces and self.m.add_dummy_prefix and not any(MARK in p.lstrip(MARK) for p in self.m.pieces)
         self.lone = array("i", [self.m.pieces.index(MARK)] if MARK in self.m.pieces else []).tobytes()
         self.cuts = self.cuts and bool(self.lone)
-        raw = []
-        for p, t in zip(self.m.pieces, self.m.types):
-            raw.append(bytes([int(p[3:5], 16)]) if t == sp_model.BYTE else b"" if t == sp_model.CONTROL else b" \xe2\x81\x87 " if t == sp_model.UNKNOWN else p.replace(MARK, " ").encode())
-        self.raw = raw
 
     def parts(self, text: str) -> list[str]:
         """Parts of a text; each but its leading space, which the dummy prefix stands for."""
@@ -104,10 +99,10 @@ class Codec:
             new = [p for p in parts if p]
         got = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
         want = self.sp.encode(new, num_threads=self.threads)
-        for p, a, b in zip(new, got, want):
-            if a != b:
+        for p, a, b, x, y in zip(new, got, want, self.texts(got), self.sp.decode(want, num_threads=self.threads)):
+            if a != b or x != y:
                 self.odd.add(p)
-            self.cache[p] = array("i", b).tobytes()
+            self.cache[p] = array("i", a).tobytes()
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[int]]:
         """ids of each text as little-endian 32-bit integers, and how many of its parts differed."""
@@ -121,9 +116,11 @@ class Codec:
                 odd.append(sum(p in self.odd for p in ps) if self.odd else 0)
         return out, odd
 
+    def texts(self, ids: list[list[int]]) -> list[str]:
+        return self.tok.decode_batch(ids, skip_special_tokens=False)
+
     def decode(self, ids: bytes) -> str:
-        text = b"".join(map(self.raw.__getitem__, array("i", ids))).decode(errors="replace")
-        return text[1:] if self.m.add_dummy_prefix and text.startswith(" ") else text
+        return self.texts([array("i", ids).tolist()])[0]
 
 
 @lru_cache(2)
@@ -146,7 +143,7 @@ def _codec_batches(batches: Iterator[pa.RecordBatch], path: str, threads: int) -
             offs = np.r_[0, np.cumsum([len(x) // 4 for x in ids])].astype(np.int32)
             flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offs), flat), pa.array([c.decode(x) for x in ids], pa.string()), pa.array(odd, pa.int64())],
+                [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offs), flat), pa.array(c.texts([array("i", x).tolist() for x in ids]), pa.string()), pa.array(odd, pa.int64())],
                 ["doc_id", "text", "ids", "decoded", "differing"],
             )
             lo = hi
@@ -183,12 +180,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stage_batches(batches: Iterator[pa.RecordBatch], path: str, threads: int) -> Iterator[pa.RecordBatch]:
     for b in _codec_batches(batches, path, threads):
         same = pa.array([x.as_py() == y.as_py() for x, y in zip(b.column(1).fill_null(""), b.column(3))])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), same], ["doc_id", "ids", "round_trip"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), same, b.column(4)], ["doc_id", "ids", "round_trip", "differing"])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, threads: int = 2) -> DataFrame:
-    """Last pipeline stage: doc_id, ids and their number; the decoded text was compared where it was made."""
+    """Last pipeline stage: doc_id, ids and their number; the decoded text was compared where it was made, and differing parts are reported."""
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(partial(_stage_batches, path=sp_model.default_path(), threads=threads), "doc_id long, ids array<int>, round_trip boolean")
-    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "round_trip")
+    out = rows.mapInArrow(partial(_stage_batches, path=sp_model.default_path(), threads=threads), "doc_id long, ids array<int>, round_trip boolean, differing long")
+    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "round_trip", "differing")

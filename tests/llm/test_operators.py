@@ -282,6 +282,30 @@ def test_sentencepiece(spark):
     assert sentencepiece_codec.encode(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_sentencepiece_library_only_verifies(monkeypatch):
+    """Ids and text are those of the rebuilt tokenizer; a wrong rebuild shows in both, and in what the stage reports."""
+    real = sentencepiece_codec.Codec(sp_model.default_path())
+    want = real.tok.encode("zebra", add_special_tokens=False).ids
+    c = sentencepiece_codec.Codec(sp_model.default_path())
+
+    class Wrong:
+        def encode_batch_fast(self, parts, **kw):
+            return real.tok.encode_batch_fast(["zebra" for _ in parts], **kw)
+
+        def decode_batch(self, ids, **kw):
+            return [x + "!" for x in real.tok.decode_batch(ids, **kw)]
+
+    c.tok = Wrong()
+    ids, odd = c.encode(["hello"])
+    assert np.frombuffer(ids[0], "<i4").tolist() == want and odd == [1] and c.decode(ids[0]) == "zebra!"
+    monkeypatch.setattr(sentencepiece_codec, "codec", lambda *a: c)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array(["hello hello"])], ["doc_id", "text"])
+    out = next(sentencepiece_codec._stage_batches(iter([batch]), "", 1)).to_pydict()
+    assert out["ids"] == [want + want] and out["differing"] == [2] and out["round_trip"] == [False]
+
+
 def test_html():
     page = """<html><head><title>t</title><script>var a="</p>";</script></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><a href=x>menu</a></nav>
     <div id="sidebar">side <a href=x>l</a></div><div class="content"><h2>Title&nbsp;here</h2><p>Para one is long &amp; has enough text to
