@@ -1,20 +1,26 @@
 """Main text of web pages by composite text density.
 
-Each page becomes a tree (tags need not be closed). What is never article text is left out:
-scripts, styles, forms, menus, page headers and footers, asides, notices, adverts, reader
-comments, hidden parts. For every other node the link-adjusted characters per tag are taken:
-characters over tags, weighted by a logarithm of the share of plain text against linked text,
-whose base falls with the page's own share of links. A node's density sum adds those of its
-children; the node with the largest is the core of the article. The least density on the way
-from the body to it is the threshold for what else counts: other parts of the article that
-holds the core come whole, and elsewhere nodes whose density reaches the threshold and whose
-text is mostly not linked.
+Each page becomes a tree (tags need not be closed). For every block its link-adjusted characters
+per tag are taken: characters over tags, weighted by a logarithm of the share of plain text
+against linked text, whose base falls with the page's own share of links; menus and the like
+count here, and inline elements other than links belong to the block around them. A node's
+density sum adds the densities of its children, with its own text as one of them; the node with
+the largest sum is the core of the article.
+
+The way from the body to the core gives the thresholds: the core's subtree grows to its parents
+as long as their density is no less than the geometric mean of the body's and the core's. For a
+parent marked as article or main the body's own density is enough, and the subtree does not grow
+beyond it. The largest such subtree is the result, less what is never article text: scripts,
+styles, forms, menus, page headers and footers, asides, notices, adverts, reader comments,
+hidden parts; these are not added to density sums either.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
-trimmed, empty ones left out, and the rest joined by one line feed in page order.
+trimmed, empty ones left out, and the rest joined by one line feed in page order. The time is in
+proportion to the page, however deep it is nested.
 
-Defined results: null or empty html, or a page without text, gives an empty text; repeated
-rows are treated alike; null page_id and url are kept; other columns are not read.
+Defined results: null or empty html, or a page without text, gives an empty text; of equal
+density sums the first in page order counts, and where all are 0 the whole page; repeated rows are treated alike; null page_id and
+url are kept; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calibrant.llm.worker import enter
 from calibrant.session import ship
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>?""", re.S)
@@ -40,6 +47,11 @@ _BLOCK = frozenset("address article aside blockquote body center dd details dial
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tfoot", "tr", "td", "th"}, "thead": {"tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 _SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select", "datalist"}}
 _TABLE = {"table"}
+_KIND = {tag: i for i, tag in enumerate(_CLOSES)}
+_KINDS = [(closed, _SCOPE.get(tag, _TABLE)) for tag, closed in _CLOSES.items()]
+_TOUCHES = frozenset().union(*(a | b for a, b in _KINDS))
+_NO_TOPS: tuple = (None,) * len(_KINDS)
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in _RAW}
 _P_ENDS = _BLOCK - {"option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "legend"}
 _P_SCOPE = frozenset("html body table td th caption button object div article section main blockquote li ul ol dl dd dt aside nav header footer form fieldset figure figcaption details".split())
 
@@ -60,14 +72,21 @@ _KEEP_TAGS = frozenset(("html", "body", "article", "main"))
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total", "out", "block")
+    __slots__ = ("tag", "parent", "kids", "out", "block", "in_article", "p", "tops", "inline", "chars", "tags", "link_chars", "link_tags", "own_chars", "own_links", "own_link_chars", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, out: bool) -> None:
         self.tag, self.parent, self.out = tag, parent, out
         self.kids: list[Node | str] = []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = self.total = 0.0
         self.block = tag in _BLOCK
+        self.in_article = tag == "article" or (parent is not None and parent.in_article)
+        #: The open paragraph that a block's start would close.
+        self.p = self if tag == "p" else None if parent is None or tag in _P_SCOPE else parent.p
+        #: For each kind of start tag that closes others, the outermost open element that it closes.
+        self.tops = parent.tops if parent is not None else _NO_TOPS
+        if tag in _TOUCHES:
+            self.tops = tuple(None if tag in scope else old if old is not None else self if tag in closed else None for old, (closed, scope) in zip(self.tops, _KINDS))
+        #: Open inline elements by tag, since the block around them began.
+        self.inline: dict[str, int] = {} if self.block or parent is None else parent.inline
 
 
 def _left_out(tag: str, attrs: str, inside_article: bool) -> bool:
@@ -88,15 +107,28 @@ def _left_out(tag: str, attrs: str, inside_article: bool) -> bool:
 
 
 def parse(html: str) -> Node:
-    """The page's tree; text of parts that are left out is not kept."""
+    """The page's tree; scripts and the like are not kept."""
     root = Node("html", None, False)
-    at, pos, articles = root, 0, 0
-    lower = None
+    at, pos = root, 0
+    blocks: dict[str, int] = {}  # open ones by tag
     find = _TAG.search
+
+    def close(upto: Node) -> Node:
+        """Close all elements inside the parent of upto, and say which element is open then."""
+        node = at
+        while True:
+            if node.block:
+                blocks[node.tag] -= 1
+            else:
+                node.inline[node.tag] -= 1
+            if node is upto:
+                return node.parent
+            node = node.parent
+
     while True:
         m = find(html, pos)
         text = html[pos : m.start() if m else len(html)]
-        if text and not at.out:
+        if text:
             at.kids.append(text)
         if not m:
             return root
@@ -106,133 +138,122 @@ def parse(html: str) -> Node:
             continue
         tag, attrs = tag.lower(), m[3] if m[2] else m[6]
         if m[1] or m[4]:
-            node = at
-            while node is not None and node.tag != tag:
-                node = node.parent
             if tag == "br":
                 at.kids.append("\n")
-            elif node is not None and node.parent is not None:
-                # an inline end tag does not close blocks
-                cross = at
-                while cross is not node and not cross.block:
-                    cross = cross.parent
-                if node.block or cross is node:
-                    step = at
-                    while step is not node.parent:
-                        articles -= step.tag == "article"
-                        step = step.parent
-                    at = node.parent
+            elif tag in _BLOCK:
+                if blocks.get(tag):
+                    node = at
+                    while node.tag != tag:
+                        node = node.parent
+                    at = close(node)
+            elif at.inline.get(tag):  # an inline end tag does not close blocks
+                node = at
+                while node.tag != tag:
+                    node = node.parent
+                at = close(node)
             continue
-        if tag in ("html", "body") and any(n.tag == tag for n in (at, at.parent) if n is not None):
+        if tag == "html" or (tag == "body" and blocks.get("body")):
             continue
-        closing, scope = _CLOSES.get(tag), _SCOPE.get(tag, _TABLE)
-        if tag in _P_ENDS:
-            node = at
-            while node is not None and node.tag != "p" and node.tag not in _P_SCOPE:
-                node = node.parent
-            if node is not None and node.tag == "p":
-                at = node.parent
+        if tag in _P_ENDS and at.p is not None:
+            at = close(at.p)
         if tag == "body":
-            while at.parent is not None:
-                at = at.parent
-        if closing:
-            node, top = at, None
-            while node is not None and node.tag not in scope:
-                if node.tag in closing:
-                    top = node
-                node = node.parent
-            if top is not None:
-                at = top.parent
+            at = root if at is root else close(_top(at))
+        kind = _KIND.get(tag)
+        if kind is not None and at.tops[kind] is not None:
+            at = close(at.tops[kind])
         if tag in _VOID:
-            if not at.out:
-                at.kids.append("\n" if tag == "br" else Node("hr", at, False) if tag == "hr" else "")
+            at.kids.append("\n" if tag == "br" else Node("hr", at, at.out) if tag == "hr" else "")
             continue
         if tag in _RAW:
-            if lower is None:
-                lower = html.lower()
-            end = lower.find(f"</{tag}", pos)
-            pos = len(html) if end < 0 else end
-            close = html.find(">", pos)
-            pos = len(html) if close < 0 else close + 1
+            end = _RAW_END[tag].search(html, pos)
+            pos = html.find(">", end.end()) + 1 if end else len(html)
+            pos = pos or len(html)
             continue
         if attrs.endswith("/") and tag not in _BLOCK:
             continue
-        node = Node(tag, at, at.out or _left_out(tag, attrs, articles > 0))
-        if not node.out:
-            at.kids.append(node)
-        articles += tag == "article"
+        node = Node(tag, at, at.out or _left_out(tag, attrs, at.in_article))
+        at.kids.append(node)
+        if node.block:
+            blocks[tag] = blocks.get(tag, 0) + 1
+        else:
+            node.inline[tag] = node.inline.get(tag, 0) + 1
         at = node
 
 
+def _top(node: Node) -> Node:
+    while node.parent.parent is not None:
+        node = node.parent
+    return node
+
+
 def _order(root: Node) -> list[Node]:
-    """Nodes, parents first; without recursion, as pages may be nested deeply."""
+    """Nodes in page order, parents first; without recursion, as pages may be nested deeply."""
     out, stack = [], [root]
     while stack:
         n = stack.pop()
         out.append(n)
-        stack += [k for k in n.kids if isinstance(k, Node)]
+        stack += [k for k in reversed(n.kids) if isinstance(k, Node)]
     return out
 
 
+def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Link-adjusted characters per tag; share: of linked characters in the whole page."""
+    if not chars:
+        return 0.0
+    tags = max(1, tags)
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + share * chars + math.e)
+    weight = math.log(chars / max(1, link_chars) * tags / max(1, link_tags)) / math.log(max(base, 2.0))
+    return chars / tags * max(weight, 0.0)
+
+
 def measure(root: Node) -> list[Node]:
-    """Fill in characters, tags, their linked parts, densities and density sums."""
+    """Fill in characters, tags, their linked parts, densities and density sums; nodes in page order."""
     nodes = _order(root)
     for n in reversed(nodes):
+        n.chars = n.tags = n.link_chars = n.link_tags = n.own_chars = n.own_links = n.own_link_chars = 0
         for k in n.kids:
             if isinstance(k, str):
-                n.chars += len("".join(k.split()))
-            else:
-                n.chars += k.chars
-                n.tags += k.tags + 1
-                n.link_chars += k.link_chars
-                n.link_tags += k.link_tags + (k.tag == "a")
+                size = len("".join(k.split()))
+                n.chars += size
+                n.own_chars += size
+                continue
+            n.chars += k.chars
+            n.tags += k.tags + (k.block or k.tag == "a")
+            n.link_chars += k.link_chars
+            n.link_tags += k.link_tags + (k.tag == "a")
+            if not k.block and not k.out:
+                n.own_chars += k.own_chars
+                n.own_links += k.own_links + (k.tag == "a")
+                n.own_link_chars += k.own_link_chars
         if n.tag == "a":
-            n.link_chars = n.chars
+            n.link_chars, n.own_link_chars = n.chars, n.own_chars
     share = root.link_chars / max(1, root.chars)
-    for n in nodes:
-        if n.chars:
-            plain = max(1, n.chars - n.link_chars)
-            base = math.log(n.chars / plain * n.link_chars + share * n.chars + math.e)
-            weight = math.log(max(1.0, n.chars / max(1, n.link_chars) * max(1, n.tags) / max(1, n.link_tags)) + 1e-9) / math.log(max(base, 1.0) + 1e-9) if base > 1 else math.log(max(1.0, n.chars / max(1, n.link_chars)) + 1e-9) * 10
-            n.density = n.chars / max(1, n.tags) * max(weight, 0.0)
-    for n in nodes:
-        n.total = sum(k.density for k in n.kids if isinstance(k, Node))
-        if not n.total and n.chars:
-            n.total = n.density
+    for n in reversed(nodes):
+        n.density = density(n.chars, n.tags, n.link_chars, n.link_tags, share)
+        # an inline element's blocks belong to the block around it, and so does its text
+        n.total = sum((k.density if k.block else k.total) for k in n.kids if isinstance(k, Node) and not k.out)
+        if n.block:
+            n.total += density(n.own_chars, n.own_links, n.own_link_chars, n.own_links, share)
     return nodes
 
 
-def _chosen(root: Node) -> list[Node]:
+def chosen(root: Node) -> Node | None:
+    """The subtree that is the article."""
     nodes = measure(root)
-    core = max(nodes, key=lambda n: n.total)
-    if not core.chars:
-        return []
-    threshold, n, holder = core.density, core, None
-    while n is not None:
-        if n.tag != "html":
-            threshold = min(threshold, n.density)
-        if n.tag in ("article", "main") and (holder is None or holder.tag == "main"):
-            holder = n
-        n = n.parent
-    if holder is not None:
-        return [holder]
-    while not core.block and core.parent is not None:
-        core = core.parent
-    path = set()
-    n = core
-    while n is not None:
-        path.add(id(n))
-        n = n.parent
-    out, stack = [], [root]
-    while stack:
-        n = stack.pop()
-        if n is core:
-            out.append(n)
-        elif id(n) in path:
-            stack += [k for k in reversed(n.kids) if isinstance(k, Node)]
-        elif n.block and n.density >= threshold and 2 * n.link_chars < n.chars:
-            out.append(n)
-    return out
+    body = next((n for n in nodes if n.tag == "body"), root)
+    core = max((n for n in nodes if n.block and not n.out and (n is not root or body is root)), key=lambda n: n.total, default=root)
+    if not core.total:  # nothing but a character here and there
+        core = root
+    least, mean = body.density, math.sqrt(body.density * core.density)
+    top = core
+    while top.tag not in ("article", "main", "body", "html"):
+        up = top.parent
+        while not up.block:
+            up = up.parent
+        if up.tag in ("body", "html") or up.density < (least if up.tag in ("article", "main") else mean):
+            break
+        top = up
+    return top if top.chars else None
 
 
 def _blocks(top: Node) -> list[str]:
@@ -254,7 +275,7 @@ def _blocks(top: Node) -> list[str]:
             i += 1
             if isinstance(k, str):
                 run.append(k)
-            else:
+            elif not k.out:
                 stack.append((node, i))
                 stack.append((k, 0))
                 break
@@ -268,10 +289,12 @@ def _blocks(top: Node) -> list[str]:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    return "\n".join(b for n in _chosen(parse(html)) for b in _blocks(n))
+    top = chosen(parse(html))
+    return "\n".join(_blocks(top)) if top is not None else ""
 
 
 def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    enter("html_text")
     for b in batches:
         for lo in range(0, b.num_rows, 256):
             part = b.slice(lo, 256)
