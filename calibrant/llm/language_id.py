@@ -1,12 +1,14 @@
 """Language identification with unigrams of pieces, summed over all segmentations.
 
-The pieces are those of a fixed public vocabulary, with every other character as a piece of
-its own kind. For each language piece probabilities are estimated by expectation maximisation
-(forward-backward) over the words of a bounded sample. A text's likelihood in a language is
-the product over its words of the forward sum over all ways to cut the word into pieces.
+The pieces are all normal ones of a fixed public vocabulary, with every other character as a
+piece of its own kind. For each language piece probabilities are estimated by expectation
+maximisation (forward-backward) over the words of a sample bounded in texts and bytes. A text's
+likelihood in a language is the product over its words of the forward sum over all ways to cut
+the word into pieces; sums are scaled as they go, so a word may have any length.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lowered, each after a word
-mark; the sums of words met before are kept in a bounded table, which changes no result.
+mark; the sums of words met before are kept in a bounded table, which changes no result. In
+training a word of more than CUT characters counts as several.
 
 Defined results: null texts and texts without letters are `und` with score 0; repeated rows are
 told alike; ties go to the first language in order; without training texts all are `und`.
@@ -27,41 +29,48 @@ from pyspark.sql import functions as F
 
 from calibrant.llm import sp_model
 from calibrant.llm import textscan as ts
+from calibrant.llm.sample import labelled
+from calibrant.llm.worker import tenant
 from calibrant.session import ship
 
 UND = "und"
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_LONG = 40
+#: Characters from which a word is trained on in parts.
+CUT = 500
 
 
-def _piece_hash(points: np.ndarray) -> np.ndarray:
-    """Hash of each row of code points."""
-    h = np.zeros(len(points), np.uint64)
+def _step(h: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Hashes of strings with one more code point each."""
     with np.errstate(over="ignore"):
-        for k in range(points.shape[1]):
-            h = (h + points[:, k].astype(np.uint64) + np.uint64(1)) * _MUL
-            h ^= h >> np.uint64(29)
-    return h
+        h = (h + points.astype(np.uint64) + np.uint64(1)) * _MUL
+    return h ^ (h >> np.uint64(29))
 
 
 class Vocabulary:
-    """Ids by hash of the pieces up to `longest` characters; the last id is for other characters."""
+    """Ids by hash of the pieces; the last id is for other characters."""
 
-    def __init__(self, pieces: list[str], longest: int) -> None:
-        pieces = [p for p in dict.fromkeys(p.lower() for p in pieces) if 0 < len(p) <= longest]
+    def __init__(self, pieces: list[str]) -> None:
+        pieces = [p for p in dict.fromkeys(p.lower() for p in pieces) if p]
         self.size, self.longest = len(pieces) + 1, max(map(len, pieces), default=1)
         h = np.zeros(len(pieces), np.uint64)
-        for n in range(1, self.longest + 1):
-            at = [i for i, p in enumerate(pieces) if len(p) == n]
-            if at:
-                h[at] = _piece_hash(np.array([[ord(c) for c in pieces[i]] for i in at]))
+        for k in range(self.longest):
+            at = np.array([i for i, p in enumerate(pieces) if len(p) > k], np.int64)
+            h[at] = _step(h[at], np.array([ord(pieces[i][k]) for i in at.tolist()], np.uint32))
         self.order = np.argsort(h)
         self.hashes = h[self.order]
+        self.seen = np.zeros(1 << 18, bool)
+        self.seen[h >> np.uint64(46)] = True
 
-    def ids(self, points: np.ndarray) -> np.ndarray:
-        h = _piece_hash(points)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.order[at], self.size - 1 if points.shape[1] == 1 else -1)
+    def find(self, h: np.ndarray, one: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the strings with these hashes are pieces, and their ids; one: of one character, so that all are."""
+        at = np.arange(len(h)) if one else np.flatnonzero(self.seen[h >> np.uint64(46)])
+        if not len(self.hashes):
+            return at, np.full(len(at), self.size - 1)
+        k = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+        ok = self.hashes[k] == h[at]
+        if one:
+            return at, np.where(ok, self.order[k], self.size - 1)
+        return at[ok], self.order[k[ok]]
 
 
 def _groups(words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
@@ -74,68 +83,82 @@ def _groups(words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
         yield at, np.concatenate([np.full((len(at), 1), 0x2581, np.uint32), flat], 1)
 
 
-def _lattice(v: Vocabulary, m: np.ndarray) -> list[list[tuple[int, np.ndarray]]]:
-    """For each end position, (length, piece ids) of the pieces that may end there."""
+def _arcs(v: Vocabulary, m: np.ndarray) -> Iterator[tuple[int, list[tuple[int, np.ndarray, np.ndarray]]]]:
+    """For each place (length, rows, piece ids) of the pieces that begin there."""
     n = m.shape[1]
-    return [[(k, v.ids(m[:, j - k : j])) for k in range(1, min(v.longest, j) + 1)] for j in range(1, n + 1)]
+    for i in range(n):
+        h, arcs = np.zeros(len(m), np.uint64), []
+        for k in range(1, min(v.longest, n - i) + 1):
+            h = _step(h, m[:, i + k - 1])
+            rows, ids = v.find(h, k == 1)
+            if len(rows):
+                arcs.append((k, rows.astype(np.int32), ids.astype(np.int32)))
+        yield i, arcs
 
 
 def forward(v: Vocabulary, logp: np.ndarray, words: list[str]) -> np.ndarray:
     """Log of the sum over all segmentations, a row for each word and a column for each language."""
     out = np.zeros((len(words), logp.shape[1]))
-    p = np.vstack([np.exp(logp), np.zeros((1, logp.shape[1]))])  # id -1: no piece
+    p = np.exp(logp)
     for at, m in _groups(words):
         for lo in range(0, len(at), 20_000):
             part = m[lo : lo + 20_000]
-            a = [np.ones((len(part), logp.shape[1]))]
-            scale = np.zeros((len(part), logp.shape[1]))
-            for j in range(1, part.shape[1] + 1):
-                s = np.zeros_like(scale)
-                for k in range(1, min(v.longest, j) + 1):
-                    s += a[j - k] * p[v.ids(part[:, j - k : j])]
-                a.append(s)
-                if part.shape[1] > 16 and j % 8 == 0:
-                    # keep the last few sums near one
-                    top = np.maximum.reduce(a[max(0, j - v.longest) :])
-                    for q in range(max(0, j - v.longest), j + 1):
-                        a[q] = a[q] / top
+            n, shape = part.shape[1], (len(part), logp.shape[1])
+            a = {0: np.ones(shape)}
+            scale = np.zeros(shape)
+            for i, arcs in _arcs(v, part):
+                now = a.pop(i)
+                if i % 8 == 7:
+                    # keep the sums that are still open near one
+                    top = np.maximum.reduce([now, *a.values()])
+                    now = now / top
+                    for q in a:
+                        a[q] /= top
                     scale += np.log(top)
-                if j > v.longest:
-                    a[j - v.longest - 1] = None
-            out[np.array(at[lo : lo + 20_000])] = np.log(a[-1]) + scale
+                for k, rows, ids in arcs:
+                    if i + k not in a:
+                        a[i + k] = np.zeros(shape)
+                    a[i + k][rows] += now[rows] * p[ids]
+            out[np.array(at[lo : lo + 20_000])] = np.log(a[n]) + scale
     return out
 
 
 def estimate(v: Vocabulary, counts: Counter, rounds: int = 3, smooth: float = 0.01) -> np.ndarray:
     """Log piece probabilities of one language from its word counts."""
-    p = np.full(v.size + 1, 1.0 / v.size)
-    p[-1] = 0.0
-    words = [w for w in counts if len(w) < _LONG]
+    p = np.full(v.size, 1.0 / v.size)
+    parts: Counter = Counter()
+    for w, n in counts.items():
+        for i in range(0, len(w), CUT):
+            parts[w[i : i + CUT]] += n
+    words = list(parts)
+    groups = [(m, list(_arcs(v, m)), np.array([parts[words[i]] for i in at], float)) for at, m in _groups(words)]
     for _ in range(rounds):
-        got = np.zeros(v.size + 1)
-        for at, m in _groups(words):
-            weight = np.array([counts[words[i]] for i in at], float)
-            lat, n = _lattice(v, m), m.shape[1]
-            a = [np.ones(len(m))]
-            for j in range(1, n + 1):
-                a.append(sum(a[j - k] * p[ids] for k, ids in lat[j - 1]))
-            b = [np.zeros(len(m)) for _ in range(n)] + [np.ones(len(m))]
-            for j in range(n, 0, -1):
-                for k, ids in lat[j - 1]:
-                    b[j - k] = b[j - k] + p[ids] * b[j]
-            for j in range(1, n + 1):
-                for k, ids in lat[j - 1]:
-                    got += np.bincount(ids % (v.size + 1), a[j - k] * p[ids] * b[j] / a[n] * weight, v.size + 1)
-        p = np.r_[got[:-1] + smooth, 0.0]
+        got = np.zeros(v.size)
+        for m, lattice, weight in groups:
+            n = m.shape[1]
+            wide = np.longdouble if n > 40 else float  # its exponents reach beyond any word of CUT characters
+            q = p.astype(wide)
+            a, b = np.zeros((n + 1, len(m)), wide), np.zeros((n + 1, len(m)), wide)
+            a[0] = b[n] = 1
+            for i, arcs in lattice:
+                for k, rows, ids in arcs:
+                    a[i + k, rows] += a[i, rows] * q[ids]
+            for i, arcs in reversed(lattice):
+                for k, rows, ids in arcs:
+                    b[i, rows] += q[ids] * b[i + k, rows]
+            share = weight / a[n]
+            for i, arcs in lattice:
+                for k, rows, ids in arcs:
+                    got += np.bincount(ids, (a[i, rows] * q[ids] * b[i + k, rows] * share[rows]).astype(float), v.size)
+        p = got + smooth
         p /= p.sum()
-    return np.log(p[:-1])
+    return np.log(p)
 
 
 @dataclass
 class Model:
     languages: list[str] = field(default_factory=list)
     pieces: list[str] = field(default_factory=list)
-    longest: int = 6
     logp: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
 
@@ -146,11 +169,11 @@ def _words(text: str | None) -> list[str]:
     return [raw[a:b].decode() for a, b in zip(w.starts.tolist(), w.ends.tolist())]
 
 
-def train(texts: list[str | None], langs: list[str], vocabulary: str | None = None, longest: int = 6, **kw) -> Model:
+def train(texts: list[str | None], langs: list[str], vocabulary: str | None = None, **kw) -> Model:
     names = sorted(set(langs))
     m = sp_model.load(vocabulary or sp_model.default_path())
     pieces = [p for p, t in zip(m.pieces, m.types) if t == sp_model.NORMAL]
-    v = Vocabulary(pieces, longest)
+    v = Vocabulary(pieces)
     cols = []
     for name in names:
         counts: Counter = Counter()
@@ -158,26 +181,25 @@ def train(texts: list[str | None], langs: list[str], vocabulary: str | None = No
             if g == name:
                 counts.update(_words(t))
         cols.append(estimate(v, counts, **kw) if counts else np.full(v.size, -np.log(v.size)))
-    return Model(names, pieces, longest, np.stack(cols, 1) if cols else np.zeros((v.size, 0)))
+    return Model(names, pieces, np.stack(cols, 1) if cols else np.zeros((v.size, 0)))
 
 
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, max_rows: int = 2000, **kw) -> Model:
-    """Train on at most max_rows documents with a language, the first in an order by hash of doc_id, none of them held out."""
-    ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id").distinct()
-    some = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(some), "doc_id").where(F.col("lang").isNotNull()).select("text", "lang").orderBy("lang", "text").collect()  # max_rows bounds both
-    return train([r["text"] for r in rows], [r["lang"] for r in rows], **kw)
+def fit(docs: DataFrame, max_rows: int = 2000, max_bytes: int = 4 << 20, **kw) -> Model:
+    """Train on documents with a language, the first in an order by hash of doc_id, none of them held out: at most max_rows, and max_bytes of text."""
+    ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    rows = sorted(labelled(docs, ids.groupBy("doc_id").agg(F.min("lang").alias("label")), max_rows, max_bytes))
+    return train([r["text"] for r in rows], [r["label"] for r in rows], **kw)
 
 
 class _Sums:
     """Log sums of words by hash, in sorted order; forgets all when full."""
 
     def __init__(self, model: Model, cap: int = 1_000_000) -> None:
-        self.v, self.logp, self.cap = Vocabulary(model.pieces, model.longest), model.logp, cap
+        self.v, self.logp, self.cap = Vocabulary(model.pieces), model.logp, cap
         self.hashes, self.sums = np.zeros(0, np.uint64), np.zeros((0, model.logp.shape[1]), np.float32)
 
     def of(self, h: np.ndarray, text_of) -> np.ndarray:
@@ -204,17 +226,14 @@ class _Sums:
         return self.sums[at]
 
 
-_WORKER: dict = {}
 _LETTERS = ts.byte_set(bytes(range(65, 91)) + bytes(range(97, 123)))
 
 
 def _tell_batches(batches: Iterator[pa.RecordBatch], model, key: str) -> Iterator[pa.RecordBatch]:
     m: Model = model.value
-    if _WORKER.get("key") != key:
-        _WORKER.update(key=key, sums=_Sums(m))
-    sums: _Sums = _WORKER["sums"]
+    sums: _Sums = tenant("language_id", key, lambda: _Sums(m))
     for b in batches:
-        for s in ts.slices(b.column(1)):
+        for s in ts.slices(b.column(1), 1 << 20):
             w = ts.words(s, ts.ALNUM)
             n = s.hi - s.lo
             letters = ts.row_counts(_LETTERS[s.buf], s.offs) > 0
@@ -243,7 +262,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score (the posterior of it) of every row of docs, from its text alone."""
     spark = docs.sparkSession
     ship(spark)
-    key = hashlib.sha256(model.logp.tobytes() + repr((model.languages, model.longest)).encode()).hexdigest()
+    key = hashlib.sha256(model.logp.tobytes() + repr(model.languages).encode()).hexdigest()
     fn = partial(_tell_batches, model=spark.sparkContext.broadcast(model), key=key)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(fn, "doc_id long, lang_pred string, score double")
 
