@@ -20,16 +20,18 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from calibrant.session import shared_dir, ship
+from calibrant.llm.worker import enter, tenant
+from calibrant.session import shared_dir, ship, table
 
 SCHEMA = "doc_id long, ids array<int>"
+#: Characters of the longest word that is kept with its ids; with the number of words it bounds the cache's bytes.
+_LONGEST = 48
 _SPACES = re.compile("[ \t\n\r\x0b\x0c]+")
 #: Below this code point there are no combining marks, and lower-casing goes letter by letter.
 _LATIN = 0x250
@@ -49,22 +51,24 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Pieces(dict):
-    """ids (as bytes) of pre-split pieces, by the library's model; forgets all when full."""
+    """ids (as bytes) of pre-split pieces, by the library's model; forgets all when full, and keeps no long ones."""
 
     def __init__(self, tok, cap: int) -> None:
         super().__init__()
         self.model, self.cap, self.letters = tok.model, cap, _byte_letters()
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.cap:
-            self.clear()
         shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-        got = self[piece] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        got = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if len(piece) <= _LONGEST:
+            if len(self) >= self.cap:
+                self.clear()
+            self[piece] = got
         return got
 
 
 class _Words(dict):
-    """ids (as bytes) of lower-case Latin words between white space; forgets all when full."""
+    """ids (as bytes) of lower-case Latin words between white space; forgets all when full, and keeps no long ones."""
 
     def __init__(self, tok, cap: int) -> None:
         super().__init__()
@@ -80,9 +84,11 @@ class _Words(dict):
             self.special = [x["content"] for x in spec["added_tokens"]]
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.cap:
-            self.clear()
-        got = self[word] = b"".join(map(self.pieces.__getitem__, self.split(word)))
+        got = b"".join(map(self.pieces.__getitem__, self.split(word)))
+        if len(word) <= _LONGEST:
+            if len(self) >= self.cap:
+                self.clear()
+            self[word] = got
         return got
 
     def whole(self, text: str) -> bytes:
@@ -99,13 +105,12 @@ class _Words(dict):
         return b"".join(self.text(w) if self.plain(w) else self.whole(w) for w in _SPACES.split(text) if w)
 
 
-@lru_cache(2)
 def encoder(path: str, cap: int = 500_000) -> Callable[[str], bytes]:
     """Text to ids (little-endian unsigned 32-bit), as the tokenizer file's library encodes it."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    return _Words(Tokenizer.from_file(path), cap).text
+    return tenant("token_files", f"{cap} {path}", lambda: _Words(Tokenizer.from_file(path), cap)).text
 
 
 def default_tokenizer() -> str:
@@ -114,7 +119,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _encode_batches(tokenizer: str, end_id: int, chars: int = 1 << 22) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _encode_batches(tokenizer: str, end_id: int, size_of: int = 1 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
 
@@ -130,7 +135,7 @@ def _encode_batches(tokenizer: str, end_id: int, chars: int = 1 << 22) -> Callab
                 ids.append(d)
                 parts.append(encode(t.as_py() or "") + end)
                 size += len(parts[-1])
-                if size >= chars:
+                if size >= size_of:
                     yield batch(ids, parts)
                     ids, parts, size = [], [], 0
             if ids:
@@ -148,7 +153,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, en
     (
         out.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", str(fpp))
         .option("orc.stripe.size", str(stripe_bytes)).option("orc.row.index.stride", str(index_stride)).option("orc.create.index", "true")
-        .orc(path)
+        .option("compression", "snappy").orc(path)
     )
 
 
@@ -159,6 +164,7 @@ def read_tokens(spark: SparkSession, path: str, ids: list[int] | None = None) ->
 
 
 def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    enter("token_files")
     at = 0
     for b in batches:
         col = b.column(1)
@@ -173,7 +179,8 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32."""
     ship(spark)
     df = spark.read.schema(SCHEMA).orc(path).select("doc_id", "ids", F.col("_metadata.file_path").alias("file"))
-    rows = df.mapInArrow(_digest_batches, "doc_id long, n_tokens long, ids_crc32 long, file string, pos long")
+    # the files are read once; what is counted from them is small
+    rows = table(df.mapInArrow(_digest_batches, "doc_id long, n_tokens long, ids_crc32 long, file string, pos long"), "digests")
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("low"))
     before = files.select("file", (F.sum("n").over(Window.orderBy(F.col("low").asc_nulls_first(), "file")) - F.col("n")).alias("before"))
     order = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "pos")
