@@ -49,22 +49,51 @@ def normalize_answer(c: Column) -> Column:
     return F.when(bare.rlike(r"^-?[0-9]+$"), bare.try_cast("decimal(38,0)"))
 
 
+def last_box(c: Column) -> Column:
+    """STR-03: from the last \\boxed (\\fbox counts as one) to where its braces close; null if they do not.
+
+    The text behind the mark is split at closing braces, and a fold over the pieces counts how
+    deep each one stands: no bound on nesting, and no Python.
+    """
+    t = F.replace(c, F.lit("\\fbox"), F.lit("\\boxed"))
+    tail = F.substring_index(t, "\\boxed", -1)
+    pieces = F.split(tail, r"\}")
+    opened = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.length(p) - F.length(F.replace(p, F.lit("{"), F.lit(""))))
+
+    def step(s: Column, n: Column) -> Column:
+        depth = s["depth"] + n - 1
+        return F.when(s["shut"], s).otherwise(F.struct(depth.alias("depth"), (s["n"] + 1).alias("n"), (depth == 0).alias("shut")))
+
+    end = F.aggregate(opened, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("shut")), step)
+    box = F.concat(F.lit("\\boxed"), F.array_join(F.slice(pieces, F.lit(1), end["n"]), "}"), F.lit("}"))
+    return F.when(F.contains(t, F.lit("\\boxed")) & end["shut"], box)
+
+
 def remove_boxed(c: Column) -> Column:
-    """STR-04: what stands inside one \\boxed{...} that makes up the whole text; null otherwise."""
-    return F.when(c.rlike(r"(?s)^\\boxed\{.*\}$"), F.regexp_extract(c, r"(?s)^\\boxed\{(.*)\}$", 1))
+    """STR-04: what stands inside \\boxed{...} that makes up the whole text; null otherwise."""
+    return F.when(F.startswith(c, F.lit("\\boxed{")) & F.endswith(c, F.lit("}")), F.substring(c, F.lit(8), F.length(c) - 8))
+
+
+def boxed_answer(c: Column) -> Column:
+    """STR-04: inside of the last box, braces balanced to any depth."""
+    return remove_boxed(last_box(c))
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def extract_final_answer(c: Column) -> Column:
-    """STR-11: the last box, else the first marked answer, else the last number, else null."""
-    box = F.trim(F.try_element_at(_all(c, BOXED, 1), F.lit(-1)))
-    marked = F.trim(F.try_element_at(_all(c, FINAL, 1), F.lit(1)))
-    return F.coalesce(F.nullif(box, F.lit("")), F.nullif(marked, F.lit("")), F.nullif(extract_answer(c), F.lit("")))
+    """STR-11: the last box, else the first marked answer (null if that is blank), else the last number, else null."""
+    marked = F.try_element_at(_all(c, FINAL, 1), F.lit(1))
+    box = F.nullif(boxed_answer(c), F.lit(""))
+    return F.when(box.isNotNull(), box).when(marked.isNotNull(), F.nullif(strip(marked), F.lit(""))).otherwise(F.nullif(extract_answer(c), F.lit("")))
 
 
 def hash_answer(c: Column) -> Column:
     """STR-12: what follows the last ####, unboxed or trimmed."""
-    tail = F.element_at(F.split(c, "####"), -1)
-    return F.coalesce(F.try_element_at(_all(tail, BOXED, 1), F.lit(-1)), F.trim(tail))
+    tail = strip(F.element_at(F.split(c, "####"), -1))
+    return F.coalesce(F.nullif(boxed_answer(tail), F.lit("")), tail)
 
 
 def format_prompt(c: Column, style: str = "boxed") -> Column:

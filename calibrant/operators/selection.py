@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calibrant.session import table
+
 LEVELS = (256, 512, 1024, 2048)
 
 
@@ -42,41 +43,42 @@ def two_stage(rows: DataFrame, key: str, value: str, m: int, seed: int = 0) -> D
     return high.unionByName(rest)
 
 
-def enforce_list(budgets: list[int], values: list[float], limit: int | None, levels: tuple[int, ...] = LEVELS, least_share: float = 0.0) -> list[int]:
-    """TOP-06: lower budgets level by level in order of value until they fit, then drop the worst value for money."""
-    out, m = list(budgets), len(budgets)
-    if limit is None or sum(out) <= limit:
-        return out
-    order = sorted(range(m), key=lambda i: (values[i], i))
-    moved = True
-    while moved and sum(out) > limit:
-        moved = False
-        for i in order:
-            lower = [x for x in levels if x < out[i]]
-            if lower:
-                out[i], moved = max(lower), True
-                if sum(out) <= limit:
-                    break
-    kept = sum(b > 0 for b in out)
-    for i in sorted((i for i in range(m) if out[i] > 0), key=lambda i: (values[i] / out[i], i)):
-        if sum(out) <= limit or kept <= round(m * least_share):
-            break
-        out[i] = 0
-        kept -= 1
-    return out
-
-
-def enforce_budget(rows: DataFrame, keys: list[str], order: str, budget: str, value: str, limit: int, least_share: float = 0.0) -> DataFrame:
-    """TOP-06 for each group; a group is one selection, and bounded by its size."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        pdf["granted"] = enforce_list(pdf[budget].tolist(), pdf[value].tolist(), limit, least_share=least_share)
-        pdf["dropped"] = pdf["granted"] == 0
-        return pdf
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.groupBy(*keys).applyInPandas(run, f"{fields}, granted int, dropped boolean")
+def enforce_budget(rows: DataFrame, keys: list[str], order: str, budget: str, value: str, limit: int, least_share: float = 0.0, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """TOP-06: rows with `granted` budgets whose sum in each group of keys is within the limit, and `dropped`.
+
+    Every lowering of a row by one level is a move that saves something. Moves are ranked by how
+    many the row has had before, then by value; the first that save enough together are made. If
+    all do not, rows are dropped, the worst value for what it costs first, until the rest fits or
+    round(n * least_share) rows are left. Both are running sums over sorted groups; order must
+    be unique in a group.
+    """
+    group = Window.partitionBy(*keys)
+    lower = F.array(*(F.lit(x) for x in sorted(levels, reverse=True)))
+    ladder = F.filter(lower, lambda x: x < F.col(budget))
+    steps = F.transform(ladder, lambda x, i: F.struct(i.alias("turn"), (F.when(i == 0, F.col(budget)).otherwise(F.get(ladder, i - 1)) - x).alias("saves")))
+    total = rows.withColumn("excess", F.sum(budget).over(group) - limit)
+    moves = total.where("excess > 0").select(*keys, order, value, "excess", F.explode(steps).alias("move")).select(*keys, order, value, "excess", "move.*")
+    before = F.sum("saves").over(group.orderBy("turn", value, order).rowsBetween(Window.unboundedPreceding, -1))
+    made = moves.withColumn("before", F.coalesce(before, F.lit(0))).where("before < excess").groupBy(*keys, order).agg(F.sum("saves").alias("saved"))
+    out = rows.join(made, [*keys, order], "left").withColumn("granted", (F.col(budget) - F.coalesce("saved", F.lit(0))).cast("int"))
+    # what is still too much goes row by row
+    paid = F.when(F.col("granted") > 0, F.col(value) / F.col("granted"))
+    worst = group.orderBy(paid.asc_nulls_last(), order).rowsBetween(Window.unboundedPreceding, -1)
+    out = out.withColumn("over", F.sum("granted").over(group) - limit).withColumn("spare", F.sum((F.col("granted") > 0).cast("int")).over(group) - F.bround(F.count("*").over(group) * F.lit(float(least_share))))
+    goes = (F.col("granted") > 0) & (F.coalesce(F.sum("granted").over(worst), F.lit(0)) < F.col("over")) & (F.coalesce(F.count("*").over(worst), F.lit(0)) < F.col("spare"))
+    out = out.withColumn("goes", goes).withColumn("granted", F.when(F.col("goes"), 0).otherwise(F.col("granted")).cast("int"))
+    return out.withColumn("dropped", F.col("granted") == 0).select(*rows.columns, "granted", "dropped")
+
+
+def select_and_budget(rows: DataFrame, key: str, value: str, m: int, mode: str = "fixed", fixed: int = 1024, limit: int | None = None, seed: int = 0, least_share: float = 0.2) -> DataFrame:
+    """TOP-07: two-stage selection of m rows and their budgets, one for all or by quartile of the value, lowered to a limit if there is one."""
+    if mode not in ("fixed", "adaptive"):
+        raise ValueError(f"unknown budget mode: {mode}")
+    some = two_stage(rows.select(key, value), key, value, m, seed).join(rows.select(key, value), key)
+    out = some.withColumn("budget", F.lit(fixed)) if mode == "fixed" else budget_bands(some, value)
+    if limit is None:
+        return out.withColumn("granted", F.col("budget")).withColumn("dropped", F.lit(False))
+    return enforce_budget(out.withColumn("all", F.lit(0)), ["all"], key, "budget", value, limit, least_share).drop("all")
 
 
 def shard(rows: DataFrame, key: str, n: int, rank: int) -> DataFrame:
@@ -84,10 +86,32 @@ def shard(rows: DataFrame, key: str, n: int, rank: int) -> DataFrame:
     return rows.where(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(n)) == rank)
 
 
-def sample_with_replacement(rows: DataFrame, index: str, draws: int, size: int, seed: int = 0) -> DataFrame:
-    """TOP-10: draws rows by hashed numbers of positions 0..size-1."""
-    d = rows.sparkSession.range(draws).select(F.col("id").alias("draw"), F.pmod(F.crc32(F.concat(F.col("id").cast("string"), F.lit(f":{seed}"))), F.lit(size)).alias(index))
-    return d.join(rows, index)
+def sample_with_replacement(rows: DataFrame, key: str, draws: int, seed: int = 0) -> DataFrame:
+    """TOP-10: draws of rows by hashed numbers of their positions in order of the key, from the whole of rows.
+
+    Positions come from counts by range partition, so no sort meets in one task.
+    """
+    placed, n = positions(rows, key)
+    if not n:
+        return placed.withColumn("draw", F.lit(0).cast("long")).limit(0)
+    hashed = F.crc32(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")))
+    d = rows.sparkSession.range(draws).select(F.col("id").alias("draw"), F.pmod(hashed, F.lit(n)).alias("position"))
+    return d.join(placed, "position")
+
+
+def positions(rows: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """rows with `position`, 0 to n - 1 in order of a unique key, and n."""
+    own = table(rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("part", F.spark_partition_id()), "placed")
+    counts = sorted((r["part"], r["n"]) for r in own.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row for each partition
+    if not counts:
+        return own.withColumn("position", F.lit(0).cast("long")).drop("part"), 0
+    starts, at = [], 0
+    for part, n in counts:
+        starts.append((part, at))
+        at += n
+    before = rows.sparkSession.createDataFrame(starts, "part int, before long")
+    order = Window.partitionBy("part").orderBy(key)
+    return own.join(F.broadcast(before), "part").withColumn("position", F.col("before") + F.row_number().over(order) - 1).drop("part", "before"), at
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -106,15 +106,40 @@ add("win06_novelty", lambda s, d: metrics(s, d).groupBy("user_id").agg(F.round(1
 add("win07_budget_bands", lambda s, d: selection.budget_bands(metrics(s, d).select("step", "reward"), "reward").select("step", "budget"), M + "SELECT step, (CASE WHEN reward < q[1] THEN 256 WHEN reward < q[2] THEN 512 WHEN reward < q[3] THEN 1024 ELSE 2048 END)::INT AS budget FROM metrics, (SELECT quantile_cont(reward, [0.25, 0.5, 0.75]) AS q FROM metrics)")
 add("win12_utility", lambda s, d: metrics(s, d).select("step", F.round(state.utility(F.col("k") / 100, F.col("reward"), F.col("step") - 5000), 6).alias("u")), M + "SELECT step, round(0.5::DOUBLE * (k / 100e0) + 0.3::DOUBLE * reward - 0.2::DOUBLE * greatest(step - 5000, 0), 6) AS u FROM metrics")
 _RATIO = "alpha double"
-add("win08_ratio_controller", lambda s, d: state.fold(observations(s, d), ["pool"], ["step"], lambda: state.RatioController(warmup=20), ["k", "reward", "dis"], _RATIO))
-add("win09_kl_coefficient", lambda s, d: state.fold(observations(s, d).withColumn("sign", F.col("k") - 50), ["pool"], ["step"], state.KlCoefficient, ["sign"], _RATIO))
+_TURNS = f"WITH RECURSIVE {METRICS}, o AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY step) AS n FROM metrics), "
+add("win08_ratio_controller", lambda s, d: _r6(state.fold(observations(s, d).withColumn("saved", 1 + F.col("dis")), ["pool"], ["step"], lambda: state.ratio_controller(warmup=20), ["k", "reward", "dis", "saved"], _RATIO), "alpha"), _TURNS + """
+r AS (SELECT pool, step, n, 0e0 AS a, 0e0 AS b, 0e0 AS c, 0e0 AS e, 0.3::DOUBLE AS alpha FROM o WHERE n = 1 UNION ALL
+  SELECT pool, step, n, a, b, c, e, CASE WHEN n <= 20 THEN 0.3::DOUBLE ELSE least(0.5::DOUBLE, greatest(0.1::DOUBLE, least(alpha + 0.05::DOUBLE, greatest(alpha - 0.05::DOUBLE,
+    least(0.5::DOUBLE, greatest(0.1::DOUBLE, 0.3::DOUBLE + 0.1::DOUBLE * (a / (1 + abs(a)) - b / (1 + abs(b)) + c / (1 + abs(c)) + e / (1 + abs(e))))))))) END
+  FROM (SELECT o.pool, o.step, o.n, r.alpha, CASE WHEN o.n > 20 THEN 0.9::DOUBLE * a + 0.1::DOUBLE * k ELSE 0 END AS a, CASE WHEN o.n > 20 THEN 0.9::DOUBLE * b + 0.1::DOUBLE * reward ELSE 0 END AS b,
+    CASE WHEN o.n > 20 THEN 0.9::DOUBLE * c + 0.1::DOUBLE * k / 100 ELSE 0 END AS c, CASE WHEN o.n > 20 THEN 0.9::DOUBLE * e + 0.1::DOUBLE * k / 100 ELSE 0 END AS e FROM r JOIN o ON o.pool = r.pool AND o.n = r.n + 1) x)
+SELECT pool, step, round(alpha, 6) AS alpha FROM r""")
+add("win09_kl_coefficient", lambda s, d: _r6(state.fold(observations(s, d).withColumn("sign", F.col("k") - 50), ["pool"], ["step"], state.kl_coefficient, ["sign"], _RATIO), "alpha"), _TURNS + """
+r AS (SELECT pool, step, n, least(2.5::DOUBLE, greatest(0.5::DOUBLE, 1 + 0.01::DOUBLE * sign(k - 50))) AS alpha FROM o WHERE n = 1 UNION ALL
+  SELECT o.pool, o.step, o.n, least(2.5::DOUBLE, greatest(0.5::DOUBLE, alpha * (1 + 0.01::DOUBLE * sign(k - 50)))) FROM r JOIN o ON o.pool = r.pool AND o.n = r.n + 1)
+SELECT pool, step, round(alpha, 6) AS alpha FROM r""")
 _LIM = {"hit_rate": (0.9, 0.2), "refresh_age_p95": (60.0, 95.0)}
-add("win10_health_status", lambda s, d: state.fold(observations(s, d).withColumn("hit", 1 - F.col("dis") / 2).withColumn("at", F.col("step").cast("double")), ["pool"], ["step"], lambda: state.HealthMonitor(_LIM), ["at", "hit", "k"], "status string, reason string, record_count int"))
+
+
+def _health(s, d):
+    status, reason = state.health({"hit_rate": 1 - F.col("dis") / 2, "refresh_age_p95": F.col("k")}, _LIM)
+    rows = observations(s, d).withColumn("status", status).withColumn("reason", reason)
+    counts = state.fold(rows, ["pool"], ["step"], state.alert_count, ["step", "status"], "record_count int")
+    return rows.select("pool", "step", "status", "reason").join(counts, ["pool", "step"])
+
+
+add("win10_health_status", _health, _TURNS + """
+h AS (SELECT pool, step, n, CASE WHEN 1 - k / 200e0 < 0.2 OR k > 95 THEN 'CRITICAL' WHEN 1 - k / 200e0 < 0.9 OR k > 60 THEN 'WARNING' ELSE 'HEALTHY' END AS status,
+  CASE WHEN k > 95 THEN 'refresh_age_p95 critical (' || k || ')' WHEN 1 - k / 200e0 < 0.9 OR k > 60 THEN 'unknown' ELSE '' END AS reason FROM o),
+r AS (SELECT pool, step, n, status, reason, step AS mark, 1 AS record_count FROM h WHERE n = 1 UNION ALL
+  SELECT h.pool, h.step, h.n, h.status, h.reason, CASE WHEN h.status <> 'HEALTHY' AND h.status = r.status AND h.step - r.mark < 10 THEN r.mark ELSE h.step END,
+    record_count + (NOT (h.status <> 'HEALTHY' AND h.status = r.status AND h.step - r.mark < 10))::INT FROM r JOIN h ON h.pool = r.pool AND h.n = r.n + 1)
+SELECT pool, step, status, reason, record_count FROM r""")
 add("win11_ring_buffer", lambda s, d: state.fold(observations(s, d).withColumn("item", F.col("step")), ["pool"], ["step"], lambda: state.RingBuffer(32), ["item", "reward"], "slot int, evicted long, protected boolean"))
 _KIND = lambda: F.when(F.col("k") % 3 == 0, "advance").when(F.col("k") % 3 == 1, "put").otherwise("get")
 add("stm01_stale_queue", lambda s, d: state.fold(metrics(s, d).withColumn("kind", _KIND()).withColumn("version", (F.col("step") / 40).cast("int")), ["user_id"], ["step"], lambda: state.StaleQueue(3), ["kind", "version"], "result string, age double, rejected int"))
 add("agg30_age_histogram", lambda s, d: metrics(s, d).withColumn("age", F.col("k") % 7).groupBy("age").agg(F.count("*").alias("n")), M + "SELECT k % 7 AS age, count(*) AS n FROM metrics GROUP BY 1")
-add("agg36_ids_by_budget", lambda s, d: metrics(s, d).where("step < 500").groupBy((F.col("k") % 4).alias("budget")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("step")), lambda x: x.cast("string")), ",").alias("ids")), M + "SELECT k % 4 AS budget, string_agg(step::VARCHAR, ',' ORDER BY step) AS ids FROM metrics WHERE step < 500 GROUP BY 1")
+add("agg36_ids_by_budget", lambda s, d: metrics(s, d).groupBy((F.col("k") % 4).alias("budget")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("step")), lambda x: x.cast("string")), ",").alias("ids")), M + "SELECT k % 4 AS budget, string_agg(step::VARCHAR, ',' ORDER BY step) AS ids FROM metrics GROUP BY 1")
 add("agg37_lookup_counters", lambda s, d: metrics(s, d).groupBy("pool").agg(F.count("*").alias("total"), F.count_if(F.col("k") < 70).alias("hit"), F.round(F.avg((F.col("k") < 70).cast("int")), 6).alias("hit_rate")), M + "SELECT pool, count(*) AS total, count(*) FILTER (k < 70) AS hit, round(avg((k < 70)::INT), 6) AS hit_rate FROM metrics GROUP BY pool")
 add("agg38_cost", lambda s, d: metrics(s, d).groupBy("pool").agg(F.round(50000 * F.least(F.avg("k") * 100, F.lit(8192.0)) / (F.max("k") * 2) / 3600, 6).alias("hours")), M + "SELECT pool, round(50000 * least(avg(k) * 100, 8192) / (max(k) * 2) / 3600, 6) AS hours FROM metrics GROUP BY pool")
 add("agg39_smoke_report", lambda s, d: metrics(s, d).agg(F.round(F.avg("k"), 6).alias("mean"), F.round(F.avg(F.when(F.col("pool") == "view", F.col("k"))), 6).alias("view_mean"), F.round(F.avg((F.col("k") >= 90).cast("int")), 6).alias("truncated"), F.min("k").alias("low"), F.max("k").alias("high")), M + "SELECT round(avg(k), 6) AS mean, round(avg(k) FILTER (pool = 'view'), 6) AS view_mean, round(avg((k >= 90)::INT), 6) AS truncated, min(k) AS low, max(k) AS high FROM metrics")
@@ -128,11 +153,24 @@ def values(s, d):
 
 add("top05_prompt_value", lambda s, d: observations(s, d).groupBy("user_id").agg(F.round(selection.prompt_value(F.stddev_pop("reward"), F.avg("dis"), F.count("*")), 6).alias("value")), M + "SELECT user_id, round(0.4::DOUBLE * stddev_pop(reward) + 0.4::DOUBLE * avg(k / 100e0) + 0.2::DOUBLE / sqrt(1e0 + count(*)), 6) AS value FROM metrics GROUP BY user_id")
 add("top04_two_stage", lambda s, d: selection.two_stage(metrics(s, d).select("step", "k"), "step", "k", 50), f"WITH {METRICS}" + ", p AS (SELECT step, k, md5(step::VARCHAR || ':0') AS h FROM metrics ORDER BY h LIMIT 200), r AS (SELECT *, row_number() OVER (ORDER BY k DESC, h) AS v FROM p) SELECT step, 'high' AS kind FROM r WHERE v <= 40 UNION ALL SELECT step, 'coverage' FROM (SELECT * FROM r WHERE v > 40 ORDER BY h LIMIT 10)")
-add("top06_enforce_budget", lambda s, d: selection.enforce_budget(metrics(s, d).select("user_id", "step", (F.lit(256) * F.pow(F.lit(2), F.col("k") % 4)).cast("int").alias("budget"), "reward"), ["user_id"], "step", "budget", "reward", 20000, 0.2))
-add("top07_select_and_budget", lambda s, d: selection.budget_bands(selection.two_stage(metrics(s, d).select("step", "k"), "step", "k", 50).join(metrics(s, d).select("step", "k"), "step"), "k").select("step", "kind", "budget"))
+_B = "(256 * pow(2, k % 4))::INT"
+_ENFORCE = """, u AS (SELECT *, sum(budget) OVER (PARTITION BY g) - {limit} AS excess FROM b),
+mv AS (SELECT g, step, v, excess, t AS turn, greatest(budget / pow(2, t), 256) - greatest(budget / pow(2, t + 1), 256) AS saves FROM u, range(3) r(t) WHERE excess > 0 AND budget / pow(2, t + 1) >= 256),
+md AS (SELECT g, step, sum(saves) AS saved FROM (SELECT *, coalesce(sum(saves) OVER (PARTITION BY g ORDER BY turn, v, step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM mv) WHERE before < excess GROUP BY g, step),
+gr AS (SELECT b.*, (budget - coalesce(saved, 0))::INT AS granted FROM b LEFT JOIN md USING (g, step)),
+ov AS (SELECT *, sum(granted) OVER (PARTITION BY g) - {limit} AS over, count(*) OVER (PARTITION BY g) - round_even(count(*) OVER (PARTITION BY g) * {share}, 0) AS spare,
+  coalesce(sum(granted) OVER w, 0) AS cost, coalesce(count(*) OVER w, 0) AS ahead FROM gr WINDOW w AS (PARTITION BY g ORDER BY v / granted, step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+done AS (SELECT *, cost < over AND ahead < spare AS dropped FROM ov)"""
+add("top06_enforce_budget", lambda s, d: selection.enforce_budget(metrics(s, d).select("user_id", "step", (F.lit(256) * F.pow(F.lit(2), F.col("k") % 4)).cast("int").alias("budget"), "reward"), ["user_id"], "step", "budget", "reward", 20000, 0.2),
+    M + f", b AS (SELECT user_id AS g, step, {_B} AS budget, reward AS v FROM metrics)" + _ENFORCE.format(limit=20000, share=0.2) + " SELECT g AS user_id, step, budget, v AS reward, CASE WHEN dropped THEN 0 ELSE granted END AS granted, dropped FROM done")
+_PICKED = f"WITH {METRICS}" + ", p AS (SELECT step, k, md5(step::VARCHAR || ':0') AS h FROM metrics ORDER BY h LIMIT 200), r AS (SELECT *, row_number() OVER (ORDER BY k DESC, h) AS v FROM p), pk AS (SELECT step, k, 'high' AS kind FROM r WHERE v <= 40 UNION ALL SELECT step, k, 'coverage' FROM (SELECT * FROM r WHERE v > 40 ORDER BY h LIMIT 10))"
+add("top07_select_and_budget", lambda s, d: selection.select_and_budget(metrics(s, d), "step", "k", 50, "adaptive", limit=20000).select("step", "kind", "budget", "granted", "dropped"),
+    _PICKED + ", q AS (SELECT quantile_cont(k, [0.25, 0.5, 0.75]) AS q FROM pk), b AS (SELECT 0 AS g, step, kind, k AS v, (CASE WHEN k < q[1] THEN 256 WHEN k < q[2] THEN 512 WHEN k < q[3] THEN 1024 ELSE 2048 END)::INT AS budget FROM pk, q)" + _ENFORCE.format(limit=20000, share=0.2) + " SELECT step, kind, budget, CASE WHEN dropped THEN 0 ELSE granted END AS granted, dropped FROM done")
+add("top07_fixed_budget", lambda s, d: selection.select_and_budget(metrics(s, d), "step", "k", 50, "fixed").select("step", "kind", "budget", "granted", "dropped"), _PICKED + " SELECT step, kind, 1024::INT AS budget, 1024::INT AS granted, false AS dropped FROM pk")
 add("top08_head_limit", lambda s, d: read(s, d, "orders").orderBy("o_orderkey").limit(25).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 25")
 add("top09_shard", lambda s, d: s.range(3).select(F.col("id").cast("int").alias("rank")).join(read(s, d, "customer").select("c_custkey", F.pmod(F.col("c_custkey"), F.lit(3)).cast("int").alias("rank")), "rank").groupBy("rank").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("ids")), "SELECT (c_custkey % 3)::INT AS rank, count(*) AS n, sum(c_custkey)::BIGINT AS ids FROM customer GROUP BY 1")
-add("top10_with_replacement", lambda s, d: selection.sample_with_replacement(read(s, d, "customer").select("c_custkey", "c_name"), "c_custkey", 400, 1500).select("draw", "c_name"))
+add("top10_with_replacement", lambda s, d: selection.sample_with_replacement(read(s, d, "customer").select("c_custkey", "c_name"), "c_custkey", 400).select("draw", "position"))
+add("top10_positions", lambda s, d: selection.positions(read(s, d, "customer").select("c_custkey", "c_name"), "c_custkey")[0], "SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer")
 add("top11_ordered_results", lambda s, d: read(s, d, "nation").orderBy("n_regionkey", "n_name").select("n_regionkey", "n_name"), "SELECT n_regionkey, n_name FROM nation ORDER BY 1, 2")
 add("set01_intersect", lambda s, d: read(s, d, "documents").select("doc_id").intersect(read(s, d, "labels").select("doc_id")), "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
 add("set02_except", lambda s, d: read(s, d, "documents").select("doc_id").join(read(s, d, "labels").select("doc_id"), "doc_id", "left_anti"), "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")

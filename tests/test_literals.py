@@ -24,11 +24,64 @@ def test_answers(spark):
     assert one(spark, text.format_value(F.lit(None).cast("string")), text.format_value(F.lit("0.5"))) == ("—", "0.5000")
 
 
-def test_grading():
-    assert grading.last_box(r"\boxed{1} \boxed{\frac{25}{8}}") == r"\boxed{\frac{25}{8}}"
-    assert grading.last_box(r"\fbox{7}") == r"\boxed{7}" and grading.last_box("x") is None
-    assert grading.grade(r"\frac{25}{8}", "25/8") and grading.grade("3/4", "0.75") and grading.grade("7 3/4", "31/4") and grading.grade("005", "5")
-    assert not grading.grade("204", "205") and not grading.grade("4/2", "2") and not grading.grade("", "3")
+def test_boxes_balance_braces(spark):
+    say = lambda f, x: one(spark, f(F.lit(x).cast("string")))[0]
+    cases = {
+        r"\boxed{42}": r"\boxed{42}", r"a \boxed{12} b\boxed{34}": r"\boxed{34}", r"\fbox{7}": r"\boxed{7}", "no box": None, "": None, None: None,
+        r"x \boxed{\frac{\sqrt{2}}{3}} y}": r"\boxed{\frac{\sqrt{2}}{3}}", r"\boxed{1} \boxed{2": None, r"\boxed {7}": r"\boxed {7}", r"\boxed{{{{a}}}}": r"\boxed{{{{a}}}}",
+        r"\boxed{}": r"\boxed{}", r"\boxed{a}{b}": r"\boxed{a}",
+    }
+    for x, want in cases.items():
+        assert say(text.last_box, x) == want == grading.last_box(x), x
+    assert say(text.boxed_answer, r"1 \boxed{\frac{25}{8}}") == r"\frac{25}{8}" and say(text.boxed_answer, r"\boxed {7}") is None
+    f = text.extract_final_answer
+    assert say(f, r"we get \boxed{\frac{\sqrt{2}}{3}} and 5") == r"\frac{\sqrt{2}}{3}" and say(f, "Answer:  ") is None and say(f, "n=3 so 2+1=3") == "3"
+    assert say(f, "Final Answer: 99\n\\boxed{7}") == "7" and say(f, "half\nAnswer: 7") == "7"
+    h = text.hash_answer
+    assert say(h, "a #### 5.5 ") == "5.5" and say(h, r"a #### \boxed{\frac{1}{\sqrt{2}}}") == r"\frac{1}{\sqrt{2}}" and say(h, "plain") == "plain"
+
+
+@pytest.mark.parametrize(
+    ("given", "truth", "right"),
+    [
+        (r"\frac{25}{8}", "25/8", True), ("3/4", "0.75", True), ("0.75", "3/4", True), ("7 3/4", "31/4", True), ("005", "5", True), ("204", "204", True), ("204", "205", False),
+        ("1/2", "1/2", True), ("1/2", "1/3", False), ("2/4", "1/2", False), ("4/2", "2", False), ("", "3", False), (None, "3", False), ("12.0", "12", True), ("30 degrees", "30", True),
+        ("5 cm^2", "5", True), (r"30^\circ", "30", True), (r"1,\!000", "1000", True), ("5 million", "5*10^6", True), (r"\text{yes}", "yes", True), ("$5.50", "5.5", True), ("50\\%", "50", True),
+        (r"\frac{\sqrt{2}}{3}", "sqrt2/3", True), (r"7\frac34", "31/4", True), ("(1/2)(3)", "1.5", True), ("2^10", "1024.5", False), ("2^(3)", "8.5", False), ("1/0", "2.5", False), ("x+1", "y+1", False),
+        ("1 or 2", "1,2", True), ("-1/2", "-0.5", True), ("2^3+0.5", "8.5", True), ("1/3+1/6", "0.5", True),
+    ],
+)
+def test_grading(given, truth, right):
+    assert grading.grade(given, truth) is right
+
+
+def test_rational_agrees_with_the_language():
+    import random
+    from fractions import Fraction
+
+    r = random.Random(4)
+
+    def make(depth):
+        if not depth or r.random() < 0.3:
+            n = r.randint(1, 9)
+            return str(n)
+        a, b, op = make(depth - 1), make(depth - 1), r.choice("+-*/")
+        return r.choice(("", "-")) + f"({a}){op}({b})"
+
+    for _ in range(300):
+        said = make(3)
+        try:
+            want = eval(__import__("re").sub(r"\d+", lambda m: f"Fraction({m[0]})", said))
+        except ZeroDivisionError:
+            continue
+        try:
+            assert grading.rational(said) == want, said
+        except grading.Undecided:
+            raise AssertionError(said) from None
+    assert grading.rational("2(3+1)") == 8 and grading.rational("-2^2") == -4 and grading.rational(".5*4") == Fraction(2)
+    for bad in ("", "1+", "(1", "1)", "*2", "2^10", "2^3^2", "2^(1+1)", "a", "1//2"):
+        with pytest.raises(ValueError):
+            grading.rational(bad)
 
 
 def test_tokens(spark):
@@ -85,8 +138,11 @@ def test_length_stats(spark):
 def test_selection(spark):
     same = spark.createDataFrame([(i, 0.5) for i in range(4)], "id int, v double")
     assert {r["budget"] for r in selection.budget_bands(same, "v").collect()} == {1024}
-    got = selection.enforce_list([2048] * 4, [0.1, 0.2, 0.3, 0.4], 3000)
-    assert sum(got) <= 3000 and set(got) <= {0, 256, 512, 1024, 2048}
+    rows = spark.createDataFrame([(g, i, 2048, 0.1 * (i + 1)) for g in (1, 2) for i in range(4)], "g int, id int, b int, v double")
+    for limit, want in ((3000, [512, 512, 512, 1024]), (9000, [2048] * 4), (900, [0, 256, 256, 256]), (100, [0, 0, 0, 256])):
+        got = selection.enforce_budget(rows, ["g"], "id", "b", "v", limit, 0.2).orderBy("g", "id").collect()
+        assert [r["granted"] for r in got] == want * 2, limit
+        assert all(r["dropped"] == (r["granted"] == 0) for r in got)
     old, new = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int"), spark.createDataFrame([("b", 2), ("c", 2)], "k string, v int")
     assert {tuple(r) for r in selection.upsert(old, new, ["k"]).collect()} == {("a", 1), ("b", 2), ("c", 2)}
 
@@ -95,15 +151,71 @@ def test_state_machines(spark):
     rows = spark.createDataFrame([(1, 1, 1.0, 0.0), (1, 2, 1.0, 0.0)], "u int, step int, r double, d double")
     p = state.prompt_state(rows, "u", ["step"], "r", "d").first()
     assert p["reward_ema"] == pytest.approx(0.19) and p["seen"] == 2
-    h = state.HealthMonitor({"hit_rate": (0.995, 0.98)}, cooldown=10)
-    assert [h(i, v)["status"] for i, v in enumerate((0.999, 0.99, 0.97))] == ["HEALTHY", "WARNING", "CRITICAL"]
-    h = state.HealthMonitor({"hit_rate": (0.995, 0.98)}, cooldown=10)
-    assert [h(i, 0.99)["record_count"] for i in range(3)] == [1, 1, 1]
+    limits = {"hit_rate": (0.995, 0.98)}
+    status, reason = state.health({"hit_rate": F.col("v")}, limits)
+    told = spark.createDataFrame([(0.999,), (0.99,), (0.97,), (None,)], "v double").select(status.alias("s"), reason.alias("r")).collect()
+    assert [tuple(x) for x in told] == [("HEALTHY", ""), ("WARNING", "unknown"), ("CRITICAL", "hit_rate critical (0.97)"), ("HEALTHY", "")]
+    h = state.alert_count(10)
+    assert [h(i, "WARNING")["record_count"] for i in (0, 1, 9, 10, 11)] == [1, 1, 1, 2, 2]
     q = state.StaleQueue(1, least=2)
     assert [q(k, v)["result"] for k, v in (("put", 0), ("advance", 0), ("advance", 0), ("put", 0), ("get", 0), ("get", 0))] == ["queued", "advanced", "advanced", "stale", "stale", "empty"]
     r = state.RingBuffer(2)
     assert [x["slot"] for x in state.replay(r, [(i, float(i)) for i in range(4)])] == [0, 1, 0, 1]
-    assert state.KlCoefficient(2.5)(1.0)["alpha"] == 2.5 and state.RatioController("fixed")(1, 1, 1)["alpha"] == 0.3
+    assert state.kl_coefficient(2.5)(1.0)["alpha"] == 2.5 and state.ratio_controller("fixed")(1, 1, 1)["alpha"] == 0.3
+    linear, led = state.ratio_controller("linear"), state.ratio_controller(warmup=2)
+    assert [round(linear(0, 0, 0)["alpha"], 4) for _ in range(1001)][::500] == [0.1004, 0.3004, 0.5]
+    path = [led(5.0, 0.0, 5.0)["alpha"] for _ in range(20)]
+    assert path[:2] == [0.3, 0.3] and all(abs(b - a) <= 0.05 + 1e-12 and 0.1 <= b <= 0.5 for a, b in zip(path, path[1:])) and path[-1] > 0.3
+    aware = [state.ratio_controller(warmup=0, pull=(0.0, 0.0, 0.0, 0.5)) for _ in range(3)]
+    assert aware[0](0, 0, 0, 2.0)["alpha"] > aware[1](0, 0, 0)["alpha"] == 0.3 > aware[2](0, 0, 0, 0.1)["alpha"]
+    assert state.cold_start_ratio(0.3, 2, 8) == 0.25
+
+
+def test_ring_buffer_against_a_scan():
+    """Slots, evictions and protection against a plain scan of an array of slots; a saved buffer goes on alike."""
+    import random
+
+    r = random.Random(2)
+    for cap in (1, 2, 5, 8):
+        b, slots, pos = state.RingBuffer(cap, 0.5), [None] * cap, 0
+        for i in range(200):
+            u = r.choice([r.random(), 0.5, 2.0])
+            if all(x is not None for x in slots):
+                turn = [(pos + j) % cap for j in range(cap)]
+                passed = next((j for j, k in enumerate(turn) if not slots[k][2]), cap)
+                slots = [(*x[:2], x[2] and k not in turn[:passed]) for k, x in enumerate(slots)]
+                pos = turn[passed % cap]
+            gone = slots[pos][0] if slots[pos] else -1
+            slots[pos] = (i, u, False)
+            us = sorted(x[1] for x in slots if x)
+            at = 0.5 * (len(us) - 1)
+            cut = us[int(at)] + (us[min(int(at) + 1, len(us) - 1)] - us[int(at)]) * (at - int(at))
+            slots[pos] = (i, u, u > cut)
+            assert b(i, u) == {"slot": pos, "evicted": gone, "protected": u > cut}, (cap, i)
+            pos = (pos + 1) % cap
+            if i % 17 == 0:
+                b = state.RingBuffer.load(json.loads(json.dumps(b.save())))
+    old = state.RingBuffer.load({"capacity": 3, "rows": [{"slot": 0, "item": 7}, {"slot": 1, "item": 8, "utility": 1.0}]})
+    assert old(9, 0.5) == {"slot": 2, "evicted": -1, "protected": False} and old.save()["rows"][0]["utility"] == 0.0
+
+
+def test_fold_streams_keys_across_batches(spark):
+    rows = spark.createDataFrame([(i % 3, i, float(i)) for i in range(500)], "k int, step int, x double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+
+    def make():
+        seen = []
+        return lambda x: seen.append(x) or {"n": len(seen), "total": sum(seen)}
+
+    got = {(r["k"], r["step"]): (r["n"], r["total"]) for r in state.fold(rows, ["k"], ["step"], make, ["x"], "n int, total double").collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 500
+    for k in range(3):
+        total = 0.0
+        for n, i in enumerate(range(k, 500, 3), 1):
+            total += i
+            assert got[k, i] == (n, total)
+    assert state.fold(rows.limit(0), ["k"], ["step"], make, ["x"], "n int, total double").count() == 0
 
 
 def test_sources(spark, tmp_path):
