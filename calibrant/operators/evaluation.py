@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,27 +52,42 @@ def sample_results(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def exclusive_quantile(sorted_values: Column, p: float) -> Column:
-    """Quantile at p(n + 1) of a sorted array, ends clamped; one value gives itself."""
-    n = F.size(sorted_values)
-    k = F.least(F.greatest(F.floor(F.lit(p) * (n + 1)), F.lit(1)), F.greatest(n - 1, F.lit(1)))
-    w = F.lit(p) * (n + 1) - k
-    lo, hi = F.try_element_at(sorted_values, k.cast("int")), F.try_element_at(sorted_values, (k + 1).cast("int"))
-    return F.when(n == 0, F.lit(0.0)).when(n == 1, F.element_at(sorted_values, 1).cast("double")).otherwise(lo + (hi - lo) * w)
-
-
 def length_stats(rows: DataFrame, keys: list[str], length: str = "tokens", wall: str = "wall_s", cap: int = 8192) -> DataFrame:
     """AGG-06: totals, quantiles (p90 and p95 exclusive), shares over limits, speed.
 
-    Exact quantiles keep a group's lengths as one array of numbers; group by what bounds it.
+    All comes from counts by length: a group's quantiles are picked at running counts of its
+    distinct lengths, so no group's rows are held together.
     """
-    x = F.col(length)
-    out = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sum(x).alias("total"), F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("p50"), F.max(x).alias("longest"),
-        F.sort_array(F.collect_list(x)).alias("all"), rate(F.col("status") == "eos").alias("eos_rate"), rate(x > 2048).alias("over_2048"), rate(x > 4096).alias("over_4096"),
-        rate(x == cap).alias("at_cap"), F.coalesce(F.try_divide(F.sum(x), F.sum(wall)), F.lit(0.0)).alias("tokens_per_s"), F.coalesce(F.try_divide(F.count("*"), F.sum(wall)), F.lit(0.0)).alias("samples_per_s"),
+    x, c = F.col(length), F.col("c")
+    counts = rows.groupBy(*keys, length).agg(F.count("*").alias("c"), F.sum(wall).alias("w"), F.count_if(F.col("status") == "eos").alias("e"))
+    group = Window.partitionBy(*keys)
+    known = F.when(x.isNotNull(), c).otherwise(0)
+    counts = counts.withColumn("below", F.sum(known).over(group.orderBy(x.asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)) - known).withColumn("m", F.sum(known).over(group))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("below") <= rank) & (rank < F.col("below") + known), x))
+
+    def exclusive(p: float) -> tuple[Column, Column]:
+        """Rank below p(m + 1), ends clamped, and how far from it to the next."""
+        place = F.lit(p) * (F.col("m") + 1)
+        k = F.least(F.greatest(F.floor(place), F.lit(1)), F.greatest(F.col("m") - 1, F.lit(1)))
+        return k - 1, place - k
+
+    picks, ends = [], {}
+    half = F.lit(0.5) * (F.col("m") - 1)
+    for name, rank, weight in (("p50", F.floor(half), half - F.floor(half)), ("p90", *exclusive(0.9)), ("p95", *exclusive(0.95))):
+        picks += [at(rank).alias(f"{name}_lo"), F.coalesce(at(rank + 1), at(rank)).alias(f"{name}_hi"), F.max(weight).alias(f"{name}_w")]
+        between = F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * F.col(f"{name}_w")
+        none = F.lit(None if name == "p50" else 0.0).cast("double")
+        ends[name] = F.when(F.col("m") == 0, none).when(F.col("m") == 1, F.col(f"{name}_lo").cast("double")).otherwise(between)
+    n, total, seconds = F.sum("c"), F.sum(c * x), F.sum("w")
+    share = lambda cond: F.coalesce(F.sum(F.when(cond, c).otherwise(0)) / F.sum("c"), F.lit(0.0))
+    out = counts.groupBy(*keys).agg(
+        n.alias("n"), total.alias("total"), F.try_divide(total, F.sum(known)).alias("mean"), F.max(x).alias("longest"), F.max("m").alias("m"), *picks,
+        F.coalesce(F.sum("e") / F.sum("c"), F.lit(0.0)).alias("eos_rate"), share(x > 2048).alias("over_2048"), share(x > 4096).alias("over_4096"), share(x == cap).alias("at_cap"),
+        F.coalesce(F.try_divide(total, seconds), F.lit(0.0)).alias("tokens_per_s"), F.coalesce(F.try_divide(n, seconds), F.lit(0.0)).alias("samples_per_s"),
     )
-    return out.withColumns({"p90": exclusive_quantile(F.col("all"), 0.9), "p95": exclusive_quantile(F.col("all"), 0.95)}).drop("all")
+    return out.withColumns(ends).select(*keys, "n", "total", "mean", "p50", "longest", "eos_rate", "over_2048", "over_4096", "at_cap", "tokens_per_s", "samples_per_s", "p90", "p95")
 
 
 def efficiency(counts: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from calibrant.session import table
 
@@ -59,13 +62,83 @@ def correlate(rows: DataFrame, score: str, correct: str) -> DataFrame:
     )
 
 
+#: Groups whose quantiles are narrowed down on the driver, bins of a round, and values that a last round may sort there.
+MAX_GROUPS, BINS, MAX_VALUES = 16, 1024, 200_000
+
+
+def quantiles(rows: DataFrame, x: str, qs: list[float], groups: list[Row], keys: list[str]) -> list[list[float | None]]:
+    """Exact quantiles of a column, a list for each of some groups (rows of keys, `n` non-null values, `low`, `high`).
+
+    Each round counts the values of the intervals that hold the wanted ranks in equal bins, and
+    keeps the bins they lie in; when few values are left they are sorted. Only counts are
+    shuffled: no group's values meet in one task, however many of them are distinct.
+    """
+    spark = rows.sparkSession
+    value = rows.select(*keys, F.col(x).cast("double").alias("x"))
+    want: dict[tuple[int, int], list] = {}  # (group, rank): low, high, values below low
+    ranks = []
+    for g, r in enumerate(groups):
+        ranks.append([(r["n"] - 1) * q for q in qs] if r["n"] else [])
+        for p in ranks[-1]:
+            for k in {math.floor(p), math.ceil(p)}:
+                want[g, k] = [r["low"], r["high"], 0]
+    found = {at: w[0] for at, w in want.items() if w[0] == w[1]}
+    sizes = {(g, r["low"], r["high"]): r["n"] for g, r in enumerate(groups)}
+    while open_ := {at: w for at, w in want.items() if at not in found}:
+        spans = sorted({(at[0], w[0], w[1]) for at, w in open_.items()})
+        table_ = spark.createDataFrame([(*[groups[g][k] for k in keys], i, lo, hi) for i, (g, lo, hi) in enumerate(spans)], StructType([*(rows.schema[k] for k in keys), StructField("i", IntegerType()), StructField("lo", DoubleType()), StructField("hi", DoubleType())]))
+        span = table_.select(*(F.col(f"`{k}`").alias(f"g_{n}") for n, k in enumerate(keys)), "i", "lo", "hi")
+        on = (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))
+        for n, k in enumerate(keys):
+            on = on & F.col(f"`{k}`").eqNullSafe(F.col(f"g_{n}"))
+        held = value.join(F.broadcast(span), on)  # MAX_GROUPS * 2 * len(qs) rows at most
+        if sum(sizes[s] for s in spans) <= MAX_VALUES:
+            lists: dict[int, list[float]] = {}
+            for r in held.select("i", "x").collect():  # MAX_VALUES at most
+                lists.setdefault(r["i"], []).append(r["x"])
+            for i in lists:
+                lists[i].sort()
+            for at, (lo, hi, below) in open_.items():
+                found[at] = lists[spans.index((at[0], lo, hi))][at[1] - below]
+            break
+        b = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))
+        bins: dict[int, list] = {}
+        for r in held.groupBy("i", b.alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():  # BINS for each interval
+            bins.setdefault(r["i"], []).append((r["b"], r["n"], r["lo"], r["hi"]))
+        for at, w in open_.items():
+            below = w[2]
+            for _, n, lo, hi in sorted(bins[spans.index((at[0], w[0], w[1]))]):
+                if at[1] < below + n:
+                    sizes[at[0], lo, hi] = n
+                    want[at] = [lo, hi, below]
+                    if lo == hi or at[1] == below:
+                        found[at] = lo
+                    elif at[1] == below + n - 1:
+                        found[at] = hi
+                    break
+                below += n
+    mid = lambda g, p: found[g, math.floor(p)] + (found[g, math.ceil(p)] - found[g, math.floor(p)]) * (p - math.floor(p))
+    return [[mid(g, p) for p in ps] or [None] * len(qs) for g, ps in enumerate(ranks)]
+
+
 def signal_stats(rows: DataFrame, x: str, keys: list[str], clip: float = 1.0) -> DataFrame:
-    """AGG-15/16: share over 0, 0.5 and 1, clipped share, mean, median, population deviation, deciles."""
-    v = F.col(x)
-    return rows.groupBy(*keys).agg(
-        F.count(v).alias("n"), *(F.avg((v > t).cast("int")).alias(f"over_{str(t).replace('.', '_')}") for t in (0, 0.5, 1)), F.avg((F.abs(v) > clip).cast("int")).alias("clipped"),
-        F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.stddev_pop(v).alias("std"), F.percentile(v, 0.1).alias("p10"), F.percentile(v, 0.9).alias("p90"),
-    )
+    """AGG-15/16: share over 0, 0.5 and 1, clipped share, mean, median, population deviation, deciles.
+
+    A few groups get their quantiles by narrowing intervals; with more than MAX_GROUPS each is
+    small against the whole, and has them from its own task.
+    """
+    v = F.col(x).cast("double")
+    plain = [F.count(v).alias("n"), *(F.avg((v > t).cast("int")).alias(f"over_{str(t).replace('.', '_')}") for t in (0, 0.5, 1)), F.avg((F.abs(v) > clip).cast("int")).alias("clipped"), F.avg(v).alias("mean")]
+    names = [*keys, "n", "over_0", "over_0_5", "over_1", "clipped", "mean", "median", "std", "p10", "p90"]
+    one = rows.groupBy(*keys).agg(*plain, F.stddev_pop(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"))
+    groups = one.limit(MAX_GROUPS + 1).collect()
+    odd = any(r["high"] is not None and not math.isfinite(r["high"] - r["low"]) for r in groups)
+    if len(groups) > MAX_GROUPS or odd or not groups:
+        return rows.groupBy(*keys).agg(*plain, F.percentile(v, 0.5).alias("median"), F.stddev_pop(v).alias("std"), F.percentile(v, 0.1).alias("p10"), F.percentile(v, 0.9).alias("p90")).select(*names)
+    got = quantiles(rows.where(v.isNotNull()), x, [0.5, 0.1, 0.9], groups, keys)
+    schema = StructType([one.schema[n] if n in one.columns else StructField(n, DoubleType()) for n in names])
+    say = {"median": 0, "p10": 1, "p90": 2}
+    return rows.sparkSession.createDataFrame([tuple(qs[say[n]] if n in say else r[n] for n in names) for r, qs in zip(groups, got)], schema)
 
 
 def verdict(positive: Column, over: Column) -> Column:

@@ -261,3 +261,38 @@ def test_stream_state_equals_batch(spark, tmp_path):
     live.run_available(live.stale_queue(stream, "key", 2), live.once_per_batch(str(tmp_path), "out"), str(tmp_path / "cp"))
     got = [r["result"] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("seq").collect()]
     assert got == [x["result"] for x in state.replay(state.StaleQueue(2), [(r[2], r[3]) for r in rows])]
+
+
+def test_quantiles_by_narrowing(spark, monkeypatch):
+    """Medians and deciles against numpy, over several rounds, with ties, outliers, nulls and empty groups."""
+    import numpy as np
+
+    monkeypatch.setattr(stats, "MAX_VALUES", 20)
+    monkeypatch.setattr(stats, "BINS", 8)
+    r = np.random.default_rng(3)
+    data = {"a": r.normal(size=700), "b": np.r_[np.zeros(300), 1e12, -5.0], "c": np.array([2.5]), "d": np.exp(r.normal(size=400) * 8), "e": np.array([])}
+    rows = [(k, float(v)) for k, vs in data.items() for v in vs] + [("e", None), ("a", None), (None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    got = {x["k"]: x for x in stats.signal_stats(df, "v", ["k"]).collect()}
+    data[None] = np.array([1.0, 2.0])
+    for k, v in data.items():
+        g = got[k]
+        assert g["n"] == len(v)
+        want = np.quantile(v, [0.5, 0.1, 0.9]) if len(v) else [None] * 3
+        assert [g["median"], g["p10"], g["p90"]] == (pytest.approx(list(want), rel=1e-12, abs=1e-12) if len(v) else want), k
+    whole = stats.signal_stats(df.where("k = 'a'"), "v", []).first()
+    assert whole["median"] == pytest.approx(np.median(data["a"])) and whole["over_0"] == pytest.approx((data["a"] > 0).mean())
+    assert stats.signal_stats(df.limit(0), "v", ["k"]).count() == 0
+
+
+def test_length_stats_by_counts(spark):
+    import statistics
+
+    lengths = [5, 1, 9, 9, 4, 100, 7, None]
+    df = spark.createDataFrame([("g", x, 1.0, "eos" if x == 9 else "loop") for x in lengths] + [("one", 3, 0.0, "eos"), ("none", None, 1.0, "loop")], "k string, tokens int, wall_s double, status string")
+    got = {r["k"]: r for r in evaluation.length_stats(df, ["k"]).collect()}
+    own = sorted(x for x in lengths if x is not None)
+    q = statistics.quantiles(own, n=20)
+    assert (got["g"]["n"], got["g"]["total"], got["g"]["longest"]) == (8, sum(own), 100)
+    assert got["g"]["p50"] == statistics.median(own) and got["g"]["p90"] == pytest.approx(q[17]) and got["g"]["p95"] == pytest.approx(q[18])
+    assert got["g"]["eos_rate"] == 0.25 and got["one"]["p90"] == 3.0 and got["one"]["tokens_per_s"] == 0.0 and got["none"]["p90"] == 0.0
