@@ -20,6 +20,45 @@ HEADLINE = [
 ]
 
 
+def _median(run, times: int = 3) -> float:
+    took = []
+    for _ in range(times):
+        began = time.time()
+        run()
+        took.append(time.time() - began)
+    return round(statistics.median(took[1:]), 3)  # the first warms up
+
+
+def _at_scale(spark, sf: str) -> dict[str, float]:
+    """The two operations with published figures, over tens of millions of values: embeddings replicated with noise.
+
+    As in those figures the differences and both supports are there beforehand, in files.
+    """
+    from pyspark.sql import functions as F
+
+    from calibrant.functions import dists
+    from calibrant.operators import stats
+    from calibrant.session import table
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(159)))
+    wide = e.select("vec_id", "x", copies.alias("copy")).repartition(16).select("vec_id", F.transform("x", lambda v, i: v + F.sin(i * 7 + F.col("copy") * 13 + F.col("vec_id"))).alias("d"))
+    deltas = table(wide, "deltas")
+    n = deltas.count() * 64
+    scan = deltas.select(F.explode("d").alias("delta"))
+    out = {"delta_values": n, "delta_s": _median(lambda: stats.signal_stats(scan, "delta", []).collect())}
+    k = 32
+    ranked = deltas.limit(50_000).select("vec_id", dists.top_k(F.col("d"), k).alias("t"), dists.top_k(F.transform("d", lambda v, i: v + F.cos(i * 3 + F.col("vec_id"))), k).alias("s"))
+    pairs = table(ranked.select(F.col("s.id").alias("ids"), F.col("t").alias("t")).repartition(16), "pairs")
+    rows = pairs.count()
+    looked = pairs.select(F.aggregate(dists.lookup(F.col("ids"), F.col("t")), F.lit(0.0), lambda a, b: a + b).alias("total"))
+    out |= {"lookup_positions": rows, "lookup_ids": rows * k, "lookup_s": _median(lambda: looked.write.format("noop").mode("overwrite").save())}
+    out["delta_values_per_s"] = round(n / out["delta_s"])
+    out["lookup_positions_per_s"] = round(rows / out["lookup_s"])
+    out["lookup_ids_per_s"] = round(rows * k / out["lookup_s"])
+    return out
+
+
 def main() -> None:
     from calibrant import registry
     from calibrant.session import local_session
@@ -29,14 +68,8 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     queries, took = registry.queries(), {}
     for name in HEADLINE:
-        times = []
-        for _ in range(3):
-            began = time.time()
-            queries[name](spark, sf).write.format("noop").mode("overwrite").save()
-            times.append(time.time() - began)
-        took[name] = round(statistics.median(times[1:]), 3)  # the first warms up
-    values, lookups = spark.read.parquet(f"{sf}/embeddings.parquet").count() * 64, spark.read.parquet(f"{sf}/embeddings.parquet").count() * 8
-    line = {"metric": "headline_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf, "signal_values_per_s": round(values / took["agg15_signal_stats"]), "lookup_ids_per_s": round(lookups / took["join02_support_lookup"])}
+        took[name] = _median(lambda name=name: queries[name](spark, sf).write.format("noop").mode("overwrite").save())
+    line = {"metric": "headline_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf, "at_scale": _at_scale(spark, sf)}
     os.write(_OUT, (json.dumps(line) + "\n").encode())
     spark.stop()
 

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from calibrant.plans import evaluation, io, signals, streams, text
+from calibrant.plans import calibration, evaluation, io, signals, streams, text
 
-PLANS: list = [evaluation, text, signals, streams, io]
+PLANS: list = [evaluation, text, signals, calibration, streams, io]

@@ -85,8 +85,6 @@ add("agg16_signal_by_position", lambda s, d: signal(s, d, ["part"]), D + f" SELE
 add("agg17_sequence_delta", lambda s, d: both(s, d).select("vec_id", stats.sequence_delta(F.col("t"), F.slice("s", 1, 50), F.lit(10)).alias("z")).select("vec_id", (F.round("z.delta_sum", 4) + F.lit(0.0)).alias("delta_sum"), (F.round("z.delta_mean", 4) + F.lit(0.0)).alias("delta_mean"), F.col("z.n_tokens").cast("long").alias("n_tokens")),
     D + " SELECT vec_id, round(round_even(sum(t - s), 6), 4) + 0e0 AS delta_sum, round(round_even(avg(t - s), 6), 4) + 0e0 AS delta_mean, count(*) AS n_tokens FROM st WHERE i >= 10 AND i < 50 GROUP BY vec_id")
 add("agg40_verdict", lambda s, d: stats.signal_stats(delta_rows(s, d), "delta", ["part"]).select("part", stats.verdict(F.col("over_0"), F.col("clipped")).alias("verdict")), D + " SELECT part, CASE WHEN o >= 0.2 AND c < 0.5 THEN 'PASS' WHEN o >= 0.05 THEN 'BOUNDARY' ELSE 'FAIL' END AS verdict FROM (SELECT CASE WHEN i / 63e0 < 0.25 THEN 'early' WHEN i / 63e0 < 0.75 THEN 'mid' ELSE 'late' END AS part, avg((t > s)::INT) AS o, avg((abs(t - s) > 1)::INT) AS c FROM st GROUP BY 1)")
-add("agg35_support_audit", lambda s, d: top(s, d).select(f.expected(F.col("ss.v"), F.zip_with(f.gather(F.col("t"), F.col("ss.id")), F.col("ss.v"), lambda a, b: a - b)).alias("e"), (F.size(F.array_intersect("ss.id", "tt.id")) / F.lit(8.0)).alias("h")).agg(F.round(F.avg("e"), 6).alias("expected"), F.round(F.avg("h"), 6).alias("hit"), F.min("h").alias("low"), F.max("h").alias("high")),
-    D + ", v AS (SELECT vec_id, sum(exp(s) * (t - s)) AS e, count(*) FILTER (rt < 8) / 8e0 AS h FROM tk WHERE rs < 8 GROUP BY vec_id) SELECT round(avg(e), 6) AS expected, round(avg(h), 6) AS hit, min(h) AS low, max(h) AS high FROM v")
 
 M = f"WITH {METRICS} "
 
@@ -138,12 +136,7 @@ SELECT pool, step, status, reason, record_count FROM r""")
 add("win11_ring_buffer", lambda s, d: state.fold(observations(s, d).withColumn("item", F.col("step")), ["pool"], ["step"], lambda: state.RingBuffer(32), ["item", "reward"], "slot int, evicted long, protected boolean"))
 _KIND = lambda: F.when(F.col("k") % 3 == 0, "advance").when(F.col("k") % 3 == 1, "put").otherwise("get")
 add("stm01_stale_queue", lambda s, d: state.fold(metrics(s, d).withColumn("kind", _KIND()).withColumn("version", (F.col("step") / 40).cast("int")), ["user_id"], ["step"], lambda: state.StaleQueue(3), ["kind", "version"], "result string, age double, rejected int"))
-add("agg30_age_histogram", lambda s, d: metrics(s, d).withColumn("age", F.col("k") % 7).groupBy("age").agg(F.count("*").alias("n")), M + "SELECT k % 7 AS age, count(*) AS n FROM metrics GROUP BY 1")
 add("agg36_ids_by_budget", lambda s, d: metrics(s, d).groupBy((F.col("k") % 4).alias("budget")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("step")), lambda x: x.cast("string")), ",").alias("ids")), M + "SELECT k % 4 AS budget, string_agg(step::VARCHAR, ',' ORDER BY step) AS ids FROM metrics GROUP BY 1")
-add("agg37_lookup_counters", lambda s, d: metrics(s, d).groupBy("pool").agg(F.count("*").alias("total"), F.count_if(F.col("k") < 70).alias("hit"), F.round(F.avg((F.col("k") < 70).cast("int")), 6).alias("hit_rate")), M + "SELECT pool, count(*) AS total, count(*) FILTER (k < 70) AS hit, round(avg((k < 70)::INT), 6) AS hit_rate FROM metrics GROUP BY pool")
-add("agg38_cost", lambda s, d: metrics(s, d).groupBy("pool").agg(F.round(50000 * F.least(F.avg("k") * 100, F.lit(8192.0)) / (F.max("k") * 2) / 3600, 6).alias("hours")), M + "SELECT pool, round(50000 * least(avg(k) * 100, 8192) / (max(k) * 2) / 3600, 6) AS hours FROM metrics GROUP BY pool")
-add("agg39_smoke_report", lambda s, d: metrics(s, d).agg(F.round(F.avg("k"), 6).alias("mean"), F.round(F.avg(F.when(F.col("pool") == "view", F.col("k"))), 6).alias("view_mean"), F.round(F.avg((F.col("k") >= 90).cast("int")), 6).alias("truncated"), F.min("k").alias("low"), F.max("k").alias("high")), M + "SELECT round(avg(k), 6) AS mean, round(avg(k) FILTER (pool = 'view'), 6) AS view_mean, round(avg((k >= 90)::INT), 6) AS truncated, min(k) AS low, max(k) AS high FROM metrics")
-add("agg34_template_audit", lambda s, d: metrics(s, d).groupBy("pool").agg(F.round(F.avg("reward"), 6).alias("a"), F.round(F.avg(F.col("k").cast("double")), 6).alias("b"), F.round(F.avg("reward") - F.avg("k"), 6).alias("gap")).withColumn("ok", F.abs("gap") < 40), M + "SELECT pool, round(avg(reward), 6) AS a, round(avg(k), 6) AS b, round(avg(reward) - avg(k), 6) AS gap, abs(round(avg(reward) - avg(k), 6)) < 40 AS ok FROM metrics GROUP BY pool")
 
 
 def values(s, d):

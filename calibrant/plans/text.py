@@ -130,17 +130,6 @@ add("arr04_status", on_tokens(lambda: [k.status(F.col("ids"), 4, [1, 2, 3], 4).a
 add("arr05_eval_tokens", on_tokens(lambda: [F.size(k.eval_tokens(F.col("ids"), 4)).alias("n")]), _T + "SELECT doc_id, coalesce(list_position(ids, 4) - 1, len(ids))::INT AS n FROM tk")
 add("arr08_chosen_rank", on_tokens(lambda: [k.chosen_rank(F.col("ids"), F.lit(3), 40).alias("rank")]), _T + "SELECT doc_id, coalesce(list_position(ids, 3) - 1, 40)::BIGINT AS rank FROM tk")
 add("set04_distinct_tokens", on_tokens(lambda: [F.size(F.array_distinct(F.col("ids"))).alias("n")]), _T + "SELECT doc_id, len(list_distinct(ids))::INT AS n FROM tk")
-add("agg32_loop_rate", lambda s, d: toks(s, d).select(F.explode(F.sequence(F.lit(2), F.lit(8))).alias("period"), "ids").groupBy("period").agg(F.round(F.avg(((F.size("ids") >= 2 * F.col("period")) & F.coalesce(F.slice("ids", -F.col("period"), F.col("period")) == F.slice("ids", -2 * F.col("period"), F.col("period")), F.lit(False))).cast("int")), 6).alias("rate")),
-    _T + "SELECT p::INT AS period, round(avg((len(ids) >= 2 * p AND ids[len(ids) - p + 1 : len(ids)] = ids[len(ids) - 2 * p + 1 : len(ids) - p])::INT), 6) AS rate FROM tk, range(2, 9) r(p) GROUP BY p")
-
-
-def _sweep(s, d):
-    rows = toks(s, d).select("doc_id", F.explode(F.array(F.lit(4), F.lit(16), F.lit(32))).alias("least"), "ids")
-    hit = k.has_tail_loop(F.col("ids"), [1, 2, 3], 0) & (F.size("ids") >= F.col("least"))
-    return rows.groupBy("least").agg(F.count_if(hit).alias("detected"), F.round(F.avg(hit.cast("int")), 6).alias("rate"), F.min(F.when(hit, F.col("doc_id"))).alias("first_flagged"))
-
-
-add("agg33_detector_sweep", _sweep, _T + f", h AS (SELECT doc_id, ids, {_LOOP.replace('AND len(ids) >= 4', '')} AS lp FROM tk) ".replace(", h", ", h", 1) + "SELECT m::INT AS least, count(*) FILTER (lp AND len(ids) >= m) AS detected, round(avg((lp AND len(ids) >= m)::INT), 6) AS rate, min(doc_id) FILTER (lp AND len(ids) >= m) AS first_flagged FROM h, (VALUES (4), (16), (32)) v(m) GROUP BY m")
 add("map01_get_with_default", lambda s, d: read(s, d, "events").select("event_id", F.coalesce(F.from_json("props", "map<string,int>")["k"], F.lit(-1)).alias("k"), F.coalesce(F.from_json("props", "map<string,int>")["z"], F.lit(-1)).alias("z")), "SELECT event_id, coalesce((props->>'$.k')::INT, -1) AS k, coalesce((props->>'$.z')::INT, -1) AS z FROM events")
 add("jsn01_tolerant_parse", lambda s, d: read(s, d, "events").select("event_id", F.get_json_object(F.when(F.col("event_id") % 7 == 0, F.lit("{broken")).otherwise(F.col("props")), "$.k").cast("int").alias("k")), "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE (props->>'$.k')::INT END AS k FROM events")
 add("mth01_scalar_math", lambda s, d: read(s, d, "events").select("event_id", F.round(F.col("value") / (1 + F.abs("value")), 9).alias("squashed"), F.round(F.least(F.greatest(F.ln(F.col("value") + 1), F.lit(0.5)), F.lit(2.0)), 9).alias("clamped"), F.coalesce(F.try_divide(F.lit(1.0), F.col("event_id") % 3), F.lit(0.0)).alias("safe")).withColumn("safe", F.round("safe", 9)),

@@ -14,11 +14,11 @@ def curve_report(results: DataFrame, areas: DataFrame) -> str:
     return f"## Accuracy by budget\n\n{markdown_table(wide)}\n\n## Area\n\n{markdown_table(areas.orderBy('label'))}\n"
 
 
-def scale_advice(hours_one: float | None, hours_two: float | None, long_share: float | None, limit_hours: float = 100.0) -> list[str]:
+def scale_advice(hours_one: float | None, hours_two: float | None, long_share: float | None, limit_hours: float = 72.0) -> list[str]:
     """AGG-41: whether the length limit, the corpus size and one worker are enough."""
     out = []
     if long_share is not None:
-        out.append(f"{long_share:.2f} of lengths are over half the limit: " + ("the limit may be lowered" if long_share < 0.05 else "keep the limit"))
+        out.append(f"{long_share:.2f} of lengths are over 4096: " + ("few, the limit of 8192 can stay, the mean is far below it" if long_share < 0.05 else "a long tail, the limit of 8192 is right"))
     if hours_one is not None and hours_two is not None:
         if hours_one <= limit_hours:
             out.append(f"one worker takes {hours_one:.0f} h: enough")
