@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calibrant.llm import textscan as ts
+from calibrant.llm.worker import enter
 from calibrant.session import ship, table
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -169,6 +170,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _mark_batches(batches: Iterator[pa.RecordBatch], text: int, auto: Broadcast, first_block: bool) -> Iterator[pa.RecordBatch]:
+    enter("decontaminate")
     for b in batches:
         row_col = b.column(0)
         texts = row_col.flatten()[text]

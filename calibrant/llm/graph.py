@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibrant.session import table
@@ -11,9 +11,13 @@ from calibrant.session import table
 MAX_BROADCAST_KEYS = 1_000_000
 
 
-def bounded(keys: DataFrame, limit: int = MAX_BROADCAST_KEYS) -> DataFrame:
-    """Mark a materialised list of long keys for broadcast if it is short enough."""
-    return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
+def bounded(keys: DataFrame, limit: int = MAX_BROADCAST_KEYS, longs: Column | None = None) -> DataFrame:
+    """Mark a materialised list for broadcast if it is short enough: in longs, of which a row holds one or as many as given."""
+    if keys.limit(limit + 1).count() > limit:
+        return keys
+    if longs is not None and (keys.agg(F.sum(longs)).first()[0] or 0) > limit:
+        return keys
+    return F.broadcast(keys)
 
 
 def _mark(e: DataFrame) -> tuple:

@@ -1,8 +1,9 @@
 """Near-duplicate classes by SetSketch registers: banding, likelihood estimate, exact check.
 
-A text's set is its distinct word shingles. Its sketch holds, for each of `registers` hash
+A text's set is its distinct word shingles, told apart by 64-bit hashes. Its sketch holds, for each of `registers` hash
 functions, the smallest exponential over the set on a scale of powers of `base`, truncated to
-16 bits; sketches of unions are register maxima. Texts with equal sets are one class. Class
+16 bits; sketches of unions are register maxima. Texts with equal sets are one class: equal by a
+128-bit cryptographic digest over the shingles themselves, not their hashes. Class
 representatives that agree on all registers of a band are candidates; their Jaccard
 similarity is estimated by likelihood from how many registers are larger, smaller and equal,
 and those not clearly below the threshold are confirmed on their full sets of strings.
@@ -30,11 +31,12 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calibrant.llm import textscan as ts
 from calibrant.llm.graph import bounded, components
+from calibrant.llm.worker import enter
 from calibrant.session import ship, table
 
 REGISTERS, ROWS, BASE = 128, 4, 1.001
@@ -44,9 +46,22 @@ _MUL = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint32)
 
 
-def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
-    """Distinct shingle hashes of a text with word hashes h."""
-    return np.unique(ts.windows(h, min(width, len(h)))) if len(h) else h
+def shingle_hashes(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of a text with word hashes h, ascending, and where each is first."""
+    return np.unique(ts.windows(h, min(width, len(h))), return_index=True) if len(h) else (h, np.zeros(0, np.int64))
+
+
+def _joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, width: int) -> bytes:
+    """The shingles that begin at words `at`, one after another: each word with a space."""
+    k = (at[:, None] + np.arange(width)[None, :]).ravel()
+    a, size = starts[k], ends[k] - starts[k] + 1
+    stop = np.cumsum(size)
+    out = np.full(int(stop[-1]), 32, np.uint8)
+    gone = np.arange(len(out)) - np.repeat(stop - size, size)  # byte of its word
+    inside = np.ones(len(out), bool)
+    inside[stop - 1] = False
+    out[inside] = buf[(np.repeat(a, size) + gone)[inside]]
+    return out.tobytes().lower()
 
 
 def registers(u: np.ndarray) -> np.ndarray:
@@ -81,6 +96,7 @@ def estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, ste
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    enter("near_dedup")
     band = ts.mix(np.arange(1, REGISTERS // ROWS + 1, dtype=np.uint64))
     for b in batches:
         for s in ts.slices(b.column(1)):
@@ -88,11 +104,11 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[p
             h = ts.hashes(s.buf, w.starts, w.ends, fold=True)
             sizes, digests, regs, keys = [], [], [], []
             for i, j in zip(w.first[:-1], w.first[1:]):
-                u = shingle_hashes(h[i:j], width)
+                u, at = shingle_hashes(h[i:j], width)
                 sizes.append(len(u))
                 if len(u):
                     r = registers(u)
-                    digests.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest())
+                    digests.append(hashlib.blake2b(_joined(s.buf, w.starts[i:j], w.ends[i:j], at, min(width, j - i)), digest_size=16, key=bytes([min(width, j - i)])).digest())
                     regs.append(r.tobytes())
                     keys.append(ts.mix(r.view("<u8") ^ band).astype(np.int64))
                 else:
@@ -122,6 +138,7 @@ def shingles(text: str | None, width: int) -> set:
 
 
 def _likely_batches(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    enter("near_dedup")
     for b in batches:
         if b.num_rows:
             regs = [np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(-1, REGISTERS) for i in (2, 3)]
@@ -135,6 +152,7 @@ def _linked(x: set, y: set, percent: int) -> bool:
 
 
 def _confirm_batches(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    enter("near_dedup")
     last: dict[int, tuple] = {0: (None, None), 1: (None, None)}
 
     def of(side: int, key, text) -> set:
@@ -161,7 +179,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, pe
 
 def _block_links(pdf: pd.DataFrame, width: int, percent: int, margin: float) -> pd.DataFrame:
     """Links between the sides of one pair of blocks that join components not yet joined here."""
-    pdf = pdf.sort_values("id", kind="stable").drop_duplicates(["side", "id"])
+    pdf = pdf.sort_values("id", kind="stable").drop_duplicates(["side", "id", "text"])
     a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
     same = not len(b)  # a block with itself
     b = a if same else b
@@ -172,12 +190,12 @@ def _block_links(pdf: pd.DataFrame, width: int, percent: int, margin: float) ->
             parent[x] = x = parent.setdefault(p, p)
         return x
 
-    sets: dict[int, set] = {}
+    sets: dict[tuple, set] = {}
 
     def of(i: int, text: str) -> set:
-        if i not in sets:
-            sets[i] = shingles(text, width)
-        return sets[i]
+        if (i, text) not in sets:
+            sets[i, text] = shingles(text, width)
+        return sets[i, text]
 
     band = int(pdf["band"].iloc[0])
     kb, rb, nb = np.array(b["keys"].tolist()), np.frombuffer(b"".join(b["registers"]), "<u2").reshape(-1, REGISTERS), b["n"].to_numpy(float)
@@ -206,10 +224,11 @@ def _blocks(members: DataFrame, size: int) -> DataFrame:
     count = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
     main = count.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
     rows = members.join(main, "key").withColumn("minor", (F.col("comp") != F.col("main")).cast("int"))
-    order = Window.partitionBy("key", "minor").orderBy("id")
-    rows = rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / size).cast("int"))
-    most = rows.groupBy("key").agg(F.max(F.when(F.col("minor") == 1, F.col("block"))).alias("most_minor"), F.max(F.when(F.col("minor") == 0, F.col("block"))).alias("most_major"))
-    rows = rows.join(most, "key").where("most_minor IS NOT NULL")
+    # texts are dealt to blocks by hash: numbering them would bring a bucket into one task
+    n = rows.groupBy("key").agg(F.sum("minor").alias("n_minor"), F.sum(1 - F.col("minor")).alias("n_major")).where("n_minor > 0")
+    n = n.select("key", *(F.ceil(F.col(f"n_{k}") / size).cast("int").alias(f"of_{k}") for k in ("minor", "major")))
+    dealt = F.pmod(F.xxhash64("id"), F.when(F.col("minor") == 1, F.col("of_minor")).otherwise(F.col("of_major"))).cast("int")
+    rows = rows.join(n, "key").withColumn("block", dealt).withColumn("most_minor", F.col("of_minor") - 1).withColumn("most_major", F.col("of_major") - 1)
     b, last_minor, last_major = F.col("block"), F.col("most_minor"), F.col("most_major")
     spot = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
     up_to = lambda n: F.sequence(F.lit(0), n)
@@ -278,9 +297,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies (five-word shingles, 0.8) the smallest doc_id stays."""
+    """Pipeline stage: of each group of near copies (five-word shingles, 0.8) the smallest doc_id stays.
+
+    Of rows that are equal in all columns one stays; rows that repeat a doc_id with another text stay with it.
+    """
+    again = table(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")), "again")
+    if not again.isEmpty():
+        twice = docs.join(again, docs["doc_id"] == again["again"], "left_semi").dropDuplicates()
+        docs = table(docs.join(again, docs["doc_id"] == again["again"], "left_anti").union(twice), "rows")
     gone = table(components_of(docs, width=5).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.join(bounded(gone), docs["doc_id"] == F.col("gone"), "left_anti")
+    gone = bounded(gone)
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calibrant.llm import textscan as ts
+from calibrant.llm.worker import enter
 from calibrant.session import ship
 
 #: Symbols that count as such (fixed values).
@@ -80,6 +81,7 @@ def slice_stats(s: ts.Slice) -> dict[str, np.ndarray]:
 
 
 def _stats_batches(batches: Iterator[pa.RecordBatch], text: int | None) -> Iterator[pa.RecordBatch]:
+    enter("quality_rules")
     for b in batches:
         row = b.column(0)
         for s in ts.slices(b.column(1) if text is None else row.flatten()[text]):

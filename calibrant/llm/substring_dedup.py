@@ -24,15 +24,16 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calibrant.llm import textscan as ts
 from calibrant.llm.graph import bounded
+from calibrant.llm.worker import enter
 from calibrant.session import ship, table
 
 #: Words on either side that a chunk's first word is compared with.
-NEAR = 3
+NEAR = 4
 #: Words at a window's beginning and end whose cuts may depend on text outside it: 16 bytes are 8 words at most.
 RIM = (NEAR + 9, NEAR + 1)
 #: A window that recurs in its own text within so many bytes points there: else each place of a periodic run had a seed of its own.
@@ -98,6 +99,7 @@ _CHUNKS = "doc_id long, digests array<long>, begins array<int>, n_words int, n_b
 
 
 def _chunk_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    enter("substring_dedup")
     for b in batches:
         for s in ts.slices(b.column(1)):
             c, w = chunks(s), ts.words(s, ts.SPACED)
@@ -112,6 +114,7 @@ def _chunk_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterato
 
 
 def _open_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    enter("substring_dedup")
     for b in batches:
         runs = []
         for begins, n, at in zip(*(b.column(k) for k in (1, 2, 3))):
@@ -125,9 +128,11 @@ def _open_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator
 
 
 def _window_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    enter("substring_dedup")
     for b in batches:
         for s in ts.slices(b.column(1)):
             w = ts.words(s, ts.SPACED)
+            n = s.hi - s.lo
             per = [np.concatenate([np.arange(i, j) for i, j in r.values.to_numpy().reshape(-1, 2)]) for r in b.column(2).slice(s.lo, s.hi - s.lo)]
             sizes = [len(x) for x in per]
             at = np.concatenate(per) + np.repeat(w.first[:-1], sizes)
@@ -135,8 +140,14 @@ def _window_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterat
             gaps = ts.windows(ts.hashes(s.buf, w.starts, np.r_[w.starts[1:], w.ends[-1:]]), min_words - 1)
             with np.errstate(over="ignore"):
                 h = ts.mix(gaps[at] * np.uint64(0x9DDFEA08EB382D69) + ts.hashes(s.buf, w.starts, w.ends)[at + min_words - 1])
-            ids = np.repeat(b.column(0).slice(s.lo, s.hi - s.lo).to_numpy(), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(ids), pa.array(w.starts[at] - np.repeat(s.offs[:-1], sizes))], ["digest", "doc_id", "place"])
+            ids = np.repeat(b.column(0).slice(s.lo, n).to_numpy(), sizes)
+            row, place = np.repeat(np.arange(n), sizes), w.starts[at] - np.repeat(s.offs[:-1], sizes)
+            # the last place of the same window in the same text, if it is near
+            order = np.lexsort((place, h, row))
+            same = np.r_[False, (h[order][1:] == h[order][:-1]) & (row[order][1:] == row[order][:-1]) & (np.diff(place[order]) <= PERIOD)]
+            last = np.full(len(h), -1, np.int64)
+            last[order[same]] = place[order[np.flatnonzero(same) - 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(ids), pa.array(place), pa.array(last)], ["digest", "doc_id", "place", "last"])
 
 
 def _starts(text: bytes) -> list[int]:
@@ -181,6 +192,7 @@ def grow(a: bytes, b: bytes, i: int, j: int, ra: bytes, rb: bytes) -> tuple[int,
 
 def _grow_batches(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substring_dedup")
         last: dict[int, tuple] = {0: (None,), 1: (None,)}
 
         def of(side: int, key: int, text) -> tuple:
@@ -236,11 +248,14 @@ def passages(docs: DataFrame, min_words: int = 50, min_seed: int = 2) -> DataFra
     known = dup.select(doc("it").alias("doc_id"), place("it").cast("int").alias("place")).groupBy("doc_id").agg(F.collect_list("place").alias("at"))
     runs = own.join(known, "doc_id", "left").where(F.col("open") | F.col("at").isNotNull()).select("doc_id", "begins", "n_words", "at")
     runs = table(runs.mapInArrow(partial(_open_batches, min_words=min_words), "doc_id long, runs array<int>"), "runs")
-    some = rows.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(partial(_window_batches, min_words=min_words), "digest long, doc_id long, place long")
-    by = Window.partitionBy("digest").orderBy("it")
-    some = some.select("digest", it.alias("it")).select("it", F.first("it").over(by).alias("first"), F.lag("it").over(by).alias("last")).where(F.col("last").isNotNull())
-    near = (doc("last") == doc("it")) & (place("it") - place("last") <= PERIOD)
-    some = some.select("it", F.when(near, F.col("last")).otherwise(F.col("first")).alias("first"))
+    held = rows.join(bounded(runs.select("doc_id")), "doc_id", "left_semi")  # texts without runs are not shuffled
+    some = held.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(partial(_window_batches, min_words=min_words), "digest long, doc_id long, place long, last long")
+    some = table(some, "windows")
+    # a window that recurs nearby points there, and is never the first of its kind
+    back = some.where("last >= 0").select(it.alias("it"), F.col("last").alias("place"), "doc_id").select("it", it.alias("first"))
+    some = some.where("last < 0").select("digest", it.alias("it"))
+    firsts = some.groupBy("digest").agg(F.min("it").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    some = some.join(firsts, "digest").where(F.col("it") != F.col("first")).select("it", "first").union(back)
     # a passage of min_words lies in such windows, so chunks need not seed other texts
     seeds = links(dup.where(F.col("it") != F.col("first"))).where(F.size("at") >= min_seed).join(bounded(runs.select("doc_id")), "doc_id", "left_semi")
     seeds = table(seeds.withColumn("in_bytes", F.lit(False)).union(links(some).withColumn("in_bytes", F.lit(True))), "seeds")
@@ -268,8 +283,7 @@ def dedup(docs: DataFrame, **kw) -> DataFrame:
     """docs as `row` (a struct), with `spans` to remove (null if none) and `text` without them."""
     cuts = table(cut_spans(docs, **kw), "cuts")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    # a list of ranges is longer than an id: a tenth of the bound
-    rows = rows.join(bounded(cuts, 100_000), F.col("row.doc_id") == F.col("cut_id"), "left").drop("cut_id")
+    rows = rows.join(bounded(cuts, longs=1 + 3 * F.size("spans")), F.col("row.doc_id") == F.col("cut_id"), "left").drop("cut_id")
     raw, n = F.encode(F.col("row.text"), "utf-8"), F.octet_length(F.col("row.text")).cast("long")
     begins = F.concat(F.array(F.lit(0).cast("long")), F.col("spans.end"))
     ends = F.concat(F.col("spans.start"), F.array(n))

@@ -1,43 +1,23 @@
 """Vectorised scanning of Arrow text: words, lines, prefix sums and 64-bit hashes of byte ranges.
 
 Works on the UTF-8 bytes of a slice of rows at a time, so that memory follows the slice and
-not the table. A range's hash is a polynomial over table-randomised bytes (mod 2**64),
-finished by a bit mixer; it depends on the range's bytes alone.
+not the table. A range's hash takes eight bytes a step through a bit mixer, which is not
+linear; it depends on the range's bytes alone.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BLOCK = 1 << 17
-
-
-def _table(seed: int, fold: bool) -> np.ndarray:
-    t = np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    if fold:
-        t[65:91] = t[97:123]
-    return t
-
-
-_RAW, _FOLDED = _table(11, False), _table(11, True)
-_POW = np.ones(1, np.uint64)
-_INV = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> None:
-    global _POW, _INV
-    if len(_POW) < n:
-        n = max(n, 2 * _BLOCK)
-        inv = pow(_BASE, -1, 2**64)
-        with np.errstate(over="ignore"):
-            p, q = np.full(n, _BASE, np.uint64), np.full(n, inv, np.uint64)
-            p[0] = q[0] = 1
-            _POW, _INV = np.cumprod(p, dtype=np.uint64), np.cumprod(q, dtype=np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Ranges up to this many bytes are hashed in eights, all at once; longer ones by a library's hash each.
+_SHORT = 128
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -73,7 +53,7 @@ class Slice:
     offs: np.ndarray
 
 
-def slices(col: pa.Array, size: int = 1 << 21) -> Iterator[Slice]:
+def slices(col: pa.Array, size: int = 1 << 18) -> Iterator[Slice]:
     """Cut a string column into slices of about `size` bytes; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
@@ -136,23 +116,25 @@ def lines(s: Slice) -> Spans:
 
 
 def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """64-bit hash of each range (ascending, disjoint); fold: A-Z count as a-z."""
-    out = np.zeros(len(starts), np.uint64)
-    tab = _FOLDED if fold else _RAW
-    i, n = 0, len(starts)
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _BLOCK, "right")))
-        j = min(j, n)
-        base = starts[i]
-        seg = buf[base : ends[j - 1]]
-        _powers(len(seg) + 1)
-        c = np.zeros(len(seg) + 1, np.uint64)
-        v = tab[seg]
-        v *= _POW[: len(seg)]
-        np.cumsum(v, out=c[1:])
-        a, b = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = mix((c[b] - c[a]) * _INV[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        i = j
+    """64-bit hash of each range; fold: A-Z count as a-z."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64(0xD6E8FEB86659FD93))
+    if not len(size):
+        return out
+    data = np.zeros(len(buf) + 8, np.uint8)
+    data[: len(buf)] = _LOWER[buf] if fold else buf
+    eights = np.ndarray(len(buf) + 1, "<u8", data, 0, (1,))  # the eight bytes from each place on
+    at = np.flatnonzero(size <= _SHORT)
+    k = 0
+    while len(at := at[size[at] > k]):
+        x = eights[starts[at] + k].astype(np.uint64)
+        rest = size[at] - k
+        tail = rest < 8
+        x[tail] &= (np.uint64(1) << (rest[tail].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        out[at] = mix(out[at] ^ x)
+        k += 8
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
     return out
 
 
