@@ -27,15 +27,16 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     )
 
 
-#: Rows an Arrow batch holds where the session does not say; whole texts in batches of 10,000 (the default) fill a small executor.
+#: Rows an Arrow batch holds where nobody set their number, 10,000 included; whole texts in batches of 10,000 (the default) fill a small executor.
 ARROW_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, and keep Arrow batches small unless the session sets their size."""
     sc = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(ARROW_ROWS))
     if getattr(sc, "_calibrant_shipped", False):
         return
     out = Path(tempfile.mkdtemp()) / "calibrant_pkg.zip"
