@@ -39,6 +39,11 @@ def lookup(ids: Column, support: Column, fill: float = 0.0) -> Column:
     return let(F.map_from_entries(support), lambda m: F.transform(ids, lambda i: F.coalesce(F.element_at(m, i), F.lit(fill))))
 
 
+def teacher_support_delta(rl: Column, ref: Column, k: int) -> Column:
+    """TOP-03: (id, v) of the k most likely tokens under rl, with v the difference to ref there."""
+    return let(top_k(rl, k), lambda s: F.zip_with(s, gather(ref, F.transform(s, lambda p: p["id"])), lambda p, r: F.struct(p["id"].alias("id"), (p["v"] - r).alias("v"))))
+
+
 def scatter(ids: Column, values: Column, vocab: int, fill: float = 0.0) -> Column:
     """JOIN-01: dense form of a support."""
     return let(F.map_from_arrays(ids, values), lambda m: F.transform(F.sequence(F.lit(0), F.lit(vocab - 1)), lambda i: F.coalesce(F.element_at(m, i), F.lit(fill))))

@@ -94,7 +94,7 @@ def sample_with_replacement(rows: DataFrame, key: str, draws: int, seed: int = 0
     placed, n = positions(rows, key)
     if not n:
         return placed.withColumn("draw", F.lit(0).cast("long")).limit(0)
-    hashed = F.crc32(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")))
+    hashed = F.conv(F.substring(seeded(F.col("id"), seed), 1, 8), 16, 10).cast("long")
     d = rows.sparkSession.range(draws).select(F.col("id").alias("draw"), F.pmod(hashed, F.lit(n)).alias("position"))
     return d.join(placed, "position")
 

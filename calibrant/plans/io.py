@@ -84,6 +84,31 @@ def _metrics(s, d):
 add("src11_growing_metrics", _metrics, "SELECT event_id AS step, value AS loss, CASE WHEN event_id % 2 = 1 THEN value / 2 END AS kl FROM events WHERE event_id < (SELECT max(event_id) - 10 FROM events)")
 
 
+def _metrics_csv(s, d):
+    """Metrics to CSV and back, with a line cut short."""
+    path, out = at(s, "metrics"), at(s, "csv")
+    e = read(s, d, "events").select(F.col("event_id").alias("step"), F.col("value").alias("loss"), F.col("event_type").alias("pool"))
+    files.append_metrics(e.where("step % 2 = 0"), path)
+    files.append_metrics(e.where("step % 2 = 1").withColumn("kl", F.col("loss") / 2), path)
+    files.export_metrics(s, path, out)
+    s.createDataFrame([("step,loss,pool,kl",), ("77777777,1.5",)], "value string").coalesce(1).write.mode("append").text(out)
+    back = files.read_metrics_csv(s, out)
+    return back.groupBy(F.col(files.phase_column(back)).alias("phase")).agg(F.count("*").alias("n"), F.max("step").cast("long").alias("last"), F.count("kl").alias("with_kl"), F.round(F.sum(F.col("loss").cast("double")), 3).alias("loss"))
+
+
+add("src12_metrics_csv", _metrics_csv, "SELECT event_type AS phase, count(*) AS n, max(event_id) AS last, count(*) FILTER (event_id % 2 = 1) AS with_kl, round(sum(value), 3) AS loss FROM events GROUP BY 1")
+
+
+def _first_valid(s, d):
+    path = at(s, "first")
+    b = read(s, d, "benchmark").select("item_id", F.when(F.col("item_id") % 5 == 2, F.lit("oops")).otherwise(F.to_json(F.struct(F.col("text").alias("prompt"), F.when(F.col("item_id") % 7 == 3, F.lit("")).otherwise(F.col("item_id").cast("string")).alias("response")))).alias("value"))
+    b.coalesce(1).orderBy("item_id").select("value").write.text(path)
+    return files.first_valid(s, path, 12).select(F.col("response").alias("id"), "prompt")
+
+
+add("src28_first_valid", _first_valid, "SELECT item_id::VARCHAR AS id, text AS prompt FROM benchmark WHERE item_id % 5 <> 2 AND item_id % 7 <> 3 ORDER BY item_id LIMIT 12")
+
+
 def _cells(s, d):
     path = at(s, "cells")
     rows = read(s, d, "orders").select(F.col("o_orderstatus").alias("label"), (F.col("o_orderkey") % 2).alias("dataset"), F.lit(512).alias("budget"), "o_orderkey")
@@ -143,7 +168,7 @@ def _stale_stream(s, d):
 
 
 add("stm02_stale_stream", _stale_stream)
-add("stm08_keyed_average", lambda s, d: _average(s, d), """WITH o AS (SELECT user_id, list(value ORDER BY ts, event_id) AS r FROM events GROUP BY user_id)
+add("win05_stream_average", lambda s, d: _average(s, d), """WITH o AS (SELECT user_id, list(value ORDER BY ts, event_id) AS r FROM events GROUP BY user_id)
 SELECT user_id, round(list_sum(list_transform(r, lambda x, j: 0.1::DOUBLE * x * pow(0.9::DOUBLE, len(r) - j))), 6) AS ema, len(r)::BIGINT AS seen FROM o""")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from calibrant.functions import dists as f
-from calibrant.operators import selection, state, stats
+from calibrant.operators import selection, state, stats, training
 from calibrant.plans.views import DISTS, METRICS, dists, metrics, read
 
 QUERIES, ORACLE = {}, {}
@@ -36,6 +36,7 @@ add("arr01_log_softmax", lambda s, d: both(s, d).select("vec_id", F.posexplode("
 add("top02_top_k", lambda s, d: top(s, d).select("vec_id", F.posexplode("ss").alias("rank", "p")).select("vec_id", "rank", F.col("p.id").alias("id")), D + " SELECT vec_id, rs::INT AS rank, i::INT AS id FROM tk WHERE rs < 8")
 add("top01_cache_build", lambda s, d: top(s, d).select("vec_id", F.explode(f.by_id("tt")).alias("p"), "s", "t").select("vec_id", F.col("p.id").alias("id"), F.round(F.element_at("t", F.col("p.id") + 1) - F.element_at("s", F.col("p.id") + 1), 6).alias("delta")),
     D + " SELECT vec_id, i::INT AS id, round(t - s, 6) AS delta FROM tk WHERE rt < 8")
+add("top03_teacher_support_delta", lambda s, d: both(s, d).select("vec_id", F.explode(f.teacher_support_delta(F.col("t"), F.col("s"), 8)).alias("p")).select("vec_id", "p.id", F.round("p.v", 6).alias("delta")), D + " SELECT vec_id, i::INT AS id, round(t - s, 6) AS delta FROM tk WHERE rt < 8")
 add("join02_support_lookup", lambda s, d: top(s, d).select("vec_id", F.round(_sum(f.lookup(F.col("ss.id"), F.col("tt"))), 6).alias("total")), D + " SELECT vec_id, round(coalesce(sum(t) FILTER (rt < 8), 0), 6) AS total FROM tk WHERE rs < 8 GROUP BY vec_id")
 add("join03_tail_lookup", lambda s, d: top(s, d).select("vec_id", F.round(_sum(f.lookup(F.col("ss.id"), F.col("tt"), f.TAIL)), 6).alias("total")), D + " SELECT vec_id, round(sum(CASE WHEN rt < 8 THEN t ELSE -100 END), 6) AS total FROM tk WHERE rs < 8 GROUP BY vec_id")
 add("join01_dense_lookup", lambda s, d: top(s, d).select("vec_id", F.round(_sum(f.scatter(F.col("ss.id"), f.lookup(F.col("ss.id"), F.col("tt")), 64)), 6).alias("total")), D + " SELECT vec_id, round(coalesce(sum(t) FILTER (rt < 8), 0), 6) AS total FROM tk WHERE rs < 8 GROUP BY vec_id")
@@ -162,7 +163,9 @@ add("top07_select_and_budget", lambda s, d: selection.select_and_budget(metrics(
 add("top07_fixed_budget", lambda s, d: selection.select_and_budget(metrics(s, d), "step", "k", 50, "fixed").select("step", "kind", "budget", "granted", "dropped"), _PICKED + " SELECT step, kind, 1024::INT AS budget, 1024::INT AS granted, false AS dropped FROM pk")
 add("top08_head_limit", lambda s, d: read(s, d, "orders").orderBy("o_orderkey").limit(25).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 25")
 add("top09_shard", lambda s, d: s.range(3).select(F.col("id").cast("int").alias("rank")).join(read(s, d, "customer").select("c_custkey", F.pmod(F.col("c_custkey"), F.lit(3)).cast("int").alias("rank")), "rank").groupBy("rank").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("ids")), "SELECT (c_custkey % 3)::INT AS rank, count(*) AS n, sum(c_custkey)::BIGINT AS ids FROM customer GROUP BY 1")
-add("top10_with_replacement", lambda s, d: selection.sample_with_replacement(read(s, d, "customer").select("c_custkey", "c_name"), "c_custkey", 400).select("draw", "position"))
+_DRAW = "(('0x' || substr(md5(i::VARCHAR || ':0'), 1, 8))::BIGINT % (SELECT count(*) FROM {t}))"
+add("top10_with_replacement", lambda s, d: selection.sample_with_replacement(read(s, d, "customer").select("c_custkey", "c_name"), "c_custkey", 400).select("draw", "position", "c_name"),
+    "WITH p AS (SELECT c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer) SELECT i AS draw, position, c_name FROM range(400) r(i) JOIN p ON position = " + _DRAW.format(t="customer"))
 add("top10_positions", lambda s, d: selection.positions(read(s, d, "customer").select("c_custkey", "c_name"), "c_custkey")[0], "SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer")
 add("top11_ordered_results", lambda s, d: read(s, d, "nation").orderBy("n_regionkey", "n_name").select("n_regionkey", "n_name"), "SELECT n_regionkey, n_name FROM nation ORDER BY 1, 2")
 add("set01_intersect", lambda s, d: read(s, d, "documents").select("doc_id").intersect(read(s, d, "labels").select("doc_id")), "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
@@ -181,3 +184,15 @@ add("join15_matrix", lambda s, d: read(s, d, "region").select("r_name").crossJoi
 add("join16_stage_match", lambda s, d: read(s, d, "part").groupBy("p_size").agg(F.max_by("p_name", F.struct("p_retailprice", "p_partkey")).alias("best")), "SELECT p_size, max_by(p_name, (p_retailprice, p_partkey)) AS best FROM part GROUP BY p_size")
 add("src16_upsert", lambda s, d: selection.upsert(read(s, d, "orders").select("o_orderkey", F.lit("old").alias("v")), read(s, d, "orders").where("o_orderkey % 5 = 0").select("o_orderkey", F.lit("new").alias("v")), ["o_orderkey"]), "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'new' ELSE 'old' END AS v FROM orders")
 add("src13_truncate_at_step", lambda s, d: metrics(s, d).where("step IS NULL OR step < 1000").select("step", "reward"), M + "SELECT step, reward FROM metrics WHERE step < 1000")
+
+
+def _steps(x, keys):
+    return _r6(training.step_metrics(x, keys, F.col("s"), F.col("t"), F.zip_with("t", "s", lambda a, b: a - b), F.col("t"), delta_clip=2.0), "pg_loss", "kl_loss", "reward", "adv_mean", "loss")
+
+
+_STEP = f""", v AS (SELECT vec_id, -sum(CASE WHEN t < -20 THEN 0 ELSE exp(t) * least(exp({_R}) * least(greatest(t - s, -2), 2), least(greatest(exp({_R}), 0.8::DOUBLE), 1.2::DOUBLE) * least(greatest(t - s, -2), 2)) END) AS pg,
+  sum(exp(s) * (exp(t - s) - (t - s) - 1)) AS kl, sum(exp(s) * (t - s)) AS r, avg(t - s) AS adv FROM st GROUP BY vec_id)"""
+_MEANS = "count(*) AS batch, round(avg(pg), 6) AS pg_loss, round(avg(kl), 6) AS kl_loss, round(avg(r), 6) AS reward, round(avg(adv), 6) AS adv_mean, round(avg(pg) + 0.1::DOUBLE * avg(kl), 6) AS loss"
+add("stm10_base_step", lambda s, d: _steps(both(s, d).withColumn("step", (F.col("vec_id") % 8).cast("int")), ["step"]), D + _STEP + f" SELECT (vec_id % 8)::INT AS step, {_MEANS} FROM v GROUP BY 1")
+add("stm09_refresh_step", lambda s, d: _steps(training.refresh_batches(both(s, d), "vec_id", 5, 32), ["step"]),
+    D + _STEP + ", p AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS position FROM v) SELECT (i // 32)::INT AS step, " + _MEANS + " FROM range(160) r(i) JOIN p ON position = " + _DRAW.format(t="v") + " GROUP BY 1")

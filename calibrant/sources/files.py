@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
+from calibrant.errors import StateError
 from calibrant.functions.text import hash_answer
 
 PROMPTS = "prompt string, response string, ground_truth string"
@@ -117,6 +122,70 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(path)
 
 
+def export_metrics(spark: SparkSession, path: str, out: str) -> None:
+    """SRC-11: the metrics as CSV under one header that has every column that ever was."""
+    read_metrics(spark, path).orderBy("step").write.option("header", "true").csv(out)
+
+
+def read_metrics_csv(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-12: a metrics CSV: numbers where all values are, else text; a last line cut short by a crash, or any line of another width, is left out."""
+    guessed = spark.read.option("header", "true").option("inferSchema", "true").option("mode", "DROPMALFORMED").csv(path).schema
+    schema = StructType([*(StructField(f.name, f.dataType, True) for f in guessed), StructField("_corrupt", StringType())])
+    rows = spark.read.schema(schema).option("header", "true").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
+    return rows.where(F.col("_corrupt").isNull()).drop("_corrupt")
+
+
+def first_valid(spark: SparkSession, path: str, n: int, schema: str = PROMPTS, prompt: str = "prompt", response: str = "response") -> DataFrame:
+    """SRC-28: the first n valid rows in file order. Files and the lines in them keep their order; a sort with a limit needs no full sort."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    row = F.from_json("value", schema)
+    ok = lines.withColumn("row", row).where((F.col(f"row.{prompt}") != "") & (F.col(f"row.{response}") != ""))
+    return ok.orderBy("file", "block", "at").limit(n).select("row.*")
+
+
+def read_column_files(spark: SparkSession, root: str, n_tokens: int, top_k: int) -> DataFrame:
+    """SRC-09: raw column files `ids.dat` (int32), `delta.dat` (float32), both rows x n_tokens x top_k, and `lengths.dat` (int32): sample_id, ids, delta, response_len.
+
+    Records have a fixed length, so a file is read in parallel wherever it is cut.
+    """
+
+    def column(name: str, width: int, kind: str) -> DataFrame:
+        records = spark.sparkContext.binaryRecords(f"{root}/{name}.dat", 4 * width).zipWithIndex()
+        schema = StructType([StructField("raw", BinaryType()), StructField("sample_id", LongType())])
+        return spark.createDataFrame(records.map(lambda x: (bytearray(x[0]), x[1])), schema).select("sample_id", _unpacker(kind)("raw").alias(name))
+
+    cells = n_tokens * top_k
+    lengths = column("lengths", 1, "<i4").select("sample_id", F.col("lengths")[0].cast("int").alias("response_len"))
+    return column("ids", cells, "<i4").select("sample_id", F.col("ids").cast("array<int>").alias("ids")).join(column("delta", cells, "<f4"), "sample_id").join(lengths, "sample_id")
+
+
+def _unpacker(kind: str) -> Callable[[str], Column]:
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def unpack(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: np.frombuffer(b, kind).astype(float))
+
+    return unpack
+
+
+def experiment_matrix(spark: SparkSession, axes: dict[str, list], base: dict | None = None) -> DataFrame:
+    """UDF-05: every combination of some settings over a base, as rows of (name, config in JSON)."""
+    rows = []
+    for values in itertools.product(*axes.values()):
+        picked = dict(zip(axes, values))
+        config = json.loads(json.dumps(base or {}))
+        for k, v in picked.items():
+            set_dotted(config, k, v)
+        rows.append(("-".join(f"{k.rsplit('.', 1)[-1]}={v}" for k, v in picked.items()), json.dumps(config, sort_keys=True)))
+    return spark.createDataFrame(rows, "name string, config string")
+
+
+def stop_if_poisoned(df: DataFrame, flag: str = "rollout/weight_sync_poisoned") -> DataFrame:
+    """STM-13: metrics of a run whose weights may be out of step are not gone on with."""
+    if flag in df.columns and not df.where(F.col(f"`{flag}`").cast("string").isin("true", "True", "1", "1.0")).isEmpty():
+        raise StateError(f"{flag} is set: weights of the generator and the trainer may differ")
+    return df
+
+
 def phase_column(df: DataFrame) -> str | None:
     """SRC-12."""
     return next((c for c in ("pool", "phase", "stage", "type", "phase_type") if c in df.columns), None)
