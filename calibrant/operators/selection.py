@@ -81,9 +81,21 @@ def select_and_budget(rows: DataFrame, key: str, value: str, m: int, mode: str =
     return enforce_budget(out.withColumn("all", F.lit(0)), ["all"], key, "budget", value, limit, least_share).drop("all")
 
 
-def shard(rows: DataFrame, key: str, n: int, rank: int) -> DataFrame:
+def number(key: Column, seed: int) -> Column:
+    """32 bits of the hash order."""
+    return F.conv(F.substring(seeded(key, seed), 1, 8), 16, 10).cast("long")
+
+
+def shard(rows: DataFrame, key: str, n: int, rank: int, seed: int = 0) -> DataFrame:
     """TOP-09: one of n disjoint shards that make up the whole."""
-    return rows.where(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(n)) == rank)
+    return rows.where(F.pmod(number(F.col(key), seed), F.lit(n)) == rank)
+
+
+def sampled_shard(rows: DataFrame, key: str, size: int, n: int, rank: int, seed: int = 0) -> DataFrame:
+    """TOP-09: one of n shards of a seeded sample of `size` rows, whose sizes differ by one at most."""
+    some = rows.withColumn("_h", seeded(F.col(key), seed)).orderBy("_h", key).limit(size)
+    placed = some.withColumn("_p", F.row_number().over(Window.orderBy("_h", key)) - 1)  # the sample has `size` rows
+    return placed.where(F.col("_p") % n == rank).drop("_h", "_p")
 
 
 def sample_with_replacement(rows: DataFrame, key: str, draws: int, seed: int = 0) -> DataFrame:
@@ -94,8 +106,7 @@ def sample_with_replacement(rows: DataFrame, key: str, draws: int, seed: int = 0
     placed, n = positions(rows, key)
     if not n:
         return placed.withColumn("draw", F.lit(0).cast("long")).limit(0)
-    hashed = F.conv(F.substring(seeded(F.col("id"), seed), 1, 8), 16, 10).cast("long")
-    d = rows.sparkSession.range(draws).select(F.col("id").alias("draw"), F.pmod(hashed, F.lit(n)).alias("position"))
+    d = rows.sparkSession.range(draws).select(F.col("id").alias("draw"), F.pmod(number(F.col("id"), seed), F.lit(n)).alias("position"))
     return d.join(placed, "position")
 
 

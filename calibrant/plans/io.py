@@ -53,11 +53,11 @@ def _tree(s, d):
     path = at(s, "tree")
     for stage, flag in (("before", "A"), ("after", "N")):
         read(s, d, "lineitem").where(F.col("l_returnflag") == flag).select("l_orderkey", "l_quantity").write.json(f"{path}/{stage}/m1")
-    got = s.read.schema("l_orderkey long, l_quantity double").option("recursiveFileLookup", "true").json(path)
-    return got.groupBy(F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+/[^/]+$", 1).alias("stage")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("total"))
+    got = files.read_results_tree(s, path, "l_orderkey long, l_quantity double", kind="json")
+    return got.groupBy("stage", "model").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("total"))
 
 
-add("src08_results_tree", _tree, "SELECT CASE l_returnflag WHEN 'A' THEN 'before' ELSE 'after' END AS stage, count(*) AS n, sum(l_quantity) AS total FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY 1")
+add("src08_results_tree", _tree, "SELECT CASE l_returnflag WHEN 'A' THEN 'before' ELSE 'after' END AS stage, 'm1' AS model, count(*) AS n, sum(l_quantity) AS total FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY 1")
 
 
 def _cache(s, d):

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calibrant.functions import dists as f
-from calibrant.operators import selection, state, stats, training
+from calibrant.operators import relational, selection, state, stats, training
 from calibrant.plans.views import DISTS, METRICS, dists, metrics, read
+from calibrant.sources import files
 
 QUERIES, ORACLE = {}, {}
 
@@ -94,6 +98,7 @@ def observations(s, d):
     return metrics(s, d).withColumn("dis", F.col("k") / 100)
 
 
+_r4 = lambda df, *c: df.select(*[x for x in df.columns if x not in c], *(F.round(x, 4).alias(x) for x in c))
 _r6 = lambda df, *c: df.select(*[x for x in df.columns if x not in c], *(F.round(x, 6).alias(x) for x in c))
 add("win05_prompt_state", lambda s, d: _r6(state.prompt_state(observations(s, d), "user_id", ["step"], "reward", "dis"), "reward_ema", "reward_var", "disagreement_ema"), f"WITH {METRICS}" + """
 , o AS (SELECT user_id, list(reward ORDER BY step) AS r, list(k / 100e0 ORDER BY step) AS d, max(step) AS last FROM metrics GROUP BY user_id),
@@ -162,7 +167,10 @@ add("top07_select_and_budget", lambda s, d: selection.select_and_budget(metrics(
     _PICKED + ", q AS (SELECT quantile_cont(k, [0.25, 0.5, 0.75]) AS q FROM pk), b AS (SELECT 0 AS g, step, kind, k AS v, (CASE WHEN k < q[1] THEN 256 WHEN k < q[2] THEN 512 WHEN k < q[3] THEN 1024 ELSE 2048 END)::INT AS budget FROM pk, q)" + _ENFORCE.format(limit=20000, share=0.2) + " SELECT step, kind, budget, CASE WHEN dropped THEN 0 ELSE granted END AS granted, dropped FROM done")
 add("top07_fixed_budget", lambda s, d: selection.select_and_budget(metrics(s, d), "step", "k", 50, "fixed").select("step", "kind", "budget", "granted", "dropped"), _PICKED + " SELECT step, kind, 1024::INT AS budget, 1024::INT AS granted, false AS dropped FROM pk")
 add("top08_head_limit", lambda s, d: read(s, d, "orders").orderBy("o_orderkey").limit(25).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 25")
-add("top09_shard", lambda s, d: s.range(3).select(F.col("id").cast("int").alias("rank")).join(read(s, d, "customer").select("c_custkey", F.pmod(F.col("c_custkey"), F.lit(3)).cast("int").alias("rank")), "rank").groupBy("rank").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("ids")), "SELECT (c_custkey % 3)::INT AS rank, count(*) AS n, sum(c_custkey)::BIGINT AS ids FROM customer GROUP BY 1")
+add("top09_shard", lambda s, d: functools.reduce(DataFrame.unionByName, (selection.shard(read(s, d, "customer").select("c_custkey"), "c_custkey", 3, k).withColumn("rank", F.lit(k)) for k in range(3))),
+    "SELECT c_custkey, (('0x' || substr(md5(c_custkey::VARCHAR || ':0'), 1, 8))::BIGINT % 3)::INT AS rank FROM customer")
+add("top09_sampled_shard", lambda s, d: functools.reduce(DataFrame.unionByName, (selection.sampled_shard(read(s, d, "customer").select("c_custkey"), "c_custkey", 100, 3, k).withColumn("rank", F.lit(k)) for k in range(3))),
+    "SELECT c_custkey, ((row_number() OVER (ORDER BY md5(c_custkey::VARCHAR || ':0'), c_custkey) - 1) % 3)::INT AS rank FROM customer ORDER BY md5(c_custkey::VARCHAR || ':0'), c_custkey LIMIT 100")
 _DRAW = "(('0x' || substr(md5(i::VARCHAR || ':0'), 1, 8))::BIGINT % (SELECT count(*) FROM {t}))"
 add("top10_with_replacement", lambda s, d: selection.sample_with_replacement(read(s, d, "customer").select("c_custkey", "c_name"), "c_custkey", 400).select("draw", "position", "c_name"),
     "WITH p AS (SELECT c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer) SELECT i AS draw, position, c_name FROM range(400) r(i) JOIN p ON position = " + _DRAW.format(t="customer"))
@@ -173,17 +181,18 @@ add("set02_except", lambda s, d: read(s, d, "documents").select("doc_id").join(r
 add("set03_union_keys", lambda s, d: read(s, d, "customer").select(F.col("c_nationkey").alias("k")).union(read(s, d, "supplier").select("s_nationkey")).distinct(), "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 add("set05_replicate", lambda s, d: read(s, d, "nation").select("n_nationkey").crossJoin(s.range(4).select(F.col("id").alias("iteration"))), "SELECT n_nationkey, iteration FROM nation, range(4) r(iteration)")
 add("set06_concat", lambda s, d: read(s, d, "customer").select(F.col("c_custkey").alias("k")).unionByName(read(s, d, "supplier").select(F.col("s_suppkey").alias("k"))), "SELECT c_custkey AS k FROM customer UNION ALL SELECT s_suppkey FROM supplier")
-add("join05_three_way", lambda s, d: read(s, d, "documents").select("doc_id", "lang").join(read(s, d, "labels"), "doc_id").join(read(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label"), "doc_id"), "SELECT doc_id, lang, quality, toxic, label FROM documents JOIN labels USING (doc_id) JOIN (SELECT vec_id AS doc_id, label FROM embeddings) USING (doc_id)")
-add("join08_after_minus_before", lambda s, d: (lambda o: o.where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("a")).join(o.where("o_orderstatus = 'P'").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("b")), "o_custkey", "left").select("o_custkey", F.round(F.col("a") - F.col("b"), 4).alias("gain")))(read(s, d, "orders")),
-    "SELECT o_custkey, round(a - b, 4) AS gain FROM (SELECT o_custkey, avg(o_totalprice) AS a FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) LEFT JOIN (SELECT o_custkey, avg(o_totalprice) AS b FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) USING (o_custkey)")
+add("join05_three_way", lambda s, d: relational.three_way(read(s, d, "documents").select("doc_id", "lang"), read(s, d, "labels"), read(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label"), "doc_id"), "SELECT doc_id, lang, quality, toxic, label FROM documents JOIN labels USING (doc_id) JOIN (SELECT vec_id AS doc_id, label FROM embeddings) USING (doc_id)")
+add("join08_after_minus_before", lambda s, d: _r4(relational.after_minus_before(read(s, d, "orders"), ["o_custkey"], "o_orderstatus", "P", "F", "o_totalprice"), "before", "after", "gain"),
+    "SELECT o_custkey, round(b, 4) AS before, round(a, 4) AS after, round(a - b, 4) AS gain FROM (SELECT o_custkey, avg(o_totalprice) FILTER (o_orderstatus = 'P') AS b, avg(o_totalprice) FILTER (o_orderstatus = 'F') AS a FROM orders GROUP BY 1)")
 add("join09_todo", lambda s, d: selection.todo(read(s, d, "customer").select("c_custkey"), read(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-add("join10_positional_zip", lambda s, d: read(s, d, "customer").select(F.col("c_custkey").alias("idx"), (F.col("c_custkey") / 4).cast("long").alias("supp")).join(read(s, d, "supplier").select(F.col("s_suppkey").alias("supp"), "s_name"), "supp").select("idx", "s_name"), "SELECT c_custkey AS idx, s_name FROM customer JOIN supplier ON s_suppkey = c_custkey // 4")
+add("join10_positional_zip", lambda s, d: relational.zip_samples(read(s, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey", read(s, d, "customer").select("c_custkey"), "c_custkey", 4).select("problem", "sample_idx", "s_name", "c_custkey"),
+    "SELECT p AS problem, (o % 4)::INT AS sample_idx, s_name, c_custkey FROM (SELECT s_name, row_number() OVER (ORDER BY s_suppkey) - 1 AS p FROM supplier) JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS o FROM customer) ON p = o // 4")
 add("join11_length_match", lambda s, d: read(s, d, "documents").select("doc_id", F.length("text").alias("a"), "n_chars").agg(F.round(F.avg((F.col("a") == F.col("n_chars")).cast("int")), 6).alias("rate")).withColumn("ok", F.col("rate") >= 0.9), "SELECT round(avg((length(text) = n_chars)::INT), 6) AS rate, round(avg((length(text) = n_chars)::INT), 6) >= 0.9 AS ok FROM documents")
 add("join13_scatter_back", lambda s, d: (lambda m: m.join(m.groupBy((F.col("k") % 4).alias("b")).agg(F.count("*").alias("n")), F.col("k") % 4 == F.col("b")).select("step", "n"))(metrics(s, d)), M + "SELECT step, n FROM metrics JOIN (SELECT k % 4 AS b, count(*) AS n FROM metrics GROUP BY 1) ON k % 4 = b")
 add("join15_matrix", lambda s, d: read(s, d, "region").select("r_name").crossJoin(read(s, d, "nation").select("n_name")).crossJoin(s.range(3).select((F.col("id") * 512).alias("budget"))), "SELECT r_name, n_name, b * 512 AS budget FROM region, nation, range(3) r(b)")
 add("join16_stage_match", lambda s, d: read(s, d, "part").groupBy("p_size").agg(F.max_by("p_name", F.struct("p_retailprice", "p_partkey")).alias("best")), "SELECT p_size, max_by(p_name, (p_retailprice, p_partkey)) AS best FROM part GROUP BY p_size")
 add("src16_upsert", lambda s, d: selection.upsert(read(s, d, "orders").select("o_orderkey", F.lit("old").alias("v")), read(s, d, "orders").where("o_orderkey % 5 = 0").select("o_orderkey", F.lit("new").alias("v")), ["o_orderkey"]), "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'new' ELSE 'old' END AS v FROM orders")
-add("src13_truncate_at_step", lambda s, d: metrics(s, d).where("step IS NULL OR step < 1000").select("step", "reward"), M + "SELECT step, reward FROM metrics WHERE step < 1000")
+add("src13_truncate_at_step", lambda s, d: files.truncate_at(metrics(s, d).select("step", "reward"), 1000), M + "SELECT step, reward FROM metrics WHERE step < 1000")
 
 
 def _steps(x, keys):

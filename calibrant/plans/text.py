@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from calibrant.functions import grading as g
 from calibrant.functions import text as t
 from calibrant.functions import tokens as k
+from calibrant.operators import relational, training
 from calibrant.plans.views import read
 from calibrant.session import ship
 
@@ -136,11 +137,17 @@ add("mth01_scalar_math", lambda s, d: read(s, d, "events").select("event_id", F.
     "SELECT event_id, round(value / (1 + abs(value)), 9) AS squashed, round(least(greatest(ln(value + 1), 0.5), 2), 9)::DOUBLE AS clamped, round(CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1e0 / (event_id % 3) END, 9) AS safe FROM events")
 add("join12_overlap", lambda s, d: toks(s, d).select("doc_id", F.round(k.overlap_rate(F.slice("ids", F.lit(1), F.ceil(F.size("ids") / 2).cast("int")), F.slice("ids", F.ceil(F.size("ids") / 2).cast("int") + 1, F.size("ids"))), 6).alias("rate")).where("rate IS NOT NULL"),
     _T + "SELECT doc_id, round(len(list_filter(ids[1:(len(ids) + 1) // 2], lambda x: list_contains(ids[(len(ids) + 1) // 2 + 1:], x)))::DOUBLE / ((len(ids) + 1) // 2), 6) AS rate FROM tk")
-add("prj10_gather_rows", lambda s, d: (lambda w: s.range(3).select(F.posexplode(F.array(*(F.lit(v) for v in (5, 0, 5, 7)))).alias("place", "doc_id")).distinct().join(w, "doc_id").select("place", "doc_id", "lang"))(read(s, d, "documents").select("doc_id", "lang")),
-    "SELECT place::INT AS place, doc_id::BIGINT AS doc_id, lang FROM (VALUES (0, 5), (1, 0), (2, 5), (3, 7)) v(place, doc_id) JOIN documents USING (doc_id)")
+add("prj10_gather_rows", lambda s, d: relational.gather_rows(read(s, d, "documents").select("doc_id", "lang"), "doc_id", read(s, d, "orders").select(F.col("o_orderkey").alias("place"), (F.col("o_custkey") * 3).alias("doc_id"))).select("place", "doc_id", "lang"),
+    "SELECT o_orderkey AS place, doc_id, lang FROM orders JOIN documents ON doc_id = o_custkey * 3")
 add("prj09_row_range", lambda s, d: read(s, d, "orders").where((F.col("o_orderkey") >= 100) & (F.col("o_orderkey") < 200)).select((F.col("o_orderkey") - 100).alias("idx"), "o_totalprice"), "SELECT o_orderkey - 100 AS idx, o_totalprice FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 200")
 add("prj08_valid_status", lambda s, d: read(s, d, "events").where(~F.col("event_type").isin("error", "view")).select("event_id", "event_type"), "SELECT event_id, event_type FROM events WHERE event_type NOT IN ('error', 'view')")
-add("prj12_config_diff", lambda s, d: (lambda a, b: a.join(b, "n_name", "full").where(~F.col("x").eqNullSafe(F.col("y"))).select("n_name", "x", "y"))(read(s, d, "nation").where("n_nationkey < 20").select("n_name", (F.col("n_nationkey") % 4).alias("x")), read(s, d, "nation").where("n_nationkey > 4").select("n_name", (F.col("n_nationkey") % 3).alias("y"))),
-    "SELECT n_name, x, y FROM (SELECT n_name, n_nationkey % 4 AS x FROM nation WHERE n_nationkey < 20) a FULL JOIN (SELECT n_name, n_nationkey % 3 AS y FROM nation WHERE n_nationkey > 4) b USING (n_name) WHERE x IS DISTINCT FROM y")
-add("prj15_alias_fields", lambda s, d: read(s, d, "orders").select("o_orderkey", F.coalesce(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")), F.col("o_custkey").cast("double")).alias("v")), "SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END, o_custkey) AS v FROM orders")
-add("prj11_cold_start", lambda s, d: read(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).select("user_id", (F.col("n") < 100).alias("skip"), F.when(F.col("n") < 100, F.lit("too few")).alias("reason")), "SELECT user_id, count(*) < 100 AS skip, CASE WHEN count(*) < 100 THEN 'too few' END AS reason FROM events GROUP BY user_id")
+_SETTINGS = lambda s, d, n, add: read(s, d, "nation").where(n).select(F.when(F.col("n_nationkey") == 7, "model_type").otherwise(F.col("n_name")).alias("name"), (F.col("n_nationkey") % add).alias("v"))
+add("prj12_config_diff", lambda s, d: relational.config_diff(_SETTINGS(s, d, "n_nationkey < 20", 4), _SETTINGS(s, d, "n_nationkey > 4", 3), "name", "v"),
+    """SELECT name, x AS "left", y AS "right" FROM (SELECT n_name AS name, n_nationkey % 4 AS x FROM nation WHERE n_nationkey < 20 AND n_nationkey <> 7) a
+FULL JOIN (SELECT n_name AS name, n_nationkey % 3 AS y FROM nation WHERE n_nationkey > 4 AND n_nationkey <> 7) b USING (name) WHERE x IS DISTINCT FROM y""")
+_RENAMED = lambda s, d: read(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).alias("acc"), F.col("o_custkey").cast("double").alias("pass@1"), F.col("o_custkey").alias("max_tokens"))
+add("prj15_alias_fields", lambda s, d: (lambda x: x.select("o_orderkey", relational.first_of(x, "accuracy").alias("accuracy"), relational.first_of(x, "budget").alias("budget")))(_RENAMED(s, d)), "SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END, o_custkey) AS accuracy, o_custkey AS budget FROM orders")
+add("prj11_cold_start", lambda s, d: read(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).select("user_id", training.skip_reason(F.col("n"), 100).alias("reason")), "SELECT user_id, CASE WHEN count(*) < 100 THEN 'too few' END AS reason FROM events GROUP BY user_id")
+add("prj02_generation_prompt", lambda s, d: read(s, d, "benchmark").select("item_id", t.chat_prompt(t.format_prompt(F.col("text"))).alias("prompt")), r"SELECT item_id, '<|im_start|>user' || chr(10) || trim(text) || chr(10) || 'Please reason step by step, and put your final answer within \boxed{}.' || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS prompt FROM benchmark")
+add("arr06_token_logps", lambda s, d: read(s, d, "embeddings").select("vec_id", F.round(F.aggregate(k.token_logps(F.transform("embedding", lambda x, i: F.when(i % 5 == 3, F.expr("cast(map() as map<int,double>)")).otherwise(F.create_map(i, x.cast("double"))))), F.lit(0.0), lambda a, b: a + F.coalesce(b, F.lit(0.0))), 5).alias("total")),
+    "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x, i: CASE WHEN (i - 1) % 5 = 3 THEN 0 ELSE x::DOUBLE END)), 5) AS total FROM embeddings")

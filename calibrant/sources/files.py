@@ -106,11 +106,12 @@ def hash_spec(path: str) -> DatasetSpec:
     return DatasetSpec(path, extract=hash_answer)
 
 
-def read_results_tree(spark: SparkSession, root: str, schema: str) -> DataFrame:
+def read_results_tree(spark: SparkSession, root: str, schema: str, kind: str = "jsonl") -> DataFrame:
     """SRC-08: JSON lines below a folder, with stage and model from the path and year from the file name."""
-    df = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").json(root)
+    df = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{kind}").json(root)
     p = F.col("_metadata.file_path")
-    return df.select("*", F.regexp_extract(p, r"/([^/]+)/[^/]+/[^/]+\.jsonl$", 1).alias("stage"), F.regexp_extract(p, r"/([^/]+)/[^/]+\.jsonl$", 1).alias("model"), F.nullif(F.regexp_extract(p, r"(20\d\d)[^/]*\.jsonl$", 1), F.lit("")).alias("year"))
+    name = rf"[^/]+\.{kind}$"
+    return df.select("*", F.regexp_extract(p, rf"/([^/]+)/[^/]+/{name}", 1).alias("stage"), F.regexp_extract(p, rf"/([^/]+)/{name}", 1).alias("model"), F.nullif(F.regexp_extract(p, rf"(20\d\d)[^/]*\.{kind}$", 1), F.lit("")).alias("year"))
 
 
 def append_metrics(df: DataFrame, path: str) -> None:
