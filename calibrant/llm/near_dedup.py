@@ -222,13 +222,14 @@ def _blocks(members: DataFrame, size: int) -> DataFrame:
     """Rows of large buckets dealt to pairs of blocks (key, i, j, side): each text that is not of its
     bucket's largest component meets all of the bucket, the others of that component only it."""
     count = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    main = count.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-    rows = members.join(main, "key").withColumn("minor", (F.col("comp") != F.col("main")).cast("int"))
-    # texts are dealt to blocks by hash: numbering them would bring a bucket into one task
-    n = rows.groupBy("key").agg(F.sum("minor").alias("n_minor"), F.sum(1 - F.col("minor")).alias("n_major")).where("n_minor > 0")
-    n = n.select("key", *(F.ceil(F.col(f"n_{k}") / size).cast("int").alias(f"of_{k}") for k in ("minor", "major")))
+    of = lambda n: F.ceil(n / size).cast("int")
+    info = count.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("n")).where(F.col("n") > F.col("m.c"))
+    info = table(info.select("key", F.col("m.comp").alias("main"), of(F.col("n") - F.col("m.c")).alias("of_minor"), of(F.col("m.c")).alias("of_major")), "buckets")
+    # a row for each large bucket: broadcast, as a join by key would bring a bucket into one task
+    rows = members.join(bounded(info, longs=F.lit(4)), "key").withColumn("minor", (F.col("comp") != F.col("main")).cast("int"))
+    # texts are dealt to blocks by hash, not numbered
     dealt = F.pmod(F.xxhash64("id"), F.when(F.col("minor") == 1, F.col("of_minor")).otherwise(F.col("of_major"))).cast("int")
-    rows = rows.join(n, "key").withColumn("block", dealt).withColumn("most_minor", F.col("of_minor") - 1).withColumn("most_major", F.col("of_major") - 1)
+    rows = rows.withColumn("block", dealt).withColumn("most_minor", F.col("of_minor") - 1).withColumn("most_major", F.col("of_major") - 1)
     b, last_minor, last_major = F.col("block"), F.col("most_minor"), F.col("most_major")
     spot = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
     up_to = lambda n: F.sequence(F.lit(0), n)
@@ -239,7 +240,7 @@ def _blocks(members: DataFrame, size: int) -> DataFrame:
     )
     major = F.transform(up_to(last_minor), lambda i: spot(0, i, b, 1))
     rows = rows.withColumn("spot", F.explode(F.when(F.col("minor") == 1, minor).otherwise(major)))
-    return rows.select("key", "id", "comp", "n", "spot.*")
+    return rows.select("key", "band", "id", "comp", "n", "spot.*")
 
 
 def components_of(docs: DataFrame, width: int = 2, percent: int = 80, margin: float = 0.2, small: int = 24, block: int = 512) -> DataFrame:
@@ -264,14 +265,14 @@ def components_of(docs: DataFrame, width: int = 2, percent: int = 80, margin: fl
     comp = table(components(links), "components")
     here = members.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     still = here.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.max("size").alias("m")).where("a <> b AND m > 2").select("key")
-    here = table(here.join(still, "key", "left_semi"), "open")
+    here = table(here.join(bounded(table(still, "still")), "key", "left_semi"), "open")
     few = here.where(F.col("size") <= small)
     other = few.select("key", F.col("id").alias("v"), F.col("n").alias("m"), F.col("comp").alias("other"))
     fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     # the bucket's first was met above
     pairs = few.where("id <> first").join(other, "key").where((F.col("id") > F.col("v")) & (F.col("v") != F.col("first")) & (F.col("comp") != F.col("other")) & fits)
     more = table(_confirm(pairs.select(F.col("id").alias("u"), "v").distinct(), sets, texts, width, percent, margin), "links")
-    spots = _blocks(here.where(F.col("size") > small), block).join(here.select("key", "band").distinct(), "key")
+    spots = _blocks(here.where(F.col("size") > small), block)
     spots = spots.join(sets.select("id", "registers", "keys"), "id").join(texts, "id")
     fn = partial(_block_links, width=width, percent=percent, margin=margin)
     many = table(spots.groupBy("key", "kind", "i", "j").applyInPandas(fn, "u long, v long"), "links")
