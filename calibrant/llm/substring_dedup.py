@@ -4,11 +4,13 @@ A gear rolling hash over the last 16 bytes is taken at each word start; a chunk
 that hash is the least among the words near it, so that cuts depend on nearby text alone and
 an insertion shifts no cut but those beside it. Chunks that occur earlier (in order of doc_id
 and place) point to their first occurrence; two or more that lie alike in the same earlier
-text are a seed. The first text that holds a chunk need not hold the passage around it, so
-windows of min_words words whose inner chunks all repeat are hashed too, and each that occurs
-earlier is a seed by itself: a passage of min_words words is found whichever earlier text
-holds it. A seed grows byte by byte in both texts as far as they agree, and is cut to whole
-words. Passages of min_words or more are removed; their first occurrence stays.
+text are a seed. A seed grows byte by byte in both texts as far as they agree, and is cut to
+whole words. Passages of min_words or more are removed; their first occurrence stays.
+
+The first text that holds a chunk need not hold the passage around it. So windows of min_words
+words whose inner chunks all repeat, and that lie in no passage found so far, are hashed too,
+and each that occurs earlier is a seed by itself: a passage of min_words words is found
+whichever earlier text holds it.
 
 Digests have 64 bits; a passage is removed only after its bytes were compared.
 
@@ -127,13 +129,31 @@ def _open_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([runs[k].astype(np.int32) for k in keep], pa.list_(pa.int32()))], ["doc_id", "runs"])
 
 
+def _left_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """Runs of windows without those that lie in passages: (doc_id, runs, first words, ends) to (doc_id, runs)."""
+    enter("substring_dedup")
+    for b in batches:
+        ids, left = [], []
+        for doc, runs, firsts, ends in zip(*(b.column(k).to_pylist() for k in range(4))):
+            at = np.zeros(max(runs) + 2, np.int64)
+            np.add.at(at, runs, [1, -1] * (len(runs) // 2))
+            free = np.cumsum(at[:-1]) > 0
+            for i, j in zip(firsts or [], ends or []):
+                free[i : max(i, j - min_words + 1)] = False
+            free = np.r_[False, free, False]
+            if len(cut := np.flatnonzero(free[1:] != free[:-1])):
+                ids.append(doc)
+                left.append(cut.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(left, pa.list_(pa.int32()))], ["doc_id", "runs"])
+
+
 def _window_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     enter("substring_dedup")
     for b in batches:
         for s in ts.slices(b.column(1)):
             w = ts.words(s, ts.SPACED)
             n = s.hi - s.lo
-            per = [np.concatenate([np.arange(i, j) for i, j in r.values.to_numpy().reshape(-1, 2)]) for r in b.column(2).slice(s.lo, s.hi - s.lo)]
+            per = [np.concatenate([np.arange(i, j) for i, j in r.values.to_numpy().reshape(-1, 2)]) for r in b.column(2).slice(s.lo, n)]
             sizes = [len(x) for x in per]
             at = np.concatenate(per) + np.repeat(w.first[:-1], sizes)
             # a word with the space after it; the last of a window without
@@ -147,7 +167,11 @@ def _window_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterat
             same = np.r_[False, (h[order][1:] == h[order][:-1]) & (row[order][1:] == row[order][:-1]) & (np.diff(place[order]) <= PERIOD)]
             last = np.full(len(h), -1, np.int64)
             last[order[same]] = place[order[np.flatnonzero(same) - 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(ids), pa.array(place), pa.array(last)], ["digest", "doc_id", "place", "last"])
+            # windows of consecutive words that point equally far back grow to one passage: the first is enough
+            far = np.where(last >= 0, place - last, -1)
+            runs_on = np.r_[False, (far[1:] == far[:-1]) & (far[1:] >= 0) & (at[1:] == at[:-1] + 1) & (row[1:] == row[:-1])]
+            keep = ~runs_on
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep].astype(np.int64)), pa.array(ids[keep]), pa.array(place[keep]), pa.array(last[keep])], ["digest", "doc_id", "place", "last"])
 
 
 def _starts(text: bytes) -> list[int]:
@@ -190,6 +214,9 @@ def grow(a: bytes, b: bytes, i: int, j: int, ra: bytes, rb: bytes) -> tuple[int,
     return left, max(left, right)
 
 
+_PASSAGES = "doc_id long, start long, end long, source long, first int, last int"
+
+
 def _grow_batches(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("substring_dedup")
@@ -198,14 +225,20 @@ def _grow_batches(min_words: int):
         def of(side: int, key: int, text) -> tuple:
             if last[side][0] != key:
                 t = text.as_py().encode()
-                last[side] = (key, t, t[::-1], [])
+                last[side] = (key, t, t[::-1], [], [])
             return last[side][1:]
 
+        def words(t: bytes, known: list) -> np.ndarray:
+            """Where each word begins."""
+            if not known:
+                known.append(ts.words(ts.Slice(0, 1, np.frombuffer(t, np.uint8), np.array([0, len(t)], np.int64)), ts.SPACED).starts)
+            return known[0]
+
         for batch in batches:
-            docs, ends = [], []
+            rows = []
             for r in range(batch.num_rows):
                 doc, src, delta, at, in_bytes = (batch.column(k)[r].as_py() for k in range(5))
-                (a, ra, sa), (b, rb, sb) = of(0, doc, batch.column(5)[r]), of(1, src, batch.column(6)[r])
+                (a, ra, sa, wa), (b, rb, sb, _) = of(0, doc, batch.column(5)[r]), of(1, src, batch.column(6)[r])
                 if not in_bytes:  # chunk numbers
                     sa[:], sb[:] = sa or _starts(a), sb or _starts(b)
                 done = 0
@@ -215,16 +248,17 @@ def _grow_batches(min_words: int):
                         continue
                     left, right = grow(a, b, i, j, ra, rb)
                     done = max(done, right)
-                    if len(a[left:right].split()) >= min_words:
-                        docs.append(doc)
-                        ends.append({"start": left, "end": right, "source": src})
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([x["start"] for x in ends], pa.int64()), pa.array([x["end"] for x in ends], pa.int64()), pa.array([x["source"] for x in ends], pa.int64())], ["doc_id", "start", "end", "source"])
+                    first, end = np.searchsorted(words(a, wa), (left, right)).tolist()
+                    if end - first >= min_words:
+                        rows.append((doc, left, right, src, first, end))
+            cols = list(zip(*rows)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.int32()) for c in cols[4:])], ["doc_id", "start", "end", "source", "first", "last"])
 
     return run
 
 
 def passages(docs: DataFrame, min_words: int = 50, min_seed: int = 2) -> DataFrame:
-    """(doc_id, start, end, source): byte ranges of texts that an earlier text holds too; they may overlap."""
+    """(doc_id, start, end, source, first, last): byte ranges of texts, and of words, that an earlier text holds too; they may overlap."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     own = table(rows.mapInArrow(partial(_chunk_batches, min_words=min_words), _CHUNKS), "chunks")
@@ -248,21 +282,27 @@ def passages(docs: DataFrame, min_words: int = 50, min_seed: int = 2) -> DataFra
     known = dup.select(doc("it").alias("doc_id"), place("it").cast("int").alias("place")).groupBy("doc_id").agg(F.collect_list("place").alias("at"))
     runs = own.join(known, "doc_id", "left").where(F.col("open") | F.col("at").isNotNull()).select("doc_id", "begins", "n_words", "at")
     runs = table(runs.mapInArrow(partial(_open_batches, min_words=min_words), "doc_id long, runs array<int>"), "runs")
-    held = rows.join(bounded(runs.select("doc_id")), "doc_id", "left_semi")  # texts without runs are not shuffled
-    some = held.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(partial(_window_batches, min_words=min_words), "digest long, doc_id long, place long, last long")
+    def grown(seeds: DataFrame) -> DataFrame:
+        ids = bounded(table(seeds.select("doc_id").union(seeds.select("source")).distinct(), "ids"))
+        texts = table(rows.join(ids, "doc_id", "left_semi"), "texts")
+        both = seeds.join(texts.withColumnRenamed("text", "a"), "doc_id").join(texts.select(F.col("doc_id").alias("source"), F.col("text").alias("b")), "source")
+        return table(both.select("doc_id", "source", "delta", "at", "in_bytes", "a", "b").mapInArrow(_grow_batches(min_words), _PASSAGES), "passages")
+
+    # a passage of min_words lies in windows, so chunks need not seed other texts
+    seeds = links(dup.where(F.col("it") != F.col("first"))).where(F.size("at") >= min_seed).join(bounded(runs.select("doc_id")), "doc_id", "left_semi")
+    found = grown(table(seeds.withColumn("in_bytes", F.lit(False)), "seeds"))
+    gone = found.groupBy("doc_id").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("ends"))
+    left = runs.join(gone, "doc_id", "left").select("doc_id", "runs", "firsts", "ends").mapInArrow(partial(_left_batches, min_words=min_words), "doc_id long, runs array<int>")
+    left = table(left, "left")
+    held = rows.join(bounded(left.select("doc_id")), "doc_id", "left_semi")  # other texts are not shuffled
+    some = held.join(left, "doc_id").select("doc_id", "text", "runs").mapInArrow(partial(_window_batches, min_words=min_words), "digest long, doc_id long, place long, last long")
     some = table(some, "windows")
     # a window that recurs nearby points there, and is never the first of its kind
     back = some.where("last >= 0").select(it.alias("it"), F.col("last").alias("place"), "doc_id").select("it", it.alias("first"))
     some = some.where("last < 0").select("digest", it.alias("it"))
     firsts = some.groupBy("digest").agg(F.min("it").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     some = some.join(firsts, "digest").where(F.col("it") != F.col("first")).select("it", "first").union(back)
-    # a passage of min_words lies in such windows, so chunks need not seed other texts
-    seeds = links(dup.where(F.col("it") != F.col("first"))).where(F.size("at") >= min_seed).join(bounded(runs.select("doc_id")), "doc_id", "left_semi")
-    seeds = table(seeds.withColumn("in_bytes", F.lit(False)).union(links(some).withColumn("in_bytes", F.lit(True))), "seeds")
-    ids = bounded(table(seeds.select("doc_id").union(seeds.select("source")).distinct(), "ids"))
-    texts = table(rows.join(ids, "doc_id", "left_semi"), "texts")
-    both = seeds.join(texts.withColumnRenamed("text", "a"), "doc_id").join(texts.select(F.col("doc_id").alias("source"), F.col("text").alias("b")), "source")
-    return both.select("doc_id", "source", "delta", "at", "in_bytes", "a", "b").mapInArrow(_grow_batches(min_words), "doc_id long, start long, end long, source long")
+    return found.union(grown(table(links(some).withColumn("in_bytes", F.lit(True)), "seeds")))
 
 
 def cut_spans(docs: DataFrame, **kw) -> DataFrame:
