@@ -199,3 +199,56 @@ def test_stages_keep_other_columns_and_odd_rows(spark, sf):
         assert ids == sorted(want, key=str), name
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert last.count() == 6 and len(VOCAB) == 4000
+
+
+def test_token_files_with_null_and_repeated_ids(spark, tmp_path):
+    """Null ids come first, rows of one id in order of text; each row is a document of its own."""
+    from tokenizers import Tokenizer
+
+    from calibrant.llm import token_files
+
+    rows = [(5, "b words"), (5, "a words here"), (None, "no id"), (2, None), (5, "a words here")]
+    path = str(tmp_path / "t")
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path)
+    tok, at, want = Tokenizer.from_file(token_files.default_tokenizer()), 0, []
+    for d, t in [(None, "no id"), (2, ""), (5, "a words here"), (5, "a words here"), (5, "b words")]:
+        n = len(tok.encode(t, add_special_tokens=False).ids) + 1
+        want.append((d, at, n))
+        at += n
+    got = token_files.digests(spark, path).select("doc_id", "start", "n_tokens").collect()
+    assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == want
+
+
+def test_language_edges(spark):
+    """Empty tables, repeated rows, clashing columns; held-out rows are not learned from, and the sample is bounded."""
+    from pyspark.sql import functions as F
+
+    from calibrant.llm import language_id
+
+    words = {"aa": "abcdef", "bb": "ghijkl"}
+    say = lambda g, k: " ".join("".join(random.Random(k * 77 + j).choice(words[g]) for _ in range(5)) for j in range(25))
+    rows = []
+    for i in range(200):
+        g = "aa" if i % 2 else "bb"
+        held = zlib.crc32(str(i).encode()) % 4 == 2
+        rows.append((i, say(g, i), ("bb" if g == "aa" else "aa") if held else g))  # languages of held-out rows are wrong
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("clash")).withColumn("score", F.lit(1))
+    m = language_id.fit(docs, rounds=1)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, m).collect()}
+    assert all(got[i] == ("aa" if i % 2 else "bb") for i in range(200))
+    again = language_id.identify(docs.where("doc_id = 7").union(docs.where("doc_id = 7")), m).collect()
+    assert len(again) == 2 and again[0] == again[1]
+    assert language_id.identify(docs.limit(0), m).count() == 0 and language_id.fit(docs.limit(0)).languages == []
+    assert len(language_id.fit(docs, max_rows=5, rounds=1).languages) <= 2 and language_id.fit(docs, max_bytes=10, rounds=1).languages == []
+    long = "abc" * 700 + " " + "ghi" * 700
+    assert np.isfinite(language_id.train([long, long], ["aa", "bb"], rounds=1).logp).all()
+
+
+def test_quality_repeated_rows_and_ties(spark):
+    rows = spark.createDataFrame([(1, prose(60, 1)), (1, prose(60, 1)), (2, " ".join(["x y"] * 40))], "doc_id long, text string")
+    out = quality_rules.text_stats(rows).withColumn("base_failed", quality_rules.base_failed()).collect()
+    one = [tuple(r[c] for c in quality_rules.COUNTS) for r in out if r["row"]["doc_id"] == 1]
+    assert len(one) == 2 and one[0] == one[1] and [r["base_failed"] for r in out if r["row"]["doc_id"] == 2] == [True]
+    x = {"a": np.array([0.0] * 10 + [1.0] * 10), "b": np.array([0.0] * 10 + [1.0] * 10)}
+    bad = np.array([0] * 10 + [1] * 10)
+    assert quality_rules.fit_rules(x, bad) == quality_rules.fit_rules(x, bad) != []  # equal gains: the first feature
