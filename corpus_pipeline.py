@@ -1,8 +1,15 @@
 """Corpus pipeline: five stages over documents, each written as Parquet and read again.
 
-Quality rules drop rejected documents; of each group of near copies one stays; repeated
-passages are cut; benchmark passages are cut; the rest is encoded. All stages but the last
-return the columns of documents.
+Quality rules drop rejected documents; of each group of near copies (five-word shingles, 0.8) one
+stays; repeated passages are cut; benchmark passages are cut; the rest is encoded. All stages but
+the last return the columns of documents, whatever others there are and whatever they are called.
+
+Defined results: null and empty texts fail the base rule, so the first stage drops them; the later
+ones, given such texts, keep them. Of rows that are equal in all columns the second stage keeps
+one; rows that repeat a doc_id with another text stay, uncut by the third. A null doc_id stays.
+Documents of which the third stage leaves no word go, as do those of which more than half of the
+words are benchmark passages. Empty tables give empty tables; without labels only the base rule
+rejects.
 """
 
 from __future__ import annotations
