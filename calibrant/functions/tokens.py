@@ -79,5 +79,6 @@ def chosen_rank(ids: Column, chosen: Column, k: int) -> Column:
 
 
 def overlap_rate(a: Column, b: Column) -> Column:
-    """JOIN-12: share of a that is in b, duplicates kept."""
-    return F.size(F.filter(a, lambda x: F.array_contains(b, x))) / F.size(a)
+    """JOIN-12: share of a that is in b, duplicates kept; b's distinct ids are taken once, not for each of a."""
+    hits = F.transform(F.array(F.array_distinct(b)), lambda kept: F.size(F.filter(a, lambda x: F.array_contains(kept, x))))
+    return F.element_at(hits, 1) / F.size(a)

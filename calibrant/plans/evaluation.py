@@ -39,9 +39,9 @@ _SAMPLE = """count(*) AS n, round(avg(correct::INT), 6) AS accuracy,
 _SC = ("accuracy", "prefix_accuracy", "no_answer_rate", "eos_rate", "budget_stop_rate", "avg_reasoning_tokens")
 add("agg05_sample_results", lambda s, d: rounded(evaluation.sample_results(generations(s, d), K), *_SC), _BOTH + f" SELECT label, budget, {_SAMPLE} FROM gen GROUP BY label, budget")
 add("agg06_length_stats", lambda s, d: rounded(evaluation.length_stats(generations(s, d), K), "mean", "p50", "p90", "p95", "eos_rate", "over_2048", "over_4096", "at_cap", "tokens_per_s", "samples_per_s"), _BOTH + """
-, o AS (SELECT *, row_number() OVER (PARTITION BY label, budget ORDER BY tokens) AS r, count(*) OVER (PARTITION BY label, budget) AS c FROM gen),
-q AS (SELECT label, budget, p, greatest(least(floor(p * (max(c) + 1)), max(c) - 1), 1) AS k, p * (max(c) + 1) AS x FROM o, (VALUES (0.9::DOUBLE), (0.95::DOUBLE)) t(p) GROUP BY label, budget, p),
-e AS (SELECT q.label, q.budget, p, lo.tokens + (hi.tokens - lo.tokens) * (x - k) AS v FROM q JOIN o lo ON lo.label = q.label AND lo.budget = q.budget AND lo.r = k JOIN o hi ON hi.label = q.label AND hi.budget = q.budget AND hi.r = k + 1)
+, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY label, budget ORDER BY tokens) AS r, count(*) OVER (PARTITION BY label, budget) AS c FROM gen),
+q AS MATERIALIZED (SELECT label, budget, p, greatest(least(floor(p * (max(c) + 1)), max(c) - 1), 1) AS k, p * (max(c) + 1) AS x FROM o, (VALUES (0.9::DOUBLE), (0.95::DOUBLE)) t(p) GROUP BY label, budget, p),
+e AS MATERIALIZED (SELECT q.label, q.budget, p, lo.tokens + (hi.tokens - lo.tokens) * (x - k) AS v FROM q JOIN o lo ON lo.label = q.label AND lo.budget = q.budget AND lo.r = k JOIN o hi ON hi.label = q.label AND hi.budget = q.budget AND hi.r = k + 1)
 SELECT label, budget, count(*) AS n, sum(tokens)::BIGINT AS total, round(avg(tokens), 6) AS mean, round(quantile_cont(tokens, 0.5), 6) AS p50, max(tokens) AS longest,
   round(avg((status = 'eos')::INT), 6) AS eos_rate, round(avg((tokens > 2048)::INT), 6) AS over_2048, round(avg((tokens > 4096)::INT), 6) AS over_4096, round(avg((tokens = 8192)::INT), 6) AS at_cap,
   round(sum(tokens) / sum(wall_s)::DOUBLE, 6) AS tokens_per_s, round(count(*) / sum(wall_s)::DOUBLE, 6) AS samples_per_s,

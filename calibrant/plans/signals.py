@@ -99,6 +99,7 @@ def observations(s, d):
 
 
 _r4 = lambda df, *c: df.select(*[x for x in df.columns if x not in c], *(F.round(x, 4).alias(x) for x in c))
+_r7 = lambda df, *c: df.select(*[x for x in df.columns if x not in c], *(F.round(x, 7).alias(x) for x in c))
 _r6 = lambda df, *c: df.select(*[x for x in df.columns if x not in c], *(F.round(x, 6).alias(x) for x in c))
 add("win05_prompt_state", lambda s, d: _r6(state.prompt_state(observations(s, d), "user_id", ["step"], "reward", "dis"), "reward_ema", "reward_var", "disagreement_ema"), f"WITH {METRICS}" + """
 , o AS (SELECT user_id, list(reward ORDER BY step) AS r, list(k / 100e0 ORDER BY step) AS d, max(step) AS last FROM metrics GROUP BY user_id),
@@ -118,10 +119,10 @@ r AS (SELECT pool, step, n, 0e0 AS a, 0e0 AS b, 0e0 AS c, 0e0 AS e, 0.3::DOUBLE
   FROM (SELECT o.pool, o.step, o.n, r.alpha, CASE WHEN o.n > 20 THEN 0.9::DOUBLE * a + 0.1::DOUBLE * k ELSE 0 END AS a, CASE WHEN o.n > 20 THEN 0.9::DOUBLE * b + 0.1::DOUBLE * reward ELSE 0 END AS b,
     CASE WHEN o.n > 20 THEN 0.9::DOUBLE * c + 0.1::DOUBLE * k / 100 ELSE 0 END AS c, CASE WHEN o.n > 20 THEN 0.9::DOUBLE * e + 0.1::DOUBLE * k / 100 ELSE 0 END AS e FROM r JOIN o ON o.pool = r.pool AND o.n = r.n + 1) x)
 SELECT pool, step, round(alpha, 6) AS alpha FROM r""")
-add("win09_kl_coefficient", lambda s, d: _r6(state.fold(observations(s, d).withColumn("sign", F.col("k") - 50), ["pool"], ["step"], state.kl_coefficient, ["sign"], _RATIO), "alpha"), _TURNS + """
+add("win09_kl_coefficient", lambda s, d: _r7(state.fold(observations(s, d).withColumn("sign", F.col("k") - 50), ["pool"], ["step"], state.kl_coefficient, ["sign"], _RATIO), "alpha"), _TURNS + """
 r AS (SELECT pool, step, n, least(2.5::DOUBLE, greatest(0.5::DOUBLE, 1 + 0.01::DOUBLE * sign(k - 50))) AS alpha FROM o WHERE n = 1 UNION ALL
   SELECT o.pool, o.step, o.n, least(2.5::DOUBLE, greatest(0.5::DOUBLE, alpha * (1 + 0.01::DOUBLE * sign(k - 50)))) FROM r JOIN o ON o.pool = r.pool AND o.n = r.n + 1)
-SELECT pool, step, round(alpha, 6) AS alpha FROM r""")
+SELECT pool, step, round(alpha, 7) AS alpha FROM r""")
 _LIM = {"hit_rate": (0.9, 0.2), "refresh_age_p95": (60.0, 95.0)}
 
 

@@ -136,7 +136,7 @@ add("jsn01_tolerant_parse", lambda s, d: read(s, d, "events").select("event_id",
 add("mth01_scalar_math", lambda s, d: read(s, d, "events").select("event_id", F.round(F.col("value") / (1 + F.abs("value")), 9).alias("squashed"), F.round(F.least(F.greatest(F.ln(F.col("value") + 1), F.lit(0.5)), F.lit(2.0)), 9).alias("clamped"), F.coalesce(F.try_divide(F.lit(1.0), F.col("event_id") % 3), F.lit(0.0)).alias("safe")).withColumn("safe", F.round("safe", 9)),
     "SELECT event_id, round(value / (1 + abs(value)), 9) AS squashed, round(least(greatest(ln(value + 1), 0.5), 2), 9)::DOUBLE AS clamped, round(CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1e0 / (event_id % 3) END, 9) AS safe FROM events")
 add("join12_overlap", lambda s, d: toks(s, d).select("doc_id", F.round(k.overlap_rate(F.slice("ids", F.lit(1), F.ceil(F.size("ids") / 2).cast("int")), F.slice("ids", F.ceil(F.size("ids") / 2).cast("int") + 1, F.size("ids"))), 6).alias("rate")).where("rate IS NOT NULL"),
-    _T + "SELECT doc_id, round(len(list_filter(ids[1:(len(ids) + 1) // 2], lambda x: list_contains(ids[(len(ids) + 1) // 2 + 1:], x)))::DOUBLE / ((len(ids) + 1) // 2), 6) AS rate FROM tk")
+    _T + ", h AS (SELECT doc_id, ids[1:(len(ids) + 1) // 2] AS a, list_distinct(ids[(len(ids) + 1) // 2 + 1:]) AS b FROM tk) SELECT doc_id, round(len(list_filter(a, lambda x: list_contains(b, x)))::DOUBLE / len(a), 6) AS rate FROM h WHERE len(a) > 0",)
 add("prj10_gather_rows", lambda s, d: relational.gather_rows(read(s, d, "documents").select("doc_id", "lang"), "doc_id", read(s, d, "orders").select(F.col("o_orderkey").alias("place"), (F.col("o_custkey") * 3).alias("doc_id"))).select("place", "doc_id", "lang"),
     "SELECT o_orderkey AS place, doc_id, lang FROM orders JOIN documents ON doc_id = o_custkey * 3")
 add("prj09_row_range", lambda s, d: read(s, d, "orders").where((F.col("o_orderkey") >= 100) & (F.col("o_orderkey") < 200)).select((F.col("o_orderkey") - 100).alias("idx"), "o_totalprice"), "SELECT o_orderkey - 100 AS idx, o_totalprice FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 200")
