@@ -43,6 +43,7 @@ def sf(spark, tmp_path_factory):
     spark.createDataFrame([(i, t) for i, t in enumerate(BENCH)] + [(9, "Two words"), (10, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([(1, "u", "<article><p>a b</p></article>"), (2, None, None)], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
     spark.createDataFrame([(7, 0, "user", "q"), (7, 1, "assistant", None), (8, 0, "system", "s")], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    spark.createDataFrame([(i, [i / 9 + k for k in range(16)], i % 2) for i in range(9)], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
     return d
 
 
@@ -55,6 +56,7 @@ COLUMNS = {
     "op8_decontaminate": {"doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"},
     "op9_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op10_quality_rules": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+    "op13_vector_codes": {"vec_id": "bigint", "code": "string", "error": "bigint", "label_error": "bigint", "codebooks_sha256": "string"},
 }
 
 
