@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibrant.llm import chat_format, decontaminate, html_text, language_id, near_dedup, quality_rules, sentencepiece_codec, substring_dedup, token_files, toxicity, vector_codes
+from calibrant.llm import chat_format, decontaminate, html_text, language_id, near_dedup, prefix_trie, quality_rules, sentencepiece_codec, substring_dedup, token_files, toxicity, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": decontaminate.query,
         "op9_toxicity": toxicity.query,
         "op10_quality_rules": quality_rules.query,
+        "op11_prefix_trie": prefix_trie.query,
         "op13_vector_codes": vector_codes.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_dedup": near_dedup.ORACLE, "op8_decontaminate": decontaminate.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
+    return {"op4_near_dedup": near_dedup.ORACLE, "op8_decontaminate": decontaminate.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
