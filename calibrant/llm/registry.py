@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calibrant.llm import chat_format, decontaminate, html_text, language_id, near_dedup, prefix_trie, quality_rules, sentencepiece_codec, substring_dedup, token_files, toxicity, vector_codes
+from calibrant.llm import chat_format, decontaminate, fingerprints, html_text, language_id, near_dedup, prefix_trie, quality_rules, sentencepiece_codec, substring_dedup, token_files, toxicity, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": toxicity.query,
         "op10_quality_rules": quality_rules.query,
         "op11_prefix_trie": prefix_trie.query,
+        "op12_fingerprints": fingerprints.query,
         "op13_vector_codes": vector_codes.query,
     }
 
