@@ -1,21 +1,28 @@
-"""Substring dedup: content-defined chunks, equal by digest, grown to whole repeated passages.
+"""Substring dedup: content-defined chunks, equal by digest, and the windows at their edges.
 
 A gear rolling hash over the last 16 bytes is taken at each word start; a chunk begins where
 that hash is the least among the words near it, so that cuts depend on nearby text alone and
 an insertion shifts no cut but those beside it. Chunks that occur earlier (in order of doc_id
-and place) point to their first occurrence; two or more that lie alike in the same earlier
-text are a seed. A seed grows byte by byte in both texts as far as they agree, and is cut to
-whole words. Passages of min_words or more are removed; their first occurrence stays.
+and place) point to their first occurrence. Chunks one after another that point to chunks one
+after another are a run: its bytes stand in the earlier text as well, and if it has min_words
+words or more it is a repeated passage as far as it goes.
 
-The first text that holds a chunk need not hold the passage around it. So windows of min_words
-words whose inner chunks all repeat, and that lie in no passage found so far, are hashed too,
-and each that occurs earlier is a seed by itself: a passage of min_words words is found
-whichever earlier text holds it.
+What is left are windows of min_words words whose inner chunks all repeat but that lie in no run:
+at the edges of runs, or in passages too short for one. These are hashed, and each that occurs
+earlier is a repeated passage. The earliest place of a window is never in a run, as a run points
+to something earlier still; so it is among the hashed ones, and every window that stands earlier
+is found, whichever earlier text holds it. All words of repeated passages are removed.
 
-Digests have 64 bits; a passage is removed only after its bytes were compared.
+The work is in proportion to the text, however often it repeats itself: a text gives a row for
+each chunk, and one for each left window that it has not had before; no text travels to another.
+Digests of chunks that very many texts hold, and of such windows, are joined by broadcast, and
+their number is bounded by construction.
+
+Chunk digests have 64 bits and a run many of them; window digests have 128.
 
 Defined results: null stays null; an empty text has no chunks; rows with a null doc_id or one
-that other rows repeat are returned as they are and are nobody's source; other columns are
+that other rows repeat count as later than all others, in order of doc_id (null last) and of a
+hash of the text, equal rows one after another; they are cut like all others. Other columns are
 carried along.
 """
 
@@ -29,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calibrant.functions.dists import let
 from calibrant.llm import textscan as ts
 from calibrant.llm.graph import bounded
 from calibrant.llm.worker import enter
@@ -38,12 +46,13 @@ from calibrant.session import ship, table
 NEAR = 4
 #: Words at a window's beginning and end whose cuts may depend on text outside it: 16 bytes are 8 words at most.
 RIM = (NEAR + 9, NEAR + 1)
-#: A window that recurs in its own text within so many bytes points there: else each place of a periodic run had a seed of its own.
-PERIOD = 512
-#: Bits of a byte or chunk number in a packed (doc_id, number).
+#: Bits of a byte or chunk number in a packed (key, number).
 BITS = 21
+#: Digests with more rows than this are joined by broadcast; the bound grows with the rows, so that there are MOST_HOT of them at most.
+HOT, MOST_HOT = 1000, 250_000
 _GEAR = np.random.Generator(np.random.PCG64(99)).integers(0, 2**32, 256, dtype=np.uint32)
 _SPANS = "array<struct<start: bigint, end: bigint, source: bigint>>"
+_OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def gear(s: ts.Slice) -> np.ndarray:
@@ -97,7 +106,7 @@ def _open(begins: np.ndarray, n: int, known: np.ndarray, size: int) -> np.ndarra
     return np.flatnonzero(free[1:] != free[:-1])
 
 
-_CHUNKS = "doc_id long, digests array<long>, begins array<int>, n_words int, n_bytes int, open boolean"
+_CHUNKS = "key long, digests array<long>, begins array<int>, starts array<int>, n_words int, n_bytes int, open boolean"
 
 
 def _chunk_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -106,48 +115,67 @@ def _chunk_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterato
         for s in ts.slices(b.column(1)):
             c, w = chunks(s), ts.words(s, ts.SPACED)
             got = ts.hashes(s.buf, c.starts, c.ends).astype(np.int64)
-            n, lists = np.diff(w.first), pa.array(c.first.astype(np.int32))
-            begins = np.searchsorted(w.starts, c.starts) - np.repeat(w.first[:-1], np.diff(c.first))
+            n, per, lists = np.diff(w.first), np.diff(c.first), pa.array(c.first.astype(np.int32))
+            begins = np.searchsorted(w.starts, c.starts) - np.repeat(w.first[:-1], per)
+            starts = c.starts - np.repeat(s.offs[:-1], per)
             free = [bool(len(_open(begins[i:j], k, np.zeros(j - i, bool), min_words))) for i, j, k in zip(c.first[:-1].tolist(), c.first[1:].tolist(), n.tolist())]
+            arrays = [pa.ListArray.from_arrays(lists, pa.array(x)) for x in (got, begins.astype(np.int32), starts.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(s.lo, s.hi - s.lo), pa.ListArray.from_arrays(lists, pa.array(got)), pa.ListArray.from_arrays(lists, pa.array(begins.astype(np.int32))), pa.array(n.astype(np.int32)), pa.array(np.diff(s.offs).astype(np.int32)), pa.array(free)],
-                ["doc_id", "digests", "begins", "n_words", "n_bytes", "open"],
+                [b.column(0).slice(s.lo, s.hi - s.lo), *arrays, pa.array(n.astype(np.int32)), pa.array(np.diff(s.offs).astype(np.int32)), pa.array(free)],
+                ["key", "digests", "begins", "starts", "n_words", "n_bytes", "open"],
             )
 
 
-def _open_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    enter("substring_dedup")
-    for b in batches:
-        runs = []
-        for begins, n, at in zip(*(b.column(k) for k in (1, 2, 3))):
-            begins = begins.values.to_numpy()
-            known = np.zeros(len(begins), bool)
-            if at.is_valid:
-                known[at.values.to_numpy()] = True
-            runs.append(_open(begins, n.as_py(), known, min_words))
-        keep = [k for k, r in enumerate(runs) if len(r)]
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([runs[k].astype(np.int32) for k in keep], pa.list_(pa.int32()))], ["doc_id", "runs"])
+_RUNS = f"key long, spans {_SPANS}, left array<int>"
 
 
-def _left_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """Runs of windows without those that lie in passages: (doc_id, runs, first words, ends) to (doc_id, runs)."""
+def _run_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """(key, begins, starts, n_words, n_bytes, repeated chunks) to the passages that runs cover, and the windows left (begin, end, begin, ...)."""
     enter("substring_dedup")
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("source", pa.int64())]))
     for b in batches:
-        ids, left = [], []
-        for doc, runs, firsts, ends in zip(*(b.column(k).to_pylist() for k in range(4))):
-            at = np.zeros(max(runs) + 2, np.int64)
-            np.add.at(at, runs, [1, -1] * (len(runs) // 2))
-            free = np.cumsum(at[:-1]) > 0
-            for i, j in zip(firsts or [], ends or []):
-                free[i : max(i, j - min_words + 1)] = False
-            free = np.r_[False, free, False]
-            if len(cut := np.flatnonzero(free[1:] != free[:-1])):
-                ids.append(doc)
-                left.append(cut.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(left, pa.list_(pa.int32()))], ["doc_id", "runs"])
+        keys, spans, left = [], [], []
+        for key, begins, starts, n, size, at in zip(b.column(0).to_pylist(), *(b.column(k) for k in (1, 2)), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5)):
+            begins, starts = begins.values.to_numpy(), starts.values.to_numpy()
+            known = np.zeros(len(begins), bool)
+            found = []
+            if at.is_valid:
+                place, source, first = (at.values.field(k).to_numpy() for k in range(3))
+                order = np.argsort(place)
+                place, source, first = place[order], source[order], first[order]
+                known[place] = True
+                earlier = (source != key) | (first != place)
+                place, source, first = place[earlier], source[earlier], first[earlier]
+                if len(place):
+                    cut = np.flatnonzero((np.diff(place) != 1) | (np.diff(first) != 1) | (np.diff(source) != 0)) + 1
+                    lo, hi = np.r_[0, cut], np.r_[cut, len(place)]
+                    k0, k1 = place[lo], place[hi - 1] + 1
+                    w0, w1 = begins[k0], np.r_[begins, n][k1]
+                    long = w1 - w0 >= min_words
+                    found = list(zip(starts[k0][long].tolist(), np.r_[starts, size][k1][long].tolist(), source[lo][long].tolist()))
+                    w0, w1 = w0[long], w1[long]
+            runs = _open(begins, n, known, min_words)
+            if found and len(runs):
+                most = int(runs[-1]) + 1
+                shut = np.zeros(most + 1, np.int64)
+                np.add.at(shut, runs, np.tile([1, -1], len(runs) // 2))
+                free = np.cumsum(shut)[:most] > 0
+                for i, j in zip(w0.tolist(), w1.tolist()):
+                    free[i : max(i, j - min_words + 1)] = False
+                free = np.r_[False, free, False]
+                runs = np.flatnonzero(free[1:] != free[:-1])
+            if found or len(runs):
+                keys.append(key)
+                spans.append([{"start": i, "end": j, "source": k} for i, j, k in found])
+                left.append(runs.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(spans, spans_type), pa.array(left, pa.list_(pa.int32()))], ["key", "spans", "left"])
+
+
+_WINDOWS = "h1 long, h2 long, key long, place long, end long"
 
 
 def _window_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """(key, text, windows) to a row for each window's first place in its text, and rows without digest for all later places, joined where they touch."""
     enter("substring_dedup")
     for b in batches:
         for s in ts.slices(b.column(1)):
@@ -155,23 +183,30 @@ def _window_batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterat
             n = s.hi - s.lo
             per = [np.concatenate([np.arange(i, j) for i, j in r.values.to_numpy().reshape(-1, 2)]) for r in b.column(2).slice(s.lo, n)]
             sizes = [len(x) for x in per]
+            row = np.repeat(np.arange(n), sizes)
             at = np.concatenate(per) + np.repeat(w.first[:-1], sizes)
             # a word with the space after it; the last of a window without
-            gaps = ts.windows(ts.hashes(s.buf, w.starts, np.r_[w.starts[1:], w.ends[-1:]]), min_words - 1)
+            gaps, words = ts.hashes(s.buf, w.starts, np.r_[w.starts[1:], w.ends[-1:]]), ts.hashes(s.buf, w.starts, w.ends)
             with np.errstate(over="ignore"):
-                h = ts.mix(gaps[at] * np.uint64(0x9DDFEA08EB382D69) + ts.hashes(s.buf, w.starts, w.ends)[at + min_words - 1])
-            ids = np.repeat(b.column(0).slice(s.lo, n).to_numpy(), sizes)
-            row, place = np.repeat(np.arange(n), sizes), w.starts[at] - np.repeat(s.offs[:-1], sizes)
-            # the last place of the same window in the same text, if it is near
-            order = np.lexsort((place, h, row))
-            same = np.r_[False, (h[order][1:] == h[order][:-1]) & (row[order][1:] == row[order][:-1]) & (np.diff(place[order]) <= PERIOD)]
-            last = np.full(len(h), -1, np.int64)
-            last[order[same]] = place[order[np.flatnonzero(same) - 1]]
-            # windows of consecutive words that point equally far back grow to one passage: the first is enough
-            far = np.where(last >= 0, place - last, -1)
-            runs_on = np.r_[False, (far[1:] == far[:-1]) & (far[1:] >= 0) & (at[1:] == at[:-1] + 1) & (row[1:] == row[:-1])]
-            keep = ~runs_on
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep].astype(np.int64)), pa.array(ids[keep]), pa.array(place[keep]), pa.array(last[keep])], ["digest", "doc_id", "place", "last"])
+                h1 = ts.mix(ts.windows(gaps, min_words - 1)[at] * np.uint64(0x9DDFEA08EB382D69) + words[at + min_words - 1])
+                h2 = ts.mix(ts.windows(ts.mix(gaps * _OTHER), min_words - 1)[at] * _OTHER + ts.mix(words[at + min_words - 1] * _OTHER))
+            ends = np.r_[w.starts[1:], w.ends[-1:]]
+            after = at + min_words
+            last = after == w.first[row + 1]
+            end = np.where(last, s.offs[row + 1], ends[after - 1]) - s.offs[row]
+            place = w.starts[at] - s.offs[row]
+            key = np.repeat(b.column(0).slice(s.lo, n).to_numpy(), sizes)
+            order = np.lexsort((place, h2, h1, row))
+            again = np.zeros(len(at), bool)
+            again[order[1:]] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1]) & (row[order][1:] == row[order][:-1])
+            first, later = np.flatnonzero(~again), np.flatnonzero(again)
+            names = ["h1", "h2", "key", "place", "end"]
+            yield pa.RecordBatch.from_arrays([pa.array(h1[first].astype(np.int64)), pa.array(h2[first].astype(np.int64)), pa.array(key[first]), pa.array(place[first]), pa.array(end[first])], names)
+            if len(later):
+                apart = np.flatnonzero((row[later][1:] != row[later][:-1]) | (place[later][1:] > end[later][:-1]))
+                lo, hi = np.r_[0, apart + 1], np.r_[apart, len(later) - 1]
+                none = pa.nulls(len(lo), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(key[later[lo]]), pa.array(place[later[lo]]), pa.array(end[later[hi]])], names)
 
 
 def _starts(text: bytes) -> list[int]:
@@ -179,156 +214,88 @@ def _starts(text: bytes) -> list[int]:
     return chunks(s).starts.tolist()
 
 
-def _agree(a: bytes, b: bytes, i: int, j: int) -> int:
-    """Bytes for which a from i and b from j agree."""
-    n, step, most = 0, 64, min(len(a) - i, len(b) - j)
-    while n < most:
-        k = min(step, most - n)
-        if a[i + n : i + n + k] == b[j + n : j + n + k]:
-            n, step = n + k, step * 2
-        elif k == 1:
-            break
-        else:
-            step = max(1, k // 2)
-            most = min(most, n + k - 1)
-    return n
-
-
-_WS = frozenset(b" \t\n\x0b\x0c\r")
-
-
-def grow(a: bytes, b: bytes, i: int, j: int, ra: bytes, rb: bytes) -> tuple[int, int]:
-    """The widest range of whole words of a around i that b has around j. ra, rb: a and b reversed."""
-    right = i + _agree(a, b, i, j)
-    left = i - _agree(ra, rb, len(a) - i, len(b) - j)
-    if left > 0 and a[left - 1] not in _WS:
-        while left < right and a[left] not in _WS:
-            left += 1
-    if right < len(a) and a[right] not in _WS:
-        while right > left and a[right - 1] not in _WS:
-            right -= 1
-    while left < right and a[left] in _WS:
-        left += 1
-    while right < len(a) and a[right] in _WS:
-        right += 1
-    return left, max(left, right)
-
-
-_PASSAGES = "doc_id long, start long, end long, source long, first int, last int"
-
-
-def _grow_batches(min_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("substring_dedup")
-        last: dict[int, tuple] = {0: (None,), 1: (None,)}
-
-        def of(side: int, key: int, text) -> tuple:
-            if last[side][0] != key:
-                t = text.as_py().encode()
-                last[side] = (key, t, t[::-1], [], [])
-            return last[side][1:]
-
-        def words(t: bytes, known: list) -> np.ndarray:
-            """Where each word begins."""
-            if not known:
-                known.append(ts.words(ts.Slice(0, 1, np.frombuffer(t, np.uint8), np.array([0, len(t)], np.int64)), ts.SPACED).starts)
-            return known[0]
-
-        for batch in batches:
-            rows = []
-            for r in range(batch.num_rows):
-                doc, src, delta, at, in_bytes = (batch.column(k)[r].as_py() for k in range(5))
-                (a, ra, sa, wa), (b, rb, sb, _) = of(0, doc, batch.column(5)[r]), of(1, src, batch.column(6)[r])
-                if not in_bytes:  # chunk numbers
-                    sa[:], sb[:] = sa or _starts(a), sb or _starts(b)
-                done = 0
-                for k in sorted(at):
-                    i, j = (k, k + delta) if in_bytes else (sa[k], sb[k + delta])
-                    if i < done or (doc, i) <= (src, j) or a[i : i + 1] != b[j : j + 1]:
-                        continue
-                    left, right = grow(a, b, i, j, ra, rb)
-                    done = max(done, right)
-                    first, end = np.searchsorted(words(a, wa), (left, right)).tolist()
-                    if end - first >= min_words:
-                        rows.append((doc, left, right, src, first, end))
-            cols = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.int32()) for c in cols[4:])], ["doc_id", "start", "end", "source", "first", "last"])
-
-    return run
-
-
-def passages(docs: DataFrame, min_words: int = 50, min_seed: int = 2) -> DataFrame:
-    """(doc_id, start, end, source, first, last): byte ranges of texts, and of words, that an earlier text holds too; they may overlap."""
-    ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+def _join_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, spans in any order) to disjoint ascending spans; of joined ones the first one's source counts."""
+    for b in batches:
+        out = []
+        for all_spans in b.column(1).to_pylist():
+            spans: list[dict] = []
+            for x in sorted(all_spans, key=lambda x: (x["start"], -x["end"], x["source"])):
+                if spans and x["start"] <= spans[-1]["end"]:
+                    spans[-1]["end"] = max(spans[-1]["end"], x["end"])
+                else:
+                    spans.append(x)
+            out.append(spans)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, b.schema.field(1).type)], ["cut_id", "spans"])
+
+
+def earlier(rows: DataFrame, by: list[str], it: str) -> DataFrame:
+    """rows whose key `by` an earlier row, by `it`, has too, and the first of such rows, with `first`, that row's `it`."""
+    many = table(rows.groupBy(*by).agg(F.min(it).alias("first"), F.count("*").alias("n")).where("n > 1"), "many")
+    limit = max(HOT, (many.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
+    hot = F.broadcast(many.where(F.col("n") > limit).drop("n"))  # MOST_HOT rows at most, as these have more than `limit` rows each
+    cold = rows.join(hot, by, "left_anti").join(many.where(F.col("n") <= limit).drop("n"), by)
+    return rows.join(hot, by).unionByName(cold)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(key, row, text): a number for each row, the doc_id where that is one row's alone; the numbers of other rows come after these."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
+    again = table(rows.groupBy("key").count().where("count > 1 or key is null").select("key"), "repeated")
+    if again.isEmpty():
+        return rows
+    odd = F.col("key").eqNullSafe(F.col("a_key"))
+    ids = bounded(again.withColumnRenamed("key", "a_key"))
+    single = rows.join(ids, odd, "left_anti")
+    top = single.agg(F.max("key")).first()[0]
+    order = ["key_last", "key", "digest"]
+    others = rows.join(ids, odd, "left_semi").withColumns({"key_last": F.col("key").isNull(), "digest": F.sha2("text", 256)})
+    dealt = table(others.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id()), "others")
+    low = dealt.groupBy("part").agg(F.count("*").alias("n"), F.min("nth").alias("low")).orderBy("part").collect()  # a row for each range
+    at, before = (-1 if top is None else top) + 1, []
+    for r in low:
+        before.append((r["part"], at - r["low"]))
+        at += r["n"]
+    shift = F.broadcast(docs.sparkSession.createDataFrame(before, "part int, shift long"))
+    return single.unionByName(dealt.join(shift, "part").select("row", (F.col("nth") + F.col("shift")).alias("key"), "text"))
+
+
+def cut_spans(rows: DataFrame, min_words: int = 50) -> DataFrame:
+    """(cut_id, spans) of rows(key, text): disjoint ascending byte ranges that an earlier place holds too, and the key of a text that does."""
+    ship(rows.sparkSession)
+    rows = rows.select("key", "text").where(F.col("text").isNotNull())
     own = table(rows.mapInArrow(partial(_chunk_batches, min_words=min_words), _CHUNKS), "chunks")
-    again = table(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if not again.isEmpty():
-        own = own.join(again, "doc_id", "left_anti")
-    most = own.agg(F.max("doc_id"), F.min("doc_id"), F.max("n_bytes")).first()
+    most = own.agg(F.max("key"), F.min("key"), F.max("n_bytes")).first()
     packs = most[0] is None or (most[0] < 1 << (63 - BITS) and most[1] >= 0 and most[2] < 1 << BITS)
-    it = F.shiftleft("doc_id", BITS) + F.col("place") if packs else F.struct("doc_id", F.col("place").cast("long").alias("place"))
-    doc = lambda c: F.shiftright(c, BITS) if packs else F.col(f"{c}.doc_id")
+    it = F.shiftleft("key", BITS) + F.col("place") if packs else F.struct("key", F.col("place").cast("long").alias("place"))
+    key = lambda c: F.shiftright(c, BITS) if packs else F.col(f"{c}.key")
     place = lambda c: F.col(c).bitwiseAND((1 << BITS) - 1) if packs else F.col(f"{c}.place")
 
-    def links(d: DataFrame) -> DataFrame:
-        """(doc_id, source, delta, at): places with the same earlier text at the same distance."""
-        d = d.select(doc("it").alias("doc_id"), doc("first").alias("source"), (place("first") - place("it")).alias("delta"), place("it").cast("int").alias("place"))
-        return d.groupBy("doc_id", "source", "delta").agg(F.collect_list("place").alias("at"))
-
-    flat = own.select("doc_id", F.posexplode("digests").alias("place", "digest")).select("digest", it.alias("it"))
-    many = flat.groupBy("digest").agg(F.min("it").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    dup = table(flat.join(many, "digest").select("it", "first"), "repeats")
-    known = dup.select(doc("it").alias("doc_id"), place("it").cast("int").alias("place")).groupBy("doc_id").agg(F.collect_list("place").alias("at"))
-    runs = own.join(known, "doc_id", "left").where(F.col("open") | F.col("at").isNotNull()).select("doc_id", "begins", "n_words", "at")
-    runs = table(runs.mapInArrow(partial(_open_batches, min_words=min_words), "doc_id long, runs array<int>"), "runs")
-    def grown(seeds: DataFrame) -> DataFrame:
-        ids = bounded(table(seeds.select("doc_id").union(seeds.select("source")).distinct(), "ids"))
-        texts = table(rows.join(ids, "doc_id", "left_semi"), "texts")
-        both = seeds.join(texts.withColumnRenamed("text", "a"), "doc_id").join(texts.select(F.col("doc_id").alias("source"), F.col("text").alias("b")), "source")
-        return table(both.select("doc_id", "source", "delta", "at", "in_bytes", "a", "b").mapInArrow(_grow_batches(min_words), _PASSAGES), "passages")
-
-    # a passage of min_words lies in windows, so chunks need not seed other texts
-    seeds = links(dup.where(F.col("it") != F.col("first"))).where(F.size("at") >= min_seed).join(bounded(runs.select("doc_id")), "doc_id", "left_semi")
-    found = grown(table(seeds.withColumn("in_bytes", F.lit(False)), "seeds"))
-    gone = found.groupBy("doc_id").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("ends"))
-    left = runs.join(gone, "doc_id", "left").select("doc_id", "runs", "firsts", "ends").mapInArrow(partial(_left_batches, min_words=min_words), "doc_id long, runs array<int>")
-    left = table(left, "left")
-    held = rows.join(bounded(left.select("doc_id")), "doc_id", "left_semi")  # other texts are not shuffled
-    some = held.join(left, "doc_id").select("doc_id", "text", "runs").mapInArrow(partial(_window_batches, min_words=min_words), "digest long, doc_id long, place long, last long")
-    some = table(some, "windows")
-    # a window that recurs nearby points there, and is never the first of its kind
-    back = some.where("last >= 0").select(it.alias("it"), F.col("last").alias("place"), "doc_id").select("it", it.alias("first"))
-    some = some.where("last < 0").select("digest", it.alias("it"))
-    firsts = some.groupBy("digest").agg(F.min("it").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    some = some.join(firsts, "digest").where(F.col("it") != F.col("first")).select("it", "first").union(back)
-    return found.union(grown(table(links(some).withColumn("in_bytes", F.lit(True)), "seeds")))
-
-
-def cut_spans(docs: DataFrame, **kw) -> DataFrame:
-    """(doc_id, spans): disjoint ascending byte ranges to remove, for the documents that have any."""
-    p = passages(docs, **kw).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "source"))).alias("all"))
-    joined = F.aggregate(
-        F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))),
-        F.slice("all", 1, 1),
-        lambda acc, x: F.when(
-            x["start"] <= F.element_at(acc, -1)["end"],
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"), F.element_at(acc, -1)["source"].alias("source")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    return p.select(F.col("doc_id").alias("cut_id"), joined.alias("spans"))
+    flat = own.select("key", F.posexplode("digests").alias("place", "digest")).select("digest", it.alias("it"))
+    dup = earlier(flat, ["digest"], "it").select(key("it").alias("d_key"), F.struct(place("it").cast("int").alias("place"), key("first").alias("source"), place("first").cast("int").alias("first")).alias("at"))
+    dup = dup.groupBy("d_key").agg(F.collect_list("at").alias("at"))
+    runs = own.drop("digests").join(dup, F.col("key") == F.col("d_key"), "left").where(F.col("open") | F.col("at").isNotNull())
+    runs = table(runs.select("key", "begins", "starts", "n_words", "n_bytes", "at").mapInArrow(partial(_run_batches, min_words=min_words), _RUNS), "runs")
+
+    left = runs.where(F.size("left") > 0).select("key", "left")
+    held = rows.join(bounded(left.select("key")), "key", "left_semi")  # other texts are not shuffled
+    some = table(held.join(left, "key").select("key", "text", "left").mapInArrow(partial(_window_batches, min_words=min_words), _WINDOWS), "windows")
+    found = earlier(some.where(F.col("h1").isNotNull()).select("h1", "h2", it.alias("it"), "end"), ["h1", "h2"], "it").where(F.col("it") != F.col("first"))
+    found = found.select(key("it").alias("key"), place("it").cast("long").alias("start"), "end", key("first").alias("source"))
+    again = some.where(F.col("h1").isNull()).select("key", F.col("place").alias("start"), "end", F.col("key").alias("source"))
+    spans = runs.select("key", F.inline("spans")).unionByName(found).unionByName(again)
+    return spans.groupBy("key").agg(F.collect_list(F.struct("start", "end", "source")).alias("spans")).mapInArrow(_join_batches, f"cut_id long, spans {_SPANS}")
 
 
 def dedup(docs: DataFrame, **kw) -> DataFrame:
     """docs as `row` (a struct), with `spans` to remove (null if none) and `text` without them."""
-    cuts = table(cut_spans(docs, **kw), "cuts")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    rows = rows.join(bounded(cuts, longs=1 + 3 * F.size("spans")), F.col("row.doc_id") == F.col("cut_id"), "left").drop("cut_id")
-    raw, n = F.encode(F.col("row.text"), "utf-8"), F.octet_length(F.col("row.text")).cast("long")
+    rows = keyed(docs)
+    cuts = table(cut_spans(rows, **kw), "cuts")
+    rows = rows.join(bounded(cuts, longs=1 + 3 * F.size("spans")), F.col("key") == F.col("cut_id"), "left")
     begins = F.concat(F.array(F.lit(0).cast("long")), F.col("spans.end"))
-    ends = F.concat(F.col("spans.start"), F.array(n))
-    pieces = F.zip_with(begins, ends, lambda a, b: F.decode(F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")), "utf-8"))
-    return rows.select("row", "spans", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(F.array_join(pieces, "")).alias("text"))
+    ends = F.concat(F.col("spans.start"), F.array(F.octet_length("text").cast("long")))
+    pieces = let(F.encode("text", "utf-8"), lambda raw: F.zip_with(begins, ends, lambda a, b: F.decode(F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")), "utf-8")))
+    return rows.select("row", "spans", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(pieces, "")).alias("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,8 +140,53 @@ def test_substring_dedup(spark):
     assert substring_dedup.dedup(df.limit(0)).count() == 0
     kept = {r["doc_id"]: r for r in substring_dedup.stage(spark, docs_of(spark, texts), "").collect()}
     assert 12 not in kept and kept[11]["n_chars"] == len(kept[11]["text"])
+
+
+def test_substring_dedup_of_null_and_repeated_ids(spark):
+    """They come after all others, in order of id and text, and are cut and used as sources like them."""
+    p, q, tail = prose(60, 77), prose(60, 78), prose(20, 9)
     same = docs_of(spark, [p, p, p], [1, 1, 2])
-    assert sorted(r["text"] for r in substring_dedup.dedup(same).collect()) == sorted([p, p, p])
+    assert sorted((r["row"]["doc_id"], r["text"]) for r in substring_dedup.dedup(same).collect()) == [(1, ""), (1, ""), (2, p)]
+    odd = docs_of(spark, [q, f"{tail} {q}", q, None, None, f"{p} {tail}"], [5, 5, None, None, 8, 9])
+    got = sorted(((r["row"]["doc_id"], r["text"]) for r in substring_dedup.dedup(odd).collect()), key=str)
+    assert [x for x in got if x[0] in (8, 9)] == [(8, None), (9, f"{p} {tail}")]
+    kept = [x[1].strip() for x in got if x[0] == 5]
+    assert sorted(kept) in (sorted(["", f"{tail} {q}"]), sorted([q, tail])) and [x[1] for x in got if x[0] is None] in (["", None], [None, ""])
+    alone = docs_of(spark, [q] * 4, [None] * 4)
+    assert sorted(r["text"] for r in substring_dedup.dedup(alone).collect()) == ["", "", "", q]
+
+
+def test_substring_dedup_grows_with_the_text(spark):
+    """Texts of lines drawn from a few, a log: rows and windows in proportion to the text, and the result of brute force."""
+    r = random.Random(4)
+    lines = [prose(60, 600 + k) for k in range(12)]
+    texts = ["\n".join(r.choice(lines) for _ in range(n)) for n in (3, 40, 80)] + ["\n".join(lines[:3])]
+    got = {x["row"]["doc_id"]: x["text"].split() for x in substring_dedup.dedup(docs_of(spark, texts)).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        ws, gone = re.findall(r"\S+\s*", t), set()
+        for k in range(len(ws) - 49):
+            w = "".join(ws[k : k + 50]).rstrip()
+            if w in seen:
+                gone.update(range(k, k + 50))
+            seen.add(w)
+        assert got[i] == [w.strip() for k, w in enumerate(ws) if k not in gone], i
+    sizes = []
+    for n in (100, 200, 400):
+        text = "\n".join(r.choice(lines) for _ in range(n))
+        own = next(substring_dedup._chunk_batches([_batch([7], [text])], 50))
+        chunks = own.column(1)[0].as_py()
+        first = {}
+        at = [{"place": k, "source": 7, "first": first.setdefault(c, k)} for k, c in enumerate(chunks)]
+        runs = next(substring_dedup._run_batches([pa.RecordBatch.from_arrays([*(own.column(k) for k in (0, 2, 3, 4, 5)), pa.array([at])], list("abcdef"))], 50))
+        left = runs.column(2)[0].as_py()
+        rows = sum(b.num_rows for b in substring_dedup._window_batches([pa.RecordBatch.from_arrays([pa.array([7]), pa.array([text]), pa.array([left], pa.list_(pa.int32()))], list("abc"))], 50))
+        sizes.append((len(text), rows + len(runs.column(1)[0])))
+    assert sizes[2][1] <= 4.2 * sizes[0][1] and all(rows * 25 < size for size, rows in sizes)
+
+
+def _batch(keys, texts):
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts)], ["key", "text"])
 
 
 def test_substring_dedup_finds_any_earlier_copy(spark):
