@@ -11,8 +11,16 @@ The way from the body to the core gives the thresholds: the core's subtree grows
 as long as their density is no less than the geometric mean of the body's and the core's. For a
 parent marked as article or main the body's own density is enough, and the subtree does not grow
 beyond it. The largest such subtree is the result, less what is never article text: scripts,
-styles, forms, menus, page headers and footers, asides, notices, adverts, reader comments,
-hidden parts; these are not added to density sums either.
+styles, menus, page headers and footers, asides, hidden parts, by their element; and forms,
+notices, adverts, sidebars and reader comments, by role or by a word of their class or id. These
+are not added to density sums either.
+
+Such a word is evidence, not proof, and the text decides. An element that is only named so stays
+if it is around the page's main article, or if it holds half of the page's unlinked text and no main
+article stands elsewhere. The main article is the article or main element with the most unlinked
+text; where all of them are in named elements, it must have a quarter of the page's. One that is
+named as comments stays only if it holds all but a little of the article around it, or of the
+page where no article stands outside named elements.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed, empty ones left out, and the rest joined by one line feed in page order. The time is in
@@ -56,26 +64,31 @@ _P_ENDS = _BLOCK - {"option", "td", "th", "tr", "tbody", "thead", "tfoot", "capt
 _P_SCOPE = frozenset("html body table td th caption button object div article section main blockquote li ul ol dl dd dt aside nav header footer form fieldset figure figcaption details".split())
 
 # Elements, roles and name parts of what is not article text.
-_OUT_TAGS = frozenset("head nav footer aside form button select input textarea svg canvas object embed iframe dialog menu noscript template script style audio video map label fieldset".split())
+_OUT_TAGS = frozenset("head nav footer aside button select input textarea svg canvas object embed iframe dialog menu noscript template script style audio video map label fieldset".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist status".split())
 _OUT_NAMES = re.compile(
     r"(?:^|[\s_]|(?<!\bwith)(?<!\bhas)(?<!\bno)-)(?:ad|ads|adv|advert|adverts|advertisement|advertising|adbox|adsense|sponsor|sponsored|promo|promotion|promoted|banner"
     r"|nav|navbar|navigation|menu|menus|breadcrumb|breadcrumbs|pagination|pager|toc"
     r"|sidebar|side|aside|widget|widgets|related|recommended|recommendations|popular|trending"
-    r"|comment|comments|commentlist|discussion|disqus|reply|replies|respond|reader-comments"
     r"|cookie|cookies|consent|gdpr|notice|notices|alert|notification|popup|modal|overlay|newsletter|subscribe|subscription|signup|paywall|disclaimer"
     r"|share|sharing|social|footer|footnav|masthead|site-header|page-header|topbar|toolbar|skip|login|search|hidden|sr-only|visually-hidden)(?:$|[\s_-])",
     re.I,
 )
+_COMMENT_NAMES = re.compile(r"(?:^|[\s_]|(?<!\bwith)(?<!\bhas)(?<!\bno)-)(?:comment|comments|commentlist|discussion|disqus|reply|replies|respond|reader-comments)(?:$|[\s_-])", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _KEEP_TAGS = frozenset(("html", "body", "article", "main"))
 
+#: What speaks against an element: nothing, its name, a name of comments, its kind.
+CLEAN, NAMED, COMMENTS, NEVER = range(4)
+#: Shares of the page's unlinked text: of a main article, of a named element that stays, of one named as comments; and of an article's, of one named as comments in it.
+MAIN_SHARE, NAMED_SHARE, COMMENTS_SHARE, INSIDE_SHARE = 0.25, 0.5, 0.9, 0.98
+
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "out", "block", "in_article", "p", "tops", "inline", "chars", "tags", "link_chars", "link_tags", "own_chars", "own_links", "own_link_chars", "density", "total")
+    __slots__ = ("tag", "parent", "kids", "mark", "out", "plain", "block", "in_article", "p", "tops", "inline", "chars", "tags", "link_chars", "link_tags", "own_chars", "own_links", "own_link_chars", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool) -> None:
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: Node | None, mark: int) -> None:
+        self.tag, self.parent, self.mark, self.out = tag, parent, mark, False
         self.kids: list[Node | str] = []
         self.block = tag in _BLOCK
         self.in_article = tag == "article" or (parent is not None and parent.in_article)
@@ -89,26 +102,30 @@ class Node:
         self.inline: dict[str, int] = {} if self.block or parent is None else parent.inline
 
 
-def _left_out(tag: str, attrs: str, inside_article: bool) -> bool:
+def _mark(tag: str, attrs: str, inside_article: bool) -> int:
     if tag in _OUT_TAGS or (tag == "header" and not inside_article):
-        return True
+        return NEVER
+    found = NAMED if tag == "form" else CLEAN
     if not attrs or tag in _KEEP_TAGS:
-        return False
+        return found
     for m in _ATTR.finditer(attrs):
         name = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and _OUT_NAMES.search(value):
-            return True
-        if name == "role" and value.lower() in _OUT_ROLES:
-            return True
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
-            return True
-    return False
+            return NEVER
+        if name in ("class", "id"):
+            if _COMMENT_NAMES.search(value):
+                found = COMMENTS
+            elif _OUT_NAMES.search(value):
+                found = max(found, NAMED)
+        elif name == "role" and value.lower() in _OUT_ROLES:
+            found = max(found, NAMED)
+    return found
 
 
 def parse(html: str) -> Node:
     """The page's tree; scripts and the like are not kept."""
-    root = Node("html", None, False)
+    root = Node("html", None, CLEAN)
     at, pos = root, 0
     blocks: dict[str, int] = {}  # open ones by tag
     find = _TAG.search
@@ -162,7 +179,7 @@ def parse(html: str) -> Node:
         if kind is not None and at.tops[kind] is not None:
             at = close(at.tops[kind])
         if tag in _VOID:
-            at.kids.append("\n" if tag == "br" else Node("hr", at, at.out) if tag == "hr" else "")
+            at.kids.append("\n" if tag == "br" else Node("hr", at, CLEAN) if tag == "hr" else "")
             continue
         if tag in _RAW:
             end = _RAW_END[tag].search(html, pos)
@@ -171,7 +188,7 @@ def parse(html: str) -> Node:
             continue
         if attrs.endswith("/") and tag not in _BLOCK:
             continue
-        node = Node(tag, at, at.out or _left_out(tag, attrs, at.in_article))
+        node = Node(tag, at, _mark(tag, attrs, at.in_article))
         at.kids.append(node)
         if node.block:
             blocks[tag] = blocks.get(tag, 0) + 1
@@ -206,9 +223,44 @@ def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float
     return chars / tags * max(weight, 0.0)
 
 
+def leave_out(nodes: list[Node]) -> None:
+    """Say which elements are left out, from what speaks against them and their share of the unlinked text. nodes: in page order."""
+    for n in reversed(nodes):
+        own = 0 if n.mark == NEVER or n.tag == "a" else sum(k.plain if isinstance(k, Node) else len("".join(k.split())) for k in n.kids)
+        n.plain = own
+    whole = nodes[0].plain
+    named: set[int] = set()  # these and what is in them
+    for n in nodes:
+        n.out = n.mark == NEVER or (n.parent is not None and n.parent.out)
+        if n.mark in (NAMED, COMMENTS) or id(n.parent) in named:
+            named.add(id(n))
+    articles = [n for n in nodes if n.tag in ("article", "main") and not n.out and n.plain]
+    clean = max((n for n in articles if id(n) not in named), key=lambda n: n.plain, default=None)
+    for n in nodes:
+        if n.mark == COMMENTS:
+            up = n
+            while up is not None and up is not clean:
+                up = up.parent
+            n.out |= n.plain < (COMMENTS_SHARE * whole if clean is None else whole + 1 if up is None else INSIDE_SHARE * clean.plain)
+        n.out |= n.parent is not None and n.parent.out
+    most = clean or max((n for n in articles if not n.out and n.plain >= MAIN_SHARE * whole), key=lambda n: n.plain, default=None)
+    around, up = set(), most
+    while up is not None:
+        around.add(id(up))
+        up = up.parent
+    inside = {id(most)} if most is not None else set()
+    for n in nodes:
+        if n.parent is not None and id(n.parent) in inside:
+            inside.add(id(n))
+        if n.mark == NAMED and not (id(n) in around or (n.plain >= NAMED_SHARE * whole and (most is None or id(n) in inside))):
+            n.out = True
+        n.out = n.out or (n.parent is not None and n.parent.out)
+
+
 def measure(root: Node) -> list[Node]:
     """Fill in characters, tags, their linked parts, densities and density sums; nodes in page order."""
     nodes = _order(root)
+    leave_out(nodes)
     for n in reversed(nodes):
         n.chars = n.tags = n.link_chars = n.link_tags = n.own_chars = n.own_links = n.own_link_chars = 0
         for k in n.kids:

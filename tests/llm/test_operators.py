@@ -459,7 +459,19 @@ def test_html_density_sums_match_brute_force():
         links = [x for x in below if x[0] == "a"]
         return den(chars(t), sum(x[0] != "b" for x in below), sum(map(chars, links)), len(links), share)
 
-    out = lambda t, path: any(x[0] == "nav" or "sidebar" in x[1] for x in (t, *path))
+    def plain(t):
+        return chars(t) if isinstance(t, str) else 0 if t[0] in ("nav", "a") else sum(map(plain, t[2]))
+
+    def stays(tree):
+        """Ids of the sidebars that are not left out."""
+        everything = list(every(tree))
+        articles = [(t, path) for t, path in everything if t[0] in ("article", "main") and plain(t) and all(x[0] != "nav" for x in path)]
+        clean = [x for x in articles if not any("sidebar" in y[1] for y in x[1])] or [x for x in articles if plain(x[0]) >= 0.25 * plain(tree)]
+        main, around = max(clean, key=lambda x: plain(x[0]), default=(None, ()))
+        half = lambda t, path: 2 * plain(t) >= plain(tree) and (main is None or any(x is main for x in path))
+        return {id(t) for t, path in everything if "sidebar" in t[1] and (any(t is x for x in around) or half(t, path))}
+
+    out = lambda t, path: any(x[0] == "nav" or ("sidebar" in x[1] and id(x) not in kept) for x in (t, *path))
 
     def total(t, share):
         mine = list(own(t))
@@ -468,6 +480,7 @@ def test_html_density_sums_match_brute_force():
 
     for seed in range(150):
         tree = random_tree(random.Random(seed))
+        kept = stays(tree)
         root = html_text.parse("<html>" + write(tree) + "</html>")
         html_text.measure(root)
         share = sum(chars(x) for x, _ in every(tree) if x[0] == "a") / max(1, chars(tree))
@@ -492,13 +505,51 @@ def test_html_density_sums_match_brute_force():
         assert got is nodes[at], seed
 
 
+SENTENCES = [f"{prose(11, 800 + k)}." for k in range(24)]
+ARTICLE, WHOLE = "".join(f"<p>{x}</p>" for x in SENTENCES), "\n".join(SENTENCES)
+FILLER = '<nav><a href=a>one</a> <a href=b>two</a></nav><div class="{}"><p>Short words beside the article.</p></div><footer>end of page</footer>'
+
+
+@pytest.mark.parametrize("name", ["elementor-widget elementor-widget-theme-post-content", "widget Blog", "popular-science", "content share-enabled", "col left-side", "post comments-enabled", "page-header-on", "ad-free reader"])
+def test_html_named_wrappers_of_the_article_stay(name):
+    """A word of a wrapper's class does not take the article with it; the same class beside the article goes."""
+    for page in (
+        f'<body>{FILLER.format("sidebar")}<div class="{name}">{ARTICLE}</div></body>',
+        f'<body><div class="{name}"><article>{ARTICLE}</article>{FILLER.format("sidebar")}</div></body>',
+        f'<body><div id="page" class="{name}"><div class="post"><h1>Title</h1>{ARTICLE}</div></div>{FILLER.format("widget")}</body>',
+        f'<body><form id="aspnetForm"><input name=q><div class="{name}">{ARTICLE}</div><button>Go</button></form></body>',
+        f'<body><article><div class="{name}">{ARTICLE}</div></article></body>',
+    ):
+        assert html_text.main_text(page).removeprefix("Title\n") == WHOLE, page[:200]
+    beside = f'<body><article>{ARTICLE}</article><div class="{name}"><p>Short words beside the article.</p></div></body>'
+    assert html_text.main_text(beside) == WHOLE
+    inside = f'<body><article>{ARTICLE}<div class="{name}"><p>Short words in the article.</p></div></article></body>'
+    assert html_text.main_text(inside) == WHOLE
+
+
+def test_html_comments_cards_and_forms_go():
+    """However long they are: reader comments, cards of other articles, forms; and a small article beside a long notice stays."""
+    comment = "".join(f'<article class="comment"><p>{prose(40, 60 + k)}</p></article>' for k in range(30))
+    short = "".join(f"<p>{x}</p>" for x in SENTENCES[:6])
+    assert html_text.main_text(f'<body><article>{short}</article><section id="comments">{comment}</section></body>') == "\n".join(SENTENCES[:6])
+    assert html_text.main_text(f'<body><article>{short}<div class="comment-list">{comment}</div></article></body>') == "\n".join(SENTENCES[:6])
+    cards = "".join(f"<article><h3><a href=x>{prose(5, k)}</a></h3><p>{prose(12, 70 + k)}</p></article>" for k in range(4))
+    assert html_text.main_text(f'<body><main><div class="body">{ARTICLE}</div><div class="related-posts">{cards}</div></main></body>') == WHOLE
+    assert html_text.main_text(f'<body><div class="body">{ARTICLE}</div><div class="related-posts">{cards}</div></body>') == WHOLE
+    form = f'<form class="signup"><p>{prose(30, 5)}</p><label>Mail</label></form>'
+    assert html_text.main_text(f"<body><article>{ARTICLE}{form}</article>{form}</body>") == WHOLE
+    notice = f'<div class="cookie-notice"><p>{prose(90, 6)}</p></div>'
+    assert html_text.main_text(f"<body>{notice}<article><h1>Title</h1><p>Few words.</p></article></body>") == "Title\nFew words."
+    assert html_text.main_text(f'<body><div hidden>{ARTICLE}</div><div class="text"><p>{SENTENCES[0]}</p></div></body>') == SENTENCES[0]
+
+
 def test_html_odd_pages():
     """Letters whose lower case is longer, ties, and deep nesting in time that grows with the page."""
     import time
 
     assert html_text.main_text("İ" * 40 + "<script>x</SCRIPT><p>next paragraph</p>").endswith("next paragraph")
     same = "<div><p>same words here in both of these</p></div>"
-    assert html_text.main_text(f"<body><div class=x>{same}</div><div class=y>{same}</div>").count("same") in (1, 2)
+    assert html_text.main_text(f"<body><div class=x>{same}</div><div class=y>{same}</div>").count("same") == 2  # equal parts: the body's sum is both
     assert html_text.main_text("<p>a</p><p>b") == "a\nb"
 
     def took(page):
