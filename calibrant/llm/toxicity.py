@@ -2,22 +2,25 @@
 
 Two dictionaries are trained by cover selection from a bounded labelled sample: byte strings of
 training text are taken greedily by the weight of the runs of RUN bytes that they hold and no
-earlier one held. Both end in a common part that covers what is frequent in ordinary text, so
-that it lies at the same distance under either. In front of it the ordinary dictionary has more
-of the same, and the toxic one strings of toxic text, whose runs weigh as much as they are
-likelier there (log-likelihood ratio against chance); runs that few texts hold weigh nothing,
-and strings with runs that weigh something there are not taken from ordinary text.
-Nothing is split into words in training.
-
-A text is cut into windows of a few words. Each is compressed under both dictionaries between
-two passages of the common part, as a compressor reaches neither the first nor the last bytes of
-its input and stores a few bytes raw. Windows by which the toxic dictionary saves `saves` bytes
-or more are counted, and the count is taken per word of the text, with `slack` words added. The
-bytes, the slack and the rate from which a text is called toxic are calibrated on the sample. A
-window without any weighted run differs by chance alone; its difference counts as nothing, and
-it is not compressed.
-
-Texts count once in training, however many copies there are, and their order does not matter.
+earlier one held. The ordinary dictionary covers what is frequent in ordinary text. The toxic one
+has the same strings at the same distances, and in front of them strings of toxic text, whose
+runs weigh as much as they are likelier there (log-likelihood ratio against chance); where the
+toxic dictionary has these, the ordinary one has zeros. Nothing is split into words in training,
+and what is frequent in either kind of text costs the same under both dictionaries.
+
+A text is cut into windows of a sentence's length. Each is compressed under both dictionaries
+between two passages of the common part, as a compressor reaches neither the first nor the last
+bytes of its input and stores a few bytes raw. The bytes that the toxic dictionary saves are the
+window's distance. A distance counts for as much as it is likelier among toxic texts' windows
+(log-likelihood ratio, one for each number of bytes), and the sum is taken per word of the text,
+with `slack` words added. A window that has no string of MATCH bytes, the
+least match, in common with the toxic strings has the same length under both and need not be
+compressed; nothing else is left out.
+
+The dictionaries are trained on the whole sample. What distances count for, the slack and the
+rate from which a text is called toxic are calibrated on the distances that the sample's parts
+have under dictionaries of the other parts. Texts count once in training, however many copies there are, and their order
+does not matter.
 
 Defined results: null or empty texts have no windows and score 0; repeated rows are scored
 alike; ties between segments go to the bytes; without labels of both kinds every score is 0.
@@ -30,7 +33,6 @@ import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +45,10 @@ from calibrant.llm.sample import labelled
 from calibrant.llm.worker import tenant
 from calibrant.session import ship
 
-#: Bytes of a run.
-RUN = 6
+#: Bytes of a run in training, and of the least match of the compressor.
+RUN, MATCH = 6, 5
+#: Saved bytes above which all count the same.
+MOST_SAVED = 8
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _EDGE = 32
@@ -62,11 +66,11 @@ def _flat(s: ts.Slice) -> tuple[np.ndarray, np.ndarray, ts.Spans]:
     return out, at, w
 
 
-def _runs(flat: np.ndarray) -> np.ndarray:
+def _runs(flat: np.ndarray, size: int = RUN) -> np.ndarray:
     """The run that begins at each byte, as a number."""
-    n = max(0, len(flat) - RUN + 1)
+    n = max(0, len(flat) - size + 1)
     h = np.zeros(n, np.uint64)
-    for k in range(RUN):
+    for k in range(size):
         h |= flat[k : k + n].astype(np.uint64) << np.uint64(8 * k)
     return h
 
@@ -189,24 +193,23 @@ def _unlike(texts: list[np.ndarray]) -> list[int]:
 @dataclass
 class Model:
     common: bytes
-    ordinary: bytes
     toxic: bytes
-    runs: np.ndarray
-    words: int = 3
-    #: Bytes that the toxic dictionary must save in a window.
-    saves: int = 1
+    words: int = 8
+    #: What a window counts for by the bytes that the toxic dictionary saves in it, from 1 on; the last is for all above.
+    counts: tuple[float, ...] = (1.0,)
     #: Words added to a text's length.
     slack: int = 0
-    #: Windows a thousand words from which a text is called toxic.
+    #: Sum a thousand words from which a text is called toxic.
     rate: float = 1.0
 
     def compressors(self) -> tuple:
+        """Under the ordinary and the toxic dictionary."""
         p = zstandard.ZstdCompressionParameters(
-            format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=16, chain_log=14, hash_log=13, search_log=6, min_match=4, target_length=64,
-            strategy=zstandard.STRATEGY_BTULTRA2, write_content_size=0, write_checksum=0, write_dict_id=0,
+            format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=17, chain_log=17, hash_log=17, search_log=5, min_match=MATCH, target_length=64,
+            strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0,
         )
         out = []
-        for own in (self.ordinary, self.toxic):
+        for own in (bytes(len(self.toxic)), self.toxic):
             d = zstandard.ZstdCompressionDict(own + self.common, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=p)
             out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress)
@@ -217,7 +220,9 @@ class Scorer:
     """Windows of slices of text under both dictionaries of a model."""
 
     def __init__(self, model: Model) -> None:
-        self.m, self.w, (self.a, self.b) = model, _Weights(model.runs, np.ones(len(model.runs))), model.compressors()
+        self.m, (self.a, self.b) = model, model.compressors()
+        strings = np.unique(_runs(np.frombuffer(model.toxic, np.uint8), MATCH))
+        self.shared = _Weights(strings, np.ones(len(strings)))
         n = len(model.common)
         self.before, self.after = model.common[n // 3 : n // 3 + _EDGE], model.common[n // 2 : n // 2 + _EDGE]
 
@@ -226,33 +231,30 @@ class Scorer:
         x = self.before + window + self.after
         return len(self.a(x)) - len(self.b(x))
 
-    def windows(self, s: ts.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row and bytes saved of each window that holds a weighted run; number of words of each row."""
+    def windows(self, s: ts.Slice, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row and bytes saved of each window that may differ (or of every one); number of words of each row."""
         flat, begin, w = _flat(s)
         n_words = np.diff(w.first)
-        at, _ = self.w.hits(_runs(flat))
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), n_words
-        size = w.ends - w.starts
-        row = w.rows()
+        size, row = w.ends - w.starts, w.rows()
         per = -(-n_words // self.m.words)
         base = np.cumsum(per) - per
         window = base[row] + (np.arange(len(row)) - w.first[row]) // self.m.words
         head = np.searchsorted(window, np.arange(int(per.sum())))
         last = np.r_[head[1:], len(row)] - 1
+        if not len(head):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), n_words
         lo, hi = begin[head] - 1, begin[last] + size[last] + 1
-        # a run may begin at the space before a window's first word
-        word = np.maximum(np.searchsorted(begin, at, "right") - 1, 0)
-        pairs = np.r_[window[word], window[np.minimum(word + 1, len(row) - 1)]]
-        place = np.r_[at, at]
-        some = np.unique(pairs[(place >= lo[pairs]) & (place + RUN <= hi[pairs])])
+        some = np.arange(len(head))
+        if not every:
+            at, _ = self.shared.hits(_runs(flat, MATCH))
+            some = some[np.searchsorted(at, hi - MATCH, "right") > np.searchsorted(at, lo)]
         saved = np.array([self.distance(flat[lo[k] : hi[k]].tobytes()) for k in some.tolist()], np.int64)
         return row[head[some]], saved, n_words
 
     def rates(self, s: ts.Slice) -> np.ndarray:
-        """Windows that save enough a thousand words, for each row."""
+        """What a row's windows count for, a thousand words."""
         row, saved, n_words = self.windows(s)
-        return 1000 * np.bincount(row[saved >= self.m.saves], minlength=len(n_words)) / np.maximum(1, n_words + self.m.slack)
+        return _rates(row, saved, n_words, self.m.counts, self.m.slack)
 
     def scores(self, s: ts.Slice) -> np.ndarray:
         """0 to 1; 0.7 at the calibrated rate."""
@@ -260,53 +262,81 @@ class Scorer:
         return r / (r + self.m.rate * 3 / 7)
 
 
-def _best(rates: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """The best F1 of any cut between the rates, and the cut."""
+def _rates(row: np.ndarray, saved: np.ndarray, n_words: np.ndarray, counts: tuple[float, ...], slack: int) -> np.ndarray:
+    worth = np.array((0.0, *counts))[np.clip(saved, 0, len(counts))]
+    return 1000 * np.bincount(row, worth, len(n_words)) / np.maximum(1, n_words + slack)
+
+
+def _counts_for(saved: np.ndarray, toxic: np.ndarray, windows: tuple[int, int]) -> tuple[float, ...]:
+    """The log-likelihood ratio of each number of saved bytes up to MOST_SAVED, not below 0 and never falling; windows: of other and of toxic texts."""
+    a, b = (np.bincount(np.clip(saved[toxic == y], 0, MOST_SAVED), minlength=MOST_SAVED + 1)[1:] for y in (True, False))
+    ratio = np.log((a + 0.5) / (windows[1] + 1)) - np.log((b + 0.5) / (windows[0] + 1))
+    return tuple(np.maximum.accumulate(np.maximum(ratio, 0.0)).tolist())
+
+
+def _best(rates: np.ndarray, toxic: np.ndarray, recall: float = 1.0) -> tuple[float, float]:
+    """The best F score of any cut between the rates, and the cut."""
     order = np.argsort(-rates, kind="stable")
     x, y = rates[order], np.cumsum(toxic[order])
     end = np.flatnonzero((x > 0) & (np.r_[x[1:], -1.0] != x))
     if not len(end):
         return 0.0, 1.0
-    f1 = 2 * y[end] / (end + 1 + toxic.sum())
-    k = int(np.argmax(f1))
+    score = (1 + recall**2) * y[end] / (end + 1 + recall**2 * toxic.sum())
+    k = int(np.argmax(score))
     below = x[end[k] + 1] if end[k] + 1 < len(x) else 0.0
-    return float(f1[k]), float((x[end[k]] + below) / 2)
+    return float(score[k]), float((x[end[k]] + below) / 2)
 
 
-def train(texts: list[str | None], toxic: list[bool], *, words: int = 3, common_bytes: int = 1024, own_bytes: int = 4096, segment: int = 20, least: int = 4, surprise: float = 10.0, likelier: float = 4.0, most: int = 4, cover_texts: int = 600) -> Model | None:
+def dictionaries(toxic: list[np.ndarray], other: list[np.ndarray], *, words: int, common_bytes: int, own_bytes: int, segment: int, least: int, surprise: float, likelier: float, most: int, cover_texts: int) -> Model:
+    """A model without thresholds."""
+    w = _contrast(toxic, other, least, surprise, likelier, most)
+    own = b"".join(reversed(cover(toxic, w, own_bytes, segment)))
+    some = sorted(other, key=lambda t: hashlib.blake2b(t.tobytes(), digest_size=8).digest())[:cover_texts]
+    runs, n, of = _counts(some, most)
+    held = of >= least
+    common = b"".join(reversed(cover(some, _Weights(runs[held], n[held]), common_bytes, 32, w)))
+    return Model(common.rjust(4 * _EDGE, b" "), own, words)
+
+
+def train(texts: list[str | None], toxic: list[bool], *, words: int = 8, common_bytes: int = 1 << 15, own_bytes: int = 1 << 13, segment: int = 12, least: int = 4, surprise: float = 10.0, likelier: float = 6.0, most: int = 4, cover_texts: int = 600, folds: int = 3, recall: float = 1.5) -> Model | None:
     """Dictionaries and thresholds from labelled texts; None without texts of both kinds.
 
     common_bytes, own_bytes: bounds of the dictionaries' parts; segment: bytes of a string of
     toxic text; least: texts that must hold a run; surprise: least weight; likelier: least ratio
     of frequencies; most: occurrences that count in a text; cover_texts: ordinary texts whose
-    strings may enter the common part.
+    strings may enter the common part; folds: parts of the sample, each measured under
+    dictionaries of the others to calibrate the thresholds; recall: how many times as much as
+    precision it counts in choosing the rate.
     """
     if not any(toxic) or all(toxic):
         return None
     flat = [_normal(t) for t in texts]
     one = _unlike(flat)
-    bad, good = [flat[i] for i in one if toxic[i]], [flat[i] for i in one if not toxic[i]]
-    w = _contrast(bad, good, least, surprise, likelier, most)
-    own = b"".join(reversed(cover(bad, w, own_bytes, segment)))
-    some = sorted(good, key=lambda t: hashlib.blake2b(t.tobytes(), digest_size=8).digest())[:cover_texts]
-    runs, n, of = _counts(some, most)
-    held = of >= least
-    parts = cover(some, _Weights(runs[held], n[held]), common_bytes + len(own), 32, w)
-    k = -(-common_bytes // 32)
-    common, more = b"".join(reversed(parts[:k])), b"".join(reversed(parts[k:]))
-    common = common.rjust(4 * _EDGE, b" ")
-    model = Model(common, more[-len(own) :] if own else b"", own, w.runs, words)
-    scorer, y = Scorer(model), np.array(toxic, bool)
-    got = [scorer.windows(s) for s in ts.slices(pa.array([t or "" for t in texts], pa.large_string()))]
-    n_words = np.concatenate([g[2] for g in got])
-    first = np.cumsum([0, *(len(g[2]) for g in got)])[:-1]
-    row, saved = np.concatenate([g[0] + f for g, f in zip(got, first)]), np.concatenate([g[1] for g in got])
+    part = {i: hashlib.blake2b(flat[i].tobytes(), digest_size=8, person=b"part").digest()[0] % folds for i in one}
+
+    def of(ids: list[int]) -> Model:
+        bad, good = [flat[i] for i in ids if toxic[i]], [flat[i] for i in ids if not toxic[i]]
+        return dictionaries(bad, good, words=words, common_bytes=common_bytes, own_bytes=own_bytes, segment=segment, least=least, surprise=surprise, likelier=likelier, most=most, cover_texts=cover_texts)
+
+    rows, savings, n_words, order = [], [], [], []
+    for k in range(folds):
+        ids = [i for i in one if part[i] == k]
+        scorer = Scorer(of([i for i in one if part[i] != k] or ids))
+        for s in ts.slices(pa.array([texts[i] or "" for i in ids], pa.large_string())):
+            row, saved, n = scorer.windows(s)
+            rows.append(row + len(order))
+            savings.append(saved)
+            n_words.append(n)
+            order += ids[s.lo : s.hi]
+    model, y = of(one), np.array([toxic[i] for i in order], bool)
+    row, saved, n = np.concatenate(rows), np.concatenate(savings), np.concatenate(n_words)
+    per = -(-n // words)
+    model.counts = _counts_for(saved, y[row], (int(per[~y].sum()), int(per[y].sum())))
     best = -1.0
-    for saves, slack in product(range(1, 7), (0, 50, 100, 200, 400)):
-        rates = 1000 * np.bincount(row[saved >= saves], minlength=len(y)) / np.maximum(1, n_words + slack)
-        f1, cut = _best(rates, y)
-        if f1 > best + 1e-12:
-            best, model.saves, model.slack, model.rate = f1, saves, slack, cut
+    for slack in (0, 25, 50, 100, 200, 400):
+        f, cut = _best(_rates(row, saved, n, model.counts, slack), y, recall)
+        if f > best + 1e-12:
+            best, model.slack, model.rate = f, slack, cut
     return model
 
 
@@ -334,7 +364,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id and score of every row of docs, from its text alone."""
     spark = docs.sparkSession
     ship(spark)
-    key = hashlib.sha256(repr((model.common, model.ordinary, model.toxic, model.words, model.saves, model.slack, model.rate)).encode()).hexdigest() if model else ""
+    key = hashlib.sha256(repr((model.common, model.toxic, model.words, model.counts, model.slack, model.rate)).encode()).hexdigest() if model else ""
     fn = partial(_score_batches, model=spark.sparkContext.broadcast(model), key=key)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(fn, "doc_id long, score double")
 

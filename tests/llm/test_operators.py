@@ -612,33 +612,46 @@ def test_toxicity_needs_no_order_of_labels_and_counts_copies_once():
         models.append(toxicity.train([t for t, _ in rows], [y for _, y in rows]))
     copies = [(t, y) for t, y in rows for _ in range(1 + 30 * (t == texts[0]))]
     models.append(toxicity.train([t for t, _ in copies], [y for _, y in copies]))
-    assert len({(m.common, m.ordinary, m.toxic, m.runs.tobytes()) for m in models}) == 1
-    assert len({(m.saves, m.slack, m.rate) for m in models[:3]}) == 1
+    assert len({(m.common, m.toxic) for m in models}) == 1
+    assert len({(m.counts, m.slack, m.rate) for m in models[:3]}) == 1
 
 
-def test_toxicity_skips_only_windows_without_weighted_runs():
-    """What is not compressed holds none of the runs; the rest are told by their lengths under both dictionaries."""
-    import pyarrow as pa
+def syllables(n, seed, mark):
+    """Texts of words of few syllables; toxic ones hold some of the marks, all hold the syllables of these."""
+    r = random.Random(seed)
+    parts = ["ba", "ke", "li", "mo", "nu", "ra", "se", "ti", "vo", "wi", "grum", "bly", "snort", "wart"]
+    texts, toxic = [], []
+    for k in range(n):
+        ws = ["".join(r.choice(parts) for _ in range(r.randint(1, 3))) for _ in range(120)]
+        if k % 4 == 0:
+            for j in range(5):
+                ws[5 + 20 * j] = r.choice(mark)
+        texts.append(" ".join(ws))
+        toxic.append(k % 4 == 0)
+    return texts, np.array(toxic)
 
-    texts, toxic = toxic_rows(200, 4000)
-    m = toxicity.train(texts, toxic)
+
+def test_toxicity_is_told_by_compressed_lengths(spark):
+    """Only windows that cannot differ are left out; the same windows without their lengths tell clearly less."""
+    texts, toxic = syllables(400, 7, ["grumzysnort", "wartqubly", "snortzowart"])
+    m = toxicity.train(texts[:250], toxic[:250].tolist())
     s = toxicity.Scorer(m)
-    runs = {int(x).to_bytes(8, "little")[: toxicity.RUN] for x in m.runs}
-    odd = [*texts[:40], "", "one", "snortface", "a\n\n snortface\tB  C d E", "snort face grumbl y", "x " * 500 + "wartlump"]
-    got = [s.windows(x) for x in toxicity.ts.slices(pa.array(odd), 3000)]
-    at, saved, first = [], [], 0
-    for row, d, n in got:
-        at += (row + first).tolist()
-        saved += d.tolist()
-        first += len(n)
-    want = []
-    for i, t in enumerate(odd):
-        ws = t.encode().lower().split()
-        for k in range(0, len(ws), m.words):
-            w = b" " + b" ".join(ws[k : k + m.words]) + b" "
-            if any(w[j : j + toxicity.RUN] in runs for j in range(len(w))):
-                want.append((i, s.distance(w)))
-    assert list(zip(at, saved)) == want
+    whole = [x for x in toxicity.ts.slices(pa.array([*texts[:60], "", "one", "a\n\n grumzysnort\tB  C d E", "x " * 500 + "wartqubly"]), 3000)]
+    seen = 0
+    for x in whole:
+        (row, saved, n), (rows, saves, _) = s.windows(x), s.windows(x, every=True)
+        kept = [(i, d) for i, d in zip(rows.tolist(), saves.tolist()) if d]
+        assert kept == [(i, d) for i, d in zip(row.tolist(), saved.tolist()) if d] and len(rows) == (-(-n // m.words)).sum()
+        seen += len(kept)
+    assert seen > 10
+
+    def right(counts):
+        got = [(row, np.maximum(saved, 0) if counts else np.ones(len(saved), np.int64), n) for row, saved, n in (s.windows(next(toxicity.ts.slices(pa.array([t])))) for t in texts)]
+        rates = np.array([toxicity._rates(row, saved, n, m.counts if counts else (1.0,), m.slack)[0] for row, saved, n in got])
+        _, cut = toxicity._best(rates[:250], toxic[:250])
+        return ((rates[250:] >= cut) == toxic[250:]).mean()
+
+    assert right(True) > 0.93 and right(False) < right(True) - 0.05, (right(True), right(False))
 
 
 def test_toxicity_counts_marks_in_a_text():
