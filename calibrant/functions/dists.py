@@ -26,12 +26,12 @@ def log_softmax(x: Column) -> Column:
 def top_k(x: Column, k: int) -> Column:
     """TOP-02: (id, v) of the k largest, ties to the lower id, in that order."""
     pairs = F.transform(x, lambda v, i: F.struct((-v).alias("n"), i.alias("id"), v.alias("v")))
-    return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda s: F.struct(s["id"].alias("id"), s["v"].alias("v")))
+    return F.transform(F.slice(F.sort_array(pairs), 1, k), lambda s: F.struct(s["id"].alias("id"), s["v"].alias("v")))
 
 
 def by_id(pairs: Column) -> Column:
     """TOP-12: a support in order of id."""
-    return F.array_sort(pairs)
+    return F.sort_array(pairs)
 
 
 def lookup(ids: Column, support: Column, fill: float = 0.0) -> Column:

@@ -109,8 +109,13 @@ def status_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n_total"), *(n(s) for s in ("eos", "budget_stop", "loop", "invalid", "empty")), valid.alias("valid_tokens"), (valid * 2).alias("teacher_tokens"))
 
 
-def pool_share(rows: DataFrame, phase: str = "pool") -> DataFrame:
-    """AGG-13."""
-    v = F.lower(F.trim(F.col(phase)))
+def pool_share(rows: DataFrame, phase: str | None = "pool") -> DataFrame:
+    """AGG-13: shares of steps whose phase names refresh, or else base, and of others; without a phase column nulls and a note."""
+    if phase is None or phase not in rows.columns:
+        none = F.lit(None).cast("double")
+        return rows.agg(F.count("*").alias("n")).select("n", *(none.alias(c) for c in ("base", "refresh", "other")), F.lit("no phase column").alias("note"))
+    v = F.lower(F.coalesce(F.col(phase).cast("string"), F.lit("")))
+    refresh = F.contains(v, F.lit("refresh"))
+    base = ~refresh & F.contains(v, F.lit("base"))
     share = lambda c: F.bround(F.count_if(c) / F.greatest(F.lit(1), F.count("*")), 4)
-    return rows.agg(F.count("*").alias("n"), share(v == "base").alias("base"), share(v == "refresh").alias("refresh"), share(F.coalesce(~v.isin("base", "refresh"), F.lit(True))).alias("other"))
+    return rows.agg(F.count("*").alias("n"), share(base).alias("base"), share(refresh).alias("refresh"), share(~base & ~refresh).alias("other")).withColumn("note", F.lit(None).cast("string"))

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from calibrant.plans import calibration, evaluation, io, refresh, signals, streams, text
+from calibrant.plans import caches, calibration, evaluation, io, refresh, signals, streams, text
 
-PLANS: list = [evaluation, text, signals, calibration, refresh, streams, io]
+PLANS: list = [evaluation, text, signals, calibration, refresh, streams, io, caches]

@@ -76,7 +76,8 @@ add("agg12_performance_summary", lambda s, d: rounded(metrics(s, d).groupBy("poo
     _M + "SELECT pool, round(coalesce(avg(reward), 0), 9) AS performance, sum(k)::BIGINT AS rollout_tokens, round(coalesce(avg(reward) / sum(k), 0), 9) AS eff FROM metrics GROUP BY pool")
 _phase = lambda: F.when(F.col("pool") == "view", " Base ").when(F.col("pool") == "click", "refresh").otherwise(F.col("pool"))
 add("agg13_pool_share", lambda s, d: evaluation.pool_share(metrics(s, d).withColumn("pool", _phase())),
-    _M + "SELECT count(*) AS n, round_even(avg((pool = 'view')::INT), 4) AS base, round_even(avg((pool = 'click')::INT), 4) AS refresh, round_even(avg((pool NOT IN ('view', 'click'))::INT), 4) AS other FROM metrics")
+    _M + "SELECT count(*) AS n, round_even(avg((pool = 'view')::INT), 4) AS base, round_even(avg((pool = 'click')::INT), 4) AS refresh, round_even(avg((pool NOT IN ('view', 'click'))::INT), 4) AS other, NULL::VARCHAR AS note FROM metrics")
+add("agg13_no_phase", lambda s, d: evaluation.pool_share(metrics(s, d).drop("pool")), _M + "SELECT count(*) AS n, NULL::DOUBLE AS base, NULL::DOUBLE AS refresh, NULL::DOUBLE AS other, 'no phase column' AS note FROM metrics")
 add("agg14_accuracy_percent", lambda s, d: rounded(generations(s, d).groupBy("label").agg((100 * F.avg(F.coalesce("correct", F.lit(False)).cast("int"))).alias("accuracy")), "accuracy"), _BOTH + "SELECT label, round(100 * avg(correct::INT), 6) AS accuracy FROM gen GROUP BY label")
 
 _G = f"WITH {GRADED}"
