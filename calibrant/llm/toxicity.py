@@ -298,7 +298,7 @@ def dictionaries(toxic: list[np.ndarray], other: list[np.ndarray], *, words: int
     return Model(common.rjust(4 * _EDGE, b" "), own, words)
 
 
-def train(texts: list[str | None], toxic: list[bool], *, words: int = 6, common_bytes: int = 1 << 15, own_bytes: int = 1 << 13, segment: int = 12, least: int = 4, surprise: float = 10.0, likelier: float = 6.0, most: int = 4, cover_texts: int = 600, folds: int = 5, recall: float = 1.0) -> Model | None:
+def train(texts: list[str | None], toxic: list[bool], *, words: int = 6, common_bytes: int = 1 << 15, own_bytes: int = 1 << 13, segment: int = 10, least: int = 4, surprise: float = 10.0, likelier: float = 6.0, most: int = 4, cover_texts: int = 600, folds: int = 5, recall: float = 1.25) -> Model | None:
     """Dictionaries and thresholds from labelled texts; None without texts of both kinds.
 
     common_bytes, own_bytes: bounds of the dictionaries' parts; segment: bytes of a string of
