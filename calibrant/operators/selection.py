@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calibrant.operators import order, stats
 from calibrant.session import table
 
 LEVELS = (256, 512, 1024, 2048)
@@ -16,12 +17,13 @@ def seeded(key: Column, seed: int) -> Column:
 
 
 def budget_bands(rows: DataFrame, value: str, levels: tuple[int, ...] = LEVELS) -> DataFrame:
-    """WIN-07: budget by quartile of the value; all equal gives the middle level."""
-    q = rows.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-    out = rows.crossJoin(F.broadcast(q))  # one row
-    v = F.col(value)
-    band = F.when(F.col("lo") == F.col("hi"), levels[len(levels) // 2]).when(v < F.col("q")[0], levels[0]).when(v < F.col("q")[1], levels[1]).when(v < F.col("q")[2], levels[2]).otherwise(levels[3])
-    return out.withColumn("budget", band).drop("q", "lo", "hi")
+    """WIN-07: budget by quartile of the value; all equal gives the middle level. Quartiles come from counts, not from a list of all values."""
+    v = F.col(value).cast("double")
+    whole = rows.agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).first()
+    if not whole["n"] or whole["low"] == whole["high"]:
+        return rows.withColumn("budget", F.lit(levels[len(levels) // 2] if whole["n"] else levels[3]))
+    q = stats.quantiles(rows.where(v.isNotNull()), value, [0.25, 0.5, 0.75], [whole], [])[0]
+    return rows.withColumn("budget", F.when(v < q[0], levels[0]).when(v < q[1], levels[1]).when(v < q[2], levels[2]).otherwise(levels[3]))
 
 
 def prompt_value(var: Column, dis: Column, seen: Column, ema: Column | None = None, cost: Column | None = None, weights: tuple[float, ...] = (0.4, 0.4, 0.2, 0.0)) -> Column:
@@ -32,15 +34,54 @@ def prompt_value(var: Column, dis: Column, seen: Column, ema: Column | None = No
     return v if cost is None else v / (cost + F.lit(1e-8))
 
 
+def hash_order(key: Column, seed: int) -> Column:
+    """The first 60 bits of the hash order, as a number; rows of equal ones go by key."""
+    return F.conv(F.substring(seeded(key, seed), 1, 15), 16, 10).cast("long")
+
+
 def two_stage(rows: DataFrame, key: str, value: str, m: int, seed: int = 0) -> DataFrame:
-    """TOP-04: from a seeded pool of 4m rows, the round(0.8 m) highest values and, in hash order, coverage."""
-    h = seeded(F.col(key), seed)
-    pool = rows.withColumn("h", h).orderBy("h").limit(4 * m)
+    """TOP-04: from a seeded pool of 4m rows, the round(0.8 m) highest values and, in hash order, coverage.
+
+    Each step takes the first rows of an order, found by counting (`order.first_rows`), so nothing
+    is sorted as a whole however large m is. The key must be a number that no two rows share; null
+    values come last.
+    """
+    some = rows.withColumn("_h", hash_order(F.col(key), seed)).withColumn("_v", F.coalesce(-F.col(value).cast("double"), F.lit(1e300)))
+    pool = table(order.first_rows(some, ["_h", key], 4 * m), "pool")
     n_high = round(0.8 * m)
-    pool = pool.withColumn("by_value", F.row_number().over(Window.orderBy(F.desc(value), "h")))  # the pool has 4m rows
-    high = pool.where(F.col("by_value") <= n_high).select(key, F.lit("high").alias("kind"))
-    rest = pool.where(F.col("by_value") > n_high).orderBy("h").limit(m - n_high).select(key, F.lit("coverage").alias("kind"))
-    return high.unionByName(rest)
+    high = table(order.first_rows(pool, ["_v", "_h", key], n_high), "high")
+    rest = order.first_rows(pool.join(high.select(key), key, "left_anti"), ["_h", key], m - n_high)
+    return high.select(key, F.lit("high").alias("kind")).unionByName(rest.select(key, F.lit("coverage").alias("kind")))
+
+
+def select(rows: DataFrame, key: str, value: str, seen: str, m: int, seed: int = 0, share: float = 0.05) -> DataFrame:
+    """TOP-04 in full: m picks as (pick, key, kind).
+
+    Cold start, when nothing was seen yet or m is as many as there are keys or more: m draws with
+    replacement (kind `cold`). Else two stages; a pool that is used up fills coverage with its
+    highest again (`again`). No key has more than max(1, int(m * share)) picks: what is beyond is
+    left out, and draws with replacement fill up (`pad`). Picks are numbered high, coverage,
+    again, pad; within a kind in hash order.
+    """
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(seen), F.lit(0))).first()
+    if not n:
+        return rows.select(F.lit(0).cast("long").alias("pick"), key, F.lit("").alias("kind")).limit(0)
+    if total == 0 or m >= n:
+        return sample_with_replacement(rows.select(key), key, m, seed).select(F.col("draw").alias("pick"), key, F.lit("cold").alias("kind"))
+    most = max(1, int(m * share))
+    chosen = table(two_stage(rows.select(key, value), key, value, m, seed), "chosen")
+    have = chosen.count()
+    again = chosen.where("kind = 'high'").select(key, F.lit("again").alias("kind"))
+    if have < m and most > 1:  # each key is there once, and once more at most
+        chosen = chosen.unionByName(order.first_rows(again.withColumn("_h", hash_order(F.col(key), seed)), ["_h", key], m - have).select(key, "kind"))
+        have = chosen.count()
+    rank = F.when(F.col("kind") == "high", 0).when(F.col("kind") == "coverage", 1).otherwise(2)
+    placed, _ = positions(chosen.withColumns({"_r": rank.cast("long"), "_h": hash_order(F.col(key), seed)}), ["_r", "_h", key])
+    out = placed.select(F.col("position").alias("pick"), key, "kind")
+    if have == m:
+        return out
+    pad = sample_with_replacement(rows.select(key), key, m - have, seed + 1).select((F.col("draw") + have).alias("pick"), key, F.lit("pad").alias("kind"))
+    return out.unionByName(pad)
 
 
 def enforce_budget(rows: DataFrame, keys: list[str], order: str, budget: str, value: str, limit: int, least_share: float = 0.0, levels: tuple[int, ...] = LEVELS) -> DataFrame:
@@ -110,9 +151,10 @@ def sample_with_replacement(rows: DataFrame, key: str, draws: int, seed: int = 0
     return d.join(placed, "position")
 
 
-def positions(rows: DataFrame, key: str) -> tuple[DataFrame, int]:
+def positions(rows: DataFrame, key: str | list[str]) -> tuple[DataFrame, int]:
     """rows with `position`, 0 to n - 1 in order of a unique key, and n."""
-    own = table(rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("part", F.spark_partition_id()), "placed")
+    key = [key] if isinstance(key, str) else key
+    own = table(rows.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("part", F.spark_partition_id()), "placed")
     counts = sorted((r["part"], r["n"]) for r in own.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row for each partition
     if not counts:
         return own.withColumn("position", F.lit(0).cast("long")).drop("part"), 0
@@ -121,8 +163,8 @@ def positions(rows: DataFrame, key: str) -> tuple[DataFrame, int]:
         starts.append((part, at))
         at += n
     before = rows.sparkSession.createDataFrame(starts, "part int, before long")
-    order = Window.partitionBy("part").orderBy(key)
-    return own.join(F.broadcast(before), "part").withColumn("position", F.col("before") + F.row_number().over(order) - 1).drop("part", "before"), at
+    within = Window.partitionBy("part").orderBy(*key)
+    return own.join(F.broadcast(before), "part").withColumn("position", F.col("before") + F.row_number().over(within) - 1).drop("part", "before"), at
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from calibrant.functions import dists as f
 from calibrant.operators import calibration as cal
 from calibrant.plans.signals import D, M, top
 from calibrant.plans.text import _T, toks
-from calibrant.plans.views import metrics
+from calibrant.plans.views import metrics, read
 
 QUERIES, ORACLE = {}, {}
 
@@ -77,6 +77,15 @@ add("agg37_lookup_counters", lambda s, d: r6(cal.lookup_counters(metrics(s, d),
 FROM (SELECT pool, user_id, count(*) AS n, count(*) FILTER (k < 70) AS h, count(*) FILTER (k % 10 = 3) AS i, count(*) FILTER (k % 10 = 5) AS d FROM metrics GROUP BY pool, user_id) GROUP BY pool""")
 
 
+#: Stages for lengths up to 6,000; parts are measured up to 5,000.
+_SIZES = tuple((f"s{i}", 1000, 100 * i) for i in range(1, 61))
+
+
+def _parts(s, d):
+    """Measured groups: a part's size is its longest length, its price the mean one."""
+    return read(s, d, "part").select((F.col("p_size") * 100).alias("max_len"), F.col("p_retailprice").alias("mean_len"), (F.col("p_partkey") % 501).cast("double").alias("tok_per_s"))
+
+
 def _groups(s, d):
     longest = F.when(F.col("pool") == "click", 2048).when(F.col("pool").isin("view", "purchase"), 8192).otherwise(512)
     return metrics(s, d).groupBy("pool").agg((F.avg("k") * 300).alias("mean_len"), (F.sum("k") % 97 + 1).cast("double").alias("tok_per_s")).withColumn("max_len", longest)
@@ -87,6 +96,9 @@ add("agg38_corpus_cost", lambda s, d: r6(cal.corpus_cost(_groups(s, d), 2), "mea
 b AS (SELECT max_len, mean_len, tok_per_s FROM g QUALIFY row_number() OVER (PARTITION BY max_len ORDER BY tok_per_s DESC, mean_len DESC) = 1),
 st AS (SELECT * FROM (VALUES (0, 'pilot', 5000, 2048), (1, 'scale-1', 10000, 4096), (2, 'scale-2', 25000, 8192), (3, 'full', 50000, 8192)) v(place, stage, n, max_len))
 SELECT place::INT AS place, stage, n::BIGINT AS n, max_len::INT AS max_len, round(least(mean_len, max_len), 6) AS mean_len, tok_per_s, round(n * least(mean_len, max_len) / (tok_per_s * 2) / 3600, 6) AS hours, tok_per_s IS NULL AS missing FROM st LEFT JOIN b USING (max_len)""")
+add("join16_stage_match", lambda s, d: cal.corpus_cost(_parts(s, d), 1, _SIZES).select("stage", "max_len", F.round("mean_len", 6).alias("mean_len"), "tok_per_s", "missing"),
+    """WITH g AS (SELECT p_size * 100 AS max_len, p_retailprice AS mean_len, (p_partkey % 501)::DOUBLE AS tok_per_s FROM part), b AS (SELECT * FROM g WHERE tok_per_s > 0 QUALIFY row_number() OVER (PARTITION BY max_len ORDER BY tok_per_s DESC, mean_len DESC) = 1),
+st AS (SELECT 's' || i AS stage, i * 100 AS max_len FROM range(1, 61) r(i)) SELECT stage, max_len::INT AS max_len, round(least(mean_len, max_len), 6) AS mean_len, tok_per_s, tok_per_s IS NULL AS missing FROM st LEFT JOIN b USING (max_len)""")
 add("agg39_smoke_report", lambda s, d: cal.smoke_report(metrics(s, d), "k", F.col("k") < 90, F.col("k") + 1, ["pool"]),
     M + """SELECT pool, count(*) AS n, round_even(avg(k), 1) AS mean_length, round_even(avg(k) FILTER (k < 90), 1) AS mean_length_eos, round_even(avg((k >= 90)::INT), 4) AS truncated, round_even(avg((k < 90)::INT), 4) AS eos_rate,
 round_even(sum(k) / sum(k + 1)::DOUBLE, 1) AS tokens_per_s, sum(k)::BIGINT AS total_tokens, max(k) AS longest, min(k) AS shortest FROM metrics GROUP BY pool""")

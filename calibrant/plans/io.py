@@ -10,7 +10,7 @@ from calibrant.functions.text import hash_answer
 from calibrant.operators import selection
 from calibrant.plans.views import read
 from calibrant.session import shared_dir, ship
-from calibrant.sources import files
+from calibrant.sources import files, outcomes, versions
 from calibrant.streaming import live
 
 QUERIES, ORACLE = {}, {}
@@ -49,26 +49,32 @@ def _registry(s, d):
 add("src06_registry", _registry, "SELECT text AS problem, item_id::VARCHAR AS ground_truth FROM benchmark")
 
 
+_STAGES = (("A", "teacher", ""), ("N", "student_post", "/step_100"), ("R", "student_baseline", ""))
+
+
 def _tree(s, d):
     path = at(s, "tree")
-    for stage, flag in (("before", "A"), ("after", "N")):
-        read(s, d, "lineitem").where(F.col("l_returnflag") == flag).select("l_orderkey", "l_quantity").write.json(f"{path}/{stage}/m1")
+    for flag, stage, step in _STAGES:
+        for half in (0, 1):
+            read(s, d, "lineitem").where((F.col("l_returnflag") == flag) & (F.col("l_orderkey") % 2 == half)).select("l_orderkey", "l_quantity").write.json(f"{path}/{stage}/m{half}{step}")
     got = files.read_results_tree(s, path, "l_orderkey long, l_quantity double", kind="json")
-    return got.groupBy("stage", "model").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("total"))
+    return got.groupBy("stage", "model", "step").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("total"))
 
 
-add("src08_results_tree", _tree, "SELECT CASE l_returnflag WHEN 'A' THEN 'before' ELSE 'after' END AS stage, 'm1' AS model, count(*) AS n, sum(l_quantity) AS total FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY 1")
+add("src08_results_tree", _tree, "SELECT CASE l_returnflag WHEN 'A' THEN 'teacher' WHEN 'N' THEN 'student_post' ELSE 'student_baseline' END AS stage, 'm' || (l_orderkey % 2)::VARCHAR AS model, CASE l_returnflag WHEN 'N' THEN 'step_100' END AS step, count(*) AS n, sum(l_quantity) AS total FROM lineitem GROUP BY ALL")
 
 
 def _cache(s, d):
+    """Supports of all 64 ids, of which every other vector's was saved by an older writer that did not sort."""
     path = at(s, "cache")
-    e = read(s, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x, i: F.struct((7 - i).alias("id"), x.alias("v"))).alias("pairs"))
-    files.save_cache(e, path, {"k": 8})
+    e = read(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x, i: F.struct((63 - i).alias("id"), x.alias("v"))).alias("pairs"))
+    files.save_cache(e.where("vec_id % 2 = 0"), path, {"k": 64})
+    e.where("vec_id % 2 = 1").write.mode("append").parquet(f"{path}/data")
     back, meta = files.load_cache(s, path)
-    return back.select("vec_id", F.col("pairs")[0]["id"].alias("first_id"), F.size("pairs").alias("n"), F.lit(meta["k"]).alias("k"))
+    return back.select("vec_id", F.posexplode("pairs").alias("place", "p"), F.lit(meta["k"]).alias("k")).select("vec_id", "place", F.col("p.id").alias("id"), F.col("p.v").cast("double").alias("v"), "k")
 
 
-add("src10_cache_round_trip", _cache, "SELECT vec_id, 0::INT AS first_id, 8::INT AS n, 8::INT AS k FROM embeddings")
+add("src10_cache_round_trip", _cache, "SELECT vec_id, i::INT AS place, i::INT AS id, embedding[64 - i]::DOUBLE AS v, 64::INT AS k FROM embeddings, range(64) r(i)")
 
 
 def _metrics(s, d):
@@ -128,6 +134,33 @@ def _resume(s, d):
 
 
 add("src15_resume", _resume, "SELECT 4::INT AS n_samples, count(*) AS n, count(DISTINCT c_custkey) AS ids FROM customer")
+
+
+def _graded():
+    """A worker that cannot do some items: every seventh at first, every fifth of these ever."""
+
+    def fn(pdf):
+        k = pdf["c_custkey"]
+        if ((k % 7 == 3) & ((pdf["attempt"] < 2) | (k % 5 == 1))).any():
+            raise ValueError("no answer")
+        return pdf.assign(value=k * 2)
+
+    return fn
+
+
+def _dead_letters(s, d):
+    """Four runs over customers, the second of them repeated: results, and what stays without one."""
+    ship(s)
+    path = at(s, "outcomes")
+    rows = read(s, d, "customer").select("c_custkey", F.lit(4).alias("n_samples"))
+    for run in (1, 2, 2, 3, 4):
+        done = outcomes.evaluate(s, rows if run > 1 else rows.where("c_custkey % 2 = 0"), path, ["c_custkey"], _graded(), "value long", run)
+    good = outcomes.results(done, ["c_custkey"]).select("c_custkey", "attempt", F.col("value").cast("string").alias("value"), F.lit(None).cast("string").alias("error"))
+    return good.unionByName(outcomes.dead_letters(done, ["c_custkey"]).select("c_custkey", "attempt", F.lit(None).cast("string").alias("value"), "error"))
+
+
+add("src15_dead_letters", _dead_letters, """SELECT c_custkey, CASE WHEN c_custkey % 7 <> 3 THEN 1 WHEN c_custkey % 5 <> 1 THEN 2 ELSE 3 END::INT AS attempt,
+CASE WHEN c_custkey % 7 <> 3 OR c_custkey % 5 <> 1 THEN (c_custkey * 2)::VARCHAR END AS value, CASE WHEN c_custkey % 7 = 3 AND c_custkey % 5 = 1 THEN 'ValueError: no answer' END AS error FROM customer""")
 add("src17_shard_merge", lambda s, d: files.merge_shards(read(s, d, "customer").select("c_custkey", F.lit("-").alias("v")), read(s, d, "orders").where("o_orderkey % 2 = 0").select((F.col("o_orderkey")).alias("c_custkey"), F.col("o_orderstatus").alias("v")), "c_custkey", "v"),
     "SELECT c_custkey, coalesce(o_orderstatus, '-') AS v FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) ON o_orderkey = c_custkey")
 
@@ -144,15 +177,46 @@ add("src24_rename_head", lambda s, d: read(s, d, "benchmark").orderBy("item_id")
 
 
 def _aligned(s, d):
+    """Orders as lines in a file for each of 8 buckets, one in six broken, in order of their keys."""
     path = at(s, "lines")
-    read(s, d, "nation").coalesce(1).orderBy("n_nationkey").select(F.when(F.col("n_nationkey") % 6 == 0, F.lit("oops")).otherwise(F.to_json(F.struct("n_name"))).alias("value")).write.text(path)
-    return files.read_aligned(s, path, "n_name string").select("idx", F.when(~F.col("corrupt"), F.col("row.n_name")).alias("name"))
+    o = read(s, d, "orders").select((F.col("o_orderkey") % 8).alias("b"), "o_orderkey", F.when(F.col("o_orderkey") % 6 == 0, F.lit('{"o_comment')).otherwise(F.to_json(F.struct("o_orderkey", "o_orderstatus"))).alias("value"))
+    o.repartition(8, "b").sortWithinPartitions("b", "o_orderkey").select("b", "value").write.partitionBy("b").text(path)
+    got = files.read_aligned(s, f"{path}/*", "o_orderkey long, o_orderstatus string")
+    return got.select(F.regexp_extract("file", r"/b=(\d+)/", 1).cast("long").alias("bucket"), "idx", "row.o_orderkey", "row.o_orderstatus", "corrupt")
 
 
-add("src27_aligned_lines", _aligned, "SELECT n_nationkey::INT AS idx, CASE WHEN n_nationkey % 6 <> 0 THEN n_name END AS name FROM nation")
+add("src27_aligned_lines", _aligned, "SELECT o_orderkey % 8 AS bucket, row_number() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_orderkey) - 1 AS idx, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey END AS o_orderkey, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderstatus END AS o_orderstatus, o_orderkey % 6 = 0 AS corrupt FROM orders")
 add("src29_summary_json", lambda s, d: read(s, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n")).select(F.to_json(F.struct("o_orderstatus", "n")).alias("line")), """SELECT '{"o_orderstatus":"' || o_orderstatus || '","n":' || count(*) || '}' AS line FROM orders GROUP BY o_orderstatus""")
-add("set05_versioned_replace", lambda s, d: s.read.parquet(files.replace_table(selection.upsert(read(s, d, "nation").select("n_nationkey", "n_name"), read(s, d, "nation").where("n_nationkey < 3").select("n_nationkey", F.lower("n_name").alias("n_name")), ["n_nationkey"]), at(s, "version"))),
-    "SELECT n_nationkey, CASE WHEN n_nationkey < 3 THEN lower(n_name) ELSE n_name END AS n_name FROM nation")
+
+
+def _versioned(s, d):
+    """All orders, then a version with some replaced; readers get the newest, and know when there is none newer."""
+    path = at(s, "version")
+    versions.publish(read(s, d, "orders").select("o_orderkey", "o_orderstatus"), path)
+    old, n = versions.if_newer(s, path, None)
+    new = read(s, d, "orders").where("o_orderkey % 5 = 0").select("o_orderkey", F.lower("o_orderstatus").alias("o_orderstatus"))
+    versions.publish(selection.upsert(old, new, ["o_orderkey"]), path)
+    got, m = versions.if_newer(s, path, n)
+    again, _ = versions.if_newer(s, path, m)
+    return got.withColumn("version", F.lit(m)).withColumn("newer", F.lit(again is not None))
+
+
+add("stm04_published_versions", _versioned, "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN lower(o_orderstatus) ELSE o_orderstatus END AS o_orderstatus, 2::INT AS version, false AS newer FROM orders")
+
+
+def _truncate(s, d):
+    """Metrics cut at half of their steps twice: the backup has all of them."""
+    path = at(s, "cut")
+    e = read(s, d, "events").select(F.when(F.col("event_id") % 50 != 7, F.col("event_id")).alias("step"), F.col("value").alias("loss"))
+    half = (e.agg(F.max("step")).first()[0] or 0) // 2
+    versions.publish(e, path)
+    for _ in range(2):
+        left = files.truncate_metrics(s, path, half)
+    kept, n = versions.newest(s, f"{path}_pre_resume_step{half}")
+    return left.withColumn("part", F.lit("left")).unionByName(kept.withColumn("part", F.lit(f"backup {n}")))
+
+
+add("src13_truncate_with_backup", _truncate, "WITH e AS (SELECT CASE WHEN event_id % 50 <> 7 THEN event_id END AS step, value AS loss FROM events) SELECT step, loss, 'backup 1' AS part FROM e UNION ALL SELECT step, loss, 'left' FROM e WHERE step IS NULL OR step < (SELECT max(step) // 2 FROM e)")
 
 
 def _stale_stream(s, d):

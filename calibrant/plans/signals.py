@@ -153,6 +153,23 @@ def values(s, d):
 
 add("top05_prompt_value", lambda s, d: observations(s, d).groupBy("user_id").agg(F.round(selection.prompt_value(F.stddev_pop("reward"), F.avg("dis"), F.count("*")), 6).alias("value")), M + "SELECT user_id, round(0.4::DOUBLE * stddev_pop(reward) + 0.4::DOUBLE * avg(k / 100e0) + 0.2::DOUBLE / sqrt(1e0 + count(*)), 6) AS value FROM metrics GROUP BY user_id")
 add("top04_two_stage", lambda s, d: selection.two_stage(metrics(s, d).select("step", "k"), "step", "k", 50), f"WITH {METRICS}" + ", p AS (SELECT step, k, md5(step::VARCHAR || ':0') AS h FROM metrics ORDER BY h LIMIT 200), r AS (SELECT *, row_number() OVER (ORDER BY k DESC, h) AS v FROM p) SELECT step, 'high' AS kind FROM r WHERE v <= 40 UNION ALL SELECT step, 'coverage' FROM (SELECT * FROM r WHERE v > 40 ORDER BY h LIMIT 10)")
+
+
+def _selected(s, d, m, seen):
+    users = metrics(s, d).groupBy("user_id").agg(F.count("*").alias("seen"), F.sum("k").alias("total"))
+    return selection.select(users.withColumn("seen", F.col("seen") * seen), "user_id", "total", "seen", m, share=2.5 / m)
+
+
+_POOL = f"""WITH {METRICS}, us AS (SELECT user_id, sum(k) AS total, md5(user_id::VARCHAR || ':0') AS h FROM metrics GROUP BY user_id), cn AS (SELECT count(*) AS n FROM us),
+pl AS (SELECT * FROM us QUALIFY row_number() OVER (ORDER BY h) <= 4 * {{m}}), rk AS (SELECT *, row_number() OVER (ORDER BY total DESC, h) AS r FROM pl),
+hi AS (SELECT *, 0 AS g FROM rk WHERE r <= round_even({{m}} * 0.8, 0)), co AS (SELECT *, 1 AS g FROM rk WHERE r > round_even({{m}} * 0.8, 0) QUALIFY row_number() OVER (ORDER BY h) <= {{m}} - round_even({{m}} * 0.8, 0)),
+ch AS (SELECT user_id, h, g FROM hi UNION ALL SELECT user_id, h, g FROM co), ag AS (SELECT user_id, h, 2 AS g FROM hi QUALIFY row_number() OVER (ORDER BY h) <= {{m}} - (SELECT count(*) FROM ch)),
+pk AS (SELECT * FROM ch UNION ALL SELECT * FROM ag), po AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS place FROM us),
+pa AS (SELECT i + (SELECT count(*) FROM pk) AS pick, (('0x' || substr(md5(i::VARCHAR || ':1'), 1, 8))::BIGINT % (SELECT n FROM cn)) AS place FROM range({{m}}) r(i) WHERE i < {{m}} - (SELECT count(*) FROM pk))
+SELECT row_number() OVER (ORDER BY g, h) - 1 AS pick, user_id, CASE g WHEN 0 THEN 'high' WHEN 1 THEN 'coverage' ELSE 'again' END AS kind FROM pk UNION ALL SELECT pick, user_id, 'pad' FROM pa JOIN po USING (place)"""
+add("top04_select", lambda s, d: _selected(s, d, 20, 1), _POOL.format(m=20))
+add("top04_cold_start", lambda s, d: _selected(s, d, 40, 0),
+    f"WITH {METRICS}, po AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM metrics)), dr AS (SELECT i AS pick, ('0x' || substr(md5(i::VARCHAR || ':0'), 1, 8))::BIGINT AS x FROM range(40) r(i)) SELECT pick, user_id, 'cold' AS kind FROM dr, (SELECT any_value(n) AS n FROM po) c JOIN po ON place = x % c.n")
 _B = "(256 * pow(2, k % 4))::INT"
 _ENFORCE = """, u AS (SELECT *, sum(budget) OVER (PARTITION BY g) - {limit} AS excess FROM b),
 mv AS (SELECT g, step, v, excess, t AS turn, greatest(budget / pow(2, t), 256) - greatest(budget / pow(2, t + 1), 256) AS saves FROM u, range(3) r(t) WHERE excess > 0 AND budget / pow(2, t + 1) >= 256),
@@ -191,9 +208,8 @@ add("join10_positional_zip", lambda s, d: relational.zip_samples(read(s, d, "sup
 add("join11_length_match", lambda s, d: read(s, d, "documents").select("doc_id", F.length("text").alias("a"), "n_chars").agg(F.round(F.avg((F.col("a") == F.col("n_chars")).cast("int")), 6).alias("rate")).withColumn("ok", F.col("rate") >= 0.9), "SELECT round(avg((length(text) = n_chars)::INT), 6) AS rate, round(avg((length(text) = n_chars)::INT), 6) >= 0.9 AS ok FROM documents")
 add("join13_scatter_back", lambda s, d: (lambda m: m.join(m.groupBy((F.col("k") % 4).alias("b")).agg(F.count("*").alias("n")), F.col("k") % 4 == F.col("b")).select("step", "n"))(metrics(s, d)), M + "SELECT step, n FROM metrics JOIN (SELECT k % 4 AS b, count(*) AS n FROM metrics GROUP BY 1) ON k % 4 = b")
 add("join15_matrix", lambda s, d: read(s, d, "region").select("r_name").crossJoin(read(s, d, "nation").select("n_name")).crossJoin(s.range(3).select((F.col("id") * 512).alias("budget"))), "SELECT r_name, n_name, b * 512 AS budget FROM region, nation, range(3) r(b)")
-add("join16_stage_match", lambda s, d: read(s, d, "part").groupBy("p_size").agg(F.max_by("p_name", F.struct("p_retailprice", "p_partkey")).alias("best")), "SELECT p_size, max_by(p_name, (p_retailprice, p_partkey)) AS best FROM part GROUP BY p_size")
 add("src16_upsert", lambda s, d: selection.upsert(read(s, d, "orders").select("o_orderkey", F.lit("old").alias("v")), read(s, d, "orders").where("o_orderkey % 5 = 0").select("o_orderkey", F.lit("new").alias("v")), ["o_orderkey"]), "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'new' ELSE 'old' END AS v FROM orders")
-add("src13_truncate_at_step", lambda s, d: files.truncate_at(metrics(s, d).select("step", "reward"), 1000), M + "SELECT step, reward FROM metrics WHERE step < 1000")
+add("src13_truncate_at_step", lambda s, d: (lambda m: files.truncate_at(m.select("step", "reward"), (m.agg(F.max("step")).first()[0] or 0) * 3 // 4))(metrics(s, d)), M + "SELECT step, reward FROM metrics WHERE step < (SELECT max(step) * 3 // 4 FROM metrics)")
 
 
 def _steps(x, keys):

@@ -116,7 +116,7 @@ _S = "list_sum(list_transform({0}, lambda x, i: (x * i)::BIGINT))::BIGINT"  # a
 _sum = lambda a: F.aggregate(F.transform(a, lambda x, i: (x * (i + 1)).cast("long")), F.lit(0).cast("long"), lambda p, q: p + q)
 _PAD = "list_concat(ids, list_transform(range(32), lambda x: 0))[1:32]"
 add("prj03_pad", on_tokens(lambda: [F.size(k.pad_to(F.col("ids"), 32)).alias("n"), _sum(k.pad_to(F.col("ids"), 32)).alias("check")]), _T + f"SELECT doc_id, 32 AS n, {_S.format(_PAD)} AS check FROM tk")
-add("prj04_truncate_content", on_tokens(lambda: [F.size(k.truncate_content(F.col("ids"), 24, 10)).alias("n")]), _T + "SELECT doc_id, least(len(ids), 14)::INT AS n FROM tk")
+add("prj04_truncate_content", on_tokens(lambda: [F.size(k.truncate_content(F.col("ids"), 24, 10)).alias("n"), F.array_join(k.truncate_content(F.col("ids"), 24, 10), " ").alias("kept")]), _T + "SELECT doc_id, least(len(ids), 14)::INT AS n, coalesce(array_to_string(ids[1:14], ' '), '') AS kept FROM tk")
 _LASTNZ = "coalesce(list_max(list_transform(ids, lambda x, i: CASE WHEN x <> 0 THEN i ELSE 0 END)), 0)"
 add("prj05_strip_pad", on_tokens(lambda: [F.size(k.strip_pad(F.col("ids"))).alias("n"), _sum(k.strip_pad(F.col("ids"))).alias("check")]), _T + f"SELECT doc_id, greatest({_LASTNZ}, 1)::INT AS n, coalesce({_S.format(f'ids[1:greatest({_LASTNZ}, 1)]')}, 0) AS check FROM tk")
 add("prj06_length_mask", on_tokens(lambda: [F.aggregate(k.length_mask(F.size(F.col("ids")), 32), F.lit(0), lambda a, b: a + b).alias("ones")]), _T + "SELECT doc_id, least(len(ids), 32)::INT AS ones FROM tk")

@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = Path(__file__).resolve().parent
 
@@ -67,3 +68,12 @@ def table(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/calibrant/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows that a side of a join may have to be broadcast.
+FEW_ROWS = 100_000
+
+
+def few(df: DataFrame, limit: int = FEW_ROWS) -> DataFrame:
+    """Mark df for broadcast if it has few rows; else it is joined by shuffle."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -11,12 +11,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
 from calibrant.errors import StateError
 from calibrant.functions.text import hash_answer
+from calibrant.session import few, table
+from calibrant.sources import versions
 
 PROMPTS = "prompt string, response string, ground_truth string"
 
@@ -37,11 +39,25 @@ def require_rows(df: DataFrame) -> DataFrame:
     return df
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, idx, value): every line of the files with its number from 0, however many splits a file is read in.
+
+    Lines are counted by split, and a split's first number is the sum of the counts before it in
+    its file; only these counts, a row for each split, are shuffled, and the lines stay where they
+    are read.
+    """
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    raw = spark.read.option("lineSep", "\n").text(path).select(*split, "value", F.monotonically_increasing_id().alias("at"))
+    counts = table(raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("low")), "splits")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("low")).alias("shift"))
+    return raw.join(few(starts), ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("idx"), "value")
+
+
 def read_aligned(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """SRC-27: every line of a file with its number; a corrupt line is a null struct."""
-    raw = spark.read.text(path, wholetext=True)
-    lines = raw.select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("idx", "line"))
-    return lines.select("idx", F.from_json("line", schema).alias("row"), F.try_parse_json("line").isNull().alias("corrupt"))
+    """SRC-27: every line of the files with its number; a corrupt line is a null struct."""
+    lines = numbered_lines(spark, path)
+    return lines.select("file", "idx", F.from_json("value", schema).alias("row"), F.try_parse_json("value").isNull().alias("corrupt"))
 
 
 def synthetic(spark: SparkSession, n: int, length: int, vocab: int, seed: int = 0) -> DataFrame:
@@ -107,11 +123,12 @@ def hash_spec(path: str) -> DatasetSpec:
 
 
 def read_results_tree(spark: SparkSession, root: str, schema: str, kind: str = "jsonl") -> DataFrame:
-    """SRC-08: JSON lines below a folder, with stage and model from the path and year from the file name."""
-    df = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{kind}").json(root)
-    p = F.col("_metadata.file_path")
-    name = rf"[^/]+\.{kind}$"
-    return df.select("*", F.regexp_extract(p, rf"/([^/]+)/[^/]+/{name}", 1).alias("stage"), F.regexp_extract(p, rf"/([^/]+)/{name}", 1).alias("model"), F.nullif(F.regexp_extract(p, rf"(20\d\d)[^/]*\.{kind}$", 1), F.lit("")).alias("year"))
+    """SRC-08: JSON lines below root, as root/stage/model/file or root/stage/model/step/file; the year is from the file's name. Lines that are no JSON are left out."""
+    df = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{kind}").option("mode", "DROPMALFORMED").json(root)
+    last = root.rstrip("/").rpartition("/")[2]
+    parts = F.split(F.substring_index(F.col("_metadata.file_path"), f"/{last}/", -1), "/")
+    step = F.when(F.size(parts) > 3, F.get(parts, F.lit(2)))
+    return df.select("*", F.get(parts, F.lit(0)).alias("stage"), F.get(parts, F.lit(1)).alias("model"), step.alias("step"), F.nullif(F.regexp_extract(F.element_at(parts, -1), r"(20\d\d)", 1), F.lit("")).alias("year"))
 
 
 def append_metrics(df: DataFrame, path: str) -> None:
@@ -137,11 +154,9 @@ def read_metrics_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def first_valid(spark: SparkSession, path: str, n: int, schema: str = PROMPTS, prompt: str = "prompt", response: str = "response") -> DataFrame:
-    """SRC-28: the first n valid rows in file order. Files and the lines in them keep their order; a sort with a limit needs no full sort."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    row = F.from_json("value", schema)
-    ok = lines.withColumn("row", row).where((F.col(f"row.{prompt}") != "") & (F.col(f"row.{response}") != ""))
-    return ok.orderBy("file", "block", "at").limit(n).select("row.*")
+    """SRC-28: the first n valid rows in order of file and line; a sort with a limit needs no full sort."""
+    ok = numbered_lines(spark, path).withColumn("row", F.from_json("value", schema)).where((F.col(f"row.{prompt}") != "") & (F.col(f"row.{response}") != ""))
+    return ok.orderBy("file", "idx").limit(n).select("row.*")
 
 
 def read_column_files(spark: SparkSession, root: str, n_tokens: int, top_k: int) -> DataFrame:
@@ -197,6 +212,17 @@ def truncate_at(df: DataFrame, step: int) -> DataFrame:
     return df.where(F.col("step").isNull() | (F.col("step") < step))
 
 
+def truncate_metrics(spark: SparkSession, path: str, step: int) -> DataFrame:
+    """SRC-13 on a table of versions: the full metrics are kept once under the resume step's name, and the cut ones become the newest version."""
+    full, version = versions.newest(spark, path)
+    backup = f"{path.rstrip('/')}_pre_resume_step{step}"
+    if versions.newest_number(spark, backup) is None:
+        versions.publish(full, backup)
+    if version is not None:
+        versions.publish(truncate_at(full, step), path)
+    return versions.newest(spark, path)[0]
+
+
 def write_cells(rows: DataFrame, path: str, keys: tuple[str, ...] = ("label", "dataset", "budget")) -> None:
     """SRC-14: JSON lines by cell."""
     rows.write.mode("append").partitionBy(*keys).json(path)
@@ -230,13 +256,6 @@ def merge_summaries(spark: SparkSession, paths: list[str], schema: str) -> DataF
     return raw.where("ok").select("s.*")
 
 
-def replace_table(df: DataFrame, path: str) -> str:
-    """A new version beside the old; readers follow the newest. Never overwrites what it reads."""
-    out = f"{path}/v-{uuid.uuid4().hex}"
-    df.write.parquet(out)
-    return out
-
-
 def save_cache(support: DataFrame, path: str, meta: dict) -> None:
     """SRC-10: supports sorted by id, with their metadata."""
     support.withColumn("pairs", F.array_sort("pairs")).write.parquet(f"{path}/data")
