@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,15 +32,41 @@ def majority(rows: DataFrame, keys: list[str], answer: str = "answer", order: st
     return per.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.a").alias("majority"), F.col("b.c").alias("votes"))
 
 
-def problem_results(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """AGG-04: one row a cell, n = problems; status rates and tokens from sample 0, accuracy by majority."""
-    vote = majority(rows, [*keys, "problem_id"])
-    gt = rows.groupBy(*keys, "problem_id").agg(F.max("ground_truth").alias("ground_truth"))
-    right = vote.join(gt, [*keys, "problem_id"]).groupBy(*keys).agg(F.count("*").alias("n"), rate(F.coalesce(F.col("majority") == F.col("ground_truth"), F.lit(False))).alias("accuracy"))
+def _same(answer: Column, truth: Column) -> Column:
+    return answer == truth
+
+
+def voted(rows: DataFrame, keys: list[str], grade: Callable[[Column, Column], Column] = _same) -> DataFrame:
+    """AGG-04: rows, one for each sample, with the majority answer of their problem and whether it is right. Distinct (answer, truth) pairs are graded once."""
+    votes = majority(rows, [*keys, "problem_id"])
+    truth = rows.groupBy(*keys, "problem_id").agg(F.max("ground_truth").alias("_truth"))
+    each = votes.join(truth, [*keys, "problem_id"])
+    right = each.select("majority", "_truth").distinct().withColumn("majority_correct", F.coalesce(grade(F.col("majority"), F.col("_truth")), F.lit(False)))
+    on = F.col("majority").eqNullSafe(F.col("_m")) & F.col("_truth").eqNullSafe(F.col("_g"))
+    each = each.join(right.select(F.col("majority").alias("_m"), F.col("_truth").alias("_g"), "majority_correct"), on).select(*keys, "problem_id", F.col("majority").alias("majority_answer"), "majority_correct")
+    return rows.join(each, [*keys, "problem_id"])
+
+
+def problem_results(rows: DataFrame, keys: list[str], metric: str = "majority", grade: Callable[[Column, Column], Column] = _same) -> DataFrame:
+    """AGG-04: one row a cell, n = problems; status rates and tokens from sample 0.
+
+    Accuracy is that of the majority answers as `grade` sees them, or with metric `ave` the mean
+    over problems of the share of right samples, or with `single` that of sample 0.
+    """
+    right = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("double")
+    if metric == "majority":
+        score = voted(rows, keys, grade).groupBy(*keys, "problem_id").agg(F.max(right("majority_correct")).alias("score"))
+    elif metric == "ave":
+        score = rows.groupBy(*keys, "problem_id").agg(F.avg(right("correct")).alias("score"))
+    elif metric == "single":
+        score = rows.groupBy(*keys, "problem_id").agg(F.max(F.when(F.col("sample_idx") == 0, right("correct"))).alias("score"))
+    else:
+        raise ValueError(f"unknown metric: {metric}")
+    cells = score.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.coalesce("score", F.lit(0.0))).alias("accuracy"))
     zero = rows.where("sample_idx = 0").groupBy(*keys).agg(
-        rate(F.col("status") == "eos").alias("eos_rate"), rate(F.col("answer").isNull()).alias("no_answer_rate"), F.avg("tokens").alias("avg_tokens")
+        rate(F.col("status") == "eos").alias("eos_rate"), rate(F.col("status") != "eos").alias("budget_stop_rate"), rate(F.col("answer").isNull()).alias("no_answer_rate"), F.avg("tokens").alias("avg_tokens")
     )
-    return right.join(zero, keys)
+    return cells.join(zero, keys).withColumn("metric", F.lit(metric))
 
 
 def sample_results(rows: DataFrame, keys: list[str]) -> DataFrame:

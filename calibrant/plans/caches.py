@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from calibrant.operators import asof, summaries, vocabulary
+from calibrant.operators import asof, selection, summaries, vocabulary
 from calibrant.plans.views import METRICS, generations, metrics, read
-from calibrant.session import table
+from calibrant.session import shared_dir, table
+from calibrant.sources import columns
 
 QUERIES, ORACLE = {}, {}
 
@@ -84,3 +87,18 @@ def _lines(s, d):
 
 add("agg14_lines", lambda s, d: summaries.accuracy_percent(_lines(s, d), ["label"]).withColumn("accuracy", F.round("accuracy", 6)),
     "SELECT 'm' || (l_orderkey % 3)::VARCHAR AS label, round(100 * avg((coalesce(l_quantity::INT % 10 <> 0 AND l_quantity::INT % 4 = l_orderkey % 4, false))::INT) FILTER (l_orderkey % 11 <> 3), 6) AS accuracy, count(*) FILTER (l_orderkey % 11 = 3) AS bad_lines FROM lineitem GROUP BY 1")
+
+
+def _columns(s, d):
+    """All vectors as samples of 16 positions of 4 tokens, written as column files and read back whole, and a quarter of them by range."""
+    path = f"{shared_dir(s)}/calibrant/columns-{uuid.uuid4().hex}/cache"
+    placed, n = selection.positions(read(s, d, "embeddings").select("vec_id", "embedding"), "vec_id")
+    ids = F.transform("embedding", lambda x, i: (i * 3 + F.col("vec_id") % 7).cast("int"))
+    columns.write(placed.select(F.col("position").alias("sample_id"), ids.alias("ids"), F.col("embedding").alias("delta"), (F.col("vec_id") % 17).alias("response_len")), path, 4)
+    some = columns.read(s, path, ["sample_id", "response_len"], n // 4, n // 2 - 1).select("sample_id", F.col("response_len").alias("ranged"))
+    whole = columns.read(s, path).join(some, "sample_id", "left")
+    return whole.select("sample_id", "response_len", "ranged", F.posexplode(F.arrays_zip("ids", "delta")).alias("place", "p")).select("sample_id", "response_len", "ranged", "place", "p.ids", F.col("p.delta").cast("double").alias("delta"))
+
+
+add("src09_column_files", _columns, """WITH p AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS sample_id, count(*) OVER () AS n FROM embeddings)
+SELECT sample_id, vec_id % 17 AS response_len, CASE WHEN sample_id >= n // 4 AND sample_id < n // 2 THEN vec_id % 17 END AS ranged, i::INT AS place, (i * 3 + vec_id % 7)::INT AS ids, embedding[i + 1]::DOUBLE AS delta FROM p, range(64) r(i)""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from calibrant.functions import rationals
 from calibrant.operators import curves, evaluation, stats
 from calibrant.plans.views import CURVE, GENERATIONS, GRADED, METRICS, curve, generations, graded, metrics
 
@@ -29,10 +30,39 @@ SELECT label, budget, round(avg(r), 6) AS ave_at_n FROM (SELECT label, budget, p
 _MAJ = """, c AS (SELECT label, budget, problem_id, answer, CASE WHEN answer IS NULL THEN 0 ELSE count(*) END AS c, min(sample_idx) AS f FROM gen GROUP BY label, budget, problem_id, answer),
 v AS (SELECT label, budget, problem_id, answer AS majority, c AS votes FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY c DESC, f) AS r FROM c) WHERE r = 1)"""
 add("agg03_majority", lambda s, d: evaluation.majority(generations(s, d), [*K, "problem_id"]), _BOTH + _MAJ + " SELECT * FROM v")
-add("agg04_problem_results", lambda s, d: rounded(evaluation.problem_results(generations(s, d), K), "accuracy", "eos_rate", "no_answer_rate", "avg_tokens"), _BOTH + _MAJ + """
+add("agg04_problem_results", lambda s, d: rounded(evaluation.problem_results(generations(s, d), K), "accuracy", "eos_rate", "no_answer_rate", "avg_tokens").drop("budget_stop_rate", "metric"), _BOTH + _MAJ + """
 , a AS (SELECT v.label, v.budget, count(*) AS n, round(avg(coalesce(majority = problem_id % 4, false)::INT), 6) AS accuracy FROM v GROUP BY ALL),
 z AS (SELECT label, budget, round(avg((status = 'eos')::INT), 6) AS eos_rate, round(avg((answer IS NULL)::INT), 6) AS no_answer_rate, round(avg(tokens), 6) AS avg_tokens FROM gen WHERE sample_idx = 0 GROUP BY ALL)
 SELECT * FROM a JOIN z USING (label, budget)""")
+_ZERO = """z AS (SELECT label, budget, round(avg((status = 'eos')::INT), 6) AS eos_rate, round(avg((status <> 'eos')::INT), 6) AS budget_stop_rate, round(avg((answer IS NULL)::INT), 6) AS no_answer_rate, round(avg(tokens), 6) AS avg_tokens FROM gen WHERE sample_idx = 0 GROUP BY ALL)"""
+_RATES = ("accuracy", "eos_rate", "budget_stop_rate", "no_answer_rate", "avg_tokens")
+add("agg04_ave", lambda s, d: rounded(evaluation.problem_results(generations(s, d), K, "ave"), *_RATES), _BOTH + f", {_ZERO}, a AS (SELECT label, budget, count(*) AS n, round(avg(r), 6) AS accuracy FROM (SELECT label, budget, problem_id, avg(correct::INT) AS r FROM gen GROUP BY ALL) GROUP BY ALL) SELECT *, 'ave' AS metric FROM a JOIN z USING (label, budget)")
+add("agg04_single", lambda s, d: rounded(evaluation.problem_results(generations(s, d), K, "single"), *_RATES), _BOTH + f", {_ZERO}, a AS (SELECT label, budget, count(*) AS n, round(avg(correct::INT), 6) AS accuracy FROM gen WHERE sample_idx = 0 GROUP BY ALL) SELECT *, 'single' AS metric FROM a JOIN z USING (label, budget)")
+
+
+def _written(n, form):
+    """A whole number in one of six forms: plain, decimal, fraction, ratio, in dollars, wrapped."""
+    text = n.cast("string")
+    two, three = (n * 2).cast("string"), (n * -3).cast("string")
+    forms = [text, F.concat(text, F.lit(".0")), F.concat(F.lit("\\frac{"), two, F.lit("}{2}")), F.concat(three, F.lit("/-3")), F.concat(F.lit("$"), text, F.lit("$")), F.concat(F.lit("\\text{"), text, F.lit(".00}"))]
+    return F.get(F.array(*forms), form)
+
+
+def texts(s, d):
+    """Generations whose answers and truths are texts, in forms that depend on the row."""
+    g = generations(s, d)
+    return g.withColumn("answer", _written(F.col("answer") * 1000, (F.col("tokens") % 6).cast("int"))).withColumn("ground_truth", _written(F.col("ground_truth") * 1000, (F.col("problem_id") % 6).cast("int")))
+
+
+_FORMS = """CASE tokens % 6 WHEN 0 THEN n::VARCHAR WHEN 1 THEN n || '.0' WHEN 2 THEN '\\frac{' || 2 * n || '}{2}' WHEN 3 THEN (-3 * n) || '/-3' WHEN 4 THEN '$' || n || '$' ELSE '\\text{' || n || '.00}' END"""
+add("agg04_graded_majority", lambda s, d: rounded(evaluation.problem_results(texts(s, d), K, "majority", rationals.equal), *_RATES), _BOTH + f""", w AS (SELECT *, {_FORMS} AS said FROM (SELECT *, answer * 1000 AS n FROM gen)),
+c AS (SELECT label, budget, problem_id, said, any_value(answer) AS number, CASE WHEN said IS NULL THEN 0 ELSE count(*) END AS c, min(sample_idx) AS f FROM w GROUP BY label, budget, problem_id, said),
+v AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY c DESC, f) = 1), {_ZERO},
+a AS (SELECT label, budget, count(*) AS n, round(avg(coalesce(number = problem_id % 4, false)::INT), 6) AS accuracy FROM v GROUP BY ALL) SELECT *, 'majority' AS metric FROM a JOIN z USING (label, budget)""")
+add("agg04_voted_rows", lambda s, d: evaluation.voted(texts(s, d), K, rationals.equal).select("label", "budget", "problem_id", "sample_idx", "majority_answer", "majority_correct"), _BOTH + f""", w AS (SELECT *, {_FORMS} AS said FROM (SELECT *, answer * 1000 AS n FROM gen)),
+c AS (SELECT problem_id, said, any_value(answer) AS number, CASE WHEN said IS NULL THEN 0 ELSE count(*) END AS c, min(sample_idx) AS f FROM w GROUP BY problem_id, said),
+v AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY c DESC, f) = 1)
+SELECT label, budget, problem_id, sample_idx, v.said AS majority_answer, coalesce(number = problem_id % 4, false) AS majority_correct FROM gen JOIN v USING (problem_id)""")
 _SAMPLE = """count(*) AS n, round(avg(correct::INT), 6) AS accuracy,
   round(sum((answer IS NULL AND prefix_correct)::INT) / nullif(sum((answer IS NULL)::INT), 0)::DOUBLE, 6) AS prefix_accuracy, round(avg((answer IS NULL)::INT), 6) AS no_answer_rate,
   round(avg((status = 'eos')::INT), 6) AS eos_rate, round(avg((status = 'budget_stop')::INT), 6) AS budget_stop_rate, round(avg(tokens), 6) AS avg_reasoning_tokens"""

@@ -9,11 +9,9 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from calibrant.errors import StateError
 from calibrant.functions.text import hash_answer
@@ -159,30 +157,6 @@ def first_valid(spark: SparkSession, path: str, n: int, schema: str = PROMPTS, p
     return ok.orderBy("file", "idx").limit(n).select("row.*")
 
 
-def read_column_files(spark: SparkSession, root: str, n_tokens: int, top_k: int) -> DataFrame:
-    """SRC-09: raw column files `ids.dat` (int32), `delta.dat` (float32), both rows x n_tokens x top_k, and `lengths.dat` (int32): sample_id, ids, delta, response_len.
-
-    Records have a fixed length, so a file is read in parallel wherever it is cut.
-    """
-
-    def column(name: str, width: int, kind: str) -> DataFrame:
-        records = spark.sparkContext.binaryRecords(f"{root}/{name}.dat", 4 * width).zipWithIndex()
-        schema = StructType([StructField("raw", BinaryType()), StructField("sample_id", LongType())])
-        return spark.createDataFrame(records.map(lambda x: (bytearray(x[0]), x[1])), schema).select("sample_id", _unpacker(kind)("raw").alias(name))
-
-    cells = n_tokens * top_k
-    lengths = column("lengths", 1, "<i4").select("sample_id", F.col("lengths")[0].cast("int").alias("response_len"))
-    return column("ids", cells, "<i4").select("sample_id", F.col("ids").cast("array<int>").alias("ids")).join(column("delta", cells, "<f4"), "sample_id").join(lengths, "sample_id")
-
-
-def _unpacker(kind: str) -> Callable[[str], Column]:
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def unpack(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: np.frombuffer(b, kind).astype(float))
-
-    return unpack
-
-
 def experiment_matrix(spark: SparkSession, axes: dict[str, list], base: dict | None = None) -> DataFrame:
     """UDF-05: every combination of some settings over a base, as rows of (name, config in JSON)."""
     rows = []

@@ -26,21 +26,15 @@ def test_advice():
     assert "smaller" in report.scale_advice(500, 250, 0.2)[1]
 
 
-def test_column_files_and_matrix(spark, tmp_path):
+def test_experiment_matrix_and_guards(spark):
     import json
 
-    import numpy as np
     import pytest
 
     from calibrant.errors import StateError
     from calibrant.operators import calibration
     from calibrant.sources import files
 
-    ids, delta = np.arange(5 * 3 * 2, dtype="<i4").reshape(5, 6), np.linspace(0, 1, 30, dtype="<f4").reshape(5, 6)
-    for name, x in (("ids", ids), ("delta", delta), ("lengths", np.array([3, 1, 2, 0, 3], "<i4"))):
-        (tmp_path / f"{name}.dat").write_bytes(x.tobytes())
-    got = files.read_column_files(spark, str(tmp_path), 3, 2).orderBy("sample_id").collect()
-    assert [r["ids"] for r in got] == ids.tolist() and [r["response_len"] for r in got] == [3, 1, 2, 0, 3] and np.allclose([r["delta"] for r in got], delta)
     m = files.experiment_matrix(spark, {"lr": [0.1, 0.2], "l2.mode": ["a", "b", "c"]}, {"l2": {"x": 1}}).collect()
     assert len(m) == 6 and m[0]["name"] == "lr=0.1-mode=a" and json.loads(m[5]["config"]) == {"l2": {"mode": "c", "x": 1}, "lr": 0.2}
     ok = spark.createDataFrame([(1, "false")], "step int, `rollout/weight_sync_poisoned` string")
