@@ -47,15 +47,16 @@ def _at_scale(spark, sf: str) -> dict[str, float]:
     n = deltas.count() * 64
     scan = deltas.select(F.explode("d").alias("delta"))
     out = {"delta_values": n, "delta_s": _median(lambda: stats.signal_stats(scan, "delta", []).collect())}
-    k = 32
-    ranked = deltas.limit(50_000).select("vec_id", dists.top_k(F.col("d"), k).alias("t"), dists.top_k(F.transform("d", lambda v, i: v + F.cos(i * 3 + F.col("vec_id"))), k).alias("s"))
-    pairs = table(ranked.select(F.col("s.id").alias("ids"), F.col("t").alias("t")).repartition(16), "pairs")
-    rows = pairs.count()
-    looked = pairs.select(F.aggregate(dists.lookup(F.col("ids"), F.col("t")), F.lit(0.0), lambda a, b: a + b).alias("total"))
-    out |= {"lookup_positions": rows, "lookup_ids": rows * k, "lookup_s": _median(lambda: looked.write.format("noop").mode("overwrite").save())}
     out["delta_values_per_s"] = round(n / out["delta_s"])
-    out["lookup_positions_per_s"] = round(rows / out["lookup_s"])
-    out["lookup_ids_per_s"] = round(rows * k / out["lookup_s"])
+    # supports of k out of 5k ids, in order of id, and as many ids to look up, a fifth of them there
+    rows = deltas.count()
+    for k in (32, 64, 128, 256):
+        at = lambda salt: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (i * 5 + F.pmod(F.xxhash64("vec_id", i, F.lit(salt)), F.lit(5))).cast("int"))  # noqa: B023, E731
+        pairs = table(deltas.select(at(1).alias("ids"), F.transform(at(2), lambda i: F.struct(i.alias("id"), (i / F.lit(7.0)).alias("v"))).alias("t")), "pairs")
+        looked = dists.look_up(pairs, "ids", "t", "v", keep=[])
+        took = _median(lambda: looked.write.format("noop").mode("overwrite").save())  # noqa: B023
+        out |= {f"lookup_k{k}_s": took, f"lookup_k{k}_positions_per_s": round(rows / took)}
+    out["lookup_positions"] = rows
     return out
 
 

@@ -41,10 +41,17 @@ add("top02_top_k", lambda s, d: top(s, d).select("vec_id", F.posexplode("ss").al
 add("top01_cache_build", lambda s, d: top(s, d).select("vec_id", F.explode(f.by_id("tt")).alias("p"), "s", "t").select("vec_id", F.col("p.id").alias("id"), F.round(F.element_at("t", F.col("p.id") + 1) - F.element_at("s", F.col("p.id") + 1), 6).alias("delta")),
     D + " SELECT vec_id, i::INT AS id, round(t - s, 6) AS delta FROM tk WHERE rt < 8")
 add("top03_teacher_support_delta", lambda s, d: both(s, d).select("vec_id", F.explode(f.teacher_support_delta(F.col("t"), F.col("s"), 8)).alias("p")).select("vec_id", "p.id", F.round("p.v", 6).alias("delta")), D + " SELECT vec_id, i::INT AS id, round(t - s, 6) AS delta FROM tk WHERE rt < 8")
-add("join02_support_lookup", lambda s, d: top(s, d).select("vec_id", F.round(_sum(f.lookup(F.col("ss.id"), F.col("tt"))), 6).alias("total")), D + " SELECT vec_id, round(coalesce(sum(t) FILTER (rt < 8), 0), 6) AS total FROM tk WHERE rs < 8 GROUP BY vec_id")
-add("join03_tail_lookup", lambda s, d: top(s, d).select("vec_id", F.round(_sum(f.lookup(F.col("ss.id"), F.col("tt"), f.TAIL)), 6).alias("total")), D + " SELECT vec_id, round(sum(CASE WHEN rt < 8 THEN t ELSE -100 END), 6) AS total FROM tk WHERE rs < 8 GROUP BY vec_id")
-add("join01_dense_lookup", lambda s, d: top(s, d).select("vec_id", F.round(_sum(f.scatter(F.col("ss.id"), f.lookup(F.col("ss.id"), F.col("tt")), 64)), 6).alias("total")), D + " SELECT vec_id, round(coalesce(sum(t) FILTER (rt < 8), 0), 6) AS total FROM tk WHERE rs < 8 GROUP BY vec_id")
-add("join04_truncated_lookup", lambda s, d: top(s, d).select("vec_id", F.round(_sum(f.lookup(F.slice("ss", 1, 4)["id"], F.slice("tt", 1, 4), f.TAIL)), 6).alias("total")), D + " SELECT vec_id, round(sum(CASE WHEN rt < 4 THEN t ELSE -100 END), 6) AS total FROM tk WHERE rs < 4 GROUP BY vec_id")
+
+
+def found(s, d, k=8, fill=0.0):
+    """Teacher values at the student's k likeliest tokens."""
+    return f.look_up(top(s, d).select("vec_id", F.slice("ss.id", 1, k).alias("ids"), F.slice("tt", 1, k).alias("tt")), "ids", "tt", "found", fill)
+
+
+add("join02_support_lookup", lambda s, d: found(s, d).select("vec_id", F.round(_sum(F.col("found")), 6).alias("total")), D + " SELECT vec_id, round(coalesce(sum(t) FILTER (rt < 8), 0), 6) AS total FROM tk WHERE rs < 8 GROUP BY vec_id")
+add("join03_tail_lookup", lambda s, d: found(s, d, 8, f.TAIL).select("vec_id", F.round(_sum(F.col("found")), 6).alias("total")), D + " SELECT vec_id, round(sum(CASE WHEN rt < 8 THEN t ELSE -100 END), 6) AS total FROM tk WHERE rs < 8 GROUP BY vec_id")
+add("join01_dense_lookup", lambda s, d: found(s, d).select("vec_id", F.round(_sum(f.scatter(F.col("ids"), F.col("found"), 64)), 6).alias("total")), D + " SELECT vec_id, round(coalesce(sum(t) FILTER (rt < 8), 0), 6) AS total FROM tk WHERE rs < 8 GROUP BY vec_id")
+add("join04_truncated_lookup", lambda s, d: found(s, d, 4, f.TAIL).select("vec_id", F.round(_sum(F.col("found")), 6).alias("total")), D + " SELECT vec_id, round(sum(CASE WHEN rt < 4 THEN t ELSE -100 END), 6) AS total FROM tk WHERE rs < 4 GROUP BY vec_id")
 add("join17_student_support_delta", lambda s, d: top(s, d).select("vec_id", F.round(_sum(F.zip_with(f.gather(F.slice("t", 1, 60), F.col("ss.id"), 0.0), f.gather(F.transform(F.slice("s", 1, 60), lambda x: x), F.col("ss.id"), 0.0), lambda a, b: a - b)), 6).alias("total")),
     D + " SELECT vec_id, round(sum(CASE WHEN i < 60 THEN t - s ELSE 0 END), 6) AS total FROM tk WHERE rs < 8 GROUP BY vec_id")
 add("join18_chosen_gather", lambda s, d: both(s, d).select("vec_id", F.round(F.element_at("s", (F.col("vec_id") % 64 + 1).cast("int")), 6).alias("lp")), D + " SELECT vec_id, round(s, 6) AS lp FROM st WHERE i = vec_id % 64")

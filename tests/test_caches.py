@@ -85,3 +85,46 @@ def test_top_k_of_equal_values(spark):
 
     df = spark.createDataFrame([([1.0, 3.0, 3.0, 2.0],)], "x array<double>")
     assert [p["id"] for p in df.select(dists.top_k(F.col("x"), 3).alias("t")).first()["t"]] == [1, 2, 3]
+
+
+def test_look_up_in_batches(spark):
+    """Supports in any order, empty ones, nulls, ids outside, other columns kept."""
+    from calibrant.functions import dists
+
+    data = [(1, [3, 9, 4], [(9, 0.9), (3, 0.3)]), (2, [3], []), (3, [], [(3, 1.0)]), (4, None, [(3, 1.0)]), (5, [3], None), (6, [7, 7], [(6, 0.6), (7, 0.7), (8, 0.8)])]
+    df = spark.createDataFrame(data, "k int, ids array<int>, t array<struct<id:int,v:double>>").repartition(2)
+    got = {r["k"]: r["v"] for r in dists.look_up(df, "ids", "t", "v", -100.0).collect()}
+    assert got == {1: [0.3, 0.9, -100.0], 2: [-100.0], 3: [], 4: None, 5: None, 6: [0.7, 0.7]}
+    assert dists.look_up(df, "ids", "t", "v", keep=["k"]).columns == ["k", "v"] and dists.look_up(df.limit(0), "ids", "t", "v").count() == 0
+    some = df.where("t is not null and ids is not null")
+    assert {r["k"]: r["v"] for r in some.select("k", dists.lookup(F.col("ids"), F.col("t"), -100.0).alias("v")).collect()} == {k: v for k, v in got.items() if v is not None}
+
+
+def test_result_rows_by_mode(spark):
+    """Two problems of three samples: majority, mean and the first sample; a grader of numbers, an answer that none decides."""
+    from calibrant.functions import rationals
+
+    rows = [("c", p, i, a, "6", s, 10 * i + p, a in ("6", "12/2")) for p, answers in ((0, ["12/2", "12/2", "7"]), (1, ["7", "6", "7"])) for i, (a, s) in enumerate(zip(answers, ["eos", "loop", "eos"]))]
+    rows += [("c", 2, i, None, "6", "budget_stop", 0, False) for i in range(3)]
+    df = spark.createDataFrame(rows, "cell string, problem_id int, sample_idx int, answer string, ground_truth string, status string, tokens int, correct boolean")
+    get = lambda **kw: evaluation.problem_results(df, ["cell"], **kw).first()
+    assert get()["accuracy"] == 0.0 and math.isclose(get(grade=rationals.equal)["accuracy"], 1 / 3) and get()["n"] == 3
+    assert math.isclose(get(metric="ave")["accuracy"], (2 / 3 + 1 / 3) / 3) and math.isclose(get(metric="single")["accuracy"], 1 / 3)
+    r = get(metric="ave")
+    assert math.isclose(r["eos_rate"], 2 / 3) and math.isclose(r["budget_stop_rate"], 1 / 3) and math.isclose(r["no_answer_rate"], 1 / 3)
+    with pytest.raises(ValueError):
+        get(metric="best")
+    voted = {x["problem_id"]: (x["majority_answer"], x["majority_correct"]) for x in evaluation.voted(df, ["cell"], rationals.equal).collect()}
+    assert voted == {0: ("12/2", True), 1: ("7", False), 2: (None, False)}
+
+
+def test_rational_answers(spark):
+    """Equal as texts or numbers, unequal, and left open."""
+    from calibrant.functions import rationals
+
+    yes = [("1/2", "0.5"), (r"\frac{1}{2}", "0.50"), (r"\dfrac{-3}{6}", "-1/2"), ("1,234", "1234"), ("$5$", "5."), (r"\text{yes}", "yes"), (r"50\%", "50"), ("-.5", r"-\frac{1}{2}"), ("3.000", "3"), (r"\left(1,2\right)", "(1,2)"), ("x+1", "x + 1"), ("90^\\circ", "90"), ("0/5", "0")]
+    no = [("1/2", "1/3"), ("3", "-3"), ("0.333", "1/3"), ("yes", "1"), (None, "1"), ("2", None), ("123456789012345678", "123456789012345679")]
+    unknown = [("x+1", "1+x"), (r"\sqrt{8}", r"2\sqrt{2}"), ("1/0", "2/0"), ("1" * 30, "2" * 30)]
+    df = spark.createDataFrame([*yes, *no, *unknown], "a string, t string")
+    got = [r["e"] for r in df.select(rationals.equal(F.col("a"), F.col("t")).alias("e")).collect()]
+    assert got == [True] * len(yes) + [False] * len(no) + [None] * len(unknown)
