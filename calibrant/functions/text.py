@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from calibrant.functions.dists import let
+
 #: Patterns of answers (fixed values).
 NUMBER = r"-?[0-9][0-9,]*"
 BOXED = r"\\boxed\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}"
@@ -32,11 +34,13 @@ def first_number(c: Column) -> Column:
 
 
 def extract_answer(c: Column, style: str = "boxed") -> Column:
-    """STR-01: the last boxed number, else the last boxed text, else the last number, else ''."""
-    boxes = _all(c, BOXED, 1)
-    holding = F.filter(boxes, lambda b: b.rlike(NUMBER))
-    boxed = F.coalesce(first_number(F.try_element_at(holding, F.lit(-1))), F.trim(F.try_element_at(boxes, F.lit(-1))))
-    out = F.coalesce(boxed, last_number(c), F.lit(""))
+    """STR-01: the last boxed number, else the last boxed text, else the last number, else ''. The text is searched for boxes once, and for numbers only where no box has an answer."""
+
+    def boxed(boxes: Column) -> Column:
+        holding = F.filter(boxes, lambda b: b.rlike(NUMBER))
+        return F.coalesce(first_number(F.try_element_at(holding, F.lit(-1))), F.trim(F.try_element_at(boxes, F.lit(-1))))
+
+    out = F.coalesce(let(_all(c, BOXED, 1), boxed), last_number(c), F.lit(""))
     if style == "dapo":
         line = F.try_element_at(_all(c, ANSWER_LINE, 1), F.lit(-1))
         out = F.coalesce(first_number(line), out)

@@ -57,20 +57,28 @@ def suggested_config(report: DataFrame, eos: int | None) -> str:
     return "\n".join(lines) + "\n"
 
 
-def detector_sweep(rows: DataFrame, key: str, ids: str, configs: list[tuple[tuple[int, ...], int]], label: str | None = None) -> DataFrame:
-    """AGG-33: for each (periods, least length) the sequences flagged, and against labels the false-positive rate and the missed ones. Ids come sorted, in arrays of the flagged alone."""
+def _swept(rows: DataFrame, key: str, ids: str, configs: list[tuple[tuple[int, ...], int]], label: str | None) -> DataFrame:
     each = [F.struct(F.lit(f"periods={p if len(p) != 1 else f'({p[0]},)'},min_len={m}").alias("config"), has_tail_loop(F.col(ids), list(p), m).alias("hit")) for p, m in configs]
-    flat = rows.select(key, *([label] if label else []), F.explode(F.array(*each)).alias("s")).select("*", "s.config", "s.hit")
-    sorted_ids = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col(key))))
+    return rows.select(key, *([label] if label else []), F.explode(F.array(*each)).alias("s")).select("*", "s.config", "s.hit")
+
+
+def detector_sweep(rows: DataFrame, key: str, ids: str, configs: list[tuple[tuple[int, ...], int]], label: str | None = None) -> DataFrame:
+    """AGG-33: for each (periods, least length) how many sequences are flagged, and against labels the false-positive rate and how many are missed."""
     hit, y = F.col("hit"), F.col(label) if label else F.lit(None).cast("boolean")
-    clean = F.count_if(~y)
-    return flat.groupBy("config").agg(
-        F.count_if(hit).alias("detected"), F.coalesce(F.avg(hit.cast("int")), F.lit(0.0)).alias("rate"), sorted_ids(hit).alias("flagged"),
-        (F.coalesce(F.try_divide(F.count_if(hit & ~y), clean), F.lit(0.0)) if label else F.lit(None).cast("double")).alias("false_positive_rate"),
-        (sorted_ids(~hit & y) if label else F.lit(None).cast("array<bigint>")).alias("false_negatives"),
+    return _swept(rows, key, ids, configs, label).groupBy("config").agg(
+        F.count_if(hit).alias("detected"), F.coalesce(F.avg(hit.cast("int")), F.lit(0.0)).alias("rate"),
+        (F.coalesce(F.try_divide(F.count_if(hit & ~y), F.count_if(~y)), F.lit(0.0)) if label else F.lit(None).cast("double")).alias("false_positive_rate"),
+        (F.count_if(~hit & y) if label else F.lit(None).cast("long")).alias("missed"),
     )
 
 
+def detector_ids(rows: DataFrame, key: str, ids: str, configs: list[tuple[tuple[int, ...], int]], label: str | None = None) -> DataFrame:
+    """AGG-33: (config, key, kind) of the sequences flagged, and of labelled ones missed; a row for each, whatever their number."""
+    missed = ~F.col("hit") & F.coalesce(F.col(label), F.lit(False)) if label else F.lit(False)
+    kind = F.when(F.col("hit"), "flagged").when(missed, "missed")
+    return _swept(rows, key, ids, configs, label).select("config", key, kind.alias("kind")).where(F.col("kind").isNotNull())
+
+
 def template_audit(rows: DataFrame, keys: list[str], rl_student: str, rl_own: str, ref_student: str, ref_own: str) -> DataFrame:
     """AGG-34: four mean log-probabilities, the difference under either template, and what they say."""
     out = rows.groupBy(*keys).agg(*(F.avg(c).alias(a) for c, a in ((rl_student, "a_rl_student"), (rl_own, "b_rl_own"), (ref_student, "c_ref_student"), (ref_own, "d_ref_own"))))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibrant.errors import DataError
 from calibrant.operators.selection import positions
+from calibrant.session import few, table
 
 #: Names that mean the same in results of different tools (fixed values).
 ALIASES = {"budget": ("budget", "B", "max_tokens"), "accuracy": ("accuracy", "acc", "pass@1")}
@@ -34,8 +35,8 @@ def first_of(df: DataFrame, field: str, aliases: dict[str, tuple[str, ...]] = AL
 
 
 def three_way(samples: DataFrame, rl: DataFrame, ref: DataFrame, key: str) -> DataFrame:
-    """JOIN-05: samples with both teachers' rows; an empty result is an error."""
-    out = samples.join(rl, key).join(ref, key)
+    """JOIN-05: samples with both teachers' rows, joined once and written; an empty result is an error."""
+    out = table(samples.join(rl, key).join(ref, key), "three")
     if out.isEmpty():
         raise DataError(f"no {key} is in all three tables")
     return out
@@ -55,3 +56,19 @@ def zip_samples(problems: DataFrame, problem_key: str, outputs: DataFrame, outpu
     p = positions(problems, problem_key)[0].withColumnRenamed("position", "problem")
     o = positions(outputs, output_key)[0].withColumn("problem", F.floor(F.col("position") / n)).withColumn("sample_idx", (F.col("position") % n).cast("int")).drop("position")
     return p.join(o, "problem")
+
+
+def ids_by(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """AGG-36: (group, key, place, n): every id with its place in its group's ascending order and the group's size.
+
+    Rows are dealt to ranges of (group, key), and a range's places begin where the group's rows of
+    the ranges before it end: no group's ids are held or sorted together.
+    """
+    dealt = table(rows.select(group, key).repartitionByRange(group, key).withColumn("_part", F.spark_partition_id()), "ids")
+    counts = dealt.groupBy(group, "_part").agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy(group)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(whole).alias("n"))
+    here = Window.partitionBy(group, "_part").orderBy(key)
+    joined = dealt.withColumn("_r", F.row_number().over(here) - 1).join(few(starts), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    return joined.select(group, key, (F.col("_before") + F.col("_r")).alias("place"), "n")

@@ -42,18 +42,19 @@ add("agg32_loop_report", lambda s, d: r6(cal.loop_report(toks(s, d), "ids", 4),
 min(len(ids))::INT AS shortest, max(len(ids))::INT AS longest, round(avg(len(ids)), 6) AS mean_length FROM tk, range(2, 9) r(p) GROUP BY p""")
 
 
-def _sweep(s, d):
-    rows = toks(s, d).withColumn("label", F.col("doc_id") % 2 == 0)
-    out = cal.detector_sweep(rows, "doc_id", "ids", [((1, 2, 3), 4), ((2,), 16), ((3, 4), 64)], "label")
-    said = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
-    return r6(out.select("config", "detected", "rate", said("flagged"), "false_positive_rate", said("false_negatives")), "rate", "false_positive_rate")
+_CONFIGS = [((1, 2, 3), 4), ((2,), 16), ((3, 4), 64)]
+
+
+def _labelled(s, d):
+    return toks(s, d).withColumn("label", F.col("doc_id") % 2 == 0)
 
 
 _ANY = lambda ps, m: f"list_bool_or(list_transform({ps}, lambda p: {_TAIL.format(m=m)}))"
-add("agg33_detector_sweep", _sweep, _T + f""", h AS (SELECT doc_id, 'periods=(1, 2, 3),min_len=4' AS config, {_ANY('[1, 2, 3]', 4)} AS hit FROM tk UNION ALL SELECT doc_id, 'periods=(2,),min_len=16', {_ANY('[2]', 16)} FROM tk
-UNION ALL SELECT doc_id, 'periods=(3, 4),min_len=64', {_ANY('[3, 4]', 64)} FROM tk)
-SELECT config, count(*) FILTER (hit) AS detected, round(avg(hit::INT), 6) AS rate, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (hit), '') AS flagged,
-  round(count(*) FILTER (hit AND doc_id % 2 = 1) / count(*) FILTER (doc_id % 2 = 1)::DOUBLE, 6) AS false_positive_rate, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (NOT hit AND doc_id % 2 = 0), '') AS false_negatives FROM h GROUP BY config""")
+_HITS = _T + f""", h AS (SELECT doc_id, 'periods=(1, 2, 3),min_len=4' AS config, {_ANY('[1, 2, 3]', 4)} AS hit FROM tk UNION ALL SELECT doc_id, 'periods=(2,),min_len=16', {_ANY('[2]', 16)} FROM tk
+UNION ALL SELECT doc_id, 'periods=(3, 4),min_len=64', {_ANY('[3, 4]', 64)} FROM tk) """
+add("agg33_detector_sweep", lambda s, d: r6(cal.detector_sweep(_labelled(s, d), "doc_id", "ids", _CONFIGS, "label"), "rate", "false_positive_rate"),
+    _HITS + "SELECT config, count(*) FILTER (hit) AS detected, round(avg(hit::INT), 6) AS rate, round(count(*) FILTER (hit AND doc_id % 2 = 1) / count(*) FILTER (doc_id % 2 = 1)::DOUBLE, 6) AS false_positive_rate, count(*) FILTER (NOT hit AND doc_id % 2 = 0) AS missed FROM h GROUP BY config")
+add("agg33_detector_ids", lambda s, d: cal.detector_ids(_labelled(s, d), "doc_id", "ids", _CONFIGS, "label"), _HITS + "SELECT config, doc_id, CASE WHEN hit THEN 'flagged' ELSE 'missed' END AS kind FROM h WHERE hit OR doc_id % 2 = 0")
 _FOUR = ("a_rl_student", "b_rl_own", "c_ref_student", "d_ref_own", "delta_student", "delta_teacher")
 add("agg34_template_audit", lambda s, d: r6(cal.template_audit(metrics(s, d).select("pool", "reward", (F.col("k") / 10).alias("b"), (F.col("reward") / 2).alias("c"), (F.col("k") / F.lit(7.0)).alias("e")), ["pool"], "reward", "b", "c", "e"), *_FOUR),
     M + """, a AS (SELECT pool, avg(reward) AS a, avg(k / 10e0) AS b, avg(reward / 2) AS c, avg(k / 7e0) AS e FROM metrics GROUP BY pool)

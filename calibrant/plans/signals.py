@@ -150,7 +150,7 @@ SELECT pool, step, status, reason, record_count FROM r""")
 add("win11_ring_buffer", lambda s, d: state.fold(observations(s, d).withColumn("item", F.col("step")), ["pool"], ["step"], lambda: state.RingBuffer(32), ["item", "reward"], "slot int, evicted long, protected boolean"))
 _KIND = lambda: F.when(F.col("k") % 3 == 0, "advance").when(F.col("k") % 3 == 1, "put").otherwise("get")
 add("stm01_stale_queue", lambda s, d: state.fold(metrics(s, d).withColumn("kind", _KIND()).withColumn("version", (F.col("step") / 40).cast("int")), ["user_id"], ["step"], lambda: state.StaleQueue(3), ["kind", "version"], "result string, age double, rejected int"))
-add("agg36_ids_by_budget", lambda s, d: metrics(s, d).groupBy((F.col("k") % 4).alias("budget")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("step")), lambda x: x.cast("string")), ",").alias("ids")), M + "SELECT k % 4 AS budget, string_agg(step::VARCHAR, ',' ORDER BY step) AS ids FROM metrics GROUP BY 1")
+add("agg36_ids_by_budget", lambda s, d: relational.ids_by(metrics(s, d).withColumn("budget", F.col("k") % 4), "budget", "step"), M + "SELECT k % 4 AS budget, step, row_number() OVER (PARTITION BY k % 4 ORDER BY step) - 1 AS place, count(*) OVER (PARTITION BY k % 4) AS n FROM metrics")
 
 
 def values(s, d):
