@@ -108,11 +108,11 @@ def observations(s, d):
 _r4 = lambda df, *c: df.select(*[x for x in df.columns if x not in c], *(F.round(x, 4).alias(x) for x in c))
 _r7 = lambda df, *c: df.select(*[x for x in df.columns if x not in c], *(F.round(x, 7).alias(x) for x in c))
 _r6 = lambda df, *c: df.select(*[x for x in df.columns if x not in c], *(F.round(x, 6).alias(x) for x in c))
-add("win05_prompt_state", lambda s, d: _r6(state.prompt_state(observations(s, d), "user_id", ["step"], "reward", "dis"), "reward_ema", "reward_var", "disagreement_ema"), f"WITH {METRICS}" + """
-, o AS (SELECT user_id, list(reward ORDER BY step) AS r, list(k / 100e0 ORDER BY step) AS d, max(step) AS last FROM metrics GROUP BY user_id),
-e AS (SELECT user_id, r, d, last, list_transform(range(1, len(r) + 1), lambda n: list_sum(list_transform(r[1:n], lambda x, j: 0.1::DOUBLE * x * pow(0.9::DOUBLE, n - j)))) AS e FROM o)
+add("win05_prompt_state", lambda s, d: _r6(state.prompt_state(observations(s, d), "user_id", ["step"], "reward", "dis", length="k"), "reward_ema", "reward_var", "disagreement_ema"), f"WITH {METRICS}" + """
+, o AS (SELECT user_id, list(reward ORDER BY step) AS r, list(k / 100e0 ORDER BY step) AS d, max(step) AS last, max_by(k, step) AS length FROM metrics GROUP BY user_id),
+e AS (SELECT user_id, r, d, last, length, list_transform(range(1, len(r) + 1), lambda n: list_sum(list_transform(r[1:n], lambda x, j: 0.1::DOUBLE * x * pow(0.9::DOUBLE, n - j)))) AS e FROM o)
 SELECT user_id, len(r)::INT AS seen, last, round(e[-1], 6) AS reward_ema, round(list_sum(list_transform(r, lambda x, j: 0.1::DOUBLE * abs(x - e[j]) * pow(0.9::DOUBLE, len(r) - j))), 6) AS reward_var,
-  round(list_sum(list_transform(d, lambda x, j: 0.1::DOUBLE * x * pow(0.9::DOUBLE, len(d) - j))), 6) AS disagreement_ema FROM e""")
+  round(list_sum(list_transform(d, lambda x, j: 0.1::DOUBLE * x * pow(0.9::DOUBLE, len(d) - j))), 6) AS disagreement_ema, length::BIGINT AS length FROM e""")
 add("win04_last_non_null", lambda s, d: metrics(s, d).groupBy("user_id").agg(F.max_by(F.when(F.col("k") % 2 == 0, F.col("k")), F.when(F.col("k") % 2 == 0, F.col("step"))).alias("last_k")), M + "SELECT user_id, max_by(k, step) FILTER (k % 2 = 0) AS last_k FROM metrics GROUP BY user_id")
 add("win06_novelty", lambda s, d: metrics(s, d).groupBy("user_id").agg(F.round(1 / F.sqrt(1.0 + F.count("*")), 9).alias("novelty")), M + "SELECT user_id, round(1 / sqrt(1e0 + count(*)), 9) AS novelty FROM metrics GROUP BY user_id")
 add("win07_budget_bands", lambda s, d: selection.budget_bands(metrics(s, d).select("step", "reward"), "reward").select("step", "budget"), M + "SELECT step, (CASE WHEN reward < q[1] THEN 256 WHEN reward < q[2] THEN 512 WHEN reward < q[3] THEN 1024 ELSE 2048 END)::INT AS budget FROM metrics, (SELECT quantile_cont(reward, [0.25, 0.5, 0.75]) AS q FROM metrics)")
