@@ -174,7 +174,7 @@ ch AS (SELECT user_id, h, g FROM hi UNION ALL SELECT user_id, h, g FROM co), ag
 pk AS (SELECT * FROM ch UNION ALL SELECT * FROM ag), po AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS place FROM us),
 pa AS (SELECT i + (SELECT count(*) FROM pk) AS pick, (('0x' || substr(md5(i::VARCHAR || ':1'), 1, 8))::BIGINT % (SELECT n FROM cn)) AS place FROM range({{m}}) r(i) WHERE i < {{m}} - (SELECT count(*) FROM pk))
 SELECT row_number() OVER (ORDER BY g, h) - 1 AS pick, user_id, CASE g WHEN 0 THEN 'high' WHEN 1 THEN 'coverage' ELSE 'again' END AS kind FROM pk UNION ALL SELECT pick, user_id, 'pad' FROM pa JOIN po USING (place)"""
-add("top04_select", lambda s, d: _selected(s, d, 20, 1), _POOL.format(m=20))
+add("top04_select", lambda s, d: _selected(s, d, 10, 1), _POOL.format(m=10))
 add("top04_cold_start", lambda s, d: _selected(s, d, 40, 0),
     f"WITH {METRICS}, po AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM metrics)), dr AS (SELECT i AS pick, ('0x' || substr(md5(i::VARCHAR || ':0'), 1, 8))::BIGINT AS x FROM range(40) r(i)) SELECT pick, user_id, 'cold' AS kind FROM dr, (SELECT any_value(n) AS n FROM po) c JOIN po ON place = x % c.n")
 _B = "(256 * pow(2, k % 4))::INT"
