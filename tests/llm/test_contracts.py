@@ -199,7 +199,7 @@ def test_stages_keep_other_columns_and_odd_rows(spark, sf):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns and stage(spark, docs.limit(0), sf).count() == 0, name
         ids = sorted((r["doc_id"] for r in out.collect()), key=str)
-        want = {"quality_rules": [1, 1, 4, None], "near_dedup": [1, 2, 3, 4, None]}.get(name, [1, 1, 2, 3, 4, None])
+        want = {"quality_rules": [1, 1, 4, None], "near_dedup": [1, 2, 3, 4, None], "substring_dedup": [1, 2, 3, 4, None]}.get(name, [1, 1, 2, 3, 4, None])
         assert ids == sorted(want, key=str), name
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert last.count() == 6 and len(VOCAB) == 4000
