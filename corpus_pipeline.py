@@ -6,7 +6,8 @@ the last return the columns of documents, whatever others there are and whatever
 
 Defined results: null and empty texts fail the base rule, so the first stage drops them; the later
 ones, given such texts, keep them. Of rows that are equal in all columns the second stage keeps
-one; rows that repeat a doc_id with another text stay, uncut by the third. A null doc_id stays.
+one; to the third, rows that repeat a doc_id, or have none, count as later than all others and are
+cut like them. A null doc_id stays.
 Documents of which the third stage leaves no word go, as do those of which more than half of the
 words are benchmark passages. Empty tables give empty tables; without labels only the base rule
 rejects.
