@@ -1,6 +1,7 @@
 """Teacher caches, versions as of a time and sparse summaries against literal and brute-force results."""
 
 import math
+import os
 import random
 
 import pytest
@@ -128,3 +129,42 @@ def test_rational_answers(spark):
     df = spark.createDataFrame([*yes, *no, *unknown], "a string, t string")
     got = [r["e"] for r in df.select(rationals.equal(F.col("a"), F.col("t")).alias("e")).collect()]
     assert got == [True] * len(yes) + [False] * len(no) + [None] * len(unknown)
+
+
+def test_cache_where_teachers_are_asked_equals_tables(spark):
+    """The same pairs as from tables of both teachers' logits, for blocks and k of any size; teachers that answer for too few tokens are refused."""
+    from calibrant.session import ship
+
+    ship(spark)
+    r = random.Random(5)
+    data = [(p, *([r.choice([-1.0, 0.0, 2.5, r.gauss(0, 3)]) for _ in range(90)] for _ in range(2))) for p in range(7)]
+    rows, tables = spark.createDataFrame(data, "pos long, rl array<double>, ref array<double>"), [{x[0]: x[i] for x in data} for i in (1, 2)]
+    said = lambda df: {x["pos"]: [(y["id"], *(round(y[c], 9) for c in ("rl", "ref", "delta"))) for y in x["pairs"]] for x in df.collect()}
+    for size, k in ((1, 3), (7, 5), (16, 40), (1000, 100)):
+        got = vocabulary.asked_cache(rows, (lambda x, lo, hi: x[:, lo:hi],) * 2, 90, size, k)
+        assert said(got) == said(vocabulary.teacher_cache(*(blocks(spark, t, size) for t in tables), size, k))
+    with pytest.raises(Exception, match="TeacherMismatch"):
+        vocabulary.asked_cache(rows, (lambda x, lo, hi: x[:, lo:hi], lambda x, lo, hi: x[:, lo : hi - 1]), 90, 16, 3).collect()
+
+
+def test_blocks_of_odd_vectors_without_tables_of_logits(spark, tmp_path):
+    """Null, short and repeated vectors, components that are null or not finite, against the SQL; nothing is written on the way."""
+    import duckdb
+
+    from calibrant import registry
+    from calibrant.session import shared_dir
+    from tests.test_queries import canon
+
+    r = random.Random(2)
+    vectors = [[r.gauss(0, 1) for _ in range(64)] for _ in range(12)]
+    vectors[1][3], vectors[3][5], vectors[5][:60], vectors[7], vectors[9], vectors[11] = None, float("nan"), [None] * 60, None, vectors[9][:3], [1.0] * 64
+    vectors[4][0], vectors[8][1] = float("inf"), float("-inf")
+    rows = [*enumerate(vectors), (0, [r.gauss(0, 1) for _ in range(64)]), (40, vectors[0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    folder = shared_dir(spark).removeprefix("file://") + "/calibrant"
+    before = os.listdir(folder) if os.path.isdir(folder) else []
+    got = registry.queries()["top01_blocks"](spark, str(tmp_path)).toPandas()
+    assert (os.listdir(folder) if os.path.isdir(folder) else []) == before
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert canon(got) == canon(c.sql(registry.oracle_sql()["top01_blocks"]).df())
