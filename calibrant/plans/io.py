@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from calibrant.functions.text import hash_answer
@@ -140,10 +141,10 @@ def _graded():
     """A worker that cannot do some items: every seventh at first, every fifth of these ever."""
 
     def fn(pdf):
-        k = pdf["c_custkey"]
-        if ((k % 7 == 3) & ((pdf["attempt"] < 2) | (k % 5 == 1))).any():
+        k = pdf["c_custkey"].to_numpy()
+        if ((k % 7 == 3) & ((pdf["attempt"].to_numpy() < 2) | (k % 5 == 1))).any():
             raise ValueError("no answer")
-        return pdf.assign(value=k * 2)
+        return pd.DataFrame({"value": k * 2})
 
     return fn
 

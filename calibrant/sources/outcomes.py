@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,28 +15,47 @@ from calibrant.errors import StateError
 
 
 def isolated(rows: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """(keys, attempt, schema, error): fn of rows, batch by batch; where it raises, row by row, and only the rows that raise carry an error."""
+    """(keys, attempt, schema, error): fn of rows, batch by batch; where it raises, of halves, and only the rows that raise alone carry an error.
+
+    Once some items have failed, fn gets as many at a time as are likely to be all good, down to one.
+    """
     held = [*keys, "attempt"]
     kinds = dict(rows.dtypes)
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def evaluated(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = fn(pdf)
-        if len(got) != len(pdf):
-            raise ValueError(f"{len(got)} results for {len(pdf)} items")
-        return pd.concat([pdf[held].reset_index(drop=True), got[names].reset_index(drop=True)], axis=1).assign(error=None)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tried = failed = 0
         for pdf in batches:
-            try:
-                yield evaluated(pdf)
-            except Exception:  # an item of it is bad, whatever it raised
-                for i in range(len(pdf)):
-                    one = pdf.iloc[i : i + 1]
+            good, bad = defaultdict(list), []  # good by dtypes: integers stay what they are beside parts with nulls
+            n = len(pdf)
+            step = max(1, min(n, int(0.7 * tried / failed))) if failed else max(1, n)
+            todo = [(lo, min(lo + step, n), -1) for lo in range(0, n, step)][::-1]
+            while todo:
+                lo, hi, before = todo.pop()
+                error = None
+                if hi - lo == 1 or len(bad) != before:  # else the bad one is in this half, as none was in the other
                     try:
-                        yield evaluated(one)
-                    except Exception as e:
-                        yield one[held].reset_index(drop=True).reindex(columns=[*held, *names, "error"]).assign(error=f"{type(e).__name__}: {e}"[:500])
+                        got = fn(pdf if hi - lo == n else pdf.iloc[lo:hi])
+                        if len(got) != hi - lo:
+                            raise ValueError(f"{len(got)} results for {hi - lo} items")
+                        columns = [got[c] for c in names]
+                        good[tuple(c.dtype for c in columns)].append((lo, hi, columns))
+                        continue
+                    except Exception as e:  # an item of it is bad, whatever it raised
+                        error = e
+                if hi - lo == 1:
+                    bad.append((lo, f"{type(error).__name__}: {error}"[:500]))
+                else:
+                    mid = (lo + hi) // 2
+                    todo += [(mid, hi, len(bad)), (lo, mid, -1)]
+            tried, failed = tried + n, failed + len(bad)
+            for dtypes, parts in good.items():
+                out = pdf[held].iloc[np.concatenate([np.arange(lo, hi) for lo, hi, _ in parts])].reset_index(drop=True)
+                for c, dtype, values in zip(names, dtypes, zip(*(columns for *_, columns in parts)), strict=True):
+                    out[c] = np.concatenate([v.to_numpy() for v in values]) if isinstance(dtype, np.dtype) else pd.concat(values, ignore_index=True)
+                yield out.assign(error=None)
+            if bad:
+                yield pdf[held].iloc[[i for i, _ in bad]].reset_index(drop=True).reindex(columns=[*held, *names, "error"]).assign(error=[e for _, e in bad])
 
     return rows.mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in held) + f", {schema}, error string")
 
@@ -64,6 +85,7 @@ def dead_letters(done: DataFrame, keys: list[str]) -> DataFrame:
 def evaluate(spark: SparkSession, rows: DataFrame, path: str, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, run: int | None = None, attempts: int = 3, same: str = "n_samples") -> DataFrame:
     """SRC-15: evaluate the items that have no result yet and fewer than `attempts` failures; returns all outcomes.
 
+    Items are dealt out evenly first: they are few bytes, and what fn does with them is not.
     A run's outcomes, good and bad, are one write of one pass, in a folder of the run's own. A run
     that is repeated, by its number, does not count what it left behind and replaces it. Items of
     earlier runs must agree in the column `same`, if rows have it.
@@ -83,5 +105,5 @@ def evaluate(spark: SparkSession, rows: DataFrame, path: str, keys: list[str], f
         todo = rows.join(state, keys, "left").where(~F.coalesce("_ok", F.lit(False)) & (F.coalesce("_tries", F.lit(0)) < attempts))
         todo = todo.withColumn("attempt", F.coalesce("_tries", F.lit(0)) + 1).drop("_ok", "_tries")
     kept = [*keys, same] if same in rows.columns else keys
-    isolated(todo, kept, fn, schema).write.mode("overwrite").parquet(f"{path}/run={run}")
+    isolated(todo.repartition(3 * spark.sparkContext.defaultParallelism), kept, fn, schema).write.mode("overwrite").parquet(f"{path}/run={run}")
     return outcomes(spark, path)

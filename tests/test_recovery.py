@@ -113,3 +113,44 @@ def test_selection_kinds_caps_and_padding(spark):
     assert sorted((r["k"] % 10 for r in best if r["kind"] == "high"), reverse=True) == sorted((k % 10 for k in range(60)), reverse=True)[:16]
     assert {r["kind"] for r in picks(spark, 30, 40)} == {"cold"} and {r["kind"] for r in picks(spark, 50, 10, seen=0)} == {"cold"}
     assert picks(spark, 500, 20) == whole and selection.select(spark.createDataFrame([], "k long, v double, seen int"), "k", "v", "seen", 5).count() == 0
+
+
+class Batches:
+    """Stands for a DataFrame: mapInPandas gives the function back."""
+
+    dtypes = [("k", "bigint"), ("attempt", "int")]
+
+    def mapInPandas(self, run, schema):
+        return run
+
+
+@pytest.mark.parametrize("bad,most", [([500], 25), ([0], 25), ([999], 25), (range(3, 1000, 7), 900), (range(1000), 1500), ([], 1)])
+def test_failing_items_are_found_in_few_calls(bad, most):
+    """Batches of 1,000: halves where something fails, fewer at a time where much does; values stay exact integers beside nulls."""
+    import numpy as np
+    import pandas as pd
+
+    calls = []
+
+    def fn(pdf):
+        calls.append(len(pdf))
+        if (pdf["k"] % 1000).isin(list(bad)).any():
+            raise ValueError("no")
+        return pd.DataFrame({"y": pdf["k"].to_numpy() + 2**53 + 1, "z": [None if k % 2 else "z" for k in pdf["k"]]})
+
+    run = outcomes.isolated(Batches(), ["k"], fn, "y long, z string")
+    each = list(run(iter([pd.DataFrame({"k": np.arange(lo, lo + 1000), "attempt": 1}) for lo in (0, 1000)])))
+    assert len(calls) <= 2 * most
+    got = [r for df in each for r in df.itertuples(index=False)]
+    assert sorted(r.k for r in got) == list(range(2000))
+    for r in got:
+        assert (r.error == "ValueError: no") if r.k % 1000 in bad else (r.error is None and r.y == r.k + 2**53 + 1 and r.z == (None if r.k % 2 else "z"))
+
+
+def test_items_of_one_file_are_dealt_out(spark, tmp_path):
+    from calibrant.session import ship
+
+    ship(spark)
+    rows = spark.range(200).coalesce(1).select(F.col("id").alias("k"))
+    done = outcomes.evaluate(spark, rows, str(tmp_path / "o"), ["k"], lambda pdf: pdf.assign(y=pdf["k"]), "y long")
+    assert done.count() == 200 and done.select(F.input_file_name()).distinct().count() > 2
