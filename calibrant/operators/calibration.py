@@ -1,6 +1,6 @@
 """Calibration reports: staleness, support coverage, loop detectors, templates, cost of a corpus.
 
-Each takes rows and gives a small table; nothing is collected.
+Each takes rows and gives a small table, the detector sweep also a row for each case; nothing is collected.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibrant.functions.tokens import has_tail_loop
+from calibrant.session import table
 
 #: Stages of a corpus: name, rows, longest response (fixed values).
 STAGES = (("pilot", 5000, 2048), ("scale-1", 10000, 4096), ("scale-2", 25000, 8192), ("full", 50000, 8192))
@@ -63,13 +64,19 @@ def _swept(rows: DataFrame, key: str, ids: str, configs: list[tuple[tuple[int, .
 
 
 def detector_sweep(rows: DataFrame, key: str, ids: str, configs: list[tuple[tuple[int, ...], int]], label: str | None = None) -> DataFrame:
-    """AGG-33: for each (periods, least length) how many sequences are flagged, and against labels the false-positive rate and how many are missed."""
+    """AGG-33: for each (periods, least length) how many sequences are flagged, and against labels the false-positive rate and how many are missed; beside these, a row for each one flagged or missed (key, kind).
+
+    A configuration without any has one row, with null key and kind. No row or group holds a configuration's keys.
+    """
     hit, y = F.col("hit"), F.col(label) if label else F.lit(None).cast("boolean")
-    return _swept(rows, key, ids, configs, label).groupBy("config").agg(
+    figures = table(_swept(rows, key, ids, configs, label).groupBy("config").agg(
         F.count_if(hit).alias("detected"), F.coalesce(F.avg(hit.cast("int")), F.lit(0.0)).alias("rate"),
         (F.coalesce(F.try_divide(F.count_if(hit & ~y), F.count_if(~y)), F.lit(0.0)) if label else F.lit(None).cast("double")).alias("false_positive_rate"),
         (F.count_if(~hit & y) if label else F.lit(None).cast("long")).alias("missed"),
-    )
+    ), "sweep")
+    each = F.broadcast(figures).join(detector_ids(rows, key, ids, configs, label), "config")  # a row for each configuration
+    none = figures.where((F.col("detected") == 0) & (F.coalesce("missed", F.lit(0)) == 0))
+    return each.unionByName(none, allowMissingColumns=True)
 
 
 def detector_ids(rows: DataFrame, key: str, ids: str, configs: list[tuple[tuple[int, ...], int]], label: str | None = None) -> DataFrame:

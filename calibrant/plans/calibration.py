@@ -53,7 +53,8 @@ _ANY = lambda ps, m: f"list_bool_or(list_transform({ps}, lambda p: {_TAIL.format
 _HITS = _T + f""", h AS (SELECT doc_id, 'periods=(1, 2, 3),min_len=4' AS config, {_ANY('[1, 2, 3]', 4)} AS hit FROM tk UNION ALL SELECT doc_id, 'periods=(2,),min_len=16', {_ANY('[2]', 16)} FROM tk
 UNION ALL SELECT doc_id, 'periods=(3, 4),min_len=64', {_ANY('[3, 4]', 64)} FROM tk) """
 add("agg33_detector_sweep", lambda s, d: r6(cal.detector_sweep(_labelled(s, d), "doc_id", "ids", _CONFIGS, "label"), "rate", "false_positive_rate"),
-    _HITS + "SELECT config, count(*) FILTER (hit) AS detected, round(avg(hit::INT), 6) AS rate, round(count(*) FILTER (hit AND doc_id % 2 = 1) / count(*) FILTER (doc_id % 2 = 1)::DOUBLE, 6) AS false_positive_rate, count(*) FILTER (NOT hit AND doc_id % 2 = 0) AS missed FROM h GROUP BY config")
+    _HITS + """, g AS (SELECT config, count(*) FILTER (hit) AS detected, round(avg(hit::INT), 6) AS rate, round(count(*) FILTER (hit AND doc_id % 2 = 1) / count(*) FILTER (doc_id % 2 = 1)::DOUBLE, 6) AS false_positive_rate, count(*) FILTER (NOT hit AND doc_id % 2 = 0) AS missed FROM h GROUP BY config)
+SELECT g.*, i.doc_id, i.kind FROM g LEFT JOIN (SELECT config, doc_id, CASE WHEN hit THEN 'flagged' ELSE 'missed' END AS kind FROM h WHERE hit OR (NOT hit AND doc_id % 2 = 0)) i USING (config)""")
 add("agg33_detector_ids", lambda s, d: cal.detector_ids(_labelled(s, d), "doc_id", "ids", _CONFIGS, "label"), _HITS + "SELECT config, doc_id, CASE WHEN hit THEN 'flagged' ELSE 'missed' END AS kind FROM h WHERE hit OR doc_id % 2 = 0")
 _FOUR = ("a_rl_student", "b_rl_own", "c_ref_student", "d_ref_own", "delta_student", "delta_teacher")
 add("agg34_template_audit", lambda s, d: r6(cal.template_audit(metrics(s, d).select("pool", "reward", (F.col("k") / 10).alias("b"), (F.col("reward") / 2).alias("c"), (F.col("k") / F.lit(7.0)).alias("e")), ["pool"], "reward", "b", "c", "e"), *_FOUR),

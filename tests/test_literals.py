@@ -296,3 +296,16 @@ def test_length_stats_by_counts(spark):
     assert (got["g"]["n"], got["g"]["total"], got["g"]["longest"]) == (8, sum(own), 100)
     assert got["g"]["p50"] == statistics.median(own) and got["g"]["p90"] == pytest.approx(q[17]) and got["g"]["p95"] == pytest.approx(q[18])
     assert got["g"]["eos_rate"] == 0.25 and got["one"]["p90"] == 3.0 and got["one"]["tokens_per_s"] == 0.0 and got["none"]["p90"] == 0.0
+
+
+def test_detector_sweep_names_its_cases(spark):
+    """The sequences flagged and missed stand beside the figures; a configuration without any keeps its row."""
+    from calibrant.operators import calibration
+
+    data = [(0, [1, 2, 3] * 6, True), (1, [7, 8, 9, 10, 11, 12, 7, 8, 7, 8], False), (2, [1, 2, 3, 4, 5] * 3, True)]
+    df = spark.createDataFrame(data, "k long, ids array<int>, label boolean")
+    sweep = lambda label: sorted(tuple(r) for r in calibration.detector_sweep(df, "k", "ids", [((2, 3, 4), 8)], label).select("detected", "rate", "false_positive_rate", "missed", "k", "kind").collect())
+    assert sweep("label") == [(2, 2 / 3, 1.0, 1, 0, "flagged"), (2, 2 / 3, 1.0, 1, 1, "flagged"), (2, 2 / 3, 1.0, 1, 2, "missed")]
+    assert sweep(None) == [(2, 2 / 3, None, None, 0, "flagged"), (2, 2 / 3, None, None, 1, "flagged")]
+    none = calibration.detector_sweep(df, "k", "ids", [((2, 3), 99), ((5,), 15)], None).select("config", "detected", "k", "kind").collect()
+    assert sorted(map(tuple, none)) == [("periods=(2, 3),min_len=99", 0, None, None), ("periods=(5,),min_len=15", 1, 2, "flagged")]
